@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, how: NearDuplicates) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, how: NearDuplicates) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's signature, and the prefix in order of rarity."""
+    """doc_id, n_shingles, two halves of the set's signature, a hash of size and prefix, and the prefix in order of rarity."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, how))
     shift, k, percent = np.uint64(64 - how.sketch_bits), how.words, how.percent
 
@@ -112,10 +112,13 @@ def prefixes(docs: DataFrame, how: NearDuplicates) -> DataFrame:
             length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             place = np.arange(len(code)) - np.repeat(ends - n, n)
             chosen = order[place < np.repeat(length, n)]
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mix(code[chosen]))])
+            tail = np.cumsum(length)
+            alike = mix((total[tail] - total[tail - length]) ^ mix(n.astype(np.uint64))).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(code[chosen].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signs[0]), pa.array(signs[1]), lists], ["doc_id", "n_shingles", "sign_a", "sign_b", "prefix"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signs[0]), pa.array(signs[1]), pa.array(alike), lists], ["doc_id", "n_shingles", "sign_a", "sign_b", "alike", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sign_a long, sign_b long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sign_a long, sign_b long, alike long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -154,14 +157,14 @@ def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> tuple[Dat
     rows = staged(prefixes(docs, how), "prefixes")
     keys = ["n_shingles", "sign_a", "sign_b"]
     # A class stands under its least doc_id.
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class"), F.first("prefix").alias("prefix"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class"), F.min("alike").alias("alike"))
     classes = staged(classes, "classes")
-    group = F.xxhash64("n_shingles", "prefix")
-    members = classes.select(group.alias("group"), F.col("class"), F.col("n_shingles").alias("n"))
-    groups = classes.groupBy(group.alias("group")).agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    posted = groups.select(F.explode("prefix").alias("token"), "group", "n")
-    shared = posted.groupBy("token").agg(F.count("*").alias("k"), F.min_by("group", F.struct("n", "group")).alias("hub")).where("k > 1")
-    posted = staged(posted.join(shared, "token"), "postings")
+    # A group stands under its least class.
+    groups = classes.groupBy("alike").agg(F.min("class").alias("group"), F.first("n_shingles").alias("n"))
+    members = staged(classes.join(groups.select("alike", "group"), "alike").select("group", F.col("class"), F.col("n_shingles").alias("n")), "members")
+    posted = rows.select(F.col("doc_id").alias("group"), "alike", "prefix").join(groups.select("alike", "group"), ["alike", "group"], "left_semi").groupBy("alike", "group").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("token"), "group")
+    shared = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    posted = staged(posted.join(shared, "token").join(groups.select("group", "n"), "group"), "postings")
     fits = lambda m, n: (F.lit(100) * F.least(m, n) >= F.lit(how.percent) * F.greatest(m, n))
 
     def together(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
@@ -170,8 +173,8 @@ def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> tuple[Dat
 
     small = posted.where(F.col("k") <= how.small)
     large = posted.where(F.col("k") > how.small)
-    sizes = groups.select(F.col("group").alias("hub"), F.col("n").alias("m"))
-    starred = large.where("group <> hub").select("hub", "group", "n").distinct().join(sizes, "hub").where(fits(F.col("m"), F.col("n"))).select(F.least("hub", "group").alias("g"), F.greatest("hub", "group").alias("h"))
+    hubs = large.groupBy("token").agg(F.min(F.struct("n", "group")).alias("hub")).select("token", F.col("hub.group").alias("hub"), F.col("hub.n").alias("m"))
+    starred = large.join(hubs, "token").where("group <> hub").select("hub", "m", "group", "n").distinct().where(fits(F.col("m"), F.col("n"))).select(F.least("hub", "group").alias("g"), F.greatest("hub", "group").alias("h"))
     pairs = together(small, small, "token").union(starred).distinct()
     left = members.select(F.col("group").alias("g"), F.col("class").alias("a"))
     right = members.select(F.col("group").alias("h"), F.col("class").alias("b"))
@@ -182,7 +185,7 @@ def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> tuple[Dat
     candidates = staged(spread.union(inside).where("a <> b").distinct(), "candidates")
     wanted = large.select("group").union(members.join(firsts, "group", "left_semi").select("group")).distinct().join(members, "group").select(F.col("class").alias("doc_id"))
     wanted = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).union(wanted).distinct()
-    every = staged(whole_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), how).where("length(set) > 0").distinct(), "sets")
+    every = staged(whole_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), how).where("length(set) > 0"), "sets")
     links = staged(verified(candidates, every, how), "links")
     # Whatever shares a large token or a group and is still in several components meets in full.
     labels = components(links, "a", "b")

@@ -6,25 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, quality
+from . import bpe, chat, jaccard, mixing, phrases, quality, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(_table(spark, folder, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.digests(_table(spark, folder, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.filtered(_table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and number -7, whose two texts are control strings."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema)
+    return chat.digests(chat.formatted(chat.from_rows(rows.union(planted), "conv_id")), "conv_id")
+
+
+def op9_mixing_to_target_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.replicated(_table(spark, folder, "documents")).select("doc_id", "source", "text", "copy")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_ngram_jaccard_join, op10_quality_rules)
+    found = (op2_byte_level_bpe, op3_substring_dedup, op4_ngram_jaccard_join, op7_url_filters, op8_chat_formatting, op9_mixing_to_target_weights, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filters": urls.SQL, "op8_chat_formatting": chat.SQL, "op9_mixing_to_target_weights": mixing.SQL}
