@@ -39,9 +39,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("doc_id", "text").alias("row"), "text")
 
 
-def _phrases(docs: DataFrame, how: Repeats) -> DataFrame:
-    width = how.window - how.phrase + 1
+def _least(words: Words, how: Repeats) -> np.ndarray:
+    """For each place where a window may start, the least hash of its phrases; of no use where it would cross texts."""
+    at, code = words.runs(how.phrase)
+    every = np.zeros(max(len(words.hash) - how.phrase + 1, 0), np.uint64)
+    every[at] = code
+    return sliding_min(every, how.window - how.phrase + 1)
 
+
+def _phrases(docs: DataFrame, how: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
             words = Words(piece.column("text"))
@@ -49,11 +55,7 @@ def _phrases(docs: DataFrame, how: Repeats) -> DataFrame:
             n = len(words.hash) - how.window + 1
             if n <= 0:
                 continue
-            at, code = words.runs(how.phrase)
-            # Runs that cross texts get no place here, as no window that counts holds them.
-            every = np.zeros(len(words.hash) - how.phrase + 1, np.uint64)
-            every[at] = code
-            least = sliding_min(every, width)
+            least = _least(words, how)
             inside = text[:n] == text[how.window - 1 :]
             fresh = np.ones(n, bool)
             fresh[1:] = (least[1:] != least[:-1]) | (text[1:n] != text[: n - 1])
@@ -107,7 +109,8 @@ def _windows(joined: DataFrame, how: Repeats) -> DataFrame:
                     start = np.searchsorted(spaces, ends) - how.phrase
                     np.add.at(marks, words.first[i] + np.maximum(start - width + 1, 0), 1)
                     np.add.at(marks, words.first[i] + start + 1, -1)
-            near = np.cumsum(marks)[at] > 0
+            # Of these windows, those whose own least phrase doesn't recur can't recur either.
+            near = (np.cumsum(marks)[at] > 0) & np.isin(_least(words, how)[at], codes)
             at, code = at[near], code[near]
             text = words.document()[at]
             rows = pa.array(text)
@@ -123,7 +126,7 @@ def removals(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     recurring = phrases.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase")
     reached = phrases.join(recurring, "phrase").groupBy("doc_id", "row").agg(F.collect_set("phrase").alias("phrases"))
     windows = staged(_windows(keyed.join(reached, ["doc_id", "row"]), how), "windows")
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low")
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("low"))
     found = windows.join(first, "window").where("doc_id > low").groupBy("doc_id", "row").agg(F.collect_set("at").alias("starts"))
     return staged(found, "removals")
 

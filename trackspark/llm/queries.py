@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, mixing, phrases, quality, urls
+from . import bpe, chat, jaccard, lm, media, mixing, phrases, quality, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_table(spark, folder, "documents"))
+
+
 def op2_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_table(spark, folder, "documents"))
 
@@ -25,6 +29,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return media.described(_table(spark, folder, "documents")).drop("digest")
+
+
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filtered(_table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -46,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_byte_level_bpe, op3_substring_dedup, op4_ngram_jaccard_join, op7_url_filters, op8_chat_formatting, op9_mixing_to_target_weights, op10_quality_rules)
+    found = (op1_lm_scoring, op2_byte_level_bpe, op3_substring_dedup, op4_ngram_jaccard_join, op6_media_columns, op7_url_filters, op8_chat_formatting, op9_mixing_to_target_weights, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
