@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, lm, media, mixing, phrases, quality, urls
+from . import bpe, chat, jaccard, lm, media, mixing, phrases, quality, suffixes, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(_table(spark, folder, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     return media.described(_table(spark, folder, "documents")).drop("digest")
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_scoring, op2_byte_level_bpe, op3_substring_dedup, op4_ngram_jaccard_join, op6_media_columns, op7_url_filters, op8_chat_formatting, op9_mixing_to_target_weights, op10_quality_rules)
+    found = (op1_lm_scoring, op2_byte_level_bpe, op3_substring_dedup, op4_ngram_jaccard_join, op5_suffix_array_dedup, op6_media_columns, op7_url_filters, op8_chat_formatting, op9_mixing_to_target_weights, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
