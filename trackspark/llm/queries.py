@@ -57,9 +57,15 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_lm_scoring, op2_byte_level_bpe, op3_substring_dedup, op4_ngram_jaccard_join, op5_suffix_array_dedup, op6_media_columns, op7_url_filters, op8_chat_formatting, op9_mixing_to_target_weights, op10_quality_rules)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
