@@ -74,7 +74,9 @@ def replicated(docs: DataFrame, how: Mixture = Mixture()) -> DataFrame:
     drawn = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + poisson(F.col("rate") / parts, uniform(F.lit(how.seed), F.col("doc_id"), content, j)))
     drawn = joined.withColumn("__drawn", drawn).where("__drawn > 0")
     copies = drawn.select("*", F.explode(F.sequence(F.lit(1), F.col("__drawn"))).alias("copy")).drop("__drawn")
-    return copies.orderBy(F.md5(F.concat_ws(":", F.lit(-how.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy")), F.xxhash64("text"))
+    # Dealt and sorted by a hash: a random order over all partitions, in one pass over the text.
+    order = F.md5(F.concat_ws(":", F.lit(-how.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy", F.xxhash64("text")))
+    return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
 
 
 #: The same rows in DuckDB's SQL, for the default mixture.
