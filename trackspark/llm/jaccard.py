@@ -35,7 +35,7 @@ class NearDuplicates:
 
     words: int = 5
     percent: int = 80
-    sketch_bits: int = 22
+    sketch_bits: int = 24
     small: int = 8
 
 
@@ -68,12 +68,11 @@ def sketch(docs: DataFrame, how: NearDuplicates) -> np.ndarray:
     shift, size, k = np.uint64(64 - how.sketch_bits), 1 << how.sketch_bits, how.words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint16)
         for piece in slices(batches):
             text, code = sets(piece.column("text"), k)
             slot, n = np.unique((code >> shift).astype(np.int64), return_counts=True)
-            total[slot] += n.astype(np.uint32)
-        total = np.minimum(total, 65535).astype(np.uint16)
+            total[slot] = np.minimum(total[slot] + n, 65535)
         for at in range(0, size, CHUNK):
             part = total[at : at + CHUNK]
             if part.any():
@@ -162,20 +161,22 @@ def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> tuple[Dat
     # A group stands under its least class.
     groups = classes.groupBy("alike").agg(F.min("class").alias("group"), F.first("n_shingles").alias("n"))
     members = staged(classes.join(groups.select("alike", "group"), "alike").select("group", F.col("class"), F.col("n_shingles").alias("n")), "members")
-    posted = rows.select(F.col("doc_id").alias("group"), "alike", "prefix").join(groups.select("alike", "group"), ["alike", "group"], "left_semi").groupBy("alike", "group").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("token"), "group")
+    posted = rows.select(F.col("doc_id").alias("group"), "alike", "prefix").join(groups.select("alike", "group"), ["alike", "group"], "left_semi").groupBy("alike", "group").agg(F.first("prefix").alias("prefix")).select(F.posexplode("prefix").alias("pos", "token"), "group")
     shared = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     posted = staged(posted.join(shared, "token").join(groups.select("group", "n"), "group"), "postings")
     fits = lambda m, n: (F.lit(100) * F.least(m, n) >= F.lit(how.percent) * F.greatest(m, n))
 
-    def together(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
-        a, b = left.select(*on, F.col("group").alias("g"), F.col("n").alias("n")), right.select(*on, F.col("group").alias("h"), F.col("n").alias("m"))
-        return a.join(b, list(on)).where(F.col("g") < F.col("h")).where(fits(F.col("m"), F.col("n"))).select("g", "h")
-
+    # Sets of sizes n and m that are similar enough share least(n, m) elements.
+    least = lambda m, n: F.ceil(F.lit(how.percent) * (m + n) / F.lit(100 + how.percent))
+    # At the first token that two sets share, in the order of rarity, the rest of each must still hold that many.
+    reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("other")) >= least(F.col("m"), F.col("n"))
     small = posted.where(F.col("k") <= how.small)
+    a, b = small.select("token", F.col("group").alias("g"), "n"), small.select("token", F.col("group").alias("h"), F.col("n").alias("m"))
+    together = a.join(b, "token").where(F.col("g") < F.col("h")).where(fits(F.col("m"), F.col("n"))).select("g", "h")
     large = posted.where(F.col("k") > how.small)
     hubs = large.groupBy("token").agg(F.min(F.struct("n", "group")).alias("hub")).select("token", F.col("hub.group").alias("hub"), F.col("hub.n").alias("m"))
     starred = large.join(hubs, "token").where("group <> hub").select("hub", "m", "group", "n").distinct().where(fits(F.col("m"), F.col("n"))).select(F.least("hub", "group").alias("g"), F.greatest("hub", "group").alias("h"))
-    pairs = together(small, small, "token").union(starred).distinct()
+    pairs = together.union(starred).distinct()
     left = members.select(F.col("group").alias("g"), F.col("class").alias("a"))
     right = members.select(F.col("group").alias("h"), F.col("class").alias("b"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -192,12 +193,21 @@ def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> tuple[Dat
     labelled = members.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("group", "class", "n", F.coalesce("component", "class").alias("label"))
     labelled = labelled.join(large.select("group").union(firsts.select("group")).distinct(), "group", "left_semi")
     labelled = staged(labelled, "labelled")
-    keyed = large.select("token", "group").join(labelled, "group").select("token", "class", "n", "label").union(labelled.join(firsts.select("group"), "group", "left_semi").select(F.col("group").alias("token"), "class", "n", "label"))
+    keyed = large.select("token", "pos", "group").join(labelled, "group").select("token", "pos", "class", "n", "label")
     open_keys = keyed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     keyed = staged(keyed.join(open_keys, "token", "left_semi"), "open")
-    x = keyed.select("token", F.col("class").alias("a"), F.col("n").alias("n"), F.col("label").alias("p"))
-    y = keyed.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("q"))
-    crossed = x.join(y, "token").where("a < b and p <> q").where(fits(F.col("m"), F.col("n"))).select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti")
+    x = keyed.select("token", "pos", F.col("class").alias("a"), F.col("n").alias("n"), F.col("label").alias("p"))
+    y = keyed.select("token", F.col("pos").alias("other"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("q"))
+    met = x.join(y, "token").where("a < b and p <> q").where(fits(F.col("m"), F.col("n")))
+    # What two sets share lies in the prefix that ends first, or among the elements after it. Only large tokens are
+    # left to share here, as pairs that share a small one are candidates already.
+    shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.bool_or(reach).alias("reach"))
+    size = F.greatest("n", "m")
+    enough = F.col("c") + F.ceil(F.lit(how.percent) * size / F.lit(100)) - 1 >= least(F.col("m"), F.col("n"))
+    crossed = shared.where("reach").where(enough).select("a", "b")
+    alike = labelled.join(firsts.select("group"), "group", "left_semi")
+    within = alike.select("group", F.col("class").alias("a"), F.col("label").alias("p")).join(alike.select("group", F.col("class").alias("b"), F.col("label").alias("q")), "group").where("a < b and p <> q").select("a", "b")
+    crossed = crossed.union(within).distinct().join(candidates, ["a", "b"], "left_anti")
     return rows.join(classes.select(*keys, "class"), keys, "left"), links.union(staged(verified(crossed, every, how), "links"))
 
 
