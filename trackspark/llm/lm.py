@@ -41,8 +41,8 @@ from .tokens import Words, slices
 @dataclass(frozen=True)
 class SuffixTree:
     depth: int = 6
-    evidence: float = 50.0
-    min_count: int = 50
+    evidence: float = 10.0
+    min_count: int = 5
     min_share: float = 1e-6
     block_bytes: int = 16 << 20
 
