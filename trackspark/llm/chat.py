@@ -55,10 +55,14 @@ def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def _prefixed(keys: Column, prefix: str) -> Column:
+    return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(prefix), k))
+
+
 def field_paths(payload: Column) -> Column:
     """The sorted paths of a JSON text that any layout knows: fields, and fields of the first item of arrays."""
     items = sorted({x.items for x in LAYOUTS if x.items})
-    nested = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(payload, f"$.{x}[0]")), F.array().cast("array<string>")), lambda k, x=x: F.concat(F.lit(f"{x}[]."), k)) for x in items]
+    nested = [_prefixed(F.json_object_keys(F.get_json_object(payload, f"$.{x}[0]")), f"{x}[].") for x in items]
     known = F.array(*(F.lit(x) for x in sorted({p for x in LAYOUTS for p in x.paths})))
     top = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
     return F.array_sort(F.array_intersect(F.concat(top, *nested), known))
@@ -71,6 +75,10 @@ def _named(role: Column) -> Column:
     return role
 
 
+def _turns(items: Column, layout: Layout) -> Column:
+    return F.transform(items, lambda m: F.struct(_named(m[layout.role]).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")))
+
+
 def canonical(df: DataFrame, payload: str = "payload") -> DataFrame:
     """``df`` with ``fingerprint`` and ``turns`` of the JSON texts in ``payload``."""
     text = F.col(payload)
@@ -79,7 +87,7 @@ def canonical(df: DataFrame, payload: str = "payload") -> DataFrame:
     for layout in LAYOUTS:
         if layout.items:
             parsed = F.from_json(text, f"`{layout.items}` array<struct<`{layout.role}`:string,`{layout.text}`:string>>")[layout.items]
-            made = F.transform(parsed, lambda m, x=layout: F.struct(_named(m[x.role]).alias("role"), F.coalesce(m[x.text], F.lit("")).alias("text")))
+            made = _turns(parsed, layout)
         else:
             parsed = F.from_json(text, ", ".join(f"`{f}` string" for _, f in layout.turns))
             made = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(parsed[f], F.lit("")).alias("text")) for r, f in layout.turns))

@@ -125,13 +125,21 @@ def learned(keyed: DataFrame, how: SuffixTree) -> list[tuple[np.ndarray, ...]]:
     closed = kept.select(F.explode(F.sequence(F.lit(0), level)).alias("short"), "state").select(F.col("short").alias("level"), low(F.col("state"), F.col("short")).alias("state")).distinct()
     root = keyed.sparkSession.createDataFrame([(0, 0)], "level int, state long")
     closed = closed.union(root).distinct()
-    model = pairs.join(closed, ["level", "state"]).where((F.col("n") * 16 >= int(total * how.min_share)) | (level == 0)).select("level", "key", "n", "total").toPandas()
+    model = pairs.join(closed, ["level", "state"]).where((F.col("n") * 16 >= int(total * how.min_share)) | (level == 0)).select(F.col("level").cast("long"), "key", "n", "total")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([batch.column(i).to_numpy() for i in range(4)]).tobytes()])], ["rows"])
+
+    found = [np.frombuffer(r["rows"], np.int64).reshape(4, -1) for r in model.mapInArrow(packed, "rows binary").collect()]
+    table = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
     out = []
     for k in range(how.depth + 1):
-        rows = model[model["level"] == k].sort_values("key")
-        key, n = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
+        rows = table[1:, table[0] == k]
+        key, n, totals = rows[:, np.argsort(rows[0])]
+        n = n.astype(np.float64)
         state, first, size = np.unique(key >> 8, return_index=True, return_counts=True)
-        whole = rows["total"].to_numpy(np.float64)[first]
+        whole = totals[first].astype(np.float64)
         listed = np.add.reduceat(n, first) if len(first) else np.zeros(0)
         out.append((state, whole, size.astype(float), whole - listed, key, n))
     return out

@@ -24,7 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The site rules of the registered query.
 SITE_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 #: Its pattern rules.
-PATTERN_RULES = {"||ads.^": "block", "||tracker.^": "block", "*/login/*": "block", "*/wp-admin^": "block", "*?ref=x^": "block", "*&ref=x^": "block", "*sessionid=*": "block"}
+PATTERN_RULES = {"||ads.": "block", "||tracker.": "block", "*/login/*": "block", "*/wp-admin^": "block", "*?ref=x^": "block", "*&ref=x^": "block", "*sessionid=*": "block"}
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ b as (select page_id, u, host, path, rest, max(struct_pack(n := length(rhost ||
       from h left join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by all)
 select page_id, host, path, best.rule as rule,
        case when best is not null then best.v
-            when regexp_matches(host || rest, '^([^/?#]*\.)?(ads|tracker)\.([^A-Za-z0-9_.%-]|$)|/login/|/wp-admin([^A-Za-z0-9_.%-]|$)|[?&]ref=x([^A-Za-z0-9_.%-]|$)|sessionid=') then 'block'
+            when regexp_matches(host || rest, '^([^/?#]*\.)?(ads|tracker)\.|/login/|/wp-admin([^A-Za-z0-9_.%-]|$)|[?&]ref=x([^A-Za-z0-9_.%-]|$)|sessionid=') then 'block'
             else 'allow' end as verdict
 from b
 """
