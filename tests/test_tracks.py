@@ -217,3 +217,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.extent_x) for r in spark.table("extent").collect()) == [(1, 0.0), (2, 3.0)]
+
+
+def test_learn(spark):
+    segments, kinds = generator.generated(spark, generator.Generator(tracks=12, steps=25))
+    cfg = RunConfig(tau=4, arrest_limit=0.5, ml=MLConfig(categories=("MostlyStraight", "Dead")))
+    table = plan.run(segments, kinds, cfg)["features"]
+    out = plan.learn(table, cfg)
+    assert out["pc_scores"].count() == 24
+    assert out["kruskal"].where("pc = 'PC1'").first().p < 0.01
+    assert out["tree_report"].first().accuracy > 0.8

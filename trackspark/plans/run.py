@@ -41,7 +41,7 @@ def run(segments: DataFrame, categories: DataFrame | None = None, cfg: RunConfig
     points = msd.loglog_points(curves, kinds)
     fits = msd.loglog_fits(points)
     out = {
-        "settings": settings(segments, cfg), "removed_objects": removed, "summary_features": features.presented(table),
+        "settings": settings(segments, cfg), "removed_objects": removed, "features": table, "summary_features": features.presented(table),
         "euclidean_medians": features.restricted(kinematics.euclid_medians(kinematics.euclid_lags(tracks, cfg.tau)), table),
         "turning_angles": features.restricted(kinematics.angle_medians(kinematics.turning_angles(tracks, cfg.tau)), table),
         "mean_squared_displacements": curves, "msd_summary": msd.msd_summary(curves), "msd_loglog_fits": fits,
