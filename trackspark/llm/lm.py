@@ -40,11 +40,11 @@ from .tokens import Words, slices
 
 @dataclass(frozen=True)
 class SuffixTree:
-    depth: int = 6
+    depth: int = 5
     evidence: float = 10.0
     min_count: int = 5
     min_share: float = 1e-6
-    block_bytes: int = 16 << 20
+    block_bytes: int = 32 << 20
 
 
 END = np.uint64(0x6A09E667F3BCC909)
@@ -117,15 +117,16 @@ def learned(keyed: DataFrame, how: SuffixTree) -> list[tuple[np.ndarray, ...]]:
     level = F.col("level")
     pairs = counted.select(F.explode(F.sequence(F.lit(0), F.lit(how.depth))).alias("level"), "window", "n").select("level", low(F.col("window"), level + 1).alias("key"), "n").groupBy("level", "key").agg(F.sum("n").alias("n"))
     pairs = staged(pairs.withColumn("state", F.shiftright("key", 8)), "pairs")
-    states = pairs.groupBy("level", "state").agg(F.sum("n").alias("total")).where((F.col("total") >= least) | (level == 0))
-    pairs = pairs.join(states, ["level", "state"])
+    # A state's total counts all symbols after it; from here on only the listed ones move.
+    states = staged(pairs.groupBy("level", "state").agg(F.sum("n").alias("total")).where((F.col("total") >= least) | (level == 0)), "states")
+    pairs = staged(pairs.where((F.col("n") * 16 >= int(total * how.min_share)) | (level == 0)).join(states, ["level", "state"]), "listed")
     parents = pairs.select((level + 1).alias("level"), F.col("key").alias("short"), F.col("n").alias("m"), F.col("total").alias("parent_total"))
     gain = F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("parent_total") / (F.col("total") * F.col("m")))
     kept = pairs.withColumn("short", low(F.col("key"), level)).join(parents, ["level", "short"]).groupBy("level", "state").agg(F.sum(gain * F.col("total")).alias("bits")).where(F.col("bits") >= how.evidence)
     closed = kept.select(F.explode(F.sequence(F.lit(0), level)).alias("short"), "state").select(F.col("short").alias("level"), low(F.col("state"), F.col("short")).alias("state")).distinct()
     root = keyed.sparkSession.createDataFrame([(0, 0)], "level int, state long")
     closed = closed.union(root).distinct()
-    model = pairs.join(closed, ["level", "state"]).where((F.col("n") * 16 >= int(total * how.min_share)) | (level == 0)).select(F.col("level").cast("long"), "key", "n", "total")
+    model = pairs.join(closed, ["level", "state"]).select(F.col("level").cast("long"), "key", "n", "total")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
