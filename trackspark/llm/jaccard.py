@@ -174,7 +174,9 @@ def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> tuple[Dat
     a, b = small.select("token", F.col("group").alias("g"), "n"), small.select("token", F.col("group").alias("h"), F.col("n").alias("m"))
     together = a.join(b, "token").where(F.col("g") < F.col("h")).where(fits(F.col("m"), F.col("n"))).select("g", "h")
     large = posted.where(F.col("k") > how.small)
-    hubs = large.groupBy("token").agg(F.min(F.struct("n", "group")).alias("hub")).select("token", F.col("hub.group").alias("hub"), F.col("hub.n").alias("m"))
+    # The group with the most large tokens in its prefix has the fewest of its own, so it is the likeliest to be near the others.
+    common = large.groupBy("group").agg(F.count("*").alias("common"))
+    hubs = large.join(common, "group").groupBy("token").agg(F.max(F.struct("common", F.col("group").alias("hub"), F.col("n").alias("m"))).alias("best")).select("token", "best.hub", "best.m")
     starred = large.join(hubs, "token").where("group <> hub").select("hub", "m", "group", "n").distinct().where(fits(F.col("m"), F.col("n"))).select(F.least("hub", "group").alias("g"), F.greatest("hub", "group").alias("h"))
     pairs = together.union(starred).distinct()
     left = members.select(F.col("group").alias("g"), F.col("class").alias("a"))
@@ -198,13 +200,15 @@ def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> tuple[Dat
     keyed = staged(keyed.join(open_keys, "token", "left_semi"), "open")
     x = keyed.select("token", "pos", F.col("class").alias("a"), F.col("n").alias("n"), F.col("label").alias("p"))
     y = keyed.select("token", F.col("pos").alias("other"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("q"))
-    met = x.join(y, "token").where("a < b and p <> q").where(fits(F.col("m"), F.col("n")))
-    # What two sets share lies in the prefix that ends first, or among the elements after it. Only large tokens are
-    # left to share here, as pairs that share a small one are candidates already.
-    shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.bool_or(reach).alias("reach"))
-    size = F.greatest("n", "m")
-    enough = F.col("c") + F.ceil(F.lit(how.percent) * size / F.lit(100)) - 1 >= least(F.col("m"), F.col("n"))
-    crossed = shared.where("reach").where(enough).select("a", "b")
+    # The first token that two similar sets share passes ``reach``, so pairs of which no token does are left out.
+    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & fits(F.col("m"), F.col("n")) & reach).select("a", "n", "b", "m").distinct().join(candidates, ["a", "b"], "left_anti")
+    # All that they share lies in the prefix that ends first, or among the elements after it.
+    met = staged(met, "met")
+    ends = met.select(F.col("a").alias("group")).union(met.select("b")).distinct()
+    heads = staged(rows.select(F.col("doc_id").alias("group"), "prefix").where("size(prefix) > 0").join(ends, "group", "left_semi"), "heads")
+    met = met.join(heads.select(F.col("group").alias("a"), F.col("prefix").alias("head")), "a").join(heads.select(F.col("group").alias("b"), F.col("prefix").alias("tail")), "b")
+    both = F.size(F.array_intersect("head", "tail")) + F.ceil(F.lit(how.percent) * F.greatest("n", "m") / F.lit(100)) - 1
+    crossed = met.where(both >= least(F.col("m"), F.col("n"))).select("a", "b")
     alike = labelled.join(firsts.select("group"), "group", "left_semi")
     within = alike.select("group", F.col("class").alias("a"), F.col("label").alias("p")).join(alike.select("group", F.col("class").alias("b"), F.col("label").alias("q")), "group").where("a < b and p <> q").select("a", "b")
     crossed = crossed.union(within).distinct().join(candidates, ["a", "b"], "left_anti")
