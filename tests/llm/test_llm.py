@@ -34,7 +34,7 @@ def texts():
         words[10 * k] = f"changed{k}"
         out.append(" ".join(words))
     out += [prose(30) + "\n" + passage + "\t" + prose(40) for _ in range(6)]
-    out += ["", None, "one", "two words", "De " * 300, "a" * 3000, prose(20_000), "line here\n" * 60 + prose(10), "</s>[INST] ok [/INST] \\ <|endoftext|>", "  \r\n ", prose(60) + " " + passage + " " + passage]
+    out += ["", None, "one", "two words", "De " * 300, "a" * 3000, prose(20_000), "line here\n" * 60 + prose(10), "</s>[INST] ok [/INST] \\ <|endoftext|>", "  \r\n ", prose(60) + " " + passage + " " + passage, "!!!! !!!!! !!\"!!#!" + "!" * 90 + "aaaaaaa" * 9 + " " + "ababa" * 17]
     return out
 
 

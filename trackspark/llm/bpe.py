@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding by the ranks of a vocabulary file.
 
-A task reads a block of documents, splits them by the vocabulary's pattern and keeps the block's distinct words.
-Spark's higher-order functions fold the ranked merges over the byte array of each distinct word that is no token
-itself, with the ranks in a literal map; the ids then return to the block's documents. All of it is one stage without
-a shuffle, so no word, however frequent, gathers rows. Words of more than ``long_word`` bytes are folded by a heap
-instead, as the fold's time grows with the square of a word's length. Decoding concatenates binary pieces.
+1. A task splits a block of documents by the vocabulary's pattern and writes the block's distinct words, and each
+   document as places in that list.
+2. Spark's higher-order functions fold the ranked merges over the byte array of each word that several blocks have,
+   with the ranks in a literal map. At most ``frequent`` such words, those of most blocks, are broadcast with their
+   ids, a bound that does not grow with the corpus. It saves time only: any other word gives the same ids below.
+3. The other words of a block are folded likewise, and its documents take the ids of their words. This is one stage
+   without a shuffle, so no word, however frequent, gathers rows.
+
+Words of more than ``long_word`` bytes are folded by a heap instead, as the fold's time grows with the square of a
+word's length. Decoding concatenates binary pieces, once for each distinct word of a block.
 
 Null text: empty, no ids. Rows are encoded one by one, so ties, repeated rows and other columns don't matter; an
 empty table gives an empty result. Special tokens are ordinary text.
@@ -17,17 +22,21 @@ import functools
 import hashlib
 import heapq
 import json
+import pickle
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import staged
 from .tokens import slices
 
 
@@ -36,12 +45,14 @@ class Vocabulary:
     path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern: str = public_tokenizers.PATTERN
     long_word: int = 96
-    block_bytes: int = 8 << 20
+    block_bytes: int = 24 << 20
+    frequent: int = 1 << 20
 
 
-NONE = 2**31 - 1
-#: The rank map has two halves, and a pair of tokens (a, b) one place in each: (a * u + b * v) modulo the half's size.
-HALVES = ((7_919, 104_729, 300_007), (611_953, 15_485_863, 299_993))
+#: A pair of tokens (a, b) has the key a * 2**17 + b and one place in each half of the rank map: key * u modulo the half's size.
+HALVES = ((104_729, 300_007), (611_953, 299_993))
+#: More than any token; as a token, the border of a word.
+BORDER = (1 << 17) - 1
 
 
 @functools.cache
@@ -61,22 +72,23 @@ def pieces(path: str) -> list[bytes]:
 
 @functools.cache
 def _rank_map(path: str) -> str:
-    """The rank of each two tokens that join to a token, as JSON: at one of a pair's two places, its key times 2**17 plus the rank."""
+    """The rank of each two tokens that join to a token, as JSON: at one of a pair's two places, its key and the rank side by side."""
     known = ranks(path)
-    table = [0] * sum(size for _, _, size in HALVES)
+    table = [0] * sum(size for _, size in HALVES)
     for piece, rank in known.items():
         for at in range(1, len(piece)):
             a, b = known.get(piece[:at]), known.get(piece[at:])
             if a is None or b is None:
                 continue
-            entry, half, moves = (a * 65536 + b) * 131072 + rank, 0, 0
+            entry, half, moves = (a << 17 | b) << 17 | rank, 0, 0
             while entry:
-                u, v, size = HALVES[half]
-                place = ((entry >> 33) * u + (entry >> 17 & 65535) * v) % size + half * HALVES[0][2]
+                u, size = HALVES[half]
+                place = (entry >> 17) * u % size + half * HALVES[0][1]
                 entry, table[place], half, moves = table[place], entry, 1 - half, moves + 1
                 if moves > 1000:
                     raise ValueError("the rank map's halves are too small for this vocabulary")
-    return json.dumps(table, separators=(",", ":"))
+    # Free places must not look like the pair of token 0 with itself.
+    return json.dumps([entry or 1 << 60 for entry in table], separators=(",", ":"))
 
 
 def folded(word: Column, path: str) -> Column:
@@ -86,34 +98,33 @@ def folded(word: Column, path: str) -> Column:
     table = F.array(F.from_json(F.lit(_rank_map(path)), "array<bigint>"))
 
     def fold(ranked: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:
-            key = a.cast("bigint") * 65536 + b
-            one, two = (F.element_at(ranked, ((a.cast("bigint") * u + b.cast("bigint") * v) % size + first).cast("int")) for (u, v, size), first in zip(HALVES, (1, HALVES[0][2] + 1)))
-            found = F.when(F.shiftright(one, 17) == key, one).when(F.shiftright(two, 17) == key, two)
-            return F.coalesce((found % 131072).cast("int"), F.lit(NONE))
-
-        ids = F.transform(word, lambda b: F.element_at(single, b + 1))
-        start = F.transform(F.array(ids), lambda x: F.struct(x.alias("ids"), F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda a, i: rank(a, F.element_at(x, i + 2))).alias("ranks")))[0]
+        def ranked_pair(key: Column) -> Column:
+            # The right entry without its key is the rank, any other is more than any rank.
+            found = (F.element_at(ranked, (key * u % size + first).cast("int")).bitwiseXOR(F.shiftleft(key, 17)) for (u, size), first in zip(HALVES, (1, HALVES[0][1] + 1)))
+            return F.shiftleft(F.least(*found, F.lit(BORDER).cast("bigint")), 34).bitwiseOR(key)
 
-        def step(acc: Column, _: Column) -> Column:
-            ids, found = acc["ids"], acc["ranks"]
-            best = F.array_min(found)
+        left = lambda pair: F.shiftright(pair, 17).bitwiseAND(F.lit(BORDER).cast("bigint"))
+        right = lambda pair: pair.bitwiseAND(F.lit(BORDER).cast("bigint"))
+        bigint = lambda x: F.lit(x).cast("bigint")
+        # The pairs of neighbours, borders included, each with its rank in front.
+        tokens = F.concat(F.array(bigint(BORDER)), F.transform(word, lambda b: F.element_at(single, b + 1).cast("bigint")), F.array(bigint(BORDER)))
+        keys = F.transform(F.array(tokens), lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda a, i: F.shiftleft(a, 17).bitwiseOR(F.element_at(x, i + 2))))[0]
 
-            def merged(i: Column) -> Column:
-                # The merged token with both neighbours, where there are any.
-                around = F.concat(F.slice(ids, F.greatest(i - 1, F.lit(1)), F.least(i - 1, F.lit(1))), F.array(best), F.slice(ids, i + 2, F.lit(1)))
-                fresh = F.transform(F.slice(around, F.lit(1), F.size(around) - 1), lambda a, k: rank(a, F.element_at(around, k + 2)))
-                new_ids = F.concat(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, F.size(ids)))
-                new_ranks = F.concat(F.slice(found, F.lit(1), F.greatest(i - 2, F.lit(0))), fresh, F.slice(found, i + 2, F.size(ids)))
-                return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
+        def step(pairs: Column, _: Column) -> Column:
+            def merge(pairs: Column, at: Column) -> Column:
+                token = F.shiftright(F.element_at(pairs, at), 34)
+                fresh = F.array(left(F.element_at(pairs, at - 1)) * 131072 + token, token * 131072 + right(F.element_at(pairs, at + 1)))
+                return F.concat(F.slice(pairs, F.lit(1), at - 2), F.transform(fresh, ranked_pair), F.slice(pairs, at + 2, F.size(pairs)))
 
-            at = F.array_position(found, best).cast("int")
-            return F.when(best < NONE, F.transform(F.array(at), merged)[0]).otherwise(acc)
+            least = F.array_min(pairs)
+            # The first of equal ranks, which may be of different pairs.
+            at = F.array_position(F.transform(pairs, lambda x: F.shiftright(x, 34)), F.shiftright(least, 34)).cast("int")
+            return F.when(least < BORDER << 34, F.aggregate(F.array(at), pairs, merge)).otherwise(pairs)
 
-        steps = F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2)))
-        return F.when(F.size(word) > 1, F.aggregate(steps, start, step, lambda acc: acc["ids"])).otherwise(ids)
+        ends = lambda pairs: F.transform(F.slice(pairs, F.lit(2), F.size(pairs) - 1), left)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word), F.lit(1))), F.transform(keys, ranked_pair), step, ends)
 
-    return F.transform(table, fold)[0]
+    return F.transform(table, fold)[0].cast("array<int>")
 
 
 def heap_fold(word: bytes, known: dict[bytes, int]) -> list[int]:
@@ -137,95 +148,144 @@ def heap_fold(word: bytes, known: dict[bytes, int]) -> list[int]:
     return [known[p] for p in parts if p]
 
 
-PACKED = "block int, part int, key binary, data binary, word array<int>"
+BLOCKS = "keys array<string>, counts binary, places binary, size long, words array<binary>"
+PACKED = "block int, part int, keys array<string>, counts binary, data binary, size long, word array<int>"
+
+
+def _byte_values(words: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
 
 
-def _split(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
-    """Blocks in a row: part 0, the places of a document's words; 1, ids known at once; 2, a word to fold."""
-    path, pattern, long_word = vocabulary.path, vocabulary.pattern, vocabulary.long_word
+def _blocks(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
+    """A row for each block: its documents' keys and numbers of words, the place of each word in ``words``, and the distinct words."""
+    pattern = vocabulary.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, find = ranks(path), regex.compile(pattern).findall
-        for block, piece in enumerate(slices(batches, limit=vocabulary.block_bytes)):
+        find = regex.compile(pattern).findall
+        for piece in slices(batches, limit=vocabulary.block_bytes):
             places: dict[str, int] = defaultdict()
             places.default_factory = places.__len__
             lists = [np.fromiter(map(places.__getitem__, find(x or "")), np.int32) for x in piece.column("text").to_pylist()]
-            words = [w.encode() for w in places]
-            ready = [[known[w]] if w in known else heap_fold(w, known) if len(w) > long_word else [] for w in words]
-            left = [i for i, x in enumerate(ready) if not x]
-            sizes, flat = np.array([len(x) for x in ready], np.int32), np.array([y for x in ready for y in x], np.int32)
-            keys = piece.column(key).cast(pa.string()).to_pylist()
-            n, m = len(lists), len(left)
-            coded = pa.array([np.frombuffer(words[i], np.uint8).astype(np.int32) for i in left], pa.list_(pa.int32()))
-            columns = [
-                pa.array(np.full(n + 1 + m, block, np.int32)),
-                pa.array(np.repeat(np.array([0, 1, 2], np.int32), [n, 1, m])),
-                pa.array([None if k is None else k.encode() for k in keys] + [sizes.tobytes()] + [None] * m, pa.binary()),
-                pa.array([x.tobytes() for x in lists] + [flat.tobytes()] + [np.int32(i).tobytes() for i in left], pa.binary()),
-                pa.concat_arrays([pa.nulls(n + 1, coded.type), coded]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "part", "key", "data", "word"])
-
-    return docs.select(key, "text").mapInArrow(run, PACKED)
-
-
-def _assembled(folded_rows: DataFrame, finish: Callable[[list, Iterator[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
-    """``finish`` on each block's document keys and ids, once the last of its words is there."""
-    names = [x.split()[0] for x in schema.split(", ")]
+            flat = np.concatenate(lists)
+            # Bytes of equal weight side by side compress better.
+            data = pa.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+            row = {
+                "keys": pa.array([piece.column(key).cast(pa.string()).to_pylist()], pa.list_(pa.string())),
+                "counts": pa.array([np.array([len(x) for x in lists], np.int32).tobytes()], pa.binary()),
+                "places": pa.array([data], pa.binary()),
+                "size": pa.array([flat.nbytes], pa.int64()),
+                "words": pa.array([[w.encode() for w in places]], pa.list_(pa.binary())),
+            }
+            yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
+
+    return staged(docs.select(key, "text").mapInArrow(run, BLOCKS), "bpe-blocks")
+
+
+def _frequent(blocks: DataFrame, vocabulary: Vocabulary) -> dict[bytes, bytes]:
+    """Ids of words of most blocks, two at least: at most ``frequent`` of them."""
+    spark = blocks.sparkSession
+    words = blocks.select(F.explode("words").alias("word")).where(F.length("word").between(2, vocabulary.long_word))
+    several = staged(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "bpe-words")
+    least, room = None, vocabulary.frequent
+    for step, n in sorted(several.groupBy("step").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = step
+    if least is None:
+        return {}
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), _byte_values(found)], ["raw", "word"])
 
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        lists = [(k, np.frombuffer(d, np.int32)) for p, k, d, _ in rows if p == 0]
-        sizes, flat = next((np.frombuffer(k, np.int32), np.frombuffer(d, np.int32)) for p, k, d, _ in rows if p == 1)
-        sizes = sizes.astype(np.int64)
-        later = [(int(np.frombuffer(d, np.int32)[0]), x) for p, _, d, x in rows if p == 2]
-        ready_sizes = sizes.copy()
-        for i, x in later:
-            sizes[i] = len(x)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.empty(starts[-1], np.int32)
-        known = ready_sizes > 0
-        inside = np.arange(ready_sizes.sum()) - np.repeat(np.concatenate([[0], np.cumsum(ready_sizes[known])[:-1]]) if known.any() else np.zeros(0, np.int64), ready_sizes[known])
-        ids[np.repeat(starts[:-1][known], ready_sizes[known]) + inside] = flat
-        for i, x in later:
-            ids[starts[i] : starts[i + 1]] = x
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = dict(zip(batch.column("raw").to_pylist(), (np.array(x, np.int32).tobytes() for x in batch.column("ids").to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["part"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = several.where(F.col("step") >= least).select("word").repartition(parts, "word").mapInArrow(values, "raw binary, word array<int>")
+    rows = chosen.select("raw", folded(F.col("word"), vocabulary.path).alias("ids")).mapInArrow(packed, "part binary").collect()
+    return {k: v for r in rows for k, v in pickle.loads(bytes(r["part"])).items()}
 
-        def each() -> Iterator[np.ndarray]:
-            for _, at in lists:
-                n = sizes[at]
-                first = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(at) else np.zeros(0, np.int64)
-                yield ids[np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(first, n)]
 
-        return pa.RecordBatch.from_arrays(finish([None if k is None else k.decode() for k, _ in lists], each()), names)
+def _open(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each block's rows in turn: part 0, its documents; 1, ids known at once; 2, a word to fold."""
+    shared = blocks.sparkSession.sparkContext.broadcast(_frequent(blocks, vocabulary))
+    path, long_word = vocabulary.path, vocabulary.long_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows = None, []
+        known, often = ranks(path), shared.value
+        block = 0
         for batch in batches:
-            columns = [batch.column(x) for x in ("part", "key", "data")]
-            ids = batch.column("ids")
-            at, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-            for i, (b, p, k, d) in enumerate(zip(batch.column("block").to_pylist(), *(c.to_pylist() for c in columns))):
-                if b != block and rows:
-                    yield done(rows)
-                    rows = []
-                block = b
-                rows.append((p, k, d, values[at[i] : at[i + 1]].copy() if p == 2 else None))
-        if rows:
-            yield done(rows)
-
-    return folded_rows.mapInArrow(run, schema)
+            for at in range(batch.num_rows):
+                keys, counts, places, size, words = (batch.column(x).slice(at, 1) for x in ("keys", "counts", "places", "size", "words"))
+                words = words.flatten().to_pylist()
+                ready = [np.int32(known[w]).tobytes() if w in known else often[w] if w in often else np.array(heap_fold(w, known), np.int32).tobytes() if len(w) > long_word else b"" for w in words]
+                left = [i for i, x in enumerate(ready) if not x]
+                m = len(left)
+                sizes = np.array([len(x) // 4 for x in ready], np.int32).tobytes()
+                columns = [
+                    pa.array(np.full(2 + m, block, np.int32)),
+                    pa.array(np.minimum(np.arange(2 + m), 2).astype(np.int32)),
+                    pa.concat_arrays([keys, pa.nulls(1 + m, keys.type)]),
+                    pa.concat_arrays([counts.cast(pa.binary()), pa.array([sizes] + [None] * m, pa.binary())]),
+                    pa.concat_arrays([places.cast(pa.binary()), pa.array([b"".join(ready)] + [None] * m, pa.binary())]),
+                    pa.concat_arrays([size, pa.array([0, *left], pa.int64())]),
+                    pa.concat_arrays([pa.nulls(2, pa.list_(pa.int32())), _byte_values([words[i] for i in left])]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "part", "keys", "counts", "data", "size", "word"])
+                block += 1
+
+    return blocks.mapInArrow(run, PACKED)
+
+
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable[[list, list, list], list[pa.Array]], schema: str) -> DataFrame:
+    """``finish`` on each block's document keys, their words' places and the ids of the words, once the last word's are there."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def done(head: tuple, ready: tuple, later: list[tuple]) -> pa.RecordBatch:
+        keys, counts, data, size = head
+        flat = np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() if size else np.zeros(0, np.int32)
+        ends = np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)
+        every, stop = np.frombuffer(ready[1], np.int32).tolist(), np.cumsum(np.frombuffer(ready[0], np.int32)).tolist()
+        ids = [every[a:b] for a, b in zip([0, *stop], stop)]
+        for i, x in later:
+            ids[i] = x
+        return pa.RecordBatch.from_arrays(finish(keys, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], ids), names)
 
-def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable, schema: str) -> DataFrame:
-    split = _split(docs, vocabulary, key)
-    rows = split.select("block", "part", "key", "data", F.when(F.col("part") == 2, folded(F.col("word"), vocabulary.path)).alias("ids"))
-    return _assembled(rows, finish, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            heads = np.flatnonzero(parts == 0).tolist()
+            for a, b in zip([0, *heads], [*heads, batch.num_rows]):
+                rows = batch.slice(a, b - a)
+                for i, part in enumerate(parts[a:b][:2]):
+                    if part == 0:
+                        if held:
+                            yield done(*held)
+                        held = [tuple(rows.column(x)[i].as_py() for x in ("keys", "counts", "data", "size")), None, []]
+                    elif part == 1:
+                        held[1] = tuple(rows.column(x)[i].as_py() for x in ("counts", "data"))
+                words = rows.filter(pc.equal(rows.column("part"), 2))
+                held[2:] = [held[2] + list(zip(words.column("size").to_pylist(), words.column("ids").to_pylist()))] if held else []
+        if held:
+            yield done(*held)
+
+    rows = _open(_blocks(docs, vocabulary, key), vocabulary)
+    rows = rows.select("part", "keys", "counts", "data", "size", F.when(F.col("part") == 2, folded(F.col("word"), vocabulary.path)).alias("ids"))
+    return rows.mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "doc_id") -> DataFrame:
     """``key`` (as text) and ``ids`` of each row's whole text."""
 
-    def finish(keys: list, ids: Iterator[np.ndarray]) -> list[pa.Array]:
-        return [pa.array(keys, pa.string()), pa.array(list(ids), pa.list_(pa.int32()))]
+    def finish(keys: list, places: list, ids: list) -> list[pa.Array]:
+        return [pa.array(keys, pa.string()), pa.array([list(chain.from_iterable(map(ids.__getitem__, at.tolist()))) for at in places], pa.list_(pa.int32()))]
 
     return _encoded(docs, vocabulary, key, finish, f"{key} string, ids array<int>")
 
@@ -240,15 +300,18 @@ def digests(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "
     """``key``, n_tokens, and the SHA-256 of the ids and of the bytes they decode to."""
     path = vocabulary.path
 
-    def finish(keys: list, ids: Iterator[np.ndarray]) -> list[pa.Array]:
+    def finish(keys: list, places: list, ids: list) -> list[pa.Array]:
         known = pieces(path)
         names = [str(i) for i in range(len(known))]
+        texts = [" ".join(map(names.__getitem__, x)) for x in ids]
+        binary = [b"".join(map(known.__getitem__, x)) for x in ids]
+        size = np.array([len(x) for x in ids], np.int64)
         sizes, of_ids, of_bytes = [], [], []
-        for x in ids:
-            x = x.tolist()
-            sizes.append(len(x))
-            of_ids.append(hashlib.sha256(" ".join(map(names.__getitem__, x)).encode()).hexdigest())
-            of_bytes.append(hashlib.sha256(b"".join(map(known.__getitem__, x))).hexdigest())
+        for at in places:
+            sizes.append(int(size[at].sum()))
+            at = at.tolist()
+            of_ids.append(hashlib.sha256(" ".join(map(texts.__getitem__, at)).encode()).hexdigest())
+            of_bytes.append(hashlib.sha256(b"".join(map(binary.__getitem__, at))).hexdigest())
         return [pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
 
     found = _encoded(docs, vocabulary, key, finish, f"{key} string, n_tokens long, ids_sha256 string, decoded_sha256 string")
