@@ -22,7 +22,6 @@ import functools
 import hashlib
 import heapq
 import json
-import pickle
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -182,8 +181,8 @@ def _blocks(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
     return staged(docs.select(key, "text").mapInArrow(run, BLOCKS), "bpe-blocks")
 
 
-def _frequent(blocks: DataFrame, vocabulary: Vocabulary) -> dict[bytes, bytes]:
-    """Ids of words of most blocks, two at least: at most ``frequent`` of them."""
+def _frequent(blocks: DataFrame, vocabulary: Vocabulary) -> list[bytes]:
+    """The words of most blocks, two at least, with their ids: Arrow tables of at most ``frequent`` rows in all."""
     spark = blocks.sparkSession
     words = blocks.select(F.explode("words").alias("word")).where(F.length("word").between(2, vocabulary.long_word))
     several = staged(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "bpe-words")
@@ -194,7 +193,7 @@ def _frequent(blocks: DataFrame, vocabulary: Vocabulary) -> dict[bytes, bytes]:
             break
         least = step
     if least is None:
-        return {}
+        return []
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,13 +202,15 @@ def _frequent(blocks: DataFrame, vocabulary: Vocabulary) -> dict[bytes, bytes]:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = dict(zip(batch.column("raw").to_pylist(), (np.array(x, np.int32).tobytes() for x in batch.column("ids").to_pylist())))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["part"])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["part"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = several.where(F.col("step") >= least).select("word").repartition(parts, "word").mapInArrow(values, "raw binary, word array<int>")
     rows = chosen.select("raw", folded(F.col("word"), vocabulary.path).alias("ids")).mapInArrow(packed, "part binary").collect()
-    return {k: v for r in rows for k, v in pickle.loads(bytes(r["part"])).items()}
+    return [bytes(r["part"]) for r in rows]
 
 
 def _open(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -218,13 +219,27 @@ def _open(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     path, long_word = vocabulary.path, vocabulary.long_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = ranks(path), shared.value
+        known = ranks(path)
+        tables = [pa.ipc.open_stream(x).read_all() for x in shared.value]
+        often = pa.concat_tables(tables).combine_chunks() if tables else pa.table({"raw": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
+        names, lists = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (often.column("raw"), often.column("ids")))
+        starts, every = lists.offsets.to_numpy(), lists.values.to_numpy().tobytes()
         block = 0
         for batch in batches:
             for at in range(batch.num_rows):
                 keys, counts, places, size, words = (batch.column(x).slice(at, 1) for x in ("keys", "counts", "places", "size", "words"))
-                words = words.flatten().to_pylist()
-                ready = [np.int32(known[w]).tobytes() if w in known else often[w] if w in often else np.array(heap_fold(w, known), np.int32).tobytes() if len(w) > long_word else b"" for w in words]
+                words = words.flatten().cast(pa.binary())
+                spots = pc.fill_null(pc.index_in(words, value_set=names.cast(pa.binary())), -1).to_pylist()
+                words = words.to_pylist()
+
+                def ids_of(w: bytes, i: int) -> bytes:
+                    if w in known:
+                        return np.int32(known[w]).tobytes()
+                    if i >= 0:
+                        return every[4 * starts[i] : 4 * starts[i + 1]]
+                    return np.array(heap_fold(w, known), np.int32).tobytes() if len(w) > long_word else b""
+
+                ready = list(map(ids_of, words, spots))
                 left = [i for i, x in enumerate(ready) if not x]
                 m = len(left)
                 sizes = np.array([len(x) // 4 for x in ready], np.int32).tobytes()
