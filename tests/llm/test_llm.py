@@ -87,6 +87,33 @@ def test_lm_is_a_distribution(spark):
     assert total.argmax() == ord("a")
 
 
+def suffix_tree(docs, depth, least, evidence):
+    """Plain Python: {state: Counter of next symbols} of the retained contexts and their suffixes."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in docs:
+        line = b"\n" * depth + "".join(w + " " for w in WORD.findall(lower(t))).encode() + b"\n"
+        for i in range(depth, len(line)):
+            for k in range(depth + 1):
+                seen[line[i - k : i]][line[i]] += 1
+    kept = {b""}
+    for s, c in seen.items():
+        total, up = sum(c.values()), seen[s[1:]]
+        if s and total >= least and sum(n * math.log2(n * sum(up.values()) / (total * up[a])) for a, n in c.items()) >= evidence:
+            kept |= {s[i:] for i in range(len(s) + 1)}
+    return {s: seen[s] for s in kept}
+
+
+def test_lm_retains_by_whole_counts(docs, plain):
+    train = [t for i, t in plain if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1]
+    want = suffix_tree(train, 6, 5, 10.0)
+    model = lm.learned(lm._keyed(docs), lm.SuffixTree())
+    assert len(model) == 7
+    found = {(k, s) for k, level in enumerate(model) for s in level[0].tolist()}
+    assert found == {(len(s), int.from_bytes(s, "big")) for s in want}
+    pairs = {(k, key): n for k, level in enumerate(model) for key, n in zip(level[-2].tolist(), level[-1].tolist())}
+    assert pairs == {(len(s), int.from_bytes(s, "big") << 8 | a): n for s, c in want.items() for a, n in c.items()}
+
+
 def test_bpe(docs, plain, spark):
     import public_tokenizers as p
     import tiktoken

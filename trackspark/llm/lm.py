@@ -4,7 +4,8 @@ A text is its lower-cased (A-Z) words, each ended by a space, then a line feed f
 product of its symbols' probabilities, each given the longest suffix of the preceding ``depth`` symbols that is a
 state of the tree.
 
-1. Counts of all windows of ``depth`` + 1 symbols over all training documents; a shorter context's counts are sums.
+1. Counts of all windows of ``depth`` + 1 symbols over all training documents; a shorter context's counts are sums,
+   made in the bucket where all windows with the same three last context symbols meet.
 2. A context is retained if its next-symbol distribution diverges from that of the context one symbol shorter: if
    the Kullback-Leibler divergence times the context's count is at least ``evidence`` bits. The suffixes of a
    retained context are states too.
@@ -12,7 +13,7 @@ state of the tree.
    number of symbols seen after it and r the count of those too rare to be listed. The root's parent is uniform.
 
 The tree is broadcast. A state makes up at least ``min_share`` of all training symbols, and a symbol is listed under
-it if both together make up a sixteenth of that, so each of the ``depth`` + 1 levels has at most 1 / min_share
+it if both together make up a sixteenth of that (every test is on whole counts), so each of the ``depth`` + 1 levels has at most 1 / min_share
 states and 16 / min_share symbols: a bound that does not grow with the corpus, while the counts cover all of it.
 
 The base score needs the count of every word. A block of documents asks for each of its distinct words once; the
@@ -40,7 +41,7 @@ from .tokens import Words, slices
 
 @dataclass(frozen=True)
 class SuffixTree:
-    depth: int = 5
+    depth: int = 6
     evidence: float = 10.0
     min_count: int = 5
     min_share: float = 1e-6
@@ -107,33 +108,113 @@ def _counted(keyed: DataFrame, how: SuffixTree) -> DataFrame:
     return keyed.select("held_out", "text").mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
 
 
+#: A bucket holds the windows whose two symbols before the last share a hash, dealt further by the third.
+HEADS, SALTS = 64, 16
+
+
+def _head(window: Column) -> Column:
+    return F.shiftright((F.shiftright(window, 8).bitwiseAND(F.lit(0xFFFF)) * 40503).bitwiseAND(F.lit(0xFFFF)), 10)
+
+
+def _bucket(window: Column) -> Column:
+    salt = F.shiftright((F.shiftright(window, 24).bitwiseAND(F.lit(0xFF)) * 167).bitwiseAND(F.lit(0xFF)), 4)
+    return (_head(window) * SALTS + salt).cast("int")
+
+
+def _in_all_salts(short: DataFrame) -> DataFrame:
+    """Windows of three symbols in every bucket that may hold longer ones."""
+    return short.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("bucket", (_head(F.col("key")) * SALTS + F.col("bucket")).cast("int"))
+
+
+def bits(key: np.ndarray, n: np.ndarray, m: np.ndarray, parent_total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """States of sorted windows, the sizes and totals of their symbols, and their divergence times the total; m: the symbol's count after the parent."""
+    state, first, size = np.unique(key >> 8, return_index=True, return_counts=True)
+    if not len(state):
+        return state, size, np.zeros(0), np.zeros(0)
+    total = np.add.reduceat(n, first)
+    return state, size, total, np.add.reduceat(n * np.log2(n * parent_total / (np.repeat(total, size) * m)), first)
+
+
+def branches(window: np.ndarray, n: np.ndarray, short: np.ndarray, m: np.ndarray, base: np.ndarray, how: SuffixTree, least: int) -> list[tuple[np.ndarray, ...]]:
+    """For each depth from 2: windows of retained contexts and of their suffixes, counts and totals; ``short`` are all windows of three symbols."""
+    order = np.argsort(short)
+    pairs = {2: (short[order], m[order].astype(float))}
+    key, c = window, n
+    for k in range(how.depth, 2, -1):
+        key, inverse = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        c = np.bincount(inverse, weights=c, minlength=len(key))
+        pairs[k] = key, c
+    found = {}
+    for k in range(2, how.depth + 1):
+        key, c = pairs[k]
+        if k == 2:
+            up, totals = base[key >> 8 & 255, key & 255], base.sum(axis=1)[key >> 8 & 255]
+        else:
+            parent = key & ((1 << 8 * k) - 1)
+            up = pairs[k - 1][1][np.searchsorted(pairs[k - 1][0], parent)]
+            totals = found[k - 1][2][np.searchsorted(found[k - 1][0], parent >> 8)]
+        state, size, total, gain = bits(key, c, up, totals)
+        found[k] = state, size, total, (total >= least) & (gain >= how.evidence)
+    out, longer = [], np.zeros(0, np.int64)
+    for k in range(how.depth, 1, -1):
+        state, size, total, kept = found[k]
+        kept = kept | np.isin(state, longer & ((1 << 8 * k) - 1))
+        longer = state[kept]
+        rows = np.repeat(kept, size)
+        out.append((k, pairs[k][0][rows], pairs[k][1][rows], np.repeat(total, size)[rows]))
+    return out
+
+
+def _grown(keyed: DataFrame, how: SuffixTree) -> tuple[DataFrame, np.ndarray, int, int]:
+    """Windows of the retained contexts of two symbols and more, a table; counts of all pairs of symbols; bounds.
+
+    Divergence is tested on whole counts: windows meet those of all their shorter contexts in one bucket.
+    """
+    counted = staged(_counted(keyed, how), "windows")
+    short = staged(counted.groupBy(F.col("window").bitwiseAND(F.lit((1 << 24) - 1)).alias("key")).agg(F.sum("n").alias("n")), "short-windows")
+    base = np.zeros((256, 256))
+    for r in short.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).collect():
+        base[r["key"] >> 8, r["key"] & 255] = r["n"]
+    share = int(base.sum() * how.min_share)
+    least = max(how.min_count, share)
+
+    def grow(windows: pa.Table, shorts: pa.Table) -> pa.Table:
+        long = lambda t, c: t.column(c).to_numpy()
+        parts = branches(long(windows, "window"), long(windows, "n"), long(shorts, "key"), long(shorts, "n"), base, how, least)
+        level = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+        return pa.table({"level": pa.array(level, pa.int64()), **{c: pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i, c in ((1, "key"), (2, "n"), (3, "total"))}})
+
+    windows = counted.withColumn("bucket", _bucket(F.col("window")))
+    rows = windows.groupBy("bucket").cogroup(_in_all_salts(short).groupBy("bucket")).applyInArrow(grow, "level long, key long, n long, total long")
+    return staged(rows, "tree"), base, share, least
+
+
+def _stem(base: np.ndarray, rows: DataFrame, how: SuffixTree, least: int) -> np.ndarray:
+    """Which contexts of one symbol are states."""
+    key = np.flatnonzero(base)
+    n = base.ravel()[key]
+    state, _, total, gain = bits(key, n, base.sum(axis=0)[key & 255], np.full(len(key), base.sum()))
+    kept = np.zeros(256, bool)
+    kept[state] = (total >= least) & (gain >= how.evidence)
+    kept[[r[0] for r in rows.where("level = 2").select(F.shiftright("key", 8).bitwiseAND(F.lit(255))).distinct().collect()]] = True
+    return kept
+
+
 def learned(keyed: DataFrame, how: SuffixTree) -> list[tuple[np.ndarray, ...]]:
     """For each depth: states, their totals, listed symbols' count and rest; listed windows and their counts."""
-    counted = staged(_counted(keyed, how), "windows")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    least = max(how.min_count, int(total * how.min_share))
-    masks = F.array(*(F.lit((1 << 8 * k) - 1).cast("long") for k in range(how.depth + 2)))
-    low = lambda key, symbols: key.bitwiseAND(F.element_at(masks, symbols + 1))
-    level = F.col("level")
-    pairs = counted.select(F.explode(F.sequence(F.lit(0), F.lit(how.depth))).alias("level"), "window", "n").select("level", low(F.col("window"), level + 1).alias("key"), "n").groupBy("level", "key").agg(F.sum("n").alias("n"))
-    pairs = staged(pairs.withColumn("state", F.shiftright("key", 8)), "pairs")
-    # A state's total counts all symbols after it; from here on only the listed ones move.
-    states = staged(pairs.groupBy("level", "state").agg(F.sum("n").alias("total")).where((F.col("total") >= least) | (level == 0)), "states")
-    pairs = staged(pairs.where((F.col("n") * 16 >= int(total * how.min_share)) | (level == 0)).join(states, ["level", "state"]), "listed")
-    parents = pairs.select((level + 1).alias("level"), F.col("key").alias("short"), F.col("n").alias("m"), F.col("total").alias("parent_total"))
-    gain = F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("parent_total") / (F.col("total") * F.col("m")))
-    kept = pairs.withColumn("short", low(F.col("key"), level)).join(parents, ["level", "short"]).groupBy("level", "state").agg(F.sum(gain * F.col("total")).alias("bits")).where(F.col("bits") >= how.evidence)
-    closed = kept.select(F.explode(F.sequence(F.lit(0), level)).alias("short"), "state").select(F.col("short").alias("level"), low(F.col("state"), F.col("short")).alias("state")).distinct()
-    root = keyed.sparkSession.createDataFrame([(0, 0)], "level int, state long")
-    closed = closed.union(root).distinct()
-    model = pairs.join(closed, ["level", "state"]).select(F.col("level").cast("long"), "key", "n", "total")
+    rows, base, share, least = _grown(keyed, how)
+    stem = np.flatnonzero(base * _stem(base, rows, how, least)[:, None])
+    root = np.flatnonzero(base.sum(axis=0))
+    # Rare symbols go only here, after every test.
+    model = rows.where(F.col("n") * 16 >= share).distinct()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.stack([batch.column(i).to_numpy() for i in range(4)]).tobytes()])], ["rows"])
 
+    first = [np.stack([root * 0, root, base.sum(axis=0)[root], root * 0 + base.sum()]), np.stack([stem * 0 + 1, stem, base.ravel()[stem], base.sum(axis=1)[stem >> 8]])]
     found = [np.frombuffer(r["rows"], np.int64).reshape(4, -1) for r in model.mapInArrow(packed, "rows binary").collect()]
-    table = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+    table = np.concatenate([x.astype(np.int64) for x in first] + found, axis=1)
     out = []
     for k in range(how.depth + 1):
         rows = table[1:, table[0] == k]
