@@ -114,6 +114,24 @@ def test_lm_retains_by_whole_counts(docs, plain):
     assert pairs == {(len(s), int.from_bytes(s, "big") << 8 | a): n for s, c in want.items() for a, n in c.items()}
 
 
+def test_lm_scores_by_the_whole_tree(docs, plain):
+    """Every symbol given its longest state; a rare context stays a state however much text there is."""
+    train = [t for i, t in plain if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1]
+    tree = suffix_tree(train, 6, 5, 10.0)
+
+    def p(s, a):
+        if s not in tree:
+            return p(s[1:], a)
+        c, up = tree[s], p(s[1:], a) if s else 1 / 256
+        return (c[a] + len(c) * up) / (sum(c.values()) + len(c))
+
+    found = by_id(lm.score(docs))
+    for i, t in plain[:12]:
+        line = b"\n" * 6 + "".join(w + " " for w in WORD.findall(lower(t))).encode() + b"\n"
+        assert found[i].score == pytest.approx(sum(math.log10(p(line[k - 6 : k], line[k])) for k in range(6, len(line))))
+    assert not hasattr(lm.SuffixTree(), "min_share")
+
+
 def test_bpe(docs, plain, spark):
     import public_tokenizers as p
     import tiktoken

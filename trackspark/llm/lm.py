@@ -9,12 +9,13 @@ state of the tree.
 2. A context is retained if its next-symbol distribution diverges from that of the context one symbol shorter: if
    the Kullback-Leibler divergence times the context's count is at least ``evidence`` bits. The suffixes of a
    retained context are states too.
-3. A state's distribution is smoothed with its parent's: p = (n + (t + r) * parent) / (total + t), where t is the
-   number of symbols seen after it and r the count of those too rare to be listed. The root's parent is uniform.
+3. A state's distribution is smoothed with its parent's: p = (n + t * parent) / (total + t), where t is the number of
+   symbols seen after it. The root's parent is uniform.
 
-The tree is broadcast. A state makes up at least ``min_share`` of all training symbols, and a symbol is listed under
-it if both together make up a sixteenth of that (every test is on whole counts), so each of the ``depth`` + 1 levels has at most 1 / min_share
-states and 16 / min_share symbols: a bound that does not grow with the corpus, while the counts cover all of it.
+The tree is a table that grows with the corpus: ``evidence`` and ``min_count`` are the same at every size. Its buckets
+stay apart by the symbols that its windows end with; only counts of pairs of symbols (256 x 256) are sent to all. A
+block of documents asks each bucket for its distinct windows there; the answers, each given the longest state, meet
+the block's texts.
 
 The base score needs the count of every word. A block of documents asks for each of its distinct words once; the
 answers meet the block's tokens, kept as places in its list of words.
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,6 @@ class SuffixTree:
     depth: int = 6
     evidence: float = 10.0
     min_count: int = 5
-    min_share: float = 1e-6
     block_bytes: int = 16 << 20
 
 
@@ -135,8 +136,8 @@ def bits(key: np.ndarray, n: np.ndarray, m: np.ndarray, parent_total: np.ndarray
     return state, size, total, np.add.reduceat(n * np.log2(n * parent_total / (np.repeat(total, size) * m)), first)
 
 
-def branches(window: np.ndarray, n: np.ndarray, short: np.ndarray, m: np.ndarray, base: np.ndarray, how: SuffixTree, least: int) -> list[tuple[np.ndarray, ...]]:
-    """For each depth from 2: windows of retained contexts and of their suffixes, counts and totals; ``short`` are all windows of three symbols."""
+def branches(window: np.ndarray, n: np.ndarray, short: np.ndarray, m: np.ndarray, base: np.ndarray, how: SuffixTree) -> list[tuple[np.ndarray, ...]]:
+    """For each depth from 2: windows of retained contexts and of their suffixes, and counts; ``short`` are all windows of three symbols."""
     order = np.argsort(short)
     pairs = {2: (short[order], m[order].astype(float))}
     key, c = window, n
@@ -154,19 +155,19 @@ def branches(window: np.ndarray, n: np.ndarray, short: np.ndarray, m: np.ndarray
             up = pairs[k - 1][1][np.searchsorted(pairs[k - 1][0], parent)]
             totals = found[k - 1][2][np.searchsorted(found[k - 1][0], parent >> 8)]
         state, size, total, gain = bits(key, c, up, totals)
-        found[k] = state, size, total, (total >= least) & (gain >= how.evidence)
+        found[k] = state, size, total, (total >= how.min_count) & (gain >= how.evidence)
     out, longer = [], np.zeros(0, np.int64)
     for k in range(how.depth, 1, -1):
-        state, size, total, kept = found[k]
+        state, size, _, kept = found[k]
         kept = kept | np.isin(state, longer & ((1 << 8 * k) - 1))
         longer = state[kept]
         rows = np.repeat(kept, size)
-        out.append((k, pairs[k][0][rows], pairs[k][1][rows], np.repeat(total, size)[rows]))
+        out.append((k, pairs[k][0][rows], pairs[k][1][rows]))
     return out
 
 
-def _grown(keyed: DataFrame, how: SuffixTree) -> tuple[DataFrame, np.ndarray, int, int]:
-    """Windows of the retained contexts of two symbols and more, a table; counts of all pairs of symbols; bounds.
+def _grown(keyed: DataFrame, how: SuffixTree) -> tuple[DataFrame, np.ndarray]:
+    """Windows of the retained contexts of two symbols and more by bucket, a table; and counts of all pairs of symbols.
 
     Divergence is tested on whole counts: windows meet those of all their shorter contexts in one bucket.
     """
@@ -175,63 +176,59 @@ def _grown(keyed: DataFrame, how: SuffixTree) -> tuple[DataFrame, np.ndarray, in
     base = np.zeros((256, 256))
     for r in short.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).collect():
         base[r["key"] >> 8, r["key"] & 255] = r["n"]
-    share = int(base.sum() * how.min_share)
-    least = max(how.min_count, share)
 
     def grow(windows: pa.Table, shorts: pa.Table) -> pa.Table:
         long = lambda t, c: t.column(c).to_numpy()
-        parts = branches(long(windows, "window"), long(windows, "n"), long(shorts, "key"), long(shorts, "n"), base, how, least)
-        level = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
-        return pa.table({"level": pa.array(level, pa.int64()), **{c: pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i, c in ((1, "key"), (2, "n"), (3, "total"))}})
+        parts = branches(long(windows, "window"), long(windows, "n"), long(shorts, "key"), long(shorts, "n"), base, how)
+        level, key, n = (np.concatenate(x).astype(np.int64) for x in zip(*((np.full(len(p[1]), p[0]), *p[1:]) for p in parts)))
+        bucket = (windows if windows.num_rows else shorts).column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array(np.full(len(key), bucket, np.int32)), "level": pa.array(level), "key": pa.array(key), "n": pa.array(n)})
 
     windows = counted.withColumn("bucket", _bucket(F.col("window")))
-    rows = windows.groupBy("bucket").cogroup(_in_all_salts(short).groupBy("bucket")).applyInArrow(grow, "level long, key long, n long, total long")
-    return staged(rows, "tree"), base, share, least
+    rows = windows.groupBy("bucket").cogroup(_in_all_salts(short).groupBy("bucket")).applyInArrow(grow, "bucket int, level long, key long, n long")
+    rows = staged(rows, "tree")
+    # A context of two symbols is a state in all its buckets if one of them has it as a suffix.
+    both = _in_all_salts(rows.where("level = 2").select("key", "n").distinct()).select("bucket", F.lit(2).cast("long").alias("level"), "key", "n")
+    return rows.where("level > 2").union(both), base
 
 
-def _stem(base: np.ndarray, rows: DataFrame, how: SuffixTree, least: int) -> np.ndarray:
-    """Which contexts of one symbol are states."""
+def _stem(base: np.ndarray, rows: DataFrame, how: SuffixTree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """level, window and count of the first two levels."""
     key = np.flatnonzero(base)
     n = base.ravel()[key]
     state, _, total, gain = bits(key, n, base.sum(axis=0)[key & 255], np.full(len(key), base.sum()))
     kept = np.zeros(256, bool)
-    kept[state] = (total >= least) & (gain >= how.evidence)
+    kept[state] = (total >= how.min_count) & (gain >= how.evidence)
     kept[[r[0] for r in rows.where("level = 2").select(F.shiftright("key", 8).bitwiseAND(F.lit(255))).distinct().collect()]] = True
-    return kept
-
-
-def learned(keyed: DataFrame, how: SuffixTree) -> list[tuple[np.ndarray, ...]]:
-    """For each depth: states, their totals, listed symbols' count and rest; listed windows and their counts."""
-    rows, base, share, least = _grown(keyed, how)
-    stem = np.flatnonzero(base * _stem(base, rows, how, least)[:, None])
+    key, n = key[kept[key >> 8]], n[kept[key >> 8]]
     root = np.flatnonzero(base.sum(axis=0))
-    # Rare symbols go only here, after every test.
-    model = rows.where(F.col("n") * 16 >= share).distinct()
+    return np.repeat([0, 1], [len(root), len(key)]), np.concatenate([root, key]), np.concatenate([base.sum(axis=0)[root], n])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.stack([batch.column(i).to_numpy() for i in range(4)]).tobytes()])], ["rows"])
 
-    first = [np.stack([root * 0, root, base.sum(axis=0)[root], root * 0 + base.sum()]), np.stack([stem * 0 + 1, stem, base.ravel()[stem], base.sum(axis=1)[stem >> 8]])]
-    found = [np.frombuffer(r["rows"], np.int64).reshape(4, -1) for r in model.mapInArrow(packed, "rows binary").collect()]
-    table = np.concatenate([x.astype(np.int64) for x in first] + found, axis=1)
+def leveled(level: np.ndarray, key: np.ndarray, n: np.ndarray, depth: int) -> list[tuple[np.ndarray, ...]]:
+    """For each depth: states, their totals and numbers of symbols; windows and their counts."""
     out = []
-    for k in range(how.depth + 1):
-        rows = table[1:, table[0] == k]
-        key, n, totals = rows[:, np.argsort(rows[0])]
-        n = n.astype(np.float64)
-        state, first, size = np.unique(key >> 8, return_index=True, return_counts=True)
-        whole = totals[first].astype(np.float64)
-        listed = np.add.reduceat(n, first) if len(first) else np.zeros(0)
-        out.append((state, whole, size.astype(float), whole - listed, key, n))
+    for k in range(depth + 1):
+        keys, counts = key[level == k], n[level == k].astype(float)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        state, first, size = np.unique(keys >> 8, return_index=True, return_counts=True)
+        out.append((state, np.add.reduceat(counts, first) if len(first) else np.zeros(0), size.astype(float), keys, counts))
     return out
 
 
+def learned(keyed: DataFrame, how: SuffixTree) -> list[tuple[np.ndarray, ...]]:
+    """A small corpus' whole tree, as ``leveled``; scoring leaves it in its table."""
+    rows, base = _grown(keyed, how)
+    found = rows.select("level", "key", "n").distinct().toPandas()
+    return leveled(*(np.concatenate([a, found[c].to_numpy()]) for a, c in zip(_stem(base, rows, how), ("level", "key", "n"))), how.depth)
+
+
 def log_probabilities(windows: np.ndarray, model: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     """log10 of each window's symbol given the longest suffix that is a state."""
     p = np.full(len(windows), 1 / 256)
     rows = np.arange(len(windows))
-    for k, (states, whole, listed, rest, keys, counts) in enumerate(model):
+    for k, (states, whole, size, keys, counts) in enumerate(model):
         if not len(states) or not len(rows):
             break
         key = (windows[rows] & np.uint64((1 << 8 * (k + 1)) - 1)).astype(np.int64)
@@ -240,24 +237,89 @@ def log_probabilities(windows: np.ndarray, model: list[tuple[np.ndarray, ...]])
         rows, key, at = rows[hit], key[hit], at[hit]
         place = np.searchsorted(keys, key).clip(max=len(keys) - 1)
         n = np.where(keys[place] == key, counts[place], 0)
-        p[rows] = (n + (listed[at] + rest[at]) * p[rows]) / (whole[at] + listed[at])
+        p[rows] = (n + size[at] * p[rows]) / (whole[at] + size[at])
     return np.log10(p)
 
 
-def _scored(keyed: DataFrame, how: SuffixTree) -> DataFrame:
-    model = keyed.sparkSession.sparkContext.broadcast(learned(keyed, how))
+def pack(windows: np.ndarray) -> bytes:
+    """Sorted windows byte by byte, which deflates well."""
+    return zlib.compress(np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _buckets(windows: np.ndarray) -> np.ndarray:
+    """``_bucket`` of each window."""
+    window = windows.astype(np.int64)
+    return ((window >> 8 & 0xFFFF) * 40503 & 0xFFFF) // 1024 * SALTS + ((window >> 24 & 0xFF) * 167 & 0xFF) // 16
+
+
+def _questions(keyed: DataFrame, how: SuffixTree, kind: str) -> DataFrame:
+    """Rows of two kinds: a block's documents, and for each bucket the block's distinct windows there."""
+    schema = f"block long, doc_id {kind}, row int, held_out boolean, text string, bucket int, windows binary"
     depth = how.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        number = TaskContext.get().partitionId() << 32
+
+        def out() -> pa.RecordBatch:
+            window = np.unique(np.concatenate([w for _, w in pieces]))
+            bucket = _buckets(window)
+            order = np.argsort(bucket, kind="stable")
+            window, (there, first) = window[order], np.unique(bucket[order], return_index=True)
+            asked = [pack(w) for w in np.split(window, first[1:])]
+            rows = pa.Table.from_batches([p for p, _ in pieces]).combine_chunks()
+            n, m = rows.num_rows, len(there)
+            texts = [pa.concat_arrays([*rows.column(c).chunks, pa.nulls(m, rows.column(c).type)]) for c in ("doc_id", "row", "held_out", "text")]
+            places = [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in ((there, pa.int32()), (asked, pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n + m, number)), *texts, *places], [x.split()[0] for x in schema.split(", ")])
+
+        size = 0
         for piece in slices(batches):
-            window, first = symbols(Words(piece.column("text"), lower=True), depth)
-            every, inverse = np.unique(window, return_inverse=True)
-            value = log_probabilities(every, model.value)[inverse]
-            score = np.add.reduceat(value, first[:-1])
-            yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in ("doc_id", "row", "held_out")), pa.array(score)], ["doc_id", "row", "held_out", "score"])
+            words = Words(piece.column("text"), lower=True)
+            pieces.append((piece, np.unique(symbols(words, depth)[0])))
+            size += len(words.data)
+            if size >= how.block_bytes:
+                yield out()
+                pieces, size, number = [], 0, number + 1
+        if pieces:
+            yield out()
+
+    return staged(keyed.select("doc_id", "row", "held_out", "text").mapInArrow(run, schema), "questions")
+
 
+def _scored(keyed: DataFrame, how: SuffixTree) -> DataFrame:
+    rows, base = _grown(keyed, how)
+    stem = _stem(base, rows, how)
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {kind}, row int, held_out boolean, score double")
+    asked = _questions(keyed, how, kind)
+    depth = how.depth
+
+    def answer(tree: pa.Table, questions: pa.Table) -> pa.Table:
+        model = leveled(*(np.concatenate([a, tree.column(c).to_numpy()]) for a, c in zip(stem, ("level", "key", "n"))), depth)
+        values = [log_probabilities(unpack(w.as_py()), model).tobytes() for w in questions.column("windows")]
+        return pa.table({"block": questions.column("block"), "windows": questions.column("windows"), "p": pa.array(values, pa.binary())})
+
+    def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        window = np.concatenate([unpack(w) for w in answers.column("windows").to_pylist()])
+        value = np.concatenate([np.frombuffer(p) for p in answers.column("p").to_pylist()])
+        order = np.argsort(window)
+        window, value = window[order], value[order]
+        found = []
+        for piece in slices(texts.to_batches()):
+            every, first = symbols(Words(piece.column("text"), lower=True), depth)
+            distinct, inverse = np.unique(every, return_inverse=True)
+            found.append((piece, np.add.reduceat(value[np.searchsorted(window, distinct)][inverse], first[:-1])))
+        rows = pa.Table.from_batches([p for p, _ in found]).select(["doc_id", "row", "held_out"])
+        return rows.append_column("score", pa.array(np.concatenate([x for _, x in found])))
+
+    questions = asked.where("windows is not null").select("bucket", "block", "windows")
+    answers = rows.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(answer, "block long, windows binary, p binary")
+    texts = asked.where("windows is null").select("block", "doc_id", "row", "held_out", "text")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, f"doc_id {kind}, row int, held_out boolean, score double")
 
 
 def _asked(keyed: DataFrame, how: SuffixTree, kind: str) -> DataFrame:
