@@ -132,6 +132,21 @@ def test_lm_scores_by_the_whole_tree(docs, plain):
     assert not hasattr(lm.SuffixTree(), "min_share")
 
 
+def test_lm_blocks_of_equal_content(spark):
+    """Two partitions with the same documents: words of one block keep their own counts."""
+    texts = [(i, f"common a{i} b{i % 3} rare{i} common common") for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    found = lm.score(df.union(df)).collect()
+    assert len(found) == 80
+    counts = collections.Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.split(), None] * 2)
+    n, v = sum(counts.values()), len(counts)
+    words = dict(texts)
+    for r in found:
+        want = [*words[r.doc_id].split(), None]
+        assert (r.n_tokens, r.n_known) == (len(want), sum(w in counts for w in want))
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in want))
+
+
 def test_bpe(docs, plain, spark):
     import public_tokenizers as p
     import tiktoken

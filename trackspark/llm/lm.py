@@ -328,19 +328,20 @@ def _asked(keyed: DataFrame, how: SuffixTree, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[tuple] = []
+        # Not a hash of what is in it: blocks of equal content are blocks of their own.
+        number = TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
             ids, rows, held, codes, counts = (np.concatenate(x) if i else pa.concat_arrays(x) for i, x in enumerate(zip(*pieces)))
             words, inverse = np.unique(codes, return_inverse=True)
             train = np.bincount(inverse[~np.repeat(held, counts)], minlength=len(words)).astype(np.int32)
-            block = int(np.int64(np.bitwise_xor.reduce(words * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) ^ int(rows[0]))
             ends = np.cumsum(counts)
             data = [zlib.compress(inverse[e - c : e].astype(np.int32).tobytes(), 1) for c, e in zip(counts, ends)]
             n, m = len(rows), len(words)
             none = lambda k, t: pa.nulls(k, t)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n + m, block, np.int64)),
+                    pa.array(np.full(n + m, number)),
                     pa.concat_arrays([ids, none(m, ids.type)]),
                     pa.concat_arrays([pa.array(rows, pa.int32()), none(m, pa.int32())]),
                     pa.concat_arrays([pa.array(data, pa.binary()), none(m, pa.binary())]),
@@ -362,7 +363,7 @@ def _asked(keyed: DataFrame, how: SuffixTree, kind: str) -> DataFrame:
             size += len(words.data)
             if size >= how.block_bytes:
                 yield out()
-                pieces, size = [], 0
+                pieces, size, number = [], 0, number + 1
         if pieces:
             yield out()
 
