@@ -402,3 +402,52 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(r.n_tokens for r in out.collect()) == sorted(r.n_tokens for r in bpe.digests(kept).collect())
+
+
+def test_one_of_each_keeps_one_row(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text), (1, text), (2, text), (1, "another text"), (1, "another text"), (3, None), (3, None), (3, ""), (None, text), (None, text)]
+    found = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, text), (1, "another text"), (3, None), (3, ""), (None, text), (None, text)]
+    assert collections.Counter(map(tuple, found)) == collections.Counter(want)
+
+
+def plain_pipeline(docs):
+    """(doc_id, text) before mixing, in plain Python: the kept rows, one of each near-duplicate group, without repeated runs of 50 words."""
+    sets = {i: shingles(t) for i, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = grouped(links, sets)
+    seen, out = {}, []
+    for i, t in sorted({(i, t) for i, t in docs if group[i] == i}):
+        w = t.encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone[k : k + 50] = [True] * 50
+        if not all(gone):
+            out.append((i, b" ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() on planted copies: a row written twice, the same text under other ids, near copies, a common passage."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocabulary = ["the", "of", "and", "to", "in", "house", "river", "stone", "walks", "green", "slowly", "that"] + ["".join(rng.choices("aeioubcdrst", k=rng.randint(3, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choices(vocabulary[:12] * 12 + vocabulary, k=n))
+    passage, base = prose(60), prose(150)
+    near = base.split()
+    near[70] = "changed"
+    docs = [(i, prose(120)) for i in range(30)] + [(100, base), (101, base), (102, " ".join(near)), (103, prose(80) + " " + passage), (104, passage + " " + prose(90))]
+    docs += [docs[3]] * 2 + [docs[30], docs[33]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in quality.keep(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert {3, 100, 103, 104} <= kept
+    want = plain_pipeline([d for d in docs if d[0] in kept])
+    mixed = mixing.replicated(spark.createDataFrame([(i, t.decode(), "en", "s", len(t)) for i, t in want], "doc_id long, text string, lang string, source string, n_chars long"))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    words = {hashlib.sha256(t).hexdigest(): i for i, t in want}
+    assert len(words) == len(want)
+    assert collections.Counter((r.doc_id, r.decoded_sha256) for r in found) == collections.Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect())

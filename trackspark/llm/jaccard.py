@@ -225,4 +225,8 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
 def one_of_each(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
     """The rows of ``docs`` that stand for their component; of rows with the same doc_id and text, one stays. Null ids stay."""
     found = near_duplicates(docs, how).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    left = docs.join(found, "doc_id", "left_anti")
+    # Grouped by content too, so that rows of one id with many texts are dealt out.
+    once = left.where("doc_id is not null").withColumn("__content", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("__null", F.col("text").isNull())
+    once = once.dropDuplicates(["doc_id", "__content", "__null"]).select(*docs.columns)
+    return once.unionByName(left.where("doc_id is null"))
