@@ -208,6 +208,19 @@ def test_report_and_trees(spark):
     assert found["tree_report"].first().accuracy > 0.9
 
 
+def test_tree_queries_see_all(spark, tmp_path):
+    """All categories and all 64 dimensions: the last one tells category 2."""
+    from trackspark.plans import queries as q
+
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, [*map(float, rng.normal(size=63)), 5.0 * (i % 3 == 2)]) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = q.QUERIES["boosted_trees"](spark, str(tmp_path)).collect()
+    assert {r.feature for r in found} == {f"d{i:02d}" for i in range(64)}
+    assert found[0].feature == "d63"
+    assert {"tree_report", "pairwise_tree_features", "pairwise_tree_report"} <= set(q.QUERIES)
+
+
 def test_stream(spark, tmp_path):
     from trackspark.streaming.tracks import windowed_extent
 

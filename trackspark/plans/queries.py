@@ -407,7 +407,7 @@ def _(spark, d):
 
 # Learning -------------------------------------------------------------------------------------------------------------
 
-_DIMS = [f"d{i:02d}" for i in range(12)]
+_DIMS = [f"d{i:02d}" for i in range(64)]
 PARTS["matrix"] = "select vec_id as object_id, label::varchar as category, " + ", ".join(f"embedding[{i + 1}]::double as {c}" for i, c in enumerate(_DIMS)) + " from embeddings"
 PARTS["logged"] = "select object_id, category, " + ", ".join(f"sign({c}) * ln(1 + abs({c})) as {c}" for c in _DIMS) + " from matrix where " + " and ".join(f"{c} is not null" for c in _DIMS)
 PARTS["scaled"] = "select object_id, category, " + ", ".join(f"({c} - avg({c}) over ()) / case when stddev_pop({c}) over () > 1e-12 then stddev_pop({c}) over () else 1 end as {c}" for c in _DIMS) + " from logged"
@@ -502,7 +502,22 @@ def _(spark, d):
 
 @_query("boosted_trees")
 def _(spark, d):
-    return ml.boosted_trees(_scaled(spark, d).where(F.col("category").isin("0", "1")), MLConfig())["tree_features"]
+    return ml.boosted_trees(_scaled(spark, d), MLConfig())["tree_features"]
+
+
+@_query("tree_report")
+def _(spark, d):
+    return ml.boosted_trees(_scaled(spark, d), MLConfig())["tree_report"]
+
+
+@_query("pairwise_tree_features")
+def _(spark, d):
+    return ml.pairwise_trees(_scaled(spark, d), MLConfig())["tree_features"]
+
+
+@_query("pairwise_tree_report")
+def _(spark, d):
+    return ml.pairwise_trees(_scaled(spark, d), MLConfig())["tree_report"]
 
 
 # Shape and figures ----------------------------------------------------------------------------------------------------

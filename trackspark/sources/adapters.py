@@ -48,8 +48,8 @@ def user_categories(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").alias("object_id")).distinct().select("object_id", F.concat(F.lit("c"), (F.col("object_id") % 5).cast("string")).alias("category"))
 
 
-def embedding_features(spark: SparkSession, folder: str, width: int = 12) -> DataFrame:
-    """The first dimensions of the embeddings as features, labels as categories."""
+def embedding_features(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
+    """The dimensions of the embeddings as features, labels as categories."""
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("object_id"), F.col("label").cast("string").alias("category"), *(F.col("embedding")[i].cast("double").alias(f"d{i:02d}") for i in range(width)))
 
 
