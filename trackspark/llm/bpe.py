@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding by the ranks of a vocabulary file.
 
-1. A task splits a block of documents by the vocabulary's pattern and writes the block's distinct words, and each
-   document as places in that list.
-2. Spark's higher-order functions fold the ranked merges over the byte array of each word that several blocks have,
-   with the ranks in a literal map. At most ``frequent`` such words, those of most blocks, are broadcast with their
-   ids, a bound that does not grow with the corpus. It saves time only: any other word gives the same ids below.
-3. The other words of a block are folded likewise, and its documents take the ids of their words. This is one stage
-   without a shuffle, so no word, however frequent, gathers rows.
+1. A task splits a block of documents by the vocabulary's pattern and writes each document as places in the block's
+   list of distinct words. A word that is a token is known at once, as the tokenizer's rule has it; each other word
+   of the block becomes a row.
+2. Spark's higher-order functions fold the ranked merges over the byte array of each distinct word of the corpus,
+   once, with the ranks in a literal map, and concatenate the binary pieces that its ids decode to.
+3. Each block's words take their ids and bytes by a join on the word: a frequent word has one row a block, not one an
+   occurrence, and a skewed join partition can be split. They then meet the block's documents.
 
-Words of more than ``long_word`` bytes are folded by a heap instead, as the fold's time grows with the square of a
-word's length. Decoding concatenates binary pieces, once for each distinct word of a block.
+What a task holds is bounded by ``block_bytes`` or, if longer, one document. Words of more than ``long_word`` bytes
+are folded by a heap instead, as the fold's time grows with the square of a word's length.
 
 Null text: empty, no ids. Rows are encoded one by one, so ties, repeated rows and other columns don't matter; an
 empty table gives an empty result. Special tokens are ordinary text.
@@ -30,8 +30,8 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +41,17 @@ from .tokens import slices
 
 @dataclass(frozen=True)
 class Vocabulary:
+    """``words_a_task``: distinct words that a task folds, some seconds' work."""
+
     path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern: str = public_tokenizers.PATTERN
-    long_word: int = 96
-    block_bytes: int = 16 << 20
-    frequent: int = 1 << 20
+    long_word: int = 256
+    block_bytes: int = 8 << 20
+    words_a_task: int = 40_000
 
 
-#: A pair of tokens (a, b) has the key a * 2**17 + b and one place in each half of the rank map: key * u modulo the half's size.
-HALVES = ((104_729, 300_007), (611_953, 299_993))
+#: A pair of tokens (a, b) has the key a * 2**17 + b of 34 bits. Times one of these odd numbers modulo 2**34, its upper half is a place in one of the rank map's halves.
+FACTORS = (411_865_637, 230_210_453)
 #: More than any token; as a token, the border of a word.
 BORDER = (1 << 17) - 1
 
@@ -71,23 +73,23 @@ def pieces(path: str) -> list[bytes]:
 
 @functools.cache
 def _rank_map(path: str) -> str:
-    """The rank of each two tokens that join to a token, as JSON: at one of a pair's two places, its key and the rank side by side."""
+    """The rank of each two tokens that join to a token, as JSON: at one of a pair's two places, the lower half of its product plus one, and the rank; 0 is a free place."""
     known = ranks(path)
-    table = [0] * sum(size for _, size in HALVES)
+    table, half_size = [0] * (2 << 17), 1 << 17
     for piece, rank in known.items():
         for at in range(1, len(piece)):
             a, b = known.get(piece[:at]), known.get(piece[at:])
             if a is None or b is None:
                 continue
-            entry, half, moves = (a << 17 | b) << 17 | rank, 0, 0
+            entry, half, moves = (a << 17 | b, rank), 0, 0
             while entry:
-                u, size = HALVES[half]
-                place = (entry >> 17) * u % size + half * HALVES[0][1]
+                product = entry[0] * FACTORS[half] % (1 << 34)
+                place = (product >> 17) + half * half_size
                 entry, table[place], half, moves = table[place], entry, 1 - half, moves + 1
                 if moves > 1000:
                     raise ValueError("the rank map's halves are too small for this vocabulary")
-    # Free places must not look like the pair of token 0 with itself.
-    return json.dumps([entry or 1 << 60 for entry in table], separators=(",", ":"))
+    written = [((entry[0] * FACTORS[at >> 17] % half_size) + 1 << 17 | entry[1]) if entry else 0 for at, entry in enumerate(table)]
+    return json.dumps(written, separators=(",", ":"))
 
 
 def folded(word: Column, path: str) -> Column:
@@ -98,13 +100,17 @@ def folded(word: Column, path: str) -> Column:
 
     def fold(ranked: Column) -> Column:
         def ranked_pair(key: Column) -> Column:
-            # The right entry without its key is the rank, any other is more than any rank.
-            found = (F.element_at(ranked, (key * u % size + first).cast("int")).bitwiseXOR(F.shiftleft(key, 17)) for (u, size), first in zip(HALVES, (1, HALVES[0][1] + 1)))
-            return F.shiftleft(F.least(*found, F.lit(BORDER).cast("bigint")), 34).bitwiseOR(key)
+            def found(half: int, product: Column) -> Column:
+                # The right entry without the lower half of its product is the rank, any other is more than any rank.
+                entry = F.element_at(ranked, (F.shiftright(product.bitwiseAND(bigint((1 << 34) - 1)), 17) + (1 + (half << 17))).cast("int"))
+                return entry.bitwiseXOR(F.shiftleft(product.bitwiseAND(bigint(BORDER)) + 1, 17))
+
+            both = (found(half, key * bigint(factor)) for half, factor in enumerate(FACTORS))
+            return F.shiftleft(F.least(*both, F.lit(BORDER).cast("bigint")), 34).bitwiseOR(key)
 
+        bigint = lambda x: F.lit(x).cast("bigint")
         left = lambda pair: F.shiftright(pair, 17).bitwiseAND(F.lit(BORDER).cast("bigint"))
         right = lambda pair: pair.bitwiseAND(F.lit(BORDER).cast("bigint"))
-        bigint = lambda x: F.lit(x).cast("bigint")
         # The pairs of neighbours, borders included, each with its rank in front.
         tokens = F.concat(F.array(bigint(BORDER)), F.transform(word, lambda b: F.element_at(single, b + 1).cast("bigint")), F.array(bigint(BORDER)))
         keys = F.transform(F.array(tokens), lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda a, i: F.shiftleft(a, 17).bitwiseOR(F.element_at(x, i + 2))))[0]
@@ -147,159 +153,91 @@ def heap_fold(word: bytes, known: dict[bytes, int]) -> list[int]:
     return [known[p] for p in parts if p]
 
 
-BLOCKS = "keys array<string>, counts binary, places binary, size long, words array<binary>"
-PACKED = "block int, part int, keys array<string>, counts binary, data binary, size long, word array<int>"
+def byte_values(word: Column) -> Column:
+    """The values of a binary's bytes."""
+    return F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), F.ascii)
 
 
-def _byte_values(words: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
+BLOCKS = "block long, keys array<string>, counts binary, places binary, size long, lengths binary, ids binary, at int, word binary"
 
 
 def _blocks(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
-    """A row for each block: its documents' keys and numbers of words, the place of each word in ``words``, and the distinct words."""
-    pattern = vocabulary.pattern
+    """A row for each block: its documents' keys and numbers of words, the place of each word in the block's list, and the ids of words that are known at once (length 0: not known); and a row for each of its other words."""
+    path, pattern, long_word = vocabulary.path, vocabulary.pattern, vocabulary.long_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        find, known = regex.compile(pattern).findall, ranks(path)
+        names = [x.split()[0] for x in BLOCKS.split(", ")]
+        block = TaskContext.get().partitionId() << 32
+
+        def ids_of(word: bytes) -> list[int]:
+            if word in known:
+                return [known[word]]
+            return heap_fold(word, known) if len(word) > long_word else []
+
         for piece in slices(batches, limit=vocabulary.block_bytes):
             places: dict[str, int] = defaultdict()
             places.default_factory = places.__len__
-            lists = [np.fromiter(map(places.__getitem__, find(x or "")), np.int32) for x in piece.column("text").to_pylist()]
+            lists = [np.fromiter(map(places.__getitem__, find(x.as_py() or "")), np.int32) for x in piece.column("text")]
             flat = np.concatenate(lists)
             # Bytes of equal weight side by side compress better.
             data = pa.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
-            row = {
-                "keys": pa.array([piece.column(key).cast(pa.string()).to_pylist()], pa.list_(pa.string())),
-                "counts": pa.array([np.array([len(x) for x in lists], np.int32).tobytes()], pa.binary()),
-                "places": pa.array([data], pa.binary()),
-                "size": pa.array([flat.nbytes], pa.int64()),
-                "words": pa.array([[w.encode() for w in places]], pa.list_(pa.binary())),
-            }
-            yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
+            words = [w.encode() for w in places]
+            ready = list(map(ids_of, words))
+            left = [i for i, x in enumerate(ready) if not x]
+            m = len(left)
+            head = [
+                pa.array([piece.column(key).cast(pa.string()).to_pylist()], pa.list_(pa.string())),
+                pa.array([np.array([len(x) for x in lists], np.int32).tobytes()], pa.binary()),
+                pa.array([data], pa.binary()),
+                pa.array([flat.nbytes], pa.int64()),
+                pa.array([np.array([len(x) for x in ready], np.int32).tobytes()], pa.binary()),
+                pa.array([np.fromiter(chain.from_iterable(ready), np.int32).tobytes()], pa.binary()),
+            ]
+            tail = [pa.array([None, *left], pa.int32()), pa.array([None, *(words[i] for i in left)], pa.binary())]
+            columns = [pa.array(np.full(m + 1, block)), *(pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in head), *tail]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            block += 1
 
     return staged(docs.select(key, "text").mapInArrow(run, BLOCKS), "bpe-blocks")
 
 
-def _frequent(blocks: DataFrame, vocabulary: Vocabulary) -> list[bytes]:
-    """The words of most blocks, two at least, with their ids: Arrow tables of at most ``frequent`` rows in all."""
-    spark = blocks.sparkSession
-    words = blocks.select(F.explode("words").alias("word")).where(F.length("word").between(2, vocabulary.long_word))
-    several = staged(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "bpe-words")
-    least, room = None, vocabulary.frequent
-    for step, n in sorted(several.groupBy("step").count().collect(), reverse=True):
-        room -= n
-        if room < 0:
-            break
-        least = step
-    if least is None:
-        return []
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), _byte_values(found)], ["raw", "word"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, batch.schema) as stream:
-                stream.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["part"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = several.where(F.col("step") >= least).select("word").repartition(parts, "word").mapInArrow(values, "raw binary, word array<int>")
-    rows = chosen.select("raw", folded(F.col("word"), vocabulary.path).alias("ids")).mapInArrow(packed, "part binary").collect()
-    return [bytes(r["part"]) for r in rows]
-
-
-def _open(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Each block's rows in turn: part 0, its documents; 1, ids known at once; 2, a word to fold."""
-    shared = blocks.sparkSession.sparkContext.broadcast(_frequent(blocks, vocabulary))
-    path, long_word = vocabulary.path, vocabulary.long_word
+def _words(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each distinct word that is no token, with its ids and the bytes they decode to."""
+    words = staged(blocks.where("word is not null").select("word").distinct(), "bpe-words")
+    tasks = max(1, -(-words.count() // vocabulary.words_a_task))
+    ids = words.repartition(tasks).select("word", folded(byte_values(F.col("word")), vocabulary.path).alias("ids"))
+    return staged(ids.select("word", "ids", decoded(F.col("ids"), vocabulary).alias("bytes")), "bpe-ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks(path)
-        tables = [pa.ipc.open_stream(x).read_all() for x in shared.value]
-        often = pa.concat_tables(tables).combine_chunks() if tables else pa.table({"raw": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
-        names, lists = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (often.column("raw"), often.column("ids")))
-        starts, every = lists.offsets.to_numpy(), lists.values.to_numpy().tobytes()
-        block = 0
-        for batch in batches:
-            for at in range(batch.num_rows):
-                keys, counts, places, size, words = (batch.column(x).slice(at, 1) for x in ("keys", "counts", "places", "size", "words"))
-                words = words.flatten().cast(pa.binary())
-                spots = pc.fill_null(pc.index_in(words, value_set=names.cast(pa.binary())), -1).to_pylist()
-                words = words.to_pylist()
-
-                def ids_of(w: bytes, i: int) -> bytes:
-                    if w in known:
-                        return np.int32(known[w]).tobytes()
-                    if i >= 0:
-                        return every[4 * starts[i] : 4 * starts[i + 1]]
-                    return np.array(heap_fold(w, known), np.int32).tobytes() if len(w) > long_word else b""
-
-                ready = list(map(ids_of, words, spots))
-                left = [i for i, x in enumerate(ready) if not x]
-                m = len(left)
-                sizes = np.array([len(x) // 4 for x in ready], np.int32).tobytes()
-                columns = [
-                    pa.array(np.full(2 + m, block, np.int32)),
-                    pa.array(np.minimum(np.arange(2 + m), 2).astype(np.int32)),
-                    pa.concat_arrays([keys, pa.nulls(1 + m, keys.type)]),
-                    pa.concat_arrays([counts.cast(pa.binary()), pa.array([sizes] + [None] * m, pa.binary())]),
-                    pa.concat_arrays([places.cast(pa.binary()), pa.array([b"".join(ready)] + [None] * m, pa.binary())]),
-                    pa.concat_arrays([size, pa.array([0, *left], pa.int64())]),
-                    pa.concat_arrays([pa.nulls(2, pa.list_(pa.int32())), _byte_values([words[i] for i in left])]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "part", "keys", "counts", "data", "size", "word"])
-                block += 1
-
-    return blocks.mapInArrow(run, PACKED)
-
-
-def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable[[list, list, list], list[pa.Array]], schema: str) -> DataFrame:
-    """``finish`` on each block's document keys, their words' places and the ids of the words, once the last word's are there."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def done(head: tuple, ready: tuple, later: list[tuple]) -> pa.RecordBatch:
-        keys, counts, data, size = head
-        flat = np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() if size else np.zeros(0, np.int32)
-        ends = np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)
-        every, stop = np.frombuffer(ready[1], np.int32).tolist(), np.cumsum(np.frombuffer(ready[0], np.int32)).tolist()
-        ids = [every[a:b] for a, b in zip([0, *stop], stop)]
-        for i, x in later:
-            ids[i] = x
-        return pa.RecordBatch.from_arrays(finish(keys, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], ids), names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            parts = batch.column("part").to_numpy()
-            heads = np.flatnonzero(parts == 0).tolist()
-            for a, b in zip([0, *heads], [*heads, batch.num_rows]):
-                rows = batch.slice(a, b - a)
-                for i, part in enumerate(parts[a:b][:2]):
-                    if part == 0:
-                        if held:
-                            yield done(*held)
-                        held = [tuple(rows.column(x)[i].as_py() for x in ("keys", "counts", "data", "size")), None, []]
-                    elif part == 1:
-                        held[1] = tuple(rows.column(x)[i].as_py() for x in ("counts", "data"))
-                words = rows.filter(pc.equal(rows.column("part"), 2))
-                held[2:] = [held[2] + list(zip(words.column("size").to_pylist(), words.column("ids").to_pylist()))] if held else []
-        if held:
-            yield done(*held)
-
-    rows = _open(_blocks(docs, vocabulary, key), vocabulary)
-    rows = rows.select("part", "keys", "counts", "data", "size", F.when(F.col("part") == 2, folded(F.col("word"), vocabulary.path)).alias("ids"))
-    return rows.mapInArrow(run, schema)
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable[[list, list, list, list], list[pa.Array]], schema: str) -> DataFrame:
+    """``finish`` on each block's document keys, their words' places, and the words' ids and bytes."""
+    names, path = [x.split()[0] for x in schema.split(", ")], vocabulary.path
+
+    def meet(rows: pa.Table, words: pa.Table) -> pa.Table:
+        known, out = pieces(path), []
+        for row in rows.to_pylist():  # one
+            size = row["size"]
+            flat = np.frombuffer(pa.decompress(row["places"], size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() if size else np.zeros(0, np.int32)
+            ends = np.cumsum(np.frombuffer(row["counts"], np.int32), dtype=np.int64)
+            every, stop = np.frombuffer(row["ids"], np.int32).tolist(), np.cumsum(np.frombuffer(row["lengths"], np.int32)).tolist()
+            ids = [every[a:b] for a, b in zip([0, *stop], stop)]
+            binary = [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in ids]
+            for i, x, y in zip(*(words.column(c).to_pylist() for c in ("at", "ids", "bytes"))):
+                ids[i], binary[i] = x, y
+            out.append(pa.Table.from_arrays(finish(row["keys"], [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], ids, binary), names))
+        return pa.concat_tables(out)
+
+    blocks = _blocks(docs, vocabulary, key)
+    heads = blocks.where("keys is not null").select("block", "keys", "counts", "places", "size", "lengths", "ids")
+    words = blocks.where("word is not null").select("block", "at", "word").join(_words(blocks, vocabulary), "word").select(F.col("block").alias("of"), "at", "ids", "bytes")
+    return heads.groupBy("block").cogroup(words.groupBy("of")).applyInArrow(meet, schema)
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "doc_id") -> DataFrame:
     """``key`` (as text) and ``ids`` of each row's whole text."""
 
-    def finish(keys: list, places: list, ids: list) -> list[pa.Array]:
+    def finish(keys: list, places: list, ids: list, binary: list) -> list[pa.Array]:
         return [pa.array(keys, pa.string()), pa.array([list(chain.from_iterable(map(ids.__getitem__, at.tolist()))) for at in places], pa.list_(pa.int32()))]
 
     return _encoded(docs, vocabulary, key, finish, f"{key} string, ids array<int>")
@@ -313,13 +251,9 @@ def decoded(ids: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
 
 def digests(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "doc_id") -> DataFrame:
     """``key``, n_tokens, and the SHA-256 of the ids and of the bytes they decode to."""
-    path = vocabulary.path
 
-    def finish(keys: list, places: list, ids: list) -> list[pa.Array]:
-        known = pieces(path)
-        names = [str(i) for i in range(len(known))]
-        texts = [" ".join(map(names.__getitem__, x)) for x in ids]
-        binary = [b"".join(map(known.__getitem__, x)) for x in ids]
+    def finish(keys: list, places: list, ids: list, binary: list) -> list[pa.Array]:
+        texts = [" ".join(map(str, x)) for x in ids]
         size = np.array([len(x) for x in ids], np.int64)
         sizes, of_ids, of_bytes = [], [], []
         for at in places:
