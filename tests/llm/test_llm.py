@@ -80,7 +80,7 @@ def test_lm_is_a_distribution(spark):
     import numpy as np
 
     df = spark.createDataFrame([(i, "banana bandana anna " * 40) for i in range(20)], "doc_id long, text string")
-    model = lm.learned(lm._keyed(df), lm.SuffixTree(min_count=5))
+    model = lm.learned(df, lm.SuffixTree(min_count=5))
     context = int.from_bytes(b"banan", "big") << 8
     total = 10 ** lm.log_probabilities(np.array([context + b for b in range(256)], np.uint64), model)
     assert total.sum() == pytest.approx(1)
@@ -106,7 +106,7 @@ def suffix_tree(docs, depth, least, evidence):
 def test_lm_retains_by_whole_counts(docs, plain):
     train = [t for i, t in plain if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1]
     want = suffix_tree(train, 6, 5, 10.0)
-    model = lm.learned(lm._keyed(docs), lm.SuffixTree())
+    model = lm.learned(docs, lm.SuffixTree())
     assert len(model) == 7
     found = {(k, s) for k, level in enumerate(model) for s in level[0].tolist()}
     assert found == {(len(s), int.from_bytes(s, "big")) for s in want}
@@ -240,10 +240,10 @@ def test_components(spark):
     assert found == grouped([x for x in links if x[0] != x[1]], nodes)
 
 
-def test_suffixes(docs, plain):
-    found = by_id(suffixes.digests(docs))
-    seen = set()
-    for i, t in sorted((x for x in plain if x[0] is not None), key=lambda x: x[0]):
+def repeats_of_bytes(docs):
+    """doc_id: (n_bytes, n_removed, n_spans, kept_sha256) by plain Python."""
+    seen, out = set(), {}
+    for i, t in sorted((x for x in docs if x[0] is not None), key=lambda x: x[0]):
         t = t.encode()
         gone = [False] * len(t)
         for k in range(len(t) - 99):
@@ -252,11 +252,46 @@ def test_suffixes(docs, plain):
             else:
                 seen.add(t[k : k + 100])
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
-        kept = bytes(b for b, g in zip(t, gone) if not g)
-        assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[i] = len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()
+    return out
+
+
+SMALL = suffixes.RepeatedBytes(most=2, block_bytes=4000, bucket_bytes=20_000, chunk_bytes=5000, shard_bytes=700)
+
+
+@pytest.mark.parametrize("how", [suffixes.RepeatedBytes(), SMALL], ids=["whole", "small"])
+def test_suffixes(docs, plain, how):
+    found = by_id(suffixes.digests(docs, how))
+    for i, want in repeats_of_bytes(plain).items():
+        assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == want
     assert found[None].n_removed == 0
 
 
+@pytest.mark.parametrize("most", [32, 10**6])
+def test_suffixes_hot_anchor(spark, most):
+    """One line of 60 bytes before texts that differ, some of which recur: thousands of distinct pieces under one anchor."""
+    rng = random.Random(2)
+    line = "This is the line that stands in front of every text, always."
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    texts = [line + " ".join(rng.choices(words, k=20)) for _ in range(1500)]
+    for k in range(0, 200, 10):
+        texts[k] = texts[k + 1][: 60 + 45] + " " + texts[k]
+        texts[700 + k] = "x" + texts[k + 1][20 : 60 + 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = by_id(suffixes.digests(df, suffixes.RepeatedBytes(most=most, block_bytes=50_000)))
+    want = repeats_of_bytes(list(enumerate(texts)))
+    assert sum(x[1] > 0 for x in want.values()) >= 20
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in found.items()} == want
+
+
+def test_suffixes_spans(spark):
+    """Rows of one doc_id don't remove each other at equal places; spans and kept bytes are given back."""
+    text = "".join(random.Random(4).choices("abcdefghij ", k=260))
+    df = spark.createDataFrame([(1, text), (1, text), (2, "é" + text + "!"), (None, text)], "doc_id long, text string")
+    found = [(r.doc_id, [tuple(s) for s in r.spans], bytes(r.kept).decode()) for r in suffixes.removed(df).collect()]
+    assert sorted(found, key=str) == sorted([(1, [], text), (1, [], text), (2, [(2, 260)], "é!"), (None, [], text)], key=str)
+
+
 def test_merged_transforms():
     import numpy as np
 

@@ -3,13 +3,20 @@
 Each byte covered by a ``window``-byte string that also starts earlier (smaller doc_id, or same document and earlier
 start) is removed.
 
-1. Each window's anchor is its ``gram``-byte string of least hash. Equal windows have equal anchors at equal places,
-   so only windows whose anchor occurs twice can recur. A piece is the text under consecutive windows with one anchor.
-2. Equal pieces collapse to the first; all later ones are repeated in full. Distinct pieces with one anchor meet.
-3. They are split into shards. Each shard's suffixes are sorted once; the shards' transforms are then merged by
-   refining their interleave: one pass per symbol orders all suffixes by one more symbol, and keeps where
-   neighbours stop being equal (their common prefix). After ``window`` passes the intervals that are still equal
-   are the repeated strings; the first of each stays.
+1. Documents are packed into blocks. Each window's anchor is its first ``gram``-byte string of least hash; equal
+   windows have equal anchors. A piece is the text under consecutive windows with one anchor. Equal pieces (of one
+   anchor, by a 64-bit digest of their bytes) are copies: all but the first are repeated in full, so a block asks
+   about one of them only, however many it has.
+2. A bucket of anchors finds the first of all blocks' copies, and the anchors under which distinct pieces meet.
+3. Of these, each block sends its first pieces to the bucket as a shard. Each shard's suffixes are sorted once; the
+   shards' transforms are then merged by refining their interleave: a pass orders all suffixes by ``step`` more
+   symbols and keeps where neighbours stop being equal (their common prefix). After ``window`` symbols the intervals
+   that are still equal are the repeated strings; the first of each stays.
+4. An anchor under which a block alone has more than ``most`` distinct pieces (a template line before varied text)
+   is not gathered: its windows are dealt one by one, by 128-bit digests, and copies are counted as above.
+
+A task holds a block, or what all blocks send to one bucket. A bucket gets about ``bucket_bytes`` of text, and at most
+``most`` pieces of one anchor from each block. Digests decide whether pieces, and windows in 4, are equal.
 
 Null or empty text: nothing. Null doc_id: never a source, and kept whole. Rows that repeat a doc_id count as one
 document at equal starts and don't remove one another's first strings. An empty table gives an empty result. Other
@@ -27,86 +34,196 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Block, packed
 from .store import staged
-from .tokens import BYTE_CODE, flat, run_hashes, slices, sliding_min
+from .tokens import BYTE_CODE, changes, pack, run_hashes, sliding_min, spread, squeezed, unpack
 
 
 @dataclass(frozen=True)
 class RepeatedBytes:
     window: int = 100
-    gram: int = 24
-    shards: int = 4
-    chunk_bytes: int = 1 << 20
-
-
-def _runs(texts: pa.Array, how: RepeatedBytes) -> tuple[np.ndarray, ...]:
-    """Runs of window starts with one anchor occurrence: text, first start in the slice, number of starts, anchor."""
-    data, offsets = flat(texts)
-    n = len(data) - how.window + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return data, offsets, none, none, none, np.zeros(0, np.uint64)
-    code = run_hashes(BYTE_CODE[data], how.gram)
-    width = how.window - how.gram + 1
-    least = sliding_min(code, width)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = text[:n] == text[how.window - 1 :]
-    # The leftmost place of the least hash tells occurrences of one anchor apart.
-    where = _leftmost(code, least, width)
-    fresh = np.ones(n, bool)
-    fresh[1:] = (where[1:] != where[:-1]) | (text[1:n] != text[: n - 1])
-    starts = np.flatnonzero(fresh & inside)
-    # A run ends where the next begins or where windows leave the text.
-    ends = np.append(np.flatnonzero(fresh), n)
-    stop = ends[np.searchsorted(ends, starts, "right")]
-    stop = np.minimum(stop, offsets[text[starts] + 1] - how.window + 1)
-    return data, offsets, text[starts], starts, stop - starts, least[starts]
-
-
-def _leftmost(code: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """For each window, the leftmost place whose hash is the window's least."""
-    n = len(least)
-    following = np.empty(n, np.int64)
-    # Windows with equal least values in a row share a place unless it has left the window.
-    hits = np.flatnonzero(np.isin(code, least))
-    order = np.lexsort((hits, code[hits]))
-    keys, spots = code[hits][order], hits[order]
-    begin = np.searchsorted(keys, least)
-    many = np.searchsorted(keys, least, "right") - begin > 1
-    following[:] = spots[begin]
-    if many.any():
-        rank = np.zeros(len(keys), np.int64)
-        rank[1:] = np.cumsum(keys[1:] != keys[:-1])
-        size = len(code) + 1
-        joint = rank * size + spots
-        at = np.flatnonzero(many)
-        following[at] = spots[np.searchsorted(joint, rank[begin[at]] * size + at)]
-    return following
-
-
-def _pieces(docs: DataFrame, how: RepeatedBytes, whole: bool) -> DataFrame:
-    """Pieces of each text: anchor, a hash of the bytes, doc_id, row, start and number of windows; with ``whole`` the bytes, of texts' ``anchors`` only."""
-    extra = ", bytes binary" if whole else ""
-
+    gram: int = 40
+    step: int = 4
+    most: int = 32
+    block_bytes: int = 8 << 20
+    bucket_bytes: int = 16 << 20
+    chunk_bytes: int = 2 << 20
+    shard_bytes: int = 1 << 19
+
+
+class Pieces:
+    """The pieces of a block in order of anchor, content and place; ``first``: none of the block's copies is at a smaller place."""
+
+    def __init__(self, block: Block, how: RepeatedBytes):
+        data = block.bytes
+        known_doc, known = block.numbers("doc_id")
+        n = max(len(data) - how.window + 1, 0)
+        width, part, low = how.window - how.gram + 1, 1 << 20, np.uint64((1 << 21) - 1)
+        spot, least = np.empty(n, np.int64), np.empty(n, np.uint64)
+        for a in range(0, n, part):
+            code = run_hashes(BYTE_CODE[data[a : a + part + how.window - 1]], how.gram)
+            # With the place in the lower bits, the leftmost of equal hashes is least.
+            best = sliding_min(code & ~low | np.arange(len(code), dtype=np.uint64), width) & low
+            spot[a : a + part], least[a : a + part] = best.astype(np.int64) + a, code[best]
+        text = np.repeat(np.arange(len(known), dtype=np.int32), np.diff(block.offsets))
+        inside = (text[:n] == text[how.window - 1 :]) & known[text[:n]]
+        fresh, stop = inside.copy(), inside.copy()
+        fresh[1:] &= ~inside[:-1] | (spot[1:] != spot[:-1])
+        stop[:-1] &= ~inside[1:] | fresh[1:]
+        start = np.flatnonzero(fresh)
+        count = np.flatnonzero(stop) + 1 - start
+        raw, more = block.raw, how.window - 1
+        prints = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), (start + count + more).tolist())])
+        prints, anchor, text = np.frombuffer(prints, np.uint64), least[start], text[start]
+        doc, place = known_doc[text], start - block.offsets[text]
+        order = np.lexsort((place, doc, prints, anchor))
+        self.anchor, self.prints, self.text, self.doc, self.start, self.at, self.count = (x[order] for x in (anchor, prints, text, doc, place, start, count))
+        self.first = of_first(self.doc, self.start, changes(self.anchor, self.prints))
+
+
+def of_first(doc: np.ndarray, start: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Rows whose place is that of the first row of their group, groups in order of place."""
+    if not len(doc):
+        return np.zeros(0, bool)
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    return (doc == doc[head]) & (start == start[head])
+
+
+ASK = "bucket long, block long, n long, anchors binary, prints binary, docs binary, starts binary, hot binary"
+
+
+class Questions:
+    """The first pieces of a block, dealt to buckets; of an anchor with more than ``most`` of them only one, marked ``hot``."""
+
+    def __init__(self, pieces: Pieces, buckets: int, how: RepeatedBytes):
+        rows = np.flatnonzero(pieces.first)
+        anchor = pieces.anchor[rows]
+        fresh = changes(anchor)
+        group = np.cumsum(fresh) - 1
+        hot = np.bincount(group, minlength=1)[group] > how.most if len(rows) else np.zeros(0, bool)
+        rows, hot = rows[~hot | fresh], hot[~hot | fresh]
+        bucket = (pieces.anchor[rows] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.rows, self.hot, self.bucket = rows[order], hot[order], bucket[order]
+        self.edges = np.append(np.flatnonzero(changes(self.bucket)), len(rows)) if len(rows) else np.zeros(1, np.int64)
+
+
+def _asked(blocks: DataFrame, buckets: int, how: RepeatedBytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
-            data, offsets, text, starts, count, anchor = _runs(piece.column("text"), how)
-            if whole:
-                known = np.unique(piece.column("anchors").flatten().to_numpy().view(np.uint64))
-                keep = np.isin(anchor, known)
-                text, starts, count, anchor = text[keep], starts[keep], count[keep], anchor[keep]
-            if not len(starts):
-                continue
-            rows = pa.array(text)
-            columns = [pa.array(anchor.view(np.int64)), piece.column("doc_id").take(rows), piece.column("row").take(rows), pa.array(starts - offsets[text]), pa.array(count)]
-            names = ["anchor", "doc_id", "row", "start", "windows"]
-            if whole:
-                raw = data.tobytes()
-                columns.append(pa.array([raw[a : a + c + how.window - 1] for a, c in zip(starts, count)], pa.binary()))
-                names.append("bytes")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.mapInArrow(run, f"anchor long, doc_id long, row int, start long, windows long{extra}")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(batch, i)
+                pieces = Pieces(block, how)
+                asked = Questions(pieces, buckets, how)
+                out = []
+                for a, b in zip(asked.edges, asked.edges[1:]):
+                    at = asked.rows[a:b]
+                    out.append((int(asked.bucket[a]), block.number, int(b - a), *(pack(x[at]) for x in (pieces.anchor, pieces.prints, pieces.doc, pieces.start)), pack(asked.hot[a:b])))
+                if out:
+                    yield _table(out, ASK).to_batches()[0]
+
+    return blocks.mapInArrow(run, ASK)
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.Table.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[f for f, _ in fields])
+
+
+def _joined(rows: list[dict], fields: dict[str, type]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The arrays of all rows in turn, and the row each entry is from."""
+    arrays = [np.concatenate([unpack(r[f], kind) for r in rows]) for f, kind in fields.items()]
+    return arrays, np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
+
+
+#: What a bucket says of a piece: nothing repeats it; it meets distinct pieces; it is a later copy; its windows are to be asked.
+ALONE, MEETS, COPY, WINDOWS = range(4)
+ANSWER = "bucket long, block long, n long, verdicts binary"
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("block").to_pylist()
+    (anchor, prints, doc, start, hot), _ = _joined(rows, {"anchors": np.uint64, "prints": np.uint64, "docs": np.int64, "starts": np.int64, "hot": np.bool_})
+    order = np.lexsort((start, doc, prints, anchor))
+    anchor, prints, doc, start, hot = (x[order] for x in (anchor, prints, doc, start, hot))
+    group, kind = changes(anchor), changes(anchor, prints)
+    at = np.flatnonzero(group)
+    several = np.add.reduceat(kind.astype(np.int64), at)[np.cumsum(group) - 1] > 1
+    hot = np.maximum.reduceat(hot, at)[np.cumsum(group) - 1]
+    said = np.where(hot, WINDOWS, np.where(of_first(doc, start, kind), np.where(several, MEETS, ALONE), COPY)).astype(np.uint8)
+    verdicts = np.empty_like(said)
+    verdicts[order] = said
+    ends = np.cumsum([r["n"] for r in rows])
+    return _table([(r["bucket"], r["block"], r["n"], pack(verdicts[e - r["n"] : e])) for r, e in zip(rows, ends)], ANSWER)
+
+
+RUNS, SHARD, ASKED_WINDOWS = range(3)
+ACT = "kind int, bucket long, block long, n long, texts binary, docs binary, starts binary, counts binary, keys binary, others binary, data binary"
+
+
+def _acts(home: pa.Table, answers: pa.Table, buckets: int, how: RepeatedBytes) -> pa.Table:
+    """What follows from the answers to a block: runs to remove, shards to merge, windows to ask."""
+    block = Block(home)
+    number = block.number
+    pieces = Pieces(block, how)
+    asked = Questions(pieces, buckets, how)
+    found = {r["bucket"]: unpack(r["verdicts"], np.uint8) for r in answers.to_pylist()}
+    said = np.concatenate([found[b] for b in asked.bucket[asked.edges[:-1]].tolist()]) if len(asked.rows) else np.zeros(0, np.uint8)
+    verdict = np.full(len(pieces.first), COPY, np.uint8)
+    verdict[asked.rows] = said
+    # The marked piece of a hot anchor speaks for all of that anchor.
+    hot = np.unique(pieces.anchor[asked.rows[said == WINDOWS]])
+    verdict[pieces.first & np.isin(pieces.anchor, hot)] = WINDOWS
+    gone = verdict == COPY
+    none = (b"", b"", b"")
+    out = [(RUNS, 0, number, int(gone.sum()), pack(pieces.text[gone]), b"", pack(pieces.start[gone]), pack(pieces.count[gone]), *none)]
+    meets = np.flatnonzero(verdict == MEETS)
+    bucket = (pieces.anchor[meets] % np.uint64(buckets)).astype(np.int64)
+    meets = meets[np.argsort(bucket, kind="stable")]
+    bucket = np.sort(bucket)
+    for at in np.split(meets, np.flatnonzero(changes(bucket))[1:]) if len(meets) else []:
+        ends = pieces.at[at] + pieces.count[at] + how.window - 1
+        text = b"".join([block.raw[a:b] for a, b in zip(pieces.at[at].tolist(), ends.tolist())])
+        rows = (pack(x[at]) for x in (pieces.text, pieces.doc, pieces.start, pieces.count, pieces.anchor))
+        out.append((SHARD, int(pieces.anchor[at[0]] % np.uint64(buckets)), number, len(at), *rows, b"", squeezed(text)))
+    ask = np.flatnonzero(verdict == WINDOWS)
+    if len(ask):
+        count = pieces.count[ask]
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start, text, doc = np.repeat(pieces.start[ask], count) + offset, np.repeat(pieces.text[ask], count), np.repeat(pieces.doc[ask], count)
+        digest = np.frombuffer(b"".join([hashlib.blake2b(block.raw[a : a + how.window], digest_size=16).digest() for a in (np.repeat(pieces.at[ask], count) + offset).tolist()]), np.uint64).reshape(-1, 2)
+        order = np.lexsort((start, doc, digest[:, 1], digest[:, 0]))
+        start, text, doc, digest = start[order], text[order], doc[order], digest[order]
+        first = of_first(doc, start, changes(digest[:, 0], digest[:, 1]))
+        later = ~first
+        out.append((RUNS, 0, number, int(later.sum()), pack(text[later]), b"", pack(start[later]), pack(np.ones(int(later.sum()), np.int64)), *none))
+        start, text, doc, digest = start[first], text[first], doc[first], digest[first]
+        bucket = (digest[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for at in np.split(order, np.flatnonzero(changes(bucket[order]))[1:]):
+            out.append((ASKED_WINDOWS, int(bucket[at[0]]), number, len(at), pack(text[at]), pack(doc[at]), pack(start[at]), b"", pack(np.ascontiguousarray(digest[at, 0])), pack(np.ascontiguousarray(digest[at, 1])), b""))
+    return _table(out, ACT)
+
+
+FOUND = "block long, n long, texts binary, starts binary, counts binary"
+
+
+def _found(rows: list[dict], of: np.ndarray, text: np.ndarray, start: np.ndarray) -> pa.Table:
+    """Windows to remove, by the block they are in."""
+    order = np.lexsort((start, text, of))
+    of, text, start = of[order], text[order], start[order]
+    heads = np.flatnonzero(changes(of)) if len(of) else np.zeros(0, np.int64)
+    cuts = [*heads.tolist(), len(of)]
+    return _table([(rows[of[a]]["block"], b - a, pack(text[a:b]), pack(start[a:b]), pack(np.ones(b - a, np.int64))) for a, b in zip(cuts, cuts[1:])], FOUND)
+
+
+def _answer_windows(rows: pa.Table) -> pa.Table:
+    rows = rows.to_pylist()
+    (text, doc, start, key, other), of = _joined(rows, {"texts": np.int32, "docs": np.int64, "starts": np.int64, "keys": np.uint64, "others": np.uint64})
+    order = np.lexsort((start, doc, other, key))
+    later = order[~of_first(doc[order], start[order], changes(key[order], other[order]))]
+    return _found(rows, of[later], text[later], start[later])
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -118,143 +235,145 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - size] = rank[size:] + 1
         key = rank * (n + 600) + second
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        order = np.argsort(key)
+        ordered = key[order]
+        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank[order] = fresh
         if fresh[-1] == n - 1 or size >= n:
             return order
         size *= 2
 
 
+def transform(symbols: np.ndarray, order: np.ndarray, step: int) -> np.ndarray:
+    """The ``step`` symbols before each suffix, in the suffixes' order, as one number."""
+    before = np.zeros(len(symbols), np.int64)
+    for k in range(step, 0, -1):
+        before = before << 9 | symbols[order - k]
+    return before
+
+
 def merged(transforms: list[np.ndarray], passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of shards' suffixes by their first ``passes`` symbols, and the common prefix of each with the one before (``passes`` where still equal).
+    """The interleave of shards' suffixes by ``passes`` steps, and the steps that each has in common with the one before (``passes`` where still equal).
 
-    ``transforms`` are the symbols before each shard's sorted suffixes. A pass takes the suffixes in their present
-    order, the symbols before them from each shard's transform in turn, and orders stably by those.
+    ``transforms`` has what precedes each shard's sorted suffixes. A pass takes the suffixes in their present order,
+    what precedes them from each shard's transform in turn, and orders stably by that.
     """
-    sizes = [len(x) for x in transforms]
-    shard = np.repeat(np.arange(len(transforms)), sizes)
+    shard = np.repeat(np.arange(len(transforms)), [len(x) for x in transforms]).astype(np.uint16)
     n = len(shard)
-    block = np.zeros(n, np.int64)
-    common = np.full(n, passes, np.int64)
+    names, before = np.unique(np.concatenate(transforms), return_inverse=True)
+    before = before.astype(np.uint16 if len(names) < 1 << 16 else np.int32)
+    block, common = np.zeros(n, np.int32), np.full(n, passes, np.int32)
     common[:1] = 0
-    before = np.empty(n, np.uint16)
+    symbol = np.empty_like(before)
     for done in range(passes):
-        for s, x in enumerate(transforms):
-            before[shard == s] = x
-        order = np.argsort(before, kind="stable")
-        shard = shard[order]
-        symbol, old = before[order], block[order]
-        split = np.zeros(n, bool)
-        split[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
+        symbol[np.argsort(shard, kind="stable")] = before
+        order = np.argsort(symbol, kind="stable")
+        shard, old, now = shard[order], block[order], symbol[order]
+        split = changes(now, old)
+        split[0] = False
         common[split & (common > done)] = done
-        block = np.cumsum(split)
+        block = np.cumsum(split, dtype=np.int32)
         if block[-1] == n - 1:
             break
     return shard, common
 
 
 def repeated(pieces: list[bytes], ids: np.ndarray, starts: np.ndarray, how: RepeatedBytes) -> tuple[np.ndarray, np.ndarray]:
-    """Piece and offset of each window of ``pieces`` that also starts earlier in another piece."""
-    bounds = np.linspace(0, len(pieces), min(how.shards, len(pieces)) + 1).astype(int)
+    """Piece and offset of each window of ``pieces`` that also starts at a smaller place in another piece."""
+    size = np.array([len(x) for x in pieces])
+    shards = int(min(max(1, -(-size.sum() // how.shard_bytes)), len(pieces), 1 << 16))
+    bounds = np.linspace(0, len(pieces), shards + 1).astype(int)
     transforms, owners, places = [], [], []
     for a, b in zip(bounds, bounds[1:]):
-        lengths = np.array([len(x) + 1 for x in pieces[a:b]])
-        text = np.frombuffer(b"\0".join(pieces[a:b]) + b"\0", np.uint8).astype(np.uint16) + 1
+        lengths = size[a:b] + 1
+        text = np.frombuffer(b"\0".join(pieces[a:b]) + b"\0", np.uint8).astype(np.int64) + 2
         text[np.cumsum(lengths) - 1] = 1
         text[-1] = 0
         order = suffix_order(text)
-        transforms.append(text[order - 1])
+        transforms.append(transform(text, order, how.step))
         owners.append(np.repeat(np.arange(a, b), lengths)[order])
         places.append((np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order])
-    shard, common = merged(transforms, how.window)
+    shard, common = merged(transforms, how.window // how.step)
+    turn = np.argsort(shard, kind="stable")
     owner, place = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
-    for s in range(len(transforms)):
-        owner[shard == s], place[shard == s] = owners[s], places[s]
-    block = np.cumsum(common < how.window)
-    size = np.array([len(x) for x in pieces])
+    owner[turn], place[turn] = np.concatenate(owners), np.concatenate(places)
+    block = np.cumsum(common < how.window // how.step)
     full = place + how.window <= size[owner]
     owner, place, block = owner[full], place[full], block[full]
     order = np.lexsort((starts[owner] + place, ids[owner], block))
-    later = np.zeros(len(order), bool)
-    later[1:] = block[order][1:] == block[order][:-1]
-    found = order[later]
-    return owner[found], place[found]
-
-
-def _flagged(classes: DataFrame, how: RepeatedBytes) -> DataFrame:
-    """For each class of equal pieces, the offsets at which its first piece repeats something earlier."""
-    schema = "anchor long, print binary, offsets array<int>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: list[tuple] = []
-        size, last = 0, None
-
-        def out() -> pa.RecordBatch:
-            anchors, prints, pieces, ids, starts = zip(*chunk)
-            owner, place = repeated(list(pieces), np.array(ids), np.array(starts), how)
-            order = np.argsort(owner, kind="stable")
-            owner, place = owner[order], place[order]
-            which, first = np.unique(owner, return_index=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(place.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array([anchors[i] for i in which], pa.int64()), pa.array([prints[i] for i in which], pa.binary()), lists], ["anchor", "print", "offsets"])
-
-        for batch in batches:
-            for row in zip(*(batch.column(x).to_pylist() for x in ("anchor", "print", "bytes", "doc_id", "start"))):
-                if row[0] != last and size >= how.chunk_bytes:
-                    yield out()
-                    chunk, size = [], 0
-                last = row[0]
-                chunk.append(row)
-                size += len(row[2])
-        if chunk:
-            yield out()
-
-    several = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    rows = classes.join(several, "anchor").select("anchor", "print", "bytes", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
-    return rows.sortWithinPartitions("anchor").mapInArrow(run, schema)
-
-
-def removals(docs: DataFrame, how: RepeatedBytes = RepeatedBytes()) -> DataFrame:
-    """doc_id, row and the window starts to remove as runs (start, length)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("doc_id", "text").alias("row"), "text").where("doc_id is not null")
-    anchors = staged(_pieces(keyed, how, False).select("anchor", "doc_id", "row"), "anchors")
-    recurring = anchors.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    reached = anchors.join(recurring, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("anchors"))
-    pieces = _pieces(keyed.join(reached, ["doc_id", "row"]), how, True).withColumn("print", F.unhex(F.md5("bytes")))
-    pieces = staged(pieces, "pieces")
-    place = F.struct("doc_id", "start")
-    first = pieces.groupBy("anchor", "print").agg(F.min(place).alias("first"))
-    classes = pieces.select("anchor", "print", "bytes", place.alias("first")).join(first, ["anchor", "print", "first"]).dropDuplicates(["anchor", "print"])
-    flagged = staged(_flagged(classes, how), "flagged")
-    found = pieces.drop("bytes").join(first, ["anchor", "print"]).join(flagged, ["anchor", "print"], "left")
-    whole = F.array(F.struct(F.col("start").alias("at"), F.col("windows").alias("n")))
-    some = F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("at"), F.lit(1).cast("long").alias("n")))
-    runs = F.when(place != F.col("first"), whole).otherwise(some)
-    return staged(found.select("doc_id", "row", F.explode(runs).alias("run")).groupBy("doc_id", "row").agg(F.collect_list("run").alias("runs")), "byte-removals")
+    owner, place, block = owner[order], place[order], block[order]
+    later = ~of_first(ids[owner], starts[owner] + place, changes(block)) if len(owner) else np.zeros(0, bool)
+    return owner[later], place[later]
+
+
+def _merge(rows: pa.Table, how: RepeatedBytes) -> pa.Table:
+    """The windows of a bucket's pieces that repeat an earlier one, by chunks of whole anchors."""
+    rows = rows.to_pylist()
+    (text, doc, start, count, anchor), of = _joined(rows, {"texts": np.int32, "docs": np.int64, "starts": np.int64, "counts": np.int64, "keys": np.uint64})
+    size = count + how.window - 1
+    raw = [spread(r["data"]) for r in rows]
+    begin = np.cumsum(size) - size
+    begin -= np.repeat(begin[np.cumsum([0, *(r["n"] for r in rows[:-1])])], [r["n"] for r in rows])
+    order = np.argsort(anchor, kind="stable")
+    fresh = changes(anchor[order])
+    # A chunk ends with the anchor under which it gets full.
+    chunk = (np.cumsum(size[order]) // how.chunk_bytes)[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    pieces, starts = [], []
+    for at in np.split(order, np.flatnonzero(changes(chunk))[1:]):
+        owner, place = repeated([raw[of[i]][begin[i] : begin[i] + size[i]] for i in at.tolist()], doc[at], start[at], how)
+        pieces.append(at[owner])
+        starts.append(place)
+    pieces, starts = np.concatenate(pieces), np.concatenate(starts)
+    return _found(rows, of[pieces], text[pieces], start[pieces] + starts)
+
+
+def removed(docs: DataFrame, how: RepeatedBytes = RepeatedBytes()) -> DataFrame:
+    """doc_id, n_bytes, ``spans`` (maximal removed runs of bytes: start, length) and ``kept``, the remaining bytes, of each row."""
+    if how.window % how.step:
+        raise ValueError("window must be a multiple of step")
+    blocks = packed(docs.select("doc_id", "text"), how.block_bytes, "byte-blocks")
+    buckets = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // how.bucket_bytes))
+    answers = staged(_asked(blocks, buckets, how).groupBy("bucket").applyInArrow(_answer, ANSWER), "byte-answers")
+
+    def act(home: pa.Table, said: pa.Table) -> pa.Table:
+        return _acts(home, said, buckets, how) if home.num_rows else _table([], ACT)
+
+    acts = staged(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(act, ACT), "byte-acts")
+    # A task for each bucket, as merging takes longer than the size of the shards tells.
+    shards = acts.where(F.col("kind") == SHARD).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: _merge(rows, how), FOUND)
+    windows = acts.where(F.col("kind") == ASKED_WINDOWS).groupBy("bucket").applyInArrow(_answer_windows, FOUND)
+    runs = staged(acts.where(F.col("kind") == RUNS).select("block", "n", "texts", "starts", "counts").union(shards).union(windows), "byte-runs")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,length:bigint>>, kept binary"
+    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+    def cut(home: pa.Table, found: pa.Table) -> pa.Table:
+        block = Block(home)
+        data, ids = block.bytes, block.column("doc_id")
+        marks = np.zeros(len(data) + 1, np.int32)
+        for r in found.to_pylist():
+            at = block.offsets[unpack(r["texts"], np.int32)] + unpack(r["starts"], np.int64)
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + unpack(r["counts"], np.int64) + how.window - 1, -1)
+        gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
+        edge = np.zeros(len(data) + 1, bool)
+        edge[block.offsets] = True
+        head, tail = gone.copy(), gone.copy()
+        head[1:] &= ~gone[:-1] | edge[1:-1]
+        tail[:-1] &= ~gone[1:] | edge[1:-1]
+        head, tail = np.flatnonzero(head), np.flatnonzero(tail) + 1
+        of = np.searchsorted(block.offsets, head, "right") - 1
+        each = pa.StructArray.from_arrays([pa.array(head - block.offsets[of]), pa.array(tail - head)], ["start", "length"])
+        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(ids) + 1)).astype(np.int32)), each).cast(span)
+        left = np.concatenate([[0], np.cumsum(~gone)])[block.offsets].astype(np.int64)
+        kept = data[~gone].tobytes()
+        kept = pa.array([kept[a:b] for a, b in zip(left.tolist(), left[1:].tolist())], pa.binary())
+        return pa.Table.from_arrays([ids, pa.array(np.diff(block.offsets)), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
+
+    return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(cut, schema)
 
 
 def digests(docs: DataFrame, how: RepeatedBytes = RepeatedBytes()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes of each row."""
-    found = removals(docs, how).select(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row"), "runs")
-    size = how.window
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
-            out = []
-            for text, runs in zip(piece.column("text").to_pylist(), piece.column("runs").to_pylist()):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                marks = np.zeros(len(data) + 1, np.int64)
-                if runs:
-                    at, n = np.array([r["at"] for r in runs]), np.array([r["n"] for r in runs])
-                    np.add.at(marks, at, 1)
-                    np.add.at(marks, at + n + size - 1, -1)
-                gone = np.cumsum(marks[:-1]) > 0
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
-                out.append((len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-            figures = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *figures], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    row = F.hash("doc_id", "text")
-    joined = docs.select("doc_id", "text").join(found, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (row == F.col("__row")), "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["length"])
+    return removed(docs, how).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -91,8 +92,8 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 class Words:
     """The words of a slice: ``starts``, ``ends``, ``hash``; text i has words ``first[i]`` to ``first[i + 1]``."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
-        self.data, self.offsets = flat(texts)
+    def __init__(self, texts: pa.Array | tuple[np.ndarray, np.ndarray], lower: bool = False):
+        self.data, self.offsets = texts if isinstance(texts, tuple) else flat(texts)
         if lower:
             self.data = LOWER[self.data]
         self.starts, self.ends = segments(self.data, self.offsets, IS_SEPARATOR)
@@ -150,3 +151,34 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``flags`` between consecutive offsets."""
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def squeezed(data: bytes) -> bytes:
+    return zstandard.compress(data, 1) if data else b""
+
+
+def spread(data: bytes) -> bytes:
+    return zstandard.decompress(data) if data else b""
+
+
+def pack(values: np.ndarray) -> bytes:
+    """The array's bytes of equal weight side by side, compressed."""
+    return squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()) if len(values) else b""
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(spread(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    """Consecutive parts of ``data``."""
+    ends = np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the sorted keys changes."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
