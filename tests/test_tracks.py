@@ -1,15 +1,18 @@
 """Hand-made tracks and independent references."""
 
+import ast
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.classification import GBTClassifier
 
 from trackspark.config import AttractorConfig, MLConfig, RunConfig, words
 from trackspark.functions.tails import chi2_sf, normal_two_sided
-from trackspark.operators import attractors, contacts, formatting, helicity, kinematics, ml, msd, shape
+from trackspark.operators import attractors, contacts, figures, formatting, helicity, kinematics, ml, msd, shape
 from trackspark.operators import summary as features
 from trackspark.plans import run as plan
 from trackspark.sources import generator, tables
@@ -148,6 +151,36 @@ def test_hull(spark):
     assert shape.hull_volume(points @ m) == pytest.approx(abs(np.linalg.det(m)) * shape.hull_volume(points), rel=1e-6)
 
 
+def test_hull_of_tracks_is_all_facets(spark):
+    """Every three points of which all others lie on one side are a facet; each makes a tetrahedron with the centre."""
+    rng = np.random.default_rng(5)
+    tracks = {i: rng.normal(size=(12, 3)) * (i + 1) for i in range(4)}
+    df = spark.createDataFrame([(i, float(t), *map(float, p)) for i, ps in tracks.items() for t, p in enumerate(ps)], SCHEMA)
+    for r in shape.hull(df, 4).collect():
+        points, volume = tracks[r.object_id], 0.0
+        centre = points.mean(axis=0)
+        for i, j, k in combinations(range(len(points)), 3):
+            normal = np.cross(points[j] - points[i], points[k] - points[i])
+            side = np.delete((points - points[i]) @ normal, [i, j, k])
+            if (side > 0).all() or (side < 0).all():
+                volume += abs((centre - points[i]) @ normal) / 6
+        assert r.convex_hull_volume == pytest.approx(volume / math.sqrt(12))  # by the root of the duration
+
+
+def test_smoothing_meets_its_target(spark):
+    """The squared residual is the target, unless a straight cubic is nearer; a smaller target is nearer to the points."""
+    rng = np.random.default_rng(9)
+    t = np.linspace(0, 6, 80)
+    points = np.column_stack([np.cos(t), np.sin(t), t]) + rng.normal(0, 0.05, (80, 3))
+    last = None
+    for target in (1.0, 0.3, 0.1):
+        residual = ((helicity.smoothed(points, target) - points) ** 2).sum()
+        assert residual <= target * 1.001 and (last is None or residual < last)
+        last = residual
+    cubic = np.column_stack([t**3, t**2, 1 - t])
+    assert np.allclose(helicity.smoothed(cubic, 1e-6), cubic, atol=1e-3)
+
+
 def test_helix_curvature(spark):
     t, c = np.linspace(0, 20, 2001), 0.5
     df = track(spark, [(x, (math.cos(x), math.sin(x), c * x)) for x in t])
@@ -166,6 +199,26 @@ def test_tails():
 def test_correlated_groups():
     pairs = [("a", "b", 0.99), ("b", "c", 0.97), ("c", "d", -0.96), ("a", "d", 0.1)]
     assert ml.correlated_groups(list("abcde"), pairs, 0.95) == [["a", "b", "c", "d"], ["e"]]
+    # Members stand in order of name, whatever order they joined in; groups never merge.
+    assert ml.correlated_groups(list("abc"), [("b", "c", 0.99), ("a", "b", 0.97), ("a", "c", 0.2)], 0.95) == [["a", "b", "c"]]
+    assert ml.correlated_groups(list("dcba"), [("c", "d", 0.99), ("a", "b", 0.98), ("b", "c", 0.97)], 0.95) == [["c", "d"], ["a", "b"]]
+
+
+def test_prepared_groups_features(spark):
+    """Of five features two rise together and one falls with them: one mean of three, named by its members."""
+    rng = np.random.default_rng(8)
+    a, b, c = rng.normal(size=(3, 80))
+    rows = [(i, "xy"[i % 2], float(c[i]), float(b[i]), float(2 * a[i]), float(a[i]), float(-a[i])) for i in range(80)]
+    df = spark.createDataFrame(rows, "object_id long, category string, z double, y double, d double, c double, b double")
+    matrix, steps = ml.prepared(df, MLConfig(correlation=0.9), 5)
+    assert sorted(ml.features_of(matrix)) == ["b, c, d", "y", "z"]
+    scaled = steps["standardized"].toPandas().set_index("object_id")
+    ours = matrix.toPandas().set_index("object_id")
+    assert np.allclose(ours["b, c, d"].sort_index(), scaled[["b", "c", "d"]].mean(axis=1).sort_index())
+    told = steps["feature_correlations"].toPandas()
+    corr = scaled[["b", "c", "d", "y", "z"]].corr()
+    assert all(r.correlation == pytest.approx(corr.loc[r.feature_a, r.feature_b]) and r.meets == (abs(r.correlation) >= 0.9) for r in told.itertuples())
+    assert set(told[told.grouped][["feature_a", "feature_b"]].itertuples(index=False, name=None)) == {("b", "c"), ("b", "d"), ("c", "d")}
 
 
 def test_pca_is_numpys(spark):
@@ -176,6 +229,16 @@ def test_pca_is_numpys(spark):
     ratios = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     ours = [r.ratio for r in found["explained_variance"].collect()]
     assert np.allclose(ours, (ratios / ratios.sum())[: len(ours)])
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    axes = axes[:, np.argsort(-values)][:, : len(ours)]
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(len(ours))])
+    loadings = found["loadings"].toPandas().set_index("feature").loc[list("abcde")]
+    assert np.allclose(loadings.to_numpy(), axes, atol=1e-6)
+    scores = found["pc_scores"].toPandas().sort_values("object_id").filter(like="PC")
+    assert np.allclose(scores.to_numpy(), (x - x.mean(axis=0)) @ axes, atol=1e-6)
+    views = figures.pc_views(found["pc_scores"])
+    k = min(4, len(ours))
+    assert len(views) == sum(math.comb(k, j) for j in (1, 2, 3)) and views["PC1_PC2"].columns == ["object_id", "category", "PC1", "PC2"]
 
 
 def test_sources(spark, tmp_path):
@@ -189,6 +252,78 @@ def test_sources(spark, tmp_path):
     assert words(" a  b ") == ("a", "b") and words(None) == ()
 
 
+def test_column_names(spark):
+    """Every name of every role is found, in any case and position."""
+    for role, names in tables.ROLE_NAMES.items():
+        for name in names:
+            assert tables.roles(["other", name.title(), "more"], [role]) == {role: name.title()}
+    assert sum(map(len, tables.ROLE_NAMES.values())) == 35
+    df = spark.createDataFrame([("7", "1", "2", "3", "4")], ["ObjectID", "Frame", "Coordinate X", "Y Position", "coordinate z"])
+    assert only(tables.segments(df)) == (7, 1.0, 2.0, 3.0, 4.0)
+
+
+def test_categories(spark):
+    df = spark.createDataFrame([("1", "b"), ("1", "a"), (None, "c"), ("2", None)], "Track string, Label string")
+    assert sorted(map(tuple, tables.categories(df).collect())) == [(1, "a"), (2, None)]
+
+
+def test_replicates(spark, tmp_path):
+    """Runs under names of replicates, one of them broken, are found and compared."""
+    rng = np.random.default_rng(1)
+    want = {}
+    for k in (1, 2, 3):
+        rows = [(i, "ab"[i % 2], float(rng.normal(i % 2)), 1.0) for i in range(11)]
+        df = spark.createDataFrame(rows, "object_id long, category string, speed double, same double")
+        tables.write({"features": df}, tables.replicate_folder(str(tmp_path), "exp", k))
+        for c in "ab":
+            want[f"r{k}", c] = float(np.median([r[2] for r in rows if r[1] == c]))
+    broken = tmp_path / "exp-r4_results" / "features"
+    broken.mkdir(parents=True)
+    (broken / "part.parquet").write_bytes(b"no table")
+    out = plan.compare_replicates(spark, f"{tmp_path}/exp-r*_results/features")
+    found = {(r.replicate, r.category): r.median for r in out["replicate_medians"].where("feature = 'speed'").collect()}
+    assert found == pytest.approx(want)
+    assert {r.category: r.median for r in out["category_medians"].where("feature = 'speed'").collect()} == pytest.approx({c: float(np.median([v for (_, x), v in want.items() if x == c])) for c in "ab"})
+    tests = {(r.feature, r.test) for r in out["replicate_stats"].collect()}
+    assert tests == {("same", "skipped"), ("speed", "kruskal"), ("speed", "dunn")}
+
+
+def test_generator(spark):
+    """Each behaviour as described: lengths, turns, bursts, and back and forth."""
+    how = generator.Generator(tracks=6)
+    segments, kinds = generator.generated(spark, how)
+    rows = segments.join(kinds, "object_id").toPandas().sort_values(["object_id", "time"])
+    assert {c: str(i)[: len(str(p))] for c, i, p in ((c, i, generator.BEHAVIOURS[c]) for c, i in zip(rows.category, rows.object_id))} == {c: str(p) for c, p in generator.BEHAVIOURS.items()}
+    figures_of: dict = {c: [] for c in generator.BEHAVIOURS}
+    for (kind, _), track_rows in rows.groupby(["category", "object_id"]):
+        points = track_rows[["x", "y", "z"]].to_numpy()
+        steps = np.linalg.norm(np.diff(points, axis=0), axis=1)
+        assert how.steps * 0.9 - 1 <= len(points) <= how.steps * 1.1 and np.allclose(points[0], 0)
+        if kind != "Dead":
+            assert how.length * 0.9 - 1e-6 <= steps.sum() <= how.length * 1.1 + 1e-6
+        turn = np.degrees(np.abs(np.diff(np.unwrap(np.arctan2(np.diff(points[:, 1]), np.diff(points[:, 0]))))))
+        figures_of[kind].append((np.linalg.norm(points[-1]) / steps.sum(), np.median(turn), steps.max() / np.median(steps), np.linalg.norm(points, axis=1).max()))
+    mean = {k: np.mean(v, axis=0) for k, v in figures_of.items()}
+    assert mean["MostlyStraight"][0] > 0.6 and mean["MostlyStraight"][0] > mean["Turns85deg"][0] > mean["Back-forth"][0]
+    assert mean["Back-forth"][0] < 0.1 and mean["Dead"][3] < 2 < mean["Back-forth"][3]
+    assert mean["Burst"][2] > 3 > mean["MostlyStraight"][2]
+    again = generator.generated(spark, how)[0].toPandas().sort_values(["object_id", "time"])
+    assert np.array_equal(again.x.to_numpy(), rows.x.to_numpy())
+
+
+def test_guards(spark):
+    """Helicity and hull of tracks too short for them, and slopes with their bars."""
+    short = track(spark, [(0, (0, 0, 0)), (1, (1, 1, 1))])
+    assert all(v is None for r in helicity.helicity(short, 4, smoothing=False).collect() for k, v in r.asDict().items() if k != "object_id")
+    fits = spark.createDataFrame([("a", 1.0, 0.9, 1.3)], "category string, slope double, ci_low double, ci_high double")
+    assert tuple(map(lambda v: round(v, 6), only(figures.slope_bars(fits))[1:])) == (1.0, 0.3, 0.1)
+    moving = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "a", 0.0, 1.0), (3, "a", 2.0, 0.0)], "object_id long, category string, mean_velocity double, median_velocity double")
+    assert {r.object_id for r in ml.moving_only(moving, True).collect()} == {2, 3} and ml.moving_only(moving, False).count() == 3
+    summary = spark.createDataFrame([(1, "a", 0.5, 0.0), (2, "a", 0.1, 0.0)], "object_id long, category string, arrest_coefficient double, convex_hull_volume double")
+    assert ml.without_unused(summary, 0.0).columns == ["object_id", "category"]
+    assert ml.without_unused(summary.withColumn("convex_hull_volume", summary.object_id * 1.0), 3.0).columns == summary.columns
+
+
 def test_whole_run(spark, tmp_path):
     segments, kinds = generator.generated(spark, generator.Generator(tracks=3, steps=30))
     cfg = RunConfig(contacts=True, contact_div_filter=True, attractors=True, helicity=True, verbose=True, tau=5)
@@ -197,6 +332,14 @@ def test_whole_run(spark, tmp_path):
     keep = ("settings", "summary_features", "contacts_summary", "attractors", "msd_category", "figure_violins")
     tables.write({k: out[k] for k in keep}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/settings").count() == len(cfg.__dataclass_fields__)
+    wide, long = out["mean_squared_displacements_wide"].toPandas().set_index("object_id"), out["mean_squared_displacements"].toPandas()
+    assert list(wide.columns) == [f"msd_{k}" for k in range(1, 6)]
+    assert all(wide.loc[r.object_id, f"msd_{r.tau}"] == r.msd for r in long.itertuples())
+    assert {"formatting", "dimensions", "attractors", "plan"} <= {r.step for r in out["runtime_log"].collect()}
+    log = plan.RunLog()
+    log.note("a", "begun")
+    log.note("a", "done")
+    assert [r.message for r in log.table(spark).collect()] == ["done"]
 
 
 def test_report_and_trees(spark):
@@ -206,6 +349,21 @@ def test_report_and_trees(spark):
     found = ml.boosted_trees(df, MLConfig())
     assert found["tree_features"].first().feature == "f"
     assert found["tree_report"].first().accuracy > 0.9
+    grid = {"maxDepth": [1, 2], "maxIter": [1, 2], "stepSize": [0.1, 0.3]}
+    found = ml.boosted_trees(df, MLConfig(search=True, draws=2, grid=grid))
+    assert found["tree_report"].first().accuracy > 0.9
+    params = ast.literal_eval(found["tree_hyperparams"].first().params)
+    assert all(params[k] in v for k, v in grid.items())
+
+
+def test_grids(spark):
+    """Draws are points of the fixed grids, all different, and the same for a seed."""
+    gbt = GBTClassifier()
+    for kind, grid in ml.GRIDS.items():
+        points = ml.drawn_grid(gbt, grid, ml.DRAWS[kind], 42)
+        assert len(points) == ml.DRAWS[kind] == len({tuple(p.values()) for p in points})
+        assert all(v in grid[k.name] for p in points for k, v in p.items())
+        assert points == ml.drawn_grid(gbt, grid, ml.DRAWS[kind], 42)
 
 
 def test_tree_queries_see_all(spark, tmp_path):
@@ -214,11 +372,21 @@ def test_tree_queries_see_all(spark, tmp_path):
 
     rng = np.random.default_rng(6)
     rows = [(i, i % 3, [*map(float, rng.normal(size=63)), 5.0 * (i % 3 == 2)]) for i in range(45)]
-    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = q.QUERIES["boosted_trees"](spark, str(tmp_path)).collect()
-    assert {r.feature for r in found} == {f"d{i:02d}" for i in range(64)}
-    assert found[0].feature == "d63"
-    assert {"tree_report", "pairwise_tree_features", "pairwise_tree_report"} <= set(q.QUERIES)
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = [r for r in q.QUERIES["boosted_trees"](spark, str(tmp_path)).collect()]
+    ranked = {r["name"]: r.value for r in found if r.table == "features"}
+    assert set(ranked) == {f"d{i:02d}" for i in range(64)} and max(ranked, key=ranked.get) == "d63"
+    assert {r["name"] for r in found if r.table == "report"} == {"0", "1", "2"}
+
+
+def test_pairwise_trees(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, "abc"[i % 3], float((i % 3 == 2) + rng.normal(0, 0.1)), *map(float, rng.normal(size=2))) for i in range(45)]
+    df = spark.createDataFrame(rows, "object_id long, category string, f double, g double, h double").coalesce(1)
+    found = ml.pairwise_trees(df, MLConfig(trees=2))
+    best = {(r.cat_a, r.cat_b): r.feature for r in found["tree_features"].orderBy("importance").collect()}
+    assert set(best) == {("a", "b"), ("a", "c"), ("b", "c")} and best["a", "c"] == best["b", "c"] == "f"
+    assert all(r.accuracy > 0.9 for r in found["tree_report"].where("cat_b = 'c'").collect())
 
 
 def test_stream(spark, tmp_path):

@@ -7,11 +7,14 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class AttractorConfig:
+    """``broken_chains``: a chain that breaks for too many gaps is judged too, not only a segment's last."""
+
     distance_threshold: float = 100.0
     approach_ratio: float = 0.5
     min_proximity: float = 20.0
     time_persistence: int = 6
     max_gaps: int = 4
+    broken_chains: bool = False
     attractor_types: tuple[str, ...] = ()
     attracted_types: tuple[str, ...] = ()
 
@@ -22,6 +25,8 @@ class AttractorConfig:
 
 @dataclass(frozen=True)
 class MLConfig:
+    """``search``: hyper-parameters are searched, in ``grid`` and by ``draws`` points of it if given, else in the fixed grids; without it they are ``depth`` and ``trees``."""
+
     categories: tuple[str, ...] = ()
     min_samples: int = 5
     min_samples_trees: int = 10
@@ -31,6 +36,11 @@ class MLConfig:
     test_share: float = 0.4
     seed: int = 42
     drop_non_moving: bool = False
+    depth: int = 3
+    trees: int = 10
+    search: bool = False
+    draws: int = 0
+    grid: dict[str, list] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -51,10 +61,12 @@ class RunConfig:
     attractors: bool = False
     helicity: bool = False
     verbose: bool = False
+    wide: bool = True
     hull_times_duration: bool = False
     median_of_angles: bool = False
     euclidean_contacts: bool = False
     both_sides_dead: bool = False
+    both_sides_contacts: bool = False
     attractor: AttractorConfig = field(default_factory=AttractorConfig)
     ml: MLConfig = field(default_factory=MLConfig)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -9,8 +10,8 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +32,10 @@ def enough_samples(df: DataFrame, least: int) -> DataFrame:
     return df.join(kept, "category", "left_semi")
 
 
-def without_unused(df: DataFrame, arrest_limit: float, flat: bool) -> DataFrame:
-    """Without an arrest coefficient that was not asked for, and a hull volume in two dimensions."""
-    return df.drop(*(["arrest_coefficient"] if arrest_limit == 0 else []), *(["convex_hull_volume"] if flat else []))
+def without_unused(df: DataFrame, arrest_limit: float) -> DataFrame:
+    """Without an arrest coefficient that was not asked for, and a hull volume that is 0 throughout, as in two dimensions."""
+    hull = "convex_hull_volume" in df.columns and df.where("convex_hull_volume <> 0").limit(1).count() == 0
+    return df.drop(*(["arrest_coefficient"] if arrest_limit == 0 else []), *(["convex_hull_volume"] if hull else []))
 
 
 def moving_only(df: DataFrame, on: bool) -> DataFrame:
@@ -70,7 +72,7 @@ def correlations(df: DataFrame) -> DataFrame:
 
 
 def correlated_groups(names: list[str], pairs: list[tuple[str, str, float]], threshold: float) -> list[list[str]]:
-    """Features grouped greedily by falling correlation; groups never merge, and the rest stand alone in order."""
+    """Features grouped greedily by falling correlation; groups never merge, members are sorted, and the rest stand alone in order."""
     group: dict[str, list[str]] = {}
     out: list[list[str]] = []
     for a, b, r in sorted(pairs, key=lambda p: (-abs(p[2]), p[0], p[1])):
@@ -85,7 +87,7 @@ def correlated_groups(names: list[str], pairs: list[tuple[str, str, float]], thr
         elif a not in group:
             group[a] = group[b] = [a, b]
             out.append(group[a])
-    return out + [[c] for c in names if c not in group]
+    return [sorted(g) for g in out] + [[c] for c in names if c not in group]
 
 
 def aggregated(df: DataFrame, groups: list[list[str]]) -> DataFrame:
@@ -176,33 +178,54 @@ def report(predicted: DataFrame) -> DataFrame:
     return rows.select("category", "precision", "recall", "f1", "support", (F.sum("hit").over(whole) / F.sum("support").over(whole)).alias("accuracy"))
 
 
-#: Hyper-parameters searched, few for few objects.
-GRIDS = {False: {"maxDepth": [2, 3], "maxIter": [10]}, True: {"maxDepth": [3, 5], "maxIter": [10, 20]}}
+#: The hyper-parameters searched, by whether two categories are compared and whether there are at least 50 objects, and how many points are drawn.
+GRIDS = {
+    (True, False): {"maxIter": [50, 100], "stepSize": [0.1, 0.2], "maxDepth": [3, 4], "minInfoGain": [0.0, 0.1], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"], "minInstancesPerNode": [1, 3]},
+    (True, True): {"maxIter": [100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 5, 7], "minInfoGain": [0.0, 0.1], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"], "minInstancesPerNode": [1, 3]},
+    (False, False): {"maxIter": [50, 100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [2, 3, 4], "minInfoGain": [0.0, 0.1], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"], "minInstancesPerNode": [1, 3]},
+    (False, True): {"maxIter": [100, 200, 300, 500], "stepSize": [0.01, 0.05, 0.1, 0.2, 0.3], "maxDepth": [3, 5, 7, 9], "minInfoGain": [0.0, 0.05, 0.1, 0.2], "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.6", "0.8", "1.0"], "minInstancesPerNode": [1, 3, 5]},
+}
+DRAWS = {(True, False): 25, (True, True): 50, (False, False): 50, (False, True): 100}
 
 
-def boosted_trees(df: DataFrame, cfg: MLConfig, search: bool = False) -> dict[str, DataFrame]:
-    """Importances, report and parameters of boosted trees: one against the rest where there are more than two categories."""
+def drawn_grid(gbt: GBTClassifier, grid: dict[str, list], draws: int, seed: int) -> list[dict]:
+    """``draws`` different points of the grid, at most all of them, by a seeded draw."""
+    values, sizes = list(grid.values()), [len(v) for v in grid.values()]
+    total = math.prod(sizes)
+    chosen = np.random.default_rng(seed).choice(total, min(draws, total), replace=False)
+    return [{gbt.getParam(n): v[i] for n, v, i in zip(grid, values, np.unravel_index(c, sizes))} for c in chosen.tolist()]
+
+
+def searched(rows: DataFrame, model, gbt: GBTClassifier, cfg: MLConfig, pairwise: bool, k: int) -> dict:
+    """The most accurate of the drawn points in cross-validation by stratified folds; of equals the first."""
+    kind = pairwise, rows.count() >= 50
+    points = drawn_grid(gbt, cfg.grid or GRIDS[kind], cfg.draws or DRAWS[kind], cfg.seed)
+    cross = CrossValidator(estimator=model, estimatorParamMaps=points, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k or 3, foldCol="fold", seed=cfg.seed, parallelism=4)
+    found = cross.fit(folds(rows, k or 3, cfg.seed).withColumn("fold", F.col("fold").cast("int")))
+    return {p.name: v for p, v in points[int(np.argmax(found.avgMetrics))].items()}
+
+
+def boosted_trees(df: DataFrame, cfg: MLConfig, pairwise: bool = False) -> dict[str, DataFrame]:
+    """Importances, report and parameters of boosted trees: one against the rest where there are more than two categories.
+
+    With ``cfg.search`` hyper-parameters are searched, else they are those of ``cfg``.
+    """
     spark, names = df.sparkSession, features_of(df)
     index = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(df)
-    rows = index.transform(assembled(df))
+    rows = index.transform(assembled(df)).persist()
     labels = index.labels
-    gbt = GBTClassifier(maxDepth=3, maxIter=10, seed=cfg.seed)
-    model = gbt if len(labels) == 2 else OneVsRest(classifier=gbt)
-    params = {"maxDepth": 3, "maxIter": 10}
+    params = {"maxDepth": cfg.depth, "maxIter": cfg.trees}
     k = fold_count(df, cfg.min_samples_trees)
-    if search:
-        grid = ParamGridBuilder()
-        for name, values in GRIDS[df.count() >= 100].items():
-            grid = grid.addGrid(gbt.getParam(name), values)
-        best = CrossValidator(estimator=gbt if len(labels) == 2 else model, estimatorParamMaps=grid.build(), evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=3, seed=cfg.seed, parallelism=4).fit(rows)
-        chosen = grid.build()[int(np.argmax(best.avgMetrics))]
-        params |= {p.name: v for p, v in chosen.items()}
-        gbt = GBTClassifier(seed=cfg.seed, **params)
-        model = gbt if len(labels) == 2 else OneVsRest(classifier=gbt)
+    made = lambda params: GBTClassifier(seed=cfg.seed, **params)
+    whole = lambda gbt: gbt if len(labels) == 2 else OneVsRest(classifier=gbt)
+    if cfg.search:
+        gbt = made(params)
+        params |= searched(rows, whole(gbt), gbt, cfg, pairwise, k)
+    model = whole(made(params))
     if k:
-        parts = [(d.where(F.col("fold") != i), d.where(F.col("fold") == i)) for d in [folds(rows, k, cfg.seed)] for i in range(k)]
+        parts = [(d.where(F.col("fold") != i), d.where(F.col("fold") == i)) for d in [folds(rows, k, cfg.seed).persist()] for i in range(k)]
     else:
-        d = split(rows, cfg.test_share, cfg.seed)
+        d = split(rows, cfg.test_share, cfg.seed).persist()
         parts = [(d.where("not test"), d.where("test"))]
     said, importances = None, np.zeros(len(names))
     for train, test in parts:
@@ -225,11 +248,8 @@ def pairwise_trees(df: DataFrame, cfg: MLConfig) -> dict[str, DataFrame]:
     names = sorted(r["category"] for r in df.select("category").distinct().collect())
     out: dict[str, DataFrame] = {}
     for a, b in combinations(names, 2) if len(names) > 2 else []:
-        for key, table in boosted_trees(df.where(F.col("category").isin(a, b)), cfg).items():
+        for key, table in boosted_trees(df.where(F.col("category").isin(a, b)), cfg, pairwise=True).items():
             table = table.select(F.lit(a).alias("cat_a"), F.lit(b).alias("cat_b"), "*")
             out[key] = out[key].unionByName(table) if key in out else table
     return out
 
-
-def vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
-    return df.withColumn("features", array_to_vector(column))

@@ -32,3 +32,9 @@ def replicate_stats(medians: DataFrame) -> DataFrame:
     whole = stats.kruskal_wallis(varied).join(spread, "feature").select("feature", F.lit("kruskal").alias("test"), F.lit("all").alias("comparison"), F.col("h").alias("statistic"), F.col("p").alias("p_value"), "n")
     pairs = stats.dunn(varied).join(spread, "feature").select("feature", F.lit("dunn").alias("test"), F.concat_ws(" vs ", "cat_a", "cat_b").alias("comparison"), F.col("z").alias("statistic"), F.col("p_holm").alias("p_value"), "n")
     return skipped.unionByName(whole).unionByName(pairs)
+
+
+def compare(summary: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a comparison of replicates, from summaries with a column ``replicate``."""
+    medians = replicate_medians(long_features(summary))
+    return {"replicate_medians": medians, "category_medians": category_medians(medians), "replicate_stats": replicate_stats(medians)}

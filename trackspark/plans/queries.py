@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..config import AttractorConfig, MLConfig, RunConfig
 from ..operators import attractors, contacts, figures, formatting, helicity, kinematics, ml, msd, replicates, shape, stats
 from ..operators import summary as features
 from ..sources import adapters as src
-from ..sources import generator
+from ..sources import generator, tables
 
 TAU = 10
 CFG = RunConfig(dt=1.0, tau=TAU, arrest_limit=60.0, moving=4)
@@ -62,6 +63,26 @@ def r(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({e}, {digits}) + 0.0 as {n}" for e, n in parts)
 
 
+# Sources --------------------------------------------------------------------------------------------------------------
+
+
+def _typed_in(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as they stand in a file: text, some of it no number, under headers of another kind."""
+    rows = src.day_points(spark, d)
+    x = F.when(F.floor("x") % 7 == 0, F.lit("n/a")).otherwise(F.round("x", 3).cast("string"))
+    return rows.select(F.col("object_id").cast("string").alias("Parent ID"), F.col("time").cast("string").alias("Frame"), x.alias("Position X"), F.round("y", 3).cast("string").alias("Coordinate Y"), F.lit("note").alias("comment"))
+
+
+@_query("segments_scan", f"select object_id, {r('time')}, case when floor(x) % 7 <> 0 then round(round(x, 3), 6) + 0.0 end as x, {r('round(y, 3):y')}, 0.0::double as z from day_points")
+def _(spark, d):
+    return tables.segments(_typed_in(spark, d))
+
+
+@_query("categories_scan", "select user_id as object_id, min(event_type)::varchar as category from events group by user_id")
+def _(spark, d):
+    return tables.categories(src.table(spark, d, "events").select(F.col("user_id").alias("cell"), F.col("event_type").alias("Type")))
+
+
 # Formatting -----------------------------------------------------------------------------------------------------------
 
 
@@ -178,9 +199,19 @@ def _(spark, d):
     return kinematics.overall_euclid_median(kinematics.euclid_medians(kinematics.euclid_lags(src.step_tracks(spark, d), TAU)))
 
 
-@_query("filled_taus", f"select object_id, seq, tau, {r('sqrt(sq):euclid')} from lag_rows where tau in (select tau from lag_rows group by tau having max(sq) > 0)")
+PARTS["emptied"] = "select object_id, seq, tau, case when tau % 3 <> 0 then sqrt(sq) else 0 end as euclid from lag_rows"
+
+
+@_query("filled_taus", f"select object_id, seq, tau, {r('euclid')} from emptied where tau in (select tau from emptied group by tau having max(euclid) > 0)")
+def _(spark, d):
+    """Every third lag is 0 throughout."""
+    lags = kinematics.euclid_lags(src.step_tracks(spark, d), TAU)
+    return kinematics.filled_taus(lags.withColumn("euclid", F.when(F.col("tau") % 3 != 0, F.col("euclid")).otherwise(0.0)), "euclid")
+
+
+@_query("euclid_medians_wide", "select object_id, " + ", ".join(f"round(max(euclid_median) filter (tau = {k}), 6) + 0.0 as euclid_{k}" for k in range(1, TAU + 1)) + " from euclid_meds group by object_id")
 def _(spark, d):
-    return kinematics.filled_taus(kinematics.euclid_lags(src.step_tracks(spark, d), TAU), "euclid")
+    return kinematics.wide(kinematics.euclid_medians(kinematics.euclid_lags(src.step_tracks(spark, d), TAU)), "euclid_median", list(range(1, TAU + 1)), "euclid")
 
 
 # Mean squared displacement --------------------------------------------------------------------------------------------
@@ -210,6 +241,11 @@ def _(spark, d):
     return _curves(spark, d)
 
 
+@_query("msd_wide", "select object_id, " + ", ".join(f"round(max(msd) filter (tau = {k}), 4) + 0.0 as msd_{k}" for k in range(1, TAU + 1)) + " from msds group by object_id", digits=4)
+def _(spark, d):
+    return kinematics.wide(_curves(spark, d), "msd", list(range(1, TAU + 1)), "msd")
+
+
 @_query("msd_many_lags", f"select object_id, tau, {r('avg(sq):msd', digits=4)} from (select b.object_id, t.tau, (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 as sq from supplier_tracks a, (select unnest(range(1, 61)) as tau) t, supplier_tracks b where a.object_id = b.object_id and b.time = a.time + t.tau) where sq > 0 group by object_id, tau", digits=4)
 def _(spark, d):
     return msd.msd(src.supplier_tracks(spark, d), 60)
@@ -240,9 +276,21 @@ def _(spark, d):
     return msd.category_curve(_points(spark, d))
 
 
-@_query("loglog_prefix_fit", f"select category, {r('slope', 'r2', digits=4)}, max_tau, points from ({_fit('curve', 'category', 0.05)})", digits=4)
+@_query("loglog_prefix_fit", f"select category, {r('slope', 'r2', digits=4)}, max_tau, points from ({_fit('curve', 'category', 0.995)})", digits=4)
+def _(spark, d):
+    return msd.prefix_fit(msd.category_curve(_points(spark, d)))
+
+
+PARTS["bent"] = "select category, tau, log10(tau) as log_tau, (1 + k / 10.0::double) * log10(least(tau, 4 + k)) + case when tau > 4 + k then 0.3 * (tau % 2) else 0 end as log_msd from (select distinct category, substr(category, 2)::int as k from user_categories ), (select unnest(range(1, 13)) as tau)"
+
+
+@_query("loglog_prefix_fit_bent", f"select category, {r('slope', 'r2', digits=4)}, max_tau, points from ({_fit('bent', 'category', 0.995)})", digits=4)
 def _(spark, d):
-    return msd.prefix_fit(msd.category_curve(_points(spark, d)), r2=0.05)
+    """Curves that are straight up to another lag in each category, and zigzag after it."""
+    k, tau = F.substring("category", 2, 9).cast("int"), F.col("tau")
+    rows = src.user_categories(spark, d).select("category").distinct().withColumn("tau", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    bent = (1 + k / 10) * F.log10(F.least(tau, 4 + k)) + F.when(tau > 4 + k, 0.3 * (tau % 2)).otherwise(0.0)
+    return msd.prefix_fit(rows.select("category", "tau", F.log10("tau").alias("log_tau"), bent.alias("log_msd")))
 
 
 PARTS["draws"] = """select c.category, boot, r.object_id, count(*) as weight from (
@@ -319,9 +367,11 @@ def _(spark, d):
     return features.presented(_summary(spark, d))
 
 
-@_query("maxeuclid_filter", f"select object_id, category, {r(*_SUMMARY, digits=3)} from summary where max_euclidean >= 90", digits=3)
+@_query("maxeuclid_filter", f"select object_id, category, {r(*_SUMMARY, digits=3)} from summary where max_euclidean >= (select floor(median(max_euclidean)) from geometry )", digits=3)
 def _(spark, d):
-    return features.far_enough(_summary(spark, d), 90.0)
+    """From the median of the greatest distances on, so that about half of the objects go."""
+    whole = _summary(spark, d)
+    return features.far_enough(whole, float(whole.agg(F.floor(F.median("max_euclidean"))).first()[0]))
 
 
 @_query("replicate_features", f"select feature, category, replicate, {r('median(value):median', digits=4)}, count(value) as n from (unpivot (select category, 'r' || (object_id % 3) as replicate, {', '.join(_SUMMARY)} from summary ) on {', '.join(_SUMMARY)} into name feature value value) group by all", digits=4)
@@ -330,10 +380,46 @@ def _(spark, d):
     return replicates.replicate_medians(replicates.long_features(runs))
 
 
-@_query("replicate_stats")
-def _(spark, d):
+def _medians(spark: SparkSession, d: str) -> DataFrame:
+    """Medians of three replicates, rounded so that ties are the same for all engines."""
     runs = _summary(spark, d).withColumn("replicate", F.concat(F.lit("r"), F.col("object_id") % 3))
-    return replicates.replicate_stats(replicates.replicate_medians(replicates.long_features(runs)))
+    return replicates.replicate_medians(replicates.long_features(runs)).withColumn("median", F.round("median", 5))
+
+
+PARTS["rep_long"] = f"select feature, category, round(median(value), 5) as value from (unpivot (select category, object_id % 3 as replicate, {', '.join(_SUMMARY)} from summary ) on {', '.join(_SUMMARY)} into name feature value value) group by feature, category, replicate"
+
+
+@_query("category_medians", f"select feature, category, {r('median(value):median', digits=4)}, count(*) as n from rep_long group by feature, category", digits=4)
+def _(spark, d):
+    return replicates.category_medians(_medians(spark, d))
+
+
+def _rank_parts(name: str, source: str) -> None:
+    """Ranks, sums by category, H and z of a long table (feature, category, value)."""
+    PARTS[f"{name}_rk"] = f"select feature, category, value, count(*) over (partition by feature, value) as tie, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0::double as rk from {source} where value is not null"
+    PARTS[f"{name}_sums"] = f"select feature, category, count(*) as n, sum(rk) as r from {name}_rk group by feature, category"
+    PARTS[f"{name}_all"] = f"select feature, count(*)::double as total, sum((tie * tie - 1)::double) as ties from {name}_rk group by feature"
+    PARTS[f"{name}_h"] = f"select feature, groups, (12 / (total * (total + 1)) * s - 3 * (total + 1)) / (1 - ties / (total ** 3 - total)) as h from (select feature, count(*) as groups, sum(r * r / n) as s from {name}_sums group by feature) join {name}_all using (feature)"
+    PARTS[f"{name}_z"] = f"select a.feature as feature, a.category as cat_a, b.category as cat_b, (a.r / a.n - b.r / b.n) / sqrt((total * (total + 1) / 12 - ties / (12 * (total - 1))) * (1.0 / a.n + 1.0 / b.n)) as z from {name}_sums a join {name}_sums b on a.feature = b.feature and a.category < b.category join {name}_all t on a.feature = t.feature"
+    PARTS[f"{name}_p"] = f"select *, {_tail('z * z', '0.5')} as p from {name}_z"
+    PARTS[f"{name}_holm"] = f"select feature, cat_a, cat_b, z, p, max(least(1, p * (m - k + 1))) over (partition by feature order by k) as p_holm from (select *, row_number() over (partition by feature order by p, cat_a, cat_b) as k, count(*) over (partition by feature) as m from {name}_p )"
+
+
+def _tail(x: str, a: str) -> str:
+    """The chance that a chi-squared variable of 2 ``a`` degrees of freedom exceeds ``x``: one less the series of the incomplete gamma function."""
+    return f"greatest(0, 1 - list_sum(list_transform(range(0, 400), lambda n: exp(-({x}) / 2 + ({a} + n) * ln(greatest(({x}) / 2, 1e-300)) - lgamma({a} + n + 1)))))"
+
+
+_rank_parts("rep", "rep_varied")
+PARTS["rep_sizes"] = "select feature, count(distinct value) as k, count(*) as n from rep_long group by feature"
+PARTS["rep_varied"] = "select * from rep_long where feature in (select feature from rep_sizes where k > 1)"
+
+
+@_query("replicate_stats", f"""select feature, 'skipped' as test, 'all' as comparison, null::double as statistic, null::double as p_value, n from rep_sizes where k <= 1
+    union all select feature, 'kruskal', 'all', {r('h:statistic', digits=4)}, round({_tail('h', '(groups - 1) / 2.0')}, 4) + 0.0, n from rep_h join rep_sizes using (feature)
+    union all select feature, 'dunn', cat_a || ' vs ' || cat_b, round(z, 4) + 0.0, round(p_holm, 4) + 0.0, n from rep_holm join rep_sizes using (feature)""", digits=4)
+def _(spark, d):
+    return replicates.replicate_stats(_medians(spark, d))
 
 
 # Contacts and attractors ----------------------------------------------------------------------------------------------
@@ -365,9 +451,11 @@ def _(spark, d):
     return contacts.minus_dividing(_met(spark, d))
 
 
-@_query("contacts_minus_dead", f"select object_id, object_compare, {r('time')} from met where object_id in (select object_id from geometry where arrest_coefficient < 0.75)")
+@_query("contacts_minus_dead", f"select object_id, object_compare, {r('time')} from met where object_id in (select object_id from geometry where arrest_coefficient < (select round(median(arrest_coefficient), 3) + 0.0005 from geometry ))")
 def _(spark, d):
-    return contacts.minus_dead(_met(spark, d), features.geometry(_kin(spark, d), CFG.arrest_limit), 0.75)
+    """Up to the median of the coefficients, so that about half of the objects count as dead."""
+    geometry = features.geometry(_kin(spark, d), CFG.arrest_limit)
+    return contacts.minus_dead(_met(spark, d), geometry, geometry.agg(F.round(F.median("arrest_coefficient"), 3) + 0.0005).first()[0])
 
 
 @_query("contacts_summary", f"select object_id, category, n_contacts, {r('total_time', 'median_duration')} from contact_rows")
@@ -375,6 +463,15 @@ def _(spark, d):
     return _each(spark, d)
 
 
+PARTS["both_met"] = "select object_id, object_compare, time from met union select object_compare, object_id, time from met"
+PARTS["met_events"] = "select object_id, object_compare, count(*) * 1.0::double as duration from (select *, sum(fresh) over (partition by object_id, object_compare order by time) as event from (select *, coalesce(time - lag(time) over (partition by object_id, object_compare order by time) > 1.5, true)::int as fresh from both_met )) group by object_id, object_compare, event"
+
+
+@_query("contacts_summary_both_sides", f"select object_id, category, coalesce(n, 0) as n_contacts, {r('coalesce(t, 0):total_time', 'coalesce(m, 0):median_duration')} from user_categories left join (select object_id, count(distinct object_compare) as n, sum(duration) as t, median(duration) as m from met_events group by object_id) using (object_id)")
+def _(spark, d):
+    return contacts.contacts_summary(_met(spark, d), src.user_categories(spark, d), 1.0, both_sides=True)
+
+
 @_query("contacts_per_category", f"select category, count(*) as total_objects, {r('100.0 * count(*) filter (n_contacts > 0) / count(*):pct_with_contact', '100.0 * count(*) filter (n_contacts >= 3) / count(*):pct_with_3plus', 'median(n_contacts) filter (n_contacts > 0):median_contacts', 'median(total_time) filter (n_contacts > 0):median_time', 'median(median_duration) filter (n_contacts > 0):median_duration')} from contact_rows group by category")
 def _(spark, d):
     return contacts.contacts_per_category(_each(spark, d))
@@ -400,6 +497,15 @@ def _(spark, d):
     return _chains(spark, d)
 
 
+PARTS["all_chains"] = "select * from (select *, count(*) over c as n, arg_min(distance, time) over c as d0, arg_max(distance, time) over c as d1, min(distance) over c as dm from chain5 window c as (partition by attractor_id, attracted_id, segment, chain)) where n >= 3 and d1 < d0 * 0.5 and dm <= 10"
+
+
+@_query("attractor_broken_chains", f"select attractor_id, attractor_type, attracted_id, attracted_type, {r('time', 'distance')} from all_chains")
+def _(spark, d):
+    cfg = replace(CHAINS, broken_chains=True, time_persistence=3)
+    return attractors.events(attractors.pairs(src.day_tracks(spark, d), src.user_categories(spark, d), cfg), cfg)
+
+
 @_query("attractor_enriched", f"select attractor_type, attractor_id, {r('a.velocity:attractor_velocity')}, attracted_type, attracted_id, {r('b.velocity:attracted_velocity', 'c.time:time', 'distance', 'b.velocity - a.velocity:velocity_difference')} from chains c left join day_velocity a on a.object_id = attractor_id and a.time = c.time left join day_velocity b on b.object_id = attracted_id and b.time = c.time")
 def _(spark, d):
     return attractors.enriched(_chains(spark, d), kinematics.kinematics(src.day_tracks(spark, d), 1.0, 3.0))
@@ -437,9 +543,11 @@ def _(spark, d):
     return _scaled(spark, d)
 
 
-@_query("variance_filter", f"select object_id, category, {r(*_DIMS)} from scaled")
+@_query("variance_filter", f"select object_id, category, {r(*_DIMS)} from logged")
 def _(spark, d):
-    return ml.varying(_scaled(spark, d), 0.01)
+    """Two features beside the dimensions, a constant and one that hardly varies, go."""
+    rows = ml.signed_log(src.embedding_features(spark, d))
+    return ml.varying(rows.withColumns({"constant": F.lit(1.0), "still": F.col("d00") * 1e-4}), 1e-5)
 
 
 @_query("corr_pairs", "select * from (" + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, round(corr({a}, {b}), 6) + 0.0 as correlation from scaled" for i, a in enumerate(_DIMS) for b in _DIMS[i + 1 :]) + ")")
@@ -452,22 +560,25 @@ def _(spark, d):
     return ml.prepared(src.embedding_features(spark, d), MLConfig(), 5)[1]["feature_correlations"]
 
 
-PARTS["ranks"] = "select feature, category, value, count(*) over (partition by feature, value) as tie, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0::double as rk from long_matrix"
-PARTS["rank_groups"] = "select feature, category, count(*) as n, sum(rk) as r from ranks group by feature, category"
-PARTS["rank_totals"] = "select feature, count(*)::double as total, sum((tie * tie - 1)::double) as ties from ranks group by feature"
+_rank_parts("dim", "long_matrix")
 
 
-@_query("kw_statistic", f"select feature, groups, {r('(12 / (total * (total + 1)) * s - 3 * (total + 1)) / (1 - ties / (total ** 3 - total)):h', digits=4)} from (select feature, count(*) as groups, sum(r * r / n) as s from rank_groups group by feature) join rank_totals using (feature)", digits=4)
+@_query("kw_statistic", f"select feature, groups, {r('h', digits=4)} from dim_h", digits=4)
 def _(spark, d):
     return stats.kruskal_wallis(_long(spark, d)).select("feature", "groups", "h")
 
 
-@_query("dunn_z", f"select a.feature as feature, a.category as cat_a, b.category as cat_b, {r('(a.r / a.n - b.r / b.n) / sqrt((total * (total + 1) / 12 - ties / (12 * (total - 1))) * (1.0 / a.n + 1.0 / b.n)):z', digits=4)} from rank_groups a join rank_groups b on a.feature = b.feature and a.category < b.category join rank_totals t on t.feature = a.feature", digits=4)
+@_query("kw_p_values", f"select feature, round({_tail('h', '(groups - 1) / 2.0')}, 5) + 0.0 as p from dim_h", digits=5)
+def _(spark, d):
+    return stats.kruskal_wallis(_long(spark, d)).select("feature", "p")
+
+
+@_query("dunn_z", f"select feature, cat_a, cat_b, {r('z', digits=4)} from dim_z", digits=4)
 def _(spark, d):
     return stats.dunn(_long(spark, d)).select("feature", "cat_a", "cat_b", "z")
 
 
-@_query("rank_p_values")
+@_query("rank_p_values", f"select feature, cat_a, cat_b, {r('z', 'p', 'p_holm', digits=4)} from dim_holm", digits=4)
 def _(spark, d):
     return stats.dunn(_long(spark, d))
 
@@ -500,24 +611,23 @@ def _(spark, d):
     return ml.pca(_scaled(spark, d))["pc_scores"]
 
 
-@_query("boosted_trees")
-def _(spark, d):
-    return ml.boosted_trees(_scaled(spark, d), MLConfig())["tree_features"]
+def _said(found: dict[str, DataFrame], *keys: str) -> DataFrame:
+    """Importances and report of trained trees as rows (table, name, measure, value), so that they are trained once."""
+    keys = [F.col(k) for k in keys]
+    ranked = found["tree_features"].select(*keys, F.lit("features").alias("table"), F.col("feature").alias("name"), F.lit("importance").alias("measure"), F.col("importance").alias("value"))
+    measures = ("precision", "recall", "f1", "support", "accuracy")
+    told = found["tree_report"].select(*keys, F.col("category").alias("name"), F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))).alias("e"))
+    return ranked.unionByName(told.select(*keys, F.lit("report").alias("table"), "name", "e.measure", "e.value"))
 
 
-@_query("tree_report")
-def _(spark, d):
-    return ml.boosted_trees(_scaled(spark, d), MLConfig())["tree_report"]
-
-
-@_query("pairwise_tree_features")
+@_query("boosted_trees")
 def _(spark, d):
-    return ml.pairwise_trees(_scaled(spark, d), MLConfig())["tree_features"]
+    return _said(ml.boosted_trees(_scaled(spark, d), MLConfig()))
 
 
-@_query("pairwise_tree_report")
+@_query("pairwise_trees")
 def _(spark, d):
-    return ml.pairwise_trees(_scaled(spark, d), MLConfig())["tree_report"]
+    return _said(ml.pairwise_trees(_scaled(spark, d), MLConfig()), "cat_a", "cat_b")
 
 
 # Shape and figures ----------------------------------------------------------------------------------------------------
@@ -575,10 +685,10 @@ def _(spark, d):
     return figures.category_colors(src.user_categories(spark, d))
 
 
-@_query("msd_lines", f"select category, tau, {r('log_tau', 'log_msd', 'case when tau <= max_tau then y0 + slope * (log_tau - x0) end:fit', digits=4)} from curve join (select category, arg_min(log_msd, log_tau) as y0, min(log_tau) as x0 from curve group by category) using (category) join ({_fit('curve', 'category', 0.05)}) using (category)", digits=4)
+@_query("msd_lines", f"select category, tau, {r('log_tau', 'log_msd', 'case when tau <= max_tau then y0 + slope * (log_tau - x0) end:fit', digits=4)} from curve join (select category, arg_min(log_msd, log_tau) as y0, min(log_tau) as x0 from curve group by category) using (category) join ({_fit('curve', 'category', 0.995)}) using (category)", digits=4)
 def _(spark, d):
     curve = msd.category_curve(_points(spark, d))
-    return figures.msd_lines(curve, msd.prefix_fit(curve, r2=0.05))
+    return figures.msd_lines(curve, msd.prefix_fit(curve))
 
 
 @_query("generated_tracks")

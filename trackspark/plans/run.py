@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import asdict
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..operators import attractors, contacts, figures, formatting, helicity, kinematics, ml, msd, shape
+from ..operators import attractors, contacts, figures, formatting, helicity, kinematics, ml, msd, replicates, shape
 from ..operators import summary as features
+from ..sources import tables
 
 
 def settings(segments: DataFrame, cfg: RunConfig) -> DataFrame:
@@ -24,11 +26,27 @@ def formatted(segments: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame
     return kept, formatting.removed_objects(tracks, kept)
 
 
+class RunLog:
+    """Time-stamped messages of a run, as a table; a message under a key that is there replaces it."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, tuple[datetime, str]] = {}
+
+    def note(self, key: str, message: str) -> None:
+        self.rows[key] = (datetime.now(timezone.utc), message)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(k, at, text) for k, (at, text) in self.rows.items()], "step string, at timestamp, message string")
+
+
 def run(segments: DataFrame, categories: DataFrame | None = None, cfg: RunConfig = RunConfig()) -> dict[str, DataFrame]:
     """All result tables by name. Tracks and summary feed many of them and are kept."""
+    log = RunLog()
+    log.note("formatting", "interpolated" if cfg.interpolate else "tracks with gaps removed")
     tracks, removed = formatted(segments, cfg)
     tracks = formatting.require_tracks(tracks.persist())
     flat = bool(formatting.is_flat(tracks).first()[0])
+    log.note("dimensions", "two: no hull, no helicity" if flat else "three")
     has_categories = categories is not None
     kinds = formatting.surviving_categories(categories, tracks) if has_categories else formatting.default_category(tracks)
     curves = msd.msd(tracks, cfg.tau)
@@ -47,6 +65,12 @@ def run(segments: DataFrame, categories: DataFrame | None = None, cfg: RunConfig
         "mean_squared_displacements": curves, "msd_summary": msd.msd_summary(curves), "msd_loglog_fits": fits,
         "figure_tracks": figures.tracks(tracks, table), "figure_violins": figures.violins(table), "figure_slopes": figures.slope_bars(fits), "figure_msd": figures.msd_lines(msd.category_curve(points), fits), "figure_colors": figures.category_colors(kinds),
     }
+    if cfg.wide:
+        # A column for each lag that any object has a value at.
+        taus = list(range(1, cfg.tau + 1))
+        for name, value, prefix in (("euclidean_medians", "euclid_median", "euclid"), ("turning_angles", "median_angle", "angle"), ("mean_squared_displacements", "msd", "msd")):
+            used = {r["tau"] for r in kinematics.filled_taus(out[name], value).select("tau").distinct().collect()}
+            out[f"{name}_wide"] = kinematics.wide(out[name], value, [t for t in taus if t in used], prefix)
     if has_categories:
         out["msd_category"] = msd.msd_by_category(curves, kinds)
     if cfg.verbose:
@@ -58,22 +82,31 @@ def run(segments: DataFrame, categories: DataFrame | None = None, cfg: RunConfig
         if cfg.contact_div_filter:
             out["contacts_minus_dividing"] = found
         out["contacts_minus_dead"] = contacts.minus_dead(found, table, cfg.arrested, cfg.both_sides_dead)
-        out["contacts_summary"] = contacts.contacts_summary(out["contacts_minus_dead"], table.select("object_id", "category"), cfg.dt)
+        out["contacts_summary"] = contacts.contacts_summary(out["contacts_minus_dead"], table.select("object_id", "category"), cfg.dt, cfg.both_sides_contacts)
         out["contacts_per_category"] = contacts.contacts_per_category(out["contacts_summary"])
     if cfg.attractors:
         met = attractors.pairs(tracks, kinds, cfg.attractor)
+        log.note("attractors", "chains of objects that come nearer")
         out["attractors"] = attractors.enriched(attractors.events(met, cfg.attractor), kinematics.kinematics(tracks, cfg.dt, cfg.arrest_limit))
+    log.note("plan", f"{len(out)} tables planned")
+    out["runtime_log"] = log.table(segments.sparkSession)
     return out
 
 
-def learn(table: DataFrame, cfg: RunConfig = RunConfig(), flat: bool = False) -> dict[str, DataFrame]:
+def compare_replicates(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:
+    """Medians and rank tests over the replicates whose features ``pattern`` names (``tables.replicate_folder``)."""
+    return replicates.compare(tables.read_replicates(spark, pattern))
+
+
+def learn(table: DataFrame, cfg: RunConfig = RunConfig()) -> dict[str, DataFrame]:
     """Components, rank tests over them, and boosted trees on features and on component scores."""
     from ..operators import stats
 
-    table = ml.without_unused(table, cfg.arrest_limit, flat)
+    table = ml.without_unused(table, cfg.arrest_limit)
     matrix, steps = ml.prepared(table, cfg.ml, cfg.ml.min_samples)
     out = ml.pca(matrix, cfg.ml.explained)
     names = [c for c in out["pc_scores"].columns if c.startswith("PC")]
+    out |= {f"figure_{k}": v for k, v in figures.pc_views(out["pc_scores"]).items()}
     long = out["pc_scores"].unpivot(["object_id", "category"], names, "feature", "value")
     out |= {"kruskal": stats.kruskal_wallis(long).withColumnRenamed("feature", "pc"), "dunn": stats.dunn(long).withColumnRenamed("feature", "pc")}
     trees, _ = ml.prepared(table, cfg.ml, cfg.ml.min_samples_trees)

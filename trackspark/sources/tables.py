@@ -13,13 +13,15 @@ CATEGORIES = T.StructType([T.StructField("object_id", T.LongType()), T.StructFie
 
 #: Column names by role, compared without regard to case.
 ROLE_NAMES = {
-    "object_id": ("parent", "parent id", "parent_id", "parentid", "track", "track id", "track_id", "trackid", "cell", "cell id", "object", "object id", "id"),
+    "object_id": ("id", "track", "track id", "trackid", "cell", "cell id", "cellid", "object", "object id", "objectid", "parent", "parent id", "parentid"),
     "time": ("t", "time", "frame"),
-    "x": ("x", "x position", "position x", "x coordinate", "x_coordinate"),
-    "y": ("y", "y position", "position y", "y coordinate", "y_coordinate"),
-    "z": ("z", "z position", "position z", "z coordinate", "z_coordinate"),
+    "x": ("x", "x coordinate", "x position", "coordinate x", "position x"),
+    "y": ("y", "y coordinate", "y position", "coordinate y", "position y"),
+    "z": ("z", "z coordinate", "z position", "coordinate z", "position z"),
     "category": ("category", "label", "type", "code"),
 }
+#: Names that this library adds: those of its own tables.
+OWN_NAMES = {"object_id": ("object_id", "track_id", "cell_id", "parent_id"), "x": ("x_coordinate",), "y": ("y_coordinate",), "z": ("z_coordinate",)}
 
 
 def roles(columns: Iterable[str], wanted: Iterable[str], chosen: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -27,7 +29,7 @@ def roles(columns: Iterable[str], wanted: Iterable[str], chosen: Mapping[str, st
     out = dict(chosen or {})
     for role in wanted:
         for name in columns:
-            if role not in out and name.strip().lower() in ROLE_NAMES[role]:
+            if role not in out and name.strip().lower() in ROLE_NAMES[role] + OWN_NAMES.get(role, ()):
                 out[role] = name
     return out
 
@@ -65,8 +67,18 @@ def replicate_of(path: F.Column) -> F.Column:
 
 
 def read_replicates(spark: SparkSession, pattern: str) -> DataFrame:
-    """Summary tables of several runs (parquet) with their replicate."""
-    return spark.read.parquet(pattern).withColumn("replicate", replicate_of(F.col("_metadata.file_path")))
+    """Summary tables of several runs (parquet) with their replicate, told by the name of the run's folder or file.
+
+    A file that can't be read is left out, as a run that broke off may leave one; columns that only some have are null elsewhere.
+    """
+    reader = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"/(features|summary_features)/[^/]*$", "")
+    return reader.parquet(pattern).withColumn("replicate", replicate_of(path))
+
+
+def replicate_folder(folder: str, name: str, replicate: int) -> str:
+    """Where the results of one of several runs go, so that ``read_replicates`` tells it."""
+    return f"{folder}/{name}-r{replicate}_results"
 
 
 def write(tables: Mapping[str, DataFrame], folder: str, form: str = "parquet") -> None:
