@@ -15,7 +15,7 @@ from .tokens import flat, pack, slices, spread, squeezed, unpack
 
 
 def packed(docs: DataFrame, block_bytes: int, name: str) -> DataFrame:
-    """A row for each block: an array of each column of ``docs`` but ``text``, the texts' numbers of bytes (null: 0), and the bytes of all, compressed.
+    """A row for each block: an array of each column of ``docs`` but ``text``, the texts' numbers of bytes (null: -1), and the bytes of all, compressed.
 
     ``block`` is a number that no other block has; the table is written, so it stays the same.
     """
@@ -28,7 +28,7 @@ def packed(docs: DataFrame, block_bytes: int, name: str) -> DataFrame:
             data, offsets = flat(piece.column("text"))
             edges = pa.array([0, piece.num_rows], pa.int32())
             lists = [pa.ListArray.from_arrays(edges, piece.column(f.name)) for f in others]
-            columns = [pa.array([block]), *lists, pa.array([pack(np.diff(offsets))], pa.binary()), pa.array([squeezed(data.tobytes())], pa.binary()), pa.array([len(data)])]
+            columns = [pa.array([block]), *lists, pa.array([pack(np.where(pc.is_null(piece.column("text")).to_numpy(zero_copy_only=False), -1, np.diff(offsets)))], pa.binary()), pa.array([squeezed(data.tobytes())], pa.binary()), pa.array([len(data)])]
             yield pa.RecordBatch.from_arrays(columns, ["block", *(f.name for f in others), "sizes", "data", "n_bytes"])
             block += 1
 
@@ -41,7 +41,8 @@ class Block:
     def __init__(self, rows: pa.Table | pa.RecordBatch, at: int = 0):
         self.rows, self.at = rows, at
         self.number = rows.column("block")[at].as_py()
-        self.offsets = np.concatenate([[0], np.cumsum(unpack(rows.column("sizes")[at].as_py(), np.int64))])
+        sizes = unpack(rows.column("sizes")[at].as_py(), np.int64)
+        self.null, self.offsets = sizes < 0, np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
         self.raw = spread(rows.column("data")[at].as_py())
         self.bytes = np.frombuffer(self.raw, np.uint8)
 
@@ -53,7 +54,7 @@ class Block:
         values = self.column(name)
         return pc.fill_null(values.cast(pa.int64()), 0).to_numpy(zero_copy_only=False), pc.is_valid(values).to_numpy(zero_copy_only=False)
 
-    def parts(self, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def parts(self, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """First text, the one after the last, their bytes and offsets, of about ``limit`` bytes each; a longer text stands alone."""
         cut = self.offsets[1:] // limit
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(cut)]

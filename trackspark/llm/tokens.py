@@ -154,7 +154,7 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def squeezed(data: bytes) -> bytes:
-    return zstandard.compress(data, 1) if data else b""
+    return zstandard.compress(data, 3) if data else b""
 
 
 def spread(data: bytes) -> bytes:
