@@ -6,7 +6,7 @@ on neither partitions nor order. Copies are then ordered by a hash, which shuffl
 
 Null source: a source of its own. Null doc_id or text: hashed as empty. Rows that are alike are repeated alike.
 Without target weights all sources weigh the same; a source without a weight gets none. An empty table gives an
-empty result. Columns named like the helper columns are replaced.
+empty result. Columns whose names begin with two underscores must not clash with the helper columns.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import staged
+
 
 @dataclass(frozen=True)
 class Mixture:
@@ -38,19 +40,24 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
 
 
-def poisson(mean: Column, u: Column) -> Column:
-    """The least k at which the Poisson distribution reaches ``u``."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("reached"), F.lit(0).alias("k"))
+def reached(mean: Column) -> Column:
+    """The probabilities that a Poisson variable is at most 0, 1, ... MOST - 1."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("all"))
 
     def step(acc: Column, i: Column) -> Column:
         p = acc["p"] * mean / i
-        return F.when(acc["reached"] >= u, acc).otherwise(F.struct(p.alias("p"), (acc["reached"] + p).alias("reached"), i.alias("k")))
+        return F.struct(p.alias("p"), F.concat(acc["all"], F.array(F.element_at(acc["all"], -1) + p)).alias("all"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST - 1)), start, step, lambda acc: acc["all"])
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), start, step, lambda acc: acc["k"])
+def poisson(reached: Column, u: Column) -> Column:
+    """The least k at which the distribution reaches ``u``, MOST at the most."""
+    return F.size(F.filter(reached, lambda x: x < u))
 
 
 def rates(docs: DataFrame, how: Mixture) -> DataFrame:
-    """source and its repetition rate."""
+    """source, its repetition rate, the number of equal parts it is inverted in, and the distribution of a part."""
     counts = docs.groupBy(F.col("source").alias("__source")).agg(F.count("*").alias("__n"))
     if how.weights:
         listed = docs.sparkSession.createDataFrame(list(how.weights.items()), "__name string, __weight double")
@@ -59,23 +66,29 @@ def rates(docs: DataFrame, how: Mixture) -> DataFrame:
         weighed = counts.withColumn("__weight", F.lit(1.0))
     rows, weight = weighed.agg(F.sum("__n"), F.sum("__weight")).first()
     share = F.try_divide(F.col("__weight") * F.lit(float(rows or 0) * how.size), F.lit(float(weight or 0)) * F.col("__n"))
-    return weighed.select("__source", F.coalesce(share, F.lit(0.0)).alias("rate"))
-
-
-def replicated(docs: DataFrame, how: Mixture = Mixture()) -> DataFrame:
-    """The rows of ``docs``, with ``rate`` and ``copy`` (1 ... the number drawn), shuffled globally."""
-    rate = rates(docs, how).persist()
-    if rate.limit(how.broadcast_sources + 1).count() <= how.broadcast_sources:
-        rate = F.broadcast(rate)
-    names = [x for x in docs.columns if x not in ("rate", "copy")]
-    joined = docs.select(*names).join(rate, F.col("source").eqNullSafe(F.col("__source")), "inner").drop("__source")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(how.part)).cast("int"))
+    rate = F.coalesce(share, F.lit(0.0))
+    parts = F.greatest(F.lit(1), F.ceil(rate / F.lit(how.part)).cast("int"))
+    found = weighed.select("__source", rate.alias("__rate"), parts.alias("__parts"))
+    # A source's distribution is laid out once, not for each of its rows.
+    return found.withColumn("__reached", reached(F.col("__rate") / F.col("__parts")))
+
+
+def replicated(docs: DataFrame, how: Mixture = Mixture(), rate: str = "rate", copy: str = "copy") -> DataFrame:
+    """The rows of ``docs``, with their source's rate and the number of the copy (1 ... the number drawn), shuffled globally.
+
+    Columns of ``docs`` named like these two are replaced; other names can be given.
+    """
+    found = staged(rates(docs, how), "rates")
+    if found.limit(how.broadcast_sources + 1).count() <= how.broadcast_sources:
+        found = F.broadcast(found)
+    names = [x for x in docs.columns if x not in (rate, copy)]
+    joined = docs.select(*names).join(found, F.col("source").eqNullSafe(F.col("__source")), "inner")
     content = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    drawn = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + poisson(F.col("rate") / parts, uniform(F.lit(how.seed), F.col("doc_id"), content, j)))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, j: acc + poisson(F.col("__reached"), uniform(F.lit(how.seed), F.col("doc_id"), content, j)))
     drawn = joined.withColumn("__drawn", drawn).where("__drawn > 0")
-    copies = drawn.select("*", F.explode(F.sequence(F.lit(1), F.col("__drawn"))).alias("copy")).drop("__drawn")
+    copies = drawn.select(*names, F.col("__rate").alias(rate), F.explode(F.sequence(F.lit(1), F.col("__drawn"))).alias(copy))
     # Dealt and sorted by a hash: a random order over all partitions, in one pass over the text.
-    order = F.md5(F.concat_ws(":", F.lit(-how.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy", F.xxhash64("text")))
+    order = F.md5(F.concat_ws(":", F.lit(-how.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), copy, F.xxhash64("text")))
     return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
 
 
