@@ -55,39 +55,41 @@ def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def _prefixed(keys: Column, prefix: str) -> Column:
-    return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(prefix), k))
-
-
 def field_paths(payload: Column) -> Column:
-    """The sorted paths of a JSON text that any layout knows: fields, and fields of the first item of arrays."""
+    """The sorted paths of a JSON text that any layout knows: its fields, and the fields of all items of its arrays."""
+    none = F.array().cast("array<string>")
     items = sorted({x.items for x in LAYOUTS if x.items})
-    nested = [_prefixed(F.json_object_keys(F.get_json_object(payload, f"$.{x}[0]")), f"{x}[].") for x in items]
+    parsed = F.from_json(payload, ", ".join(f"`{x}` array<string>" for x in items))
+
+    def of_items(name: str) -> Column:
+        keys = F.transform(parsed[name], lambda item: F.coalesce(F.json_object_keys(item), none))
+        return F.transform(F.array_distinct(F.flatten(F.coalesce(keys, F.array(none)))), lambda k: F.concat(F.lit(f"{name}[]."), k))
+
     known = F.array(*(F.lit(x) for x in sorted({p for x in LAYOUTS for p in x.paths})))
-    top = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
-    return F.array_sort(F.array_intersect(F.concat(top, *nested), known))
+    top = F.coalesce(F.json_object_keys(payload), none)
+    return F.array_sort(F.array_intersect(F.concat(top, *map(of_items, items)), known))
 
 
-def _named(role: Column) -> Column:
+def _named(role: Column, names: dict[str, str]) -> Column:
     role = F.coalesce(role, F.lit(""))
-    for other, name in ROLES.items():
+    for other, name in names.items():
         role = F.when(role == other, F.lit(name)).otherwise(role)
     return role
 
 
-def _turns(items: Column, layout: Layout) -> Column:
-    return F.transform(items, lambda m: F.struct(_named(m[layout.role]).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")))
+def _turns(items: Column, layout: Layout, names: dict[str, str]) -> Column:
+    return F.transform(items, lambda m: F.struct(_named(m[layout.role], names).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")))
 
 
-def canonical(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """``df`` with ``fingerprint`` and ``turns`` of the JSON texts in ``payload``."""
+def canonical(df: DataFrame, payload: str = "payload", names: dict[str, str] = ROLES) -> DataFrame:
+    """``df`` with ``fingerprint`` and ``turns`` of the JSON texts in ``payload``; ``names`` maps other names of roles."""
     text = F.col(payload)
     sign = F.sha2(F.array_join(field_paths(text), "\n").cast("binary"), 256)
     turns = F.lit(None).cast(TURNS)
     for layout in LAYOUTS:
         if layout.items:
             parsed = F.from_json(text, f"`{layout.items}` array<struct<`{layout.role}`:string,`{layout.text}`:string>>")[layout.items]
-            made = _turns(parsed, layout)
+            made = _turns(parsed, layout, names)
         else:
             parsed = F.from_json(text, ", ".join(f"`{f}` string" for _, f in layout.turns))
             made = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(parsed[f], F.lit("")).alias("text")) for r, f in layout.turns))
@@ -100,7 +102,11 @@ ROW_LAYOUTS = {fingerprint(x): x for x in (("turn", "role", "text"), ("turn", "r
 
 
 def from_rows(df: DataFrame, key: str) -> DataFrame:
-    """``key`` and ``turns`` of a table with one turn in a row; the columns' fingerprint selects which are order, role and text."""
+    """``key``, ``fingerprint`` and ``turns`` of a table with one turn in a row.
+
+    The columns' fingerprint selects which are order, role and text. Each conversation is gathered in one row, which
+    its result needs anyway, as a nested record that then goes the way of all records.
+    """
     known = {c for x in ROW_LAYOUTS.values() for c in x}
     columns = ROW_LAYOUTS.get(fingerprint([c for c in df.columns if c in known]))
     if columns is None:
@@ -108,7 +114,9 @@ def from_rows(df: DataFrame, key: str) -> DataFrame:
     order, role, text = columns
     row = F.struct(F.col(order).alias("at"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     gathered = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return gathered.select(key, F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
+    items = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
+    records = gathered.select(key, F.to_json(F.struct(items.alias("turns"))).alias("__record"))
+    return canonical(records, "__record", names={}).drop("__record")
 
 
 def escaped(text: Column) -> Column:
