@@ -4,7 +4,8 @@ Each document's histogram of character classes, and its histogram of common word
 its language by the Jensen-Shannon distance (base 2, so between 0 and 1). References are summed over all documents
 that pass the base rules. A document too short for a stable histogram is not judged by it.
 
-Null text: no words, so the base rules reject it. Null, empty or unlisted language: the nearest reference counts.
+Null text: no words, so the base rules reject it. Null, empty or unlisted language: the nearest reference counts, of which
+one is that of all such documents.
 Documents are judged one by one, so repeated rows get equal verdicts. An empty table gives an empty result. Other
 columns don't matter.
 """
@@ -165,11 +166,10 @@ def judge(piece: pa.RecordBatch, refs: dict, rules: QualityRules) -> dict[str, n
     found = measures(piece.column("text"), rules)
     n = piece.num_rows
     langs = piece.column("lang").to_pylist() if "lang" in piece.schema.names else [None] * n
-    known = [x for x in refs if x]
     for kind in ("chars", "common"):
-        each = {x: distances(found[kind], np.array(refs[x][kind])) for x in known or list(refs)}
+        each = {x: distances(found[kind], np.array(refs[x][kind])) for x in refs}
         nearest = np.min(list(each.values()), axis=0) if each else np.zeros(n)
-        found[f"js_{kind}"] = np.array([each[x][i] if x in each else nearest[i] for i, x in enumerate(langs)], dtype=float).reshape(n)
+        found[f"js_{kind}"] = np.array([each[x][i] if x and x in each else nearest[i] for i, x in enumerate(langs)], dtype=float).reshape(n)
     odd = (found["js_chars"] > rules.max_chars) & (found["chars"].sum(axis=1) >= rules.min_chars_judged)
     odd |= ((found["js_common"] > rules.max_common) | (found["js_chars"] + found["js_common"] > rules.max_sum)) & (found["n_words"] >= rules.min_words_judged)
     found["kept"] = ~found["base_failed"] & ~odd
