@@ -135,10 +135,11 @@ def stored(docs: DataFrame, how: Shards = Shards(), key: str = "doc_id") -> Data
     return staged(index, "media-index").withColumn("shard", F.concat(F.lit(folder + "/"), "shard"))
 
 
-def _addresses(index: DataFrame) -> DataFrame:
-    """One address for each digest, each shard's in order."""
+def _addresses(index: DataFrame, task_bytes: int = 8 << 20) -> DataFrame:
+    """One address for each digest, each shard's in order; a task gets about ``task_bytes`` of images, which the addresses' own size would not tell."""
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
     one = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return one.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    return one.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _ranges(batch: pa.RecordBatch, most: int | None = None) -> Iterator[tuple[str, bytes]]:
@@ -152,15 +153,20 @@ def _ranges(batch: pa.RecordBatch, most: int | None = None) -> Iterator[tuple[st
         yield digest, source.read(length if most is None else min(most, length))
 
 
-def headers(index: DataFrame) -> DataFrame:
-    """``index`` with width, height and bit depth, from the first bytes of each image."""
+def header_fields(index: DataFrame) -> DataFrame:
+    """width, height and bit depth of each digest, from the first bytes of its image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(d, *struct.unpack(">IIB", x[16:25])) for d, x in _ranges(batch, HEADER_BYTES)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 4, (pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["digest", "width", "height", "bit_depth"])
 
-    return index.join(_addresses(index).mapInArrow(run, "digest string, width int, height int, bit_depth int"), "digest")
+    return _addresses(index).mapInArrow(run, "digest string, width int, height int, bit_depth int")
+
+
+def headers(index: DataFrame) -> DataFrame:
+    """``index`` with width, height and bit depth."""
+    return index.join(header_fields(index), "digest")
 
 
 PAYLOAD = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -184,5 +190,6 @@ def loaded(index: DataFrame, how: Shards = Shards()) -> DataFrame:
 def described(docs: DataFrame, how: Shards = Shards(), key: str = "doc_id") -> DataFrame:
     """``key``, n_bytes, the payload's figures and the header's columns for each row of ``docs``."""
     index = stored(docs, how, key)
-    rows = headers(index).join(loaded(index, how), "digest")
+    # One row for each digest first, so that the rows of a common text take part in one join only, which can be split.
+    rows = index.join(header_fields(index).join(loaded(index, how), "digest"), "digest")
     return rows.select(key, "n_bytes", *(x.split()[0] for x in PAYLOAD.split(", ")[1:]), "width", "height", "digest")
