@@ -31,7 +31,7 @@ from .tokens import Words, mix, slices
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """``sketch_bits``: log2 of the sketch's counters, two bytes each, which are broadcast. ``small``: tokens of up to so many groups give all their pairs at once."""
+    """``sketch_bits``: log2 of the sketch's counters, two bytes each (32 MB in all), which are broadcast. ``small``: tokens of up to so many groups give all their pairs at once."""
 
     words: int = 5
     percent: int = 80
@@ -64,15 +64,18 @@ def sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, how: NearDuplicates) -> np.ndarray:
-    """Saturating counts of all documents' shingles by hash slot: at most 2 x 2**sketch_bits bytes."""
+    """Counts of all documents' shingles by hash slot, 1024 times their logarithm: 2 x 2**sketch_bits bytes.
+
+    Logarithms don't saturate, so that however large the corpus, what is more common than a slot's usual load comes last.
+    """
     shift, size, k = np.uint64(64 - how.sketch_bits), 1 << how.sketch_bits, how.words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint16)
+        total = np.zeros(size, np.uint32)
         for piece in slices(batches):
             text, code = sets(piece.column("text"), k)
             slot, n = np.unique((code >> shift).astype(np.int64), return_counts=True)
-            total[slot] = np.minimum(total[slot] + n, 65535)
+            total[slot] += n.astype(np.uint32)
         for at in range(0, size, CHUNK):
             part = total[at : at + CHUNK]
             if part.any():
@@ -81,16 +84,17 @@ def sketch(docs: DataFrame, how: NearDuplicates) -> np.ndarray:
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.uint32)
         for x in rows["counts"]:
-            part = np.frombuffer(zlib.decompress(x), np.uint16)
-            total[: len(part)] += part
-        return pd.DataFrame({"at": [rows["at"].iloc[0]], "salt": [0], "counts": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+            part = np.frombuffer(zlib.decompress(x), np.uint32)
+            # Far above any slot's usual load it matters no more by how much.
+            total[: len(part)] = np.minimum(total[: len(part)] + part.astype(np.uint64), 2**32 - 1)
+        return pd.DataFrame({"at": [rows["at"].iloc[0]], "salt": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "at long, salt long, counts binary"
     counted = docs.select("text").mapInArrow(count, schema)
     added = counted.groupBy("at", "salt").applyInPandas(add, schema).groupBy("at").applyInPandas(add, schema)
     out = np.zeros(max(size, CHUNK), np.uint16)
     for r in added.collect():
-        part = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
+        part = np.log2(1 + np.frombuffer(zlib.decompress(r["counts"]), np.uint32).astype(float)) * 1024
         out[r["at"] : r["at"] + len(part)] = part
     return out[:size]
 
