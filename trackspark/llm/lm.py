@@ -14,11 +14,14 @@ state of the tree.
 
 The tree is a table that grows with the corpus: ``evidence`` and ``min_count`` are the same at every size. Its buckets
 stay apart by the symbols that its windows end with; only counts of pairs of symbols (256 x 256) are sent to all. A
-block of documents asks each bucket for its distinct windows there; the answers, each given the longest state, meet
-the block's texts.
+block of documents tells each bucket its distinct windows there, with their training counts, and the bucket's answers,
+each given the longest state, meet the block's texts.
 
-The base score needs the count of every word. A block of documents asks for each of its distinct words once; the
-answers meet the block's tokens, kept as places in its list of words.
+The base score needs the count of every word. A block tells a bucket of words each of its distinct words once, and
+the answers meet the block's tokens.
+
+A task holds a block (``block_bytes`` of text or one longer document), or what all blocks tell one bucket, packed;
+of that it opens one block's at a time, besides the bucket's distinct windows.
 
 Null text: empty, so only the end token. Null doc_id: hashed as an empty text. Repeated rows get equal rows. Without
 training tokens all known counts are 0 and the tree is empty. An empty table gives an empty result. Other columns
@@ -27,18 +30,17 @@ don't matter.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Block, packed
 from .store import staged
-from .tokens import Words, slices
+from .tokens import Words, changes, pack, unpack
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,8 @@ class SuffixTree:
     depth: int = 6
     evidence: float = 10.0
     min_count: int = 5
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
+    bucket_bytes: int = 16 << 20
 
 
 END = np.uint64(0x6A09E667F3BCC909)
@@ -57,7 +60,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.hash("doc_id", "text").alias("row"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
 
 
 def symbols(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,33 +85,6 @@ def symbols(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return window[keep], begin - np.arange(n + 1) * depth
 
 
-def _counted(keyed: DataFrame, how: SuffixTree) -> DataFrame:
-    """Windows of training documents with their counts, summed within a task as far as memory allows."""
-    depth = how.depth
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = [], []
-
-        def out() -> pa.RecordBatch:
-            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate(sums)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(total)], ["window", "n"])
-
-        for piece in slices(batches):
-            piece = piece.filter(pa.compute.invert(piece.column("held_out")))
-            if piece.num_rows:
-                window, n = np.unique(symbols(Words(piece.column("text"), lower=True), depth)[0], return_counts=True)
-                keys.append(window)
-                sums.append(n)
-                if sum(map(len, keys)) > 4_000_000:
-                    yield out()
-                    keys, sums = [], []
-        if keys:
-            yield out()
-
-    return keyed.select("held_out", "text").mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
-
-
 #: A bucket holds the windows whose two symbols before the last share a hash, dealt further by the third.
 HEADS, SALTS = 64, 16
 
@@ -117,14 +93,9 @@ def _head(window: Column) -> Column:
     return F.shiftright((F.shiftright(window, 8).bitwiseAND(F.lit(0xFFFF)) * 40503).bitwiseAND(F.lit(0xFFFF)), 10)
 
 
-def _bucket(window: Column) -> Column:
-    salt = F.shiftright((F.shiftright(window, 24).bitwiseAND(F.lit(0xFF)) * 167).bitwiseAND(F.lit(0xFF)), 4)
-    return (_head(window) * SALTS + salt).cast("int")
-
-
 def _in_all_salts(short: DataFrame) -> DataFrame:
     """Windows of three symbols in every bucket that may hold longer ones."""
-    return short.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("bucket", (_head(F.col("key")) * SALTS + F.col("bucket")).cast("int"))
+    return short.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("bucket", (_head(F.col("key")) * SALTS + F.col("bucket")).cast("long"))
 
 
 def bits(key: np.ndarray, n: np.ndarray, m: np.ndarray, parent_total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,30 +137,153 @@ def branches(window: np.ndarray, n: np.ndarray, short: np.ndarray, m: np.ndarray
     return out
 
 
-def _grown(keyed: DataFrame, how: SuffixTree) -> tuple[DataFrame, np.ndarray]:
-    """Windows of the retained contexts of two symbols and more by bucket, a table; and counts of all pairs of symbols.
+def _buckets(windows: np.ndarray) -> np.ndarray:
+    """The bucket of each window: its two symbols before the last, as in ``_head``, and a part for the third."""
+    window = windows.astype(np.int64)
+    return ((window >> 8 & 0xFFFF) * 40503 & 0xFFFF) // 1024 * SALTS + ((window >> 24 & 0xFF) * 167 & 0xFF) // 16
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(changes(key)) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _texts(block: Block, depth: int) -> Iterator[tuple[slice, Words, np.ndarray, np.ndarray]]:
+    """Parts of a block: which texts, their words, their windows and where each text's begin."""
+    for a, b, data, offsets in block.parts():
+        words = Words((data, offsets), lower=True)
+        yield slice(a, b), words, *symbols(words, depth)
+
+
+def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token, texts' ends included, and the number of tokens of each text."""
+    counts = words.counts + 1
+    codes = np.full(counts.sum(), END, np.uint64)
+    inside = np.ones(len(codes), bool)
+    inside[np.cumsum(counts) - 1] = False
+    codes[inside] = words.hash
+    return codes, counts
+
+
+def placed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    fresh = changes(ordered)
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return ordered[fresh], place
+
+
+WINDOWS, WORDS = range(2)
+TOLD = "kind int, bucket long, block long, keys binary, counts binary"
+
+
+def _told(blocks: DataFrame, buckets: int, how: SuffixTree) -> DataFrame:
+    """What each block tells each bucket: its distinct windows or words there, in order, and their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(batch, i)
+                held = block.column("held_out").to_numpy(zero_copy_only=False)
+                found: dict[int, tuple[list, list]] = {WINDOWS: ([], []), WORDS: ([], [])}
+                for texts, words, window, first in _texts(block, how.depth):
+                    key = np.sort(window << np.uint64(1) | np.repeat(held[texts], np.diff(first)))
+                    at = np.flatnonzero(changes(key))
+                    n = np.diff(np.append(at, len(key)))
+                    key = key[at]
+                    found[WINDOWS][0].append(key >> np.uint64(1))
+                    found[WINDOWS][1].append(np.where(key & np.uint64(1), 0, n))
+                    codes, counts = _tokens(words)
+                    train = ~np.repeat(held[texts], counts)
+                    every, (seen, n) = np.unique(codes), np.unique(codes[train], return_counts=True)
+                    counts = np.zeros(len(every), np.int64)
+                    counts[np.searchsorted(every, seen)] = n
+                    found[WORDS][0].append(every)
+                    found[WORDS][1].append(counts)
+                rows: list[tuple] = []
+                for kind, (keys, counts) in found.items():
+                    key, n = summed(keys, counts)
+                    order, there, edges = dealt(kind, key, buckets)
+                    rows += [(kind, int(b), block.number, pack(key[at]), pack(n[at].astype(np.int32))) for b, at in zip(there, np.split(order, edges))]
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], [x.split()[0] for x in TOLD.split(", ")])
+
+    return staged(blocks.mapInArrow(run, TOLD), "told")
+
+
+def dealt(kind: int, key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of keys by bucket, the buckets, and where all but the first begin."""
+    bucket = _buckets(key) if kind == WINDOWS else (key % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    there, first = np.unique(bucket[order], return_index=True)
+    return order, there, first[1:]
+
+
+GROWN = "bucket long, level binary, keys binary, counts binary, key long, n long"
+
+
+def _grown(told: DataFrame, how: SuffixTree) -> tuple[DataFrame, np.ndarray]:
+    """Windows of the retained contexts of two symbols (``key``, ``n``) and more (packed) by bucket, a table; and counts of all pairs of symbols.
 
     Divergence is tested on whole counts: windows meet those of all their shorter contexts in one bucket.
     """
-    counted = staged(_counted(keyed, how), "windows")
-    short = staged(counted.groupBy(F.col("window").bitwiseAND(F.lit((1 << 24) - 1)).alias("key")).agg(F.sum("n").alias("n")), "short-windows")
+
+    def merge(rows: pa.Table) -> pa.Table:
+        keys, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for i in range(rows.num_rows):
+            key, n = unpack(rows.column("keys")[i].as_py(), np.uint64), unpack(rows.column("counts")[i].as_py(), np.int32).astype(np.int64)
+            keys.append(key[n > 0])
+            counts.append(n[n > 0])
+            size += len(keys[-1])
+            if size > 2_000_000 + 2 * len(keys[0]):
+                keys, counts = ([x] for x in summed(keys, counts))
+                size = 0
+        key, n = summed(keys, counts)
+        short, m = summed([key & np.uint64((1 << 24) - 1)], [n])
+        bucket, none = rows.column("bucket")[0].as_py(), [None] * len(short)
+        whole = [[pack(key)], [pack(n)]] if len(key) else [[None], [None]]
+        return pa.table({"bucket": pa.array([bucket] * (len(short) + 1), pa.int64()), "key": pa.array([None, *short.tolist()], pa.int64()), "n": pa.array([None, *m.tolist()], pa.int64()), **{c: pa.array(x + none, pa.binary()) for c, x in zip(("windows", "counts"), whole)}})
+
+    counted = told.where(F.col("kind") == WINDOWS).select("bucket", "keys", "counts")
+    counted = staged(counted.groupBy("bucket").applyInArrow(merge, "bucket long, key long, n long, windows binary, counts binary"), "windows")
+    short = staged(counted.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")), "short-windows")
     base = np.zeros((256, 256))
     for r in short.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).collect():
         base[r["key"] >> 8, r["key"] & 255] = r["n"]
 
     def grow(windows: pa.Table, shorts: pa.Table) -> pa.Table:
-        long = lambda t, c: t.column(c).to_numpy()
-        parts = branches(long(windows, "window"), long(windows, "n"), long(shorts, "key"), long(shorts, "n"), base, how)
-        level, key, n = (np.concatenate(x).astype(np.int64) for x in zip(*((np.full(len(p[1]), p[0]), *p[1:]) for p in parts)))
-        bucket = (windows if windows.num_rows else shorts).column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array(np.full(len(key), bucket, np.int32)), "level": pa.array(level), "key": pa.array(key), "n": pa.array(n)})
-
-    windows = counted.withColumn("bucket", _bucket(F.col("window")))
-    rows = windows.groupBy("bucket").cogroup(_in_all_salts(short).groupBy("bucket")).applyInArrow(grow, "bucket int, level long, key long, n long")
-    rows = staged(rows, "tree")
+        rows: list[tuple] = []
+        if windows.num_rows:
+            bucket = windows.column("bucket")[0].as_py()
+            key, n = (unpack(windows.column(c)[0].as_py(), np.int64) for c in ("windows", "counts"))
+            parts = branches(key, n, shorts.column("key").to_numpy(), shorts.column("n").to_numpy(), base, how)
+            level, keys, counts = (np.concatenate(x) for x in zip(*((np.full(len(p[1]), p[0], np.uint8), p[1].astype(np.int64), p[2].astype(np.int64)) for p in parts)))
+            two = level == 2
+            rows = [(bucket, pack(level[~two]), pack(keys[~two]), pack(counts[~two]), None, None)]
+            rows += [(bucket, None, None, None, *x) for x in zip(keys[two].tolist(), counts[two].tolist())]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=[x.split()[0] for x in GROWN.split(", ")])
+
+    windows = counted.where("windows is not null").select("bucket", "windows", "counts")
+    rows = staged(windows.groupBy("bucket").cogroup(_in_all_salts(short).groupBy("bucket")).applyInArrow(grow, GROWN), "tree")
     # A context of two symbols is a state in all its buckets if one of them has it as a suffix.
-    both = _in_all_salts(rows.where("level = 2").select("key", "n").distinct()).select("bucket", F.lit(2).cast("long").alias("level"), "key", "n")
-    return rows.where("level > 2").union(both), base
+    both = _in_all_salts(rows.where("key is not null").select("key", "n").distinct())
+    none = (F.lit(None).cast("binary").alias(c) for c in ("level", "keys", "counts"))
+    return rows.where("level is not null").unionByName(both.select("bucket", *none, "key", "n")), base
+
+
+def _branches(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """level, window and count of rows of the tree."""
+    whole, two = rows.filter(rows.column("level").is_valid()), rows.filter(rows.column("key").is_valid())
+    packed = [[unpack(x, kind) for x in whole.column(c).to_pylist()] for c, kind in (("level", np.uint8), ("keys", np.int64), ("counts", np.int64))]
+    short = (np.full(two.num_rows, 2, np.uint8), two.column("key").to_numpy(), two.column("n").to_numpy())
+    return tuple(np.concatenate([*x, y]) for x, y in zip(packed, short))
 
 
 def _stem(base: np.ndarray, rows: DataFrame, how: SuffixTree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +293,7 @@ def _stem(base: np.ndarray, rows: DataFrame, how: SuffixTree) -> tuple[np.ndarra
     state, _, total, gain = bits(key, n, base.sum(axis=0)[key & 255], np.full(len(key), base.sum()))
     kept = np.zeros(256, bool)
     kept[state] = (total >= how.min_count) & (gain >= how.evidence)
-    kept[[r[0] for r in rows.where("level = 2").select(F.shiftright("key", 8).bitwiseAND(F.lit(255))).distinct().collect()]] = True
+    kept[[r[0] for r in rows.where("key is not null").select(F.shiftright("key", 8).bitwiseAND(F.lit(255))).distinct().collect()]] = True
     key, n = key[kept[key >> 8]], n[kept[key >> 8]]
     root = np.flatnonzero(base.sum(axis=0))
     return np.repeat([0, 1], [len(root), len(key)]), np.concatenate([root, key]), np.concatenate([base.sum(axis=0)[root], n])
@@ -217,11 +311,19 @@ def leveled(level: np.ndarray, key: np.ndarray, n: np.ndarray, depth: int) -> li
     return out
 
 
-def learned(keyed: DataFrame, how: SuffixTree) -> list[tuple[np.ndarray, ...]]:
+def _prepared(docs: DataFrame, how: SuffixTree) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks, what they tell, and the number of buckets of words."""
+    blocks = packed(_keyed(docs), how.block_bytes, "lm-blocks")
+    buckets = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // how.bucket_bytes))
+    return blocks, _told(blocks, buckets, how), buckets
+
+
+def learned(docs: DataFrame, how: SuffixTree) -> list[tuple[np.ndarray, ...]]:
     """A small corpus' whole tree, as ``leveled``; scoring leaves it in its table."""
-    rows, base = _grown(keyed, how)
-    found = rows.select("level", "key", "n").distinct().toPandas()
-    return leveled(*(np.concatenate([a, found[c].to_numpy()]) for a, c in zip(_stem(base, rows, how), ("level", "key", "n"))), how.depth)
+    rows, base = _grown(_prepared(docs, how)[1], how)
+    level, key, n = (np.concatenate(x) for x in zip(_stem(base, rows, how), _branches(rows.drop("bucket").toArrow())))
+    _, once = np.unique(np.stack([level, key]), axis=1, return_index=True)
+    return leveled(level[once], key[once], n[once], how.depth)
 
 
 def log_probabilities(windows: np.ndarray, model: list[tuple[np.ndarray, ...]]) -> np.ndarray:
@@ -241,166 +343,68 @@ def log_probabilities(windows: np.ndarray, model: list[tuple[np.ndarray, ...]])
     return np.log10(p)
 
 
-def pack(windows: np.ndarray) -> bytes:
-    """Sorted windows byte by byte, which deflates well."""
-    return zlib.compress(np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
+ANSWER = "kind int, block long, bucket long, said binary, tokens long, distinct long"
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
+def _answers(told: DataFrame, rows: DataFrame, stem: tuple[np.ndarray, ...], how: SuffixTree) -> tuple[DataFrame, DataFrame]:
+    """To each block and bucket, in the order told: log10 probabilities of windows (32-bit floats), training counts of words.
 
-def _buckets(windows: np.ndarray) -> np.ndarray:
-    """``_bucket`` of each window."""
-    window = windows.astype(np.int64)
-    return ((window >> 8 & 0xFFFF) * 40503 & 0xFFFF) // 1024 * SALTS + ((window >> 24 & 0xFF) * 167 & 0xFF) // 16
-
+    A bucket of words also says how many training tokens and distinct words it has (``block`` is null).
+    """
+    depth, names = how.depth, [x.split()[0] for x in ANSWER.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    table = lambda rows: pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
 
-def _questions(keyed: DataFrame, how: SuffixTree, kind: str) -> DataFrame:
-    """Rows of two kinds: a block's documents, and for each bucket the block's distinct windows there."""
-    schema = f"block long, doc_id {kind}, row int, held_out boolean, text string, bucket int, windows binary"
-    depth = how.depth
+    def probabilities(tree: pa.Table, asked: pa.Table) -> pa.Table:
+        model = leveled(*(np.concatenate(x) for x in zip(stem, _branches(tree))), depth)
+        one = lambda c, i: asked.column(c)[i].as_py()
+        return table([(WINDOWS, one("block", i), one("bucket", i), pack(log_probabilities(unpack(one("keys", i), np.uint64), model).astype(np.float32)), None, None) for i in range(asked.num_rows)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[tuple[pa.RecordBatch, np.ndarray]] = []
-        number = TaskContext.get().partitionId() << 32
-
-        def out() -> pa.RecordBatch:
-            window = np.unique(np.concatenate([w for _, w in pieces]))
-            bucket = _buckets(window)
-            order = np.argsort(bucket, kind="stable")
-            window, (there, first) = window[order], np.unique(bucket[order], return_index=True)
-            asked = [pack(w) for w in np.split(window, first[1:])]
-            rows = pa.Table.from_batches([p for p, _ in pieces]).combine_chunks()
-            n, m = rows.num_rows, len(there)
-            texts = [pa.concat_arrays([*rows.column(c).chunks, pa.nulls(m, rows.column(c).type)]) for c in ("doc_id", "row", "held_out", "text")]
-            places = [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in ((there, pa.int32()), (asked, pa.binary()))]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n + m, number)), *texts, *places], [x.split()[0] for x in schema.split(", ")])
-
-        size = 0
-        for piece in slices(batches):
-            words = Words(piece.column("text"), lower=True)
-            pieces.append((piece, np.unique(symbols(words, depth)[0])))
-            size += len(words.data)
-            if size >= how.block_bytes:
-                yield out()
-                pieces, size, number = [], 0, number + 1
-        if pieces:
-            yield out()
-
-    return staged(keyed.select("doc_id", "row", "held_out", "text").mapInArrow(run, schema), "questions")
-
-
-def _scored(keyed: DataFrame, how: SuffixTree) -> DataFrame:
-    rows, base = _grown(keyed, how)
-    stem = _stem(base, rows, how)
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    asked = _questions(keyed, how, kind)
-    depth = how.depth
-
-    def answer(tree: pa.Table, questions: pa.Table) -> pa.Table:
-        model = leveled(*(np.concatenate([a, tree.column(c).to_numpy()]) for a, c in zip(stem, ("level", "key", "n"))), depth)
-        values = [log_probabilities(unpack(w.as_py()), model).tobytes() for w in questions.column("windows")]
-        return pa.table({"block": questions.column("block"), "windows": questions.column("windows"), "p": pa.array(values, pa.binary())})
-
-    def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        window = np.concatenate([unpack(w) for w in answers.column("windows").to_pylist()])
-        value = np.concatenate([np.frombuffer(p) for p in answers.column("p").to_pylist()])
-        order = np.argsort(window)
-        window, value = window[order], value[order]
-        found = []
-        for piece in slices(texts.to_batches()):
-            every, first = symbols(Words(piece.column("text"), lower=True), depth)
-            distinct, inverse = np.unique(every, return_inverse=True)
-            found.append((piece, np.add.reduceat(value[np.searchsorted(window, distinct)][inverse], first[:-1])))
-        rows = pa.Table.from_batches([p for p, _ in found]).select(["doc_id", "row", "held_out"])
-        return rows.append_column("score", pa.array(np.concatenate([x for _, x in found])))
-
-    questions = asked.where("windows is not null").select("bucket", "block", "windows")
-    answers = rows.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(answer, "block long, windows binary, p binary")
-    texts = asked.where("windows is null").select("block", "doc_id", "row", "held_out", "text")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, f"doc_id {kind}, row int, held_out boolean, score double")
-
-
-def _asked(keyed: DataFrame, how: SuffixTree, kind: str) -> DataFrame:
-    """Rows of two kinds: a block's tokens as places among its words (``data``), and the block's words with training counts."""
-    schema = f"block long, doc_id {kind}, row int, data binary, word long, n int"
+    def counts(asked: pa.Table) -> pa.Table:
+        keys = [unpack(x, np.uint64) for x in asked.column("keys").to_pylist()]
+        every, c = summed(keys, [unpack(x, np.int32).astype(np.int64) for x in asked.column("counts").to_pylist()])
+        bucket = asked.column("bucket")[0].as_py()
+        said = [(WORDS, block, bucket, pack(c[np.searchsorted(every, key)]), None, None) for block, key in zip(asked.column("block").to_pylist(), keys)]
+        return table([*said, (WORDS, None, bucket, None, int(c.sum()), int((c > 0).sum()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[tuple] = []
-        # Not a hash of what is in it: blocks of equal content are blocks of their own.
-        number = TaskContext.get().partitionId() << 32
-
-        def out() -> pa.RecordBatch:
-            ids, rows, held, codes, counts = (np.concatenate(x) if i else pa.concat_arrays(x) for i, x in enumerate(zip(*pieces)))
-            words, inverse = np.unique(codes, return_inverse=True)
-            train = np.bincount(inverse[~np.repeat(held, counts)], minlength=len(words)).astype(np.int32)
-            ends = np.cumsum(counts)
-            data = [zlib.compress(inverse[e - c : e].astype(np.int32).tobytes(), 1) for c, e in zip(counts, ends)]
-            n, m = len(rows), len(words)
-            none = lambda k, t: pa.nulls(k, t)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n + m, number)),
-                    pa.concat_arrays([ids, none(m, ids.type)]),
-                    pa.concat_arrays([pa.array(rows, pa.int32()), none(m, pa.int32())]),
-                    pa.concat_arrays([pa.array(data, pa.binary()), none(m, pa.binary())]),
-                    pa.concat_arrays([none(n, pa.int64()), pa.array(words.view(np.int64))]),
-                    pa.concat_arrays([none(n, pa.int32()), pa.array(train)]),
-                ],
-                ["block", "doc_id", "row", "data", "word", "n"],
-            )
-
-        size = 0
-        for piece in slices(batches):
-            words = Words(piece.column("text"), lower=True)
-            counts = words.counts + 1
-            codes = np.full(counts.sum(), END, np.uint64)
-            inside = np.ones(len(codes), bool)
-            inside[np.cumsum(counts) - 1] = False
-            codes[inside] = words.hash
-            pieces.append((piece.column("doc_id"), piece.column("row").to_numpy(), piece.column("held_out").to_numpy(zero_copy_only=False), codes, counts))
-            size += len(words.data)
-            if size >= how.block_bytes:
-                yield out()
-                pieces, size, number = [], 0, number + 1
-        if pieces:
-            yield out()
-
-    return staged(keyed.mapInArrow(run, schema), "words")
-
-
-def _base(keyed: DataFrame, how: SuffixTree) -> DataFrame:
-    """doc_id, row, n_tokens, n_known, train_tokens and base_score of each distinct row."""
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    asked = _asked(keyed, how, kind)
-    words = asked.where("word is not null").select("block", "word", "n")
-    counts = staged(words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    tokens, distinct = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    tokens, distinct = tokens or 0, distinct or 0
-    scale = np.log10(tokens + 0.5 * (distinct + 1))
-    answers = words.select(F.col("block").alias("asker"), "word").join(counts, "word")
-    schema = f"doc_id {kind}, row int, n_tokens long, n_known long, train_tokens long, base_score double"
-
-    def meet(rows: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.argsort(found.column("word").to_numpy().view(np.uint64))
-        c = found.column("c").to_numpy()[order]
-        value = np.log10(c + 0.5) - scale
-        out = []
-        for data in rows.column("data").to_pylist():
-            at = np.frombuffer(zlib.decompress(data), np.int32)
-            out.append((len(at), int((c[at] > 0).sum()), tokens, float(value[at].sum())))
-        figures = [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-        return pa.Table.from_arrays([rows.column("doc_id"), rows.column("row"), *figures], names=[x.split()[0] for x in schema.split(", ")])
-
-    places = asked.where("data is not null").select("block", "doc_id", "row", "data")
-    return places.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(meet, schema).dropDuplicates(["doc_id", "row"])
+    asked = told.select("kind", "bucket", "block", "keys", "counts")
+    windows = rows.groupBy("bucket").cogroup(asked.where(F.col("kind") == WINDOWS).groupBy("bucket")).applyInArrow(probabilities, ANSWER)
+    words = asked.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(counts, ANSWER)
+    return windows, staged(words, "word-counts")
 
 
 def score(docs: DataFrame, how: SuffixTree = SuffixTree()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``."""
-    keyed = _keyed(docs)
-    base = _base(keyed, how).select(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row"), "n_tokens", "n_known", "train_tokens", "base_score")
-    scored = _scored(keyed, how)
-    joined = scored.join(base, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("row") == F.col("__row")))
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    blocks, told, buckets = _prepared(docs, how)
+    rows, base = _grown(told, how)
+    windows, words = _answers(told, rows, _stem(base, rows, how), how)
+    totals = words.where("block is null").agg(F.sum("tokens"), F.sum("distinct")).first()
+    tokens, distinct = totals[0] or 0, totals[1] or 0
+    scale, depth = np.log10(tokens + 0.5 * (distinct + 1)), how.depth
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def meet(home: pa.Table, said: pa.Table) -> pa.Table:
+        block, found = Block(home), {(r["kind"], r["bucket"]): r["said"] for r in said.to_pylist()}
+        parts = []
+        for _, words, window, first in _texts(block, depth):
+            codes, counts = _tokens(words)
+            parts.append((placed(window), first[:-1], placed(codes), counts))
+        values, keys = {}, {WINDOWS: np.unique(np.concatenate([x[0][0] for x in parts])), WORDS: np.unique(np.concatenate([x[2][0] for x in parts]))}
+        for kind, key in keys.items():
+            order, there, _ = dealt(kind, key, buckets)
+            values[kind] = np.empty(len(key))
+            values[kind][order] = np.concatenate([unpack(found[kind, b], np.float32 if kind == WINDOWS else np.int64) for b in there.tolist()])
+        sums: list[list[np.ndarray]] = [[], [], [], []]
+        for (windows, place), first, (codes, spot), counts in parts:
+            p = values[WINDOWS][np.searchsorted(keys[WINDOWS], windows)][place]
+            c = values[WORDS][np.searchsorted(keys[WORDS], codes)]
+            known, plain = (c > 0).astype(np.int64)[spot], (np.log10(c + 0.5) - scale)[spot]
+            at = np.cumsum(counts) - counts
+            for out, x in zip(sums, (counts, np.add.reduceat(known, at), np.add.reduceat(plain, at), np.add.reduceat(p, first))):
+                out.append(x)
+        n, known, plain, score = map(np.concatenate, sums)
+        columns = [block.column("doc_id"), block.column("held_out"), *(pa.array(x) for x in (n.astype(np.int64), known, np.full(len(n), tokens, np.int64), plain, score))]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+    answers = windows.union(words.where("block is not null"))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
