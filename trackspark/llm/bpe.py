@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding by the ranks of a vocabulary file.
 
 1. A task splits a block of documents by the vocabulary's pattern and writes each document as places in the block's
-   list of distinct words. A word that is a token is known at once, as the tokenizer's rule has it; each other word
-   of the block becomes a row.
-2. Spark's higher-order functions fold the ranked merges over the byte array of each distinct word of the corpus,
-   once, with the ranks in a literal map, and concatenate the binary pieces that its ids decode to.
-3. Each block's words take their ids and bytes by a join on the word: a frequent word has one row a block, not one an
-   occurrence, and a skewed join partition can be split. They then meet the block's documents.
+   list of distinct words. A word that is a token is known at once, as the tokenizer's rule has it.
+2. A block asks about each of its other words once, in one row for each bucket of words that it has words of.
+   Spark's higher-order functions fold the ranked merges over the byte array of each distinct word of the corpus,
+   once, with the ranks in a literal map, and concatenate the binary pieces that its ids decode to. A result that is
+   the word again, as it is for every complete vocabulary, is told by its absence.
+3. The answers meet the block's documents. However frequent a word is, a bucket hears of it once from each block.
 
-What a task holds is bounded by ``block_bytes`` or, if longer, one document. Words of more than ``long_word`` bytes
-are folded by a heap instead, as the fold's time grows with the square of a word's length.
+What a task holds is bounded by ``block_bytes`` (or, if longer, one document) and by what all blocks ask one of the
+buckets, of which there is one for every ``bucket_bytes`` of text. Words of more than ``long_word`` bytes are folded
+by a heap instead, as the fold's time grows with the square of a word's length.
 
 Null text: empty, no ids. Rows are encoded one by one, so ties, repeated rows and other columns don't matter; an
 empty table gives an empty result. Special tokens are ordinary text.
@@ -22,6 +23,7 @@ import functools
 import hashlib
 import heapq
 import json
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,13 +32,14 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
-from .tokens import slices
+from .store import bucketed, staged
+from .tokens import cut, pack, slices, spread, squeezed, unpack
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,8 @@ class Vocabulary:
     path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern: str = public_tokenizers.PATTERN
     long_word: int = 256
-    block_bytes: int = 8 << 20
+    block_bytes: int = 16 << 20
+    bucket_bytes: int = 16 << 20
     words_a_task: int = 40_000
 
 
@@ -158,16 +162,36 @@ def byte_values(word: Column) -> Column:
     return F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), F.ascii)
 
 
-BLOCKS = "block long, keys array<string>, counts binary, places binary, size long, lengths binary, ids binary, at int, word binary"
+BLOCKS = "block long, keys array<string>, counts binary, places binary, lengths binary, ids binary, sizes binary, words binary, n_bytes long"
+
+
+#: Places below ONE take one byte, those below TWO another, the rest four more.
+ONE, TWO = 192, 192 + 63 * 256
+
+
+def coded(places: np.ndarray) -> bytes:
+    lead = np.where(places < ONE, places, np.where(places < TWO, ONE + (places - ONE >> 8), 255)).astype(np.uint8)
+    second = (places[(places >= ONE) & (places < TWO)] - ONE & 255).astype(np.uint8)
+    parts = [pack(lead), pack(second), pack(places[places >= TWO].astype(np.int32))]
+    return np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts)
+
+
+def uncoded(data: bytes) -> np.ndarray:
+    parts = cut(data[24:], np.frombuffer(data[:24], np.int64))
+    lead, second, long = (unpack(x, kind) for x, kind in zip(parts, (np.uint8, np.uint8, np.int32)))
+    out = lead.astype(np.int32)
+    two = (lead >= ONE) & (lead < 255)
+    out[two] = ONE + (out[two] - ONE << 8) + second
+    out[lead == 255] = long
+    return out
 
 
 def _blocks(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
-    """A row for each block: its documents' keys and numbers of words, the place of each word in the block's list, and the ids of words that are known at once (length 0: not known); and a row for each of its other words."""
+    """A row for each block: its documents' keys and numbers of words, the place of each word in the block's list, the ids of words that are known at once (length 0: not known), and the other words."""
     path, pattern, long_word = vocabulary.path, vocabulary.pattern, vocabulary.long_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = regex.compile(pattern).findall, ranks(path)
-        names = [x.split()[0] for x in BLOCKS.split(", ")]
         block = TaskContext.get().partitionId() << 32
 
         def ids_of(word: bytes) -> list[int]:
@@ -179,66 +203,164 @@ def _blocks(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
             places: dict[str, int] = defaultdict()
             places.default_factory = places.__len__
             lists = [np.fromiter(map(places.__getitem__, find(x.as_py() or "")), np.int32) for x in piece.column("text")]
-            flat = np.concatenate(lists)
-            # Bytes of equal weight side by side compress better.
-            data = pa.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
             words = [w.encode() for w in places]
             ready = list(map(ids_of, words))
-            left = [i for i, x in enumerate(ready) if not x]
-            m = len(left)
-            head = [
-                pa.array([piece.column(key).cast(pa.string()).to_pylist()], pa.list_(pa.string())),
-                pa.array([np.array([len(x) for x in lists], np.int32).tobytes()], pa.binary()),
-                pa.array([data], pa.binary()),
-                pa.array([flat.nbytes], pa.int64()),
-                pa.array([np.array([len(x) for x in ready], np.int32).tobytes()], pa.binary()),
-                pa.array([np.fromiter(chain.from_iterable(ready), np.int32).tobytes()], pa.binary()),
-            ]
-            tail = [pa.array([None, *left], pa.int32()), pa.array([None, *(words[i] for i in left)], pa.binary())]
-            columns = [pa.array(np.full(m + 1, block)), *(pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in head), *tail]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            left = [w for w, x in zip(words, ready) if not x]
+            figures = (
+                pack(np.array([len(x) for x in lists], np.int32)),
+                coded(np.concatenate(lists)),
+                pack(np.array([len(x) for x in ready], np.int32)),
+                pack(np.fromiter(chain.from_iterable(ready), np.int32)),
+                pack(np.array([len(x) for x in left], np.int32)),
+                squeezed(b"".join(left)),
+            )
+            keys = pa.array([piece.column(key).cast(pa.string()).to_pylist()], pa.list_(pa.string()))
+            size = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([block]), keys, *(pa.array([x], pa.binary()) for x in figures), pa.array([size], pa.int64())], _names(BLOCKS))
             block += 1
 
-    return staged(docs.select(key, "text").mapInArrow(run, BLOCKS), "bpe-blocks")
+    return bucketed(docs.select(key, "text").mapInArrow(run, BLOCKS), "bpe-blocks", "block")
 
 
-def _words(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Each distinct word that is no token, with its ids and the bytes they decode to."""
-    words = staged(blocks.where("word is not null").select("word").distinct(), "bpe-words")
-    tasks = max(1, -(-words.count() // vocabulary.words_a_task))
-    ids = words.repartition(tasks).select("word", folded(byte_values(F.col("word")), vocabulary.path).alias("ids"))
-    return staged(ids.select("word", "ids", decoded(F.col("ids"), vocabulary).alias("bytes")), "bpe-ids")
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
 
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), OTHERS: ODD}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.Table.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[f for f, _ in fields])
 
-def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable[[list, list, list, list], list[pa.Array]], schema: str) -> DataFrame:
-    """``finish`` on each block's document keys, their words' places, and the words' ids and bytes."""
-    names, path = [x.split()[0] for x in schema.split(", ")], vocabulary.path
 
-    def meet(rows: pa.Table, words: pa.Table) -> pa.Table:
+ASK = "bucket long, block long, at binary, sizes binary, words binary"
+
+
+def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """What a block asks each bucket: its words there in order of their bytes, and their places in the block's list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lengths, sizes, words in zip(*(batch.column(x).to_pylist() for x in ("block", "lengths", "sizes", "words"))):
+                words = sorted(zip(cut(spread(words), unpack(sizes, np.int32)), np.flatnonzero(unpack(lengths, np.int32) == 0).tolist()))
+                bucket = np.fromiter((zlib.crc32(w) for w, _ in words), np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                there, first = np.unique(bucket[order], return_index=True)
+                rows = []
+                for b, at in zip(there.tolist(), np.split(order, first[1:])):
+                    some = [words[i] for i in at.tolist()]
+                    rows.append((b, block, pack(np.diff([i for _, i in some], prepend=0).astype(np.int32)), pack(np.array([len(w) for w, _ in some], np.int32)), squeezed(b"".join([w for w, _ in some]))))
+                yield from _table(rows, ASK).to_batches()
+
+    return blocks.select("block", "lengths", "sizes", "words").mapInArrow(run, ASK)
+
+
+KNOWN = "bucket long, place int, word binary, block long, at binary, places binary"
+
+
+def _distinct(rows: pa.Table) -> pa.Table:
+    """A bucket's distinct words, each with its place among them; and the places of each block's words."""
+    place: dict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__
+    asked = []
+    for r in rows.to_pylist():
+        words = cut(spread(r["words"]), unpack(r["sizes"], np.int32))
+        asked.append((r["bucket"], None, None, r["block"], r["at"], pack(np.fromiter(map(place.__getitem__, words), np.int32))))
+    bucket = rows.column("bucket")[0].as_py()
+    return _table([*((bucket, i, w, None, None, None) for w, i in place.items()), *asked], KNOWN)
+
+
+OTHERS = "array<struct<at:int,bytes:binary>>"
+IDS = f"bucket long, place binary, counts binary, sizes binary, texts binary, others {OTHERS}"
+ANSWER = f"block long, at binary, counts binary, sizes binary, texts binary, others {OTHERS}"
+ODD = pa.list_(pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))
+
+
+def _packed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of words with their ids and bytes, one for each bucket in a batch."""
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        rows = []
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                part = batch.slice(a, b - a)
+                place, texts = part.column("place").to_numpy(), [x.encode() for x in part.column("ids").to_pylist()]
+                others = [(int(i), x) for i, x in zip(place, part.column("bytes").to_pylist()) if x is not None]
+                rows.append((int(bucket[a]), pack(place), pack(part.column("n").to_numpy().astype(np.int32)), pack(np.array(list(map(len, texts)), np.int32)), squeezed(b"".join(texts)), others))
+        yield from _table(rows, IDS).to_batches()
+
+
+def _words(known: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Of each distinct word: the number of its ids, the ids in one text, and what they decode to if that is not the word; packed by bucket."""
+    words = known.where("word is not null").select("bucket", "place", "word")
+    tasks = max(1, -(-words.count() // vocabulary.words_a_task))
+    dealt = words.repartitionByRange(tasks, "bucket", "place").sortWithinPartitions("bucket", "place")
+    ids = dealt.select("bucket", "place", "word", folded(byte_values(F.col("word")), vocabulary.path).alias("ids"))
+    ids = ids.withColumn("bytes", decoded(F.col("ids"), vocabulary))
+    rows = ids.select("bucket", "place", F.size("ids").alias("n"), F.array_join("ids", " ").alias("ids"), F.when(~F.col("bytes").eqNullSafe(F.col("word")), F.col("bytes")).alias("bytes"))
+    return staged(rows.mapInArrow(_packed_ids, IDS), "bpe-ids")
+
+
+def _answered(asked: pa.Table, words: pa.Table) -> pa.Table:
+    """To each block the ids of its words, in the order asked."""
+    rows = words.to_pylist()
+    place = np.concatenate([unpack(r["place"], np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+    order = np.argsort(place)
+    n = np.concatenate([unpack(r["counts"], np.int32) for r in rows])[order] if rows else place
+    texts = list(chain.from_iterable(cut(spread(r["texts"]), unpack(r["sizes"], np.int32)) for r in rows))
+    texts = [texts[i] for i in order.tolist()]
+    odd = {x["at"]: x["bytes"] for r in rows for x in r["others"]}
+    out = []
+    for r in asked.to_pylist():
+        places = unpack(r["places"], np.int32)
+        said = [texts[i] for i in places.tolist()]
+        others = [(k, odd[i]) for k, i in enumerate(places.tolist()) if i in odd] if odd else []
+        out.append((r["block"], r["at"], pack(n[places]), pack(np.array(list(map(len, said)), np.int32)), squeezed(b"".join(said)), others))
+    return _table(out, ANSWER)
+
+
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable[[list, list, np.ndarray, list, list], list[pa.Array]], schema: str) -> DataFrame:
+    """``finish`` on each block's document keys, their words' places, and the words' numbers of ids, ids as text, and bytes."""
+    path = vocabulary.path
+    blocks = _blocks(docs, vocabulary, key)
+    buckets = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // vocabulary.bucket_bytes))
+    known = staged(_asked(blocks, buckets).groupBy("bucket").applyInArrow(_distinct, KNOWN), "bpe-words")
+    asked = known.where("word is null").select("bucket", "block", "at", "places")
+    answers = asked.groupBy("bucket").cogroup(_words(known, vocabulary).groupBy("bucket")).applyInArrow(_answered, ANSWER)
+
+    def meet(rows: pa.Table, said: pa.Table) -> pa.Table:
         known, out = pieces(path), []
         for row in rows.to_pylist():  # one
-            size = row["size"]
-            flat = np.frombuffer(pa.decompress(row["places"], size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() if size else np.zeros(0, np.int32)
-            ends = np.cumsum(np.frombuffer(row["counts"], np.int32), dtype=np.int64)
-            every, stop = np.frombuffer(row["ids"], np.int32).tolist(), np.cumsum(np.frombuffer(row["lengths"], np.int32)).tolist()
-            ids = [every[a:b] for a, b in zip([0, *stop], stop)]
-            binary = [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in ids]
-            for i, x, y in zip(*(words.column(c).to_pylist() for c in ("at", "ids", "bytes"))):
-                ids[i], binary[i] = x, y
-            out.append(pa.Table.from_arrays(finish(row["keys"], [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], ids, binary), names))
+            counts = unpack(row["counts"], np.int32)
+            flat, ends = uncoded(row["places"]), np.cumsum(counts, dtype=np.int64)
+            n, every = unpack(row["lengths"], np.int32).copy(), unpack(row["ids"], np.int32).tolist()
+            stop = np.cumsum(n).tolist()
+            texts: list[bytes] = [b""] * len(n)
+            binary = list(texts)
+            for i in np.flatnonzero(n).tolist():
+                ids = every[stop[i] - n[i] : stop[i]]
+                texts[i], binary[i] = " ".join(map(str, ids)).encode(), b"".join([known[x] for x in ids])
+            for i, w in zip(np.flatnonzero(n == 0).tolist(), cut(spread(row["words"]), unpack(row["sizes"], np.int32))):
+                binary[i] = w
+            for r in said.to_pylist():
+                at = np.cumsum(unpack(r["at"], np.int32))
+                n[at] = unpack(r["counts"], np.int32)
+                for i, x in zip(at.tolist(), cut(spread(r["texts"]), unpack(r["sizes"], np.int32))):
+                    texts[i] = x
+                for x in r["others"]:
+                    binary[at[x["at"]]] = x["bytes"]
+            out.append(pa.Table.from_arrays(finish(row["keys"], [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], n, texts, binary), _names(schema)))
         return pa.concat_tables(out)
 
-    blocks = _blocks(docs, vocabulary, key)
-    heads = blocks.where("keys is not null").select("block", "keys", "counts", "places", "size", "lengths", "ids")
-    words = blocks.where("word is not null").select("block", "at", "word").join(_words(blocks, vocabulary), "word").select(F.col("block").alias("of"), "at", "ids", "bytes")
-    return heads.groupBy("block").cogroup(words.groupBy("of")).applyInArrow(meet, schema)
+    heads = blocks.select("block", "keys", "counts", "places", "lengths", "ids", "sizes", "words")
+    return heads.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "doc_id") -> DataFrame:
     """``key`` (as text) and ``ids`` of each row's whole text."""
 
-    def finish(keys: list, places: list, ids: list, binary: list) -> list[pa.Array]:
-        return [pa.array(keys, pa.string()), pa.array([list(chain.from_iterable(map(ids.__getitem__, at.tolist()))) for at in places], pa.list_(pa.int32()))]
+    def finish(keys: list, places: list, n: np.ndarray, texts: list, binary: list) -> list[pa.Array]:
+        return [pa.array(keys, pa.string()), pa.array([list(map(int, b" ".join(map(texts.__getitem__, at.tolist())).split())) for at in places], pa.list_(pa.int32()))]
 
     return _encoded(docs, vocabulary, key, finish, f"{key} string, ids array<int>")
 
@@ -252,14 +374,12 @@ def decoded(ids: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
 def digests(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "doc_id") -> DataFrame:
     """``key``, n_tokens, and the SHA-256 of the ids and of the bytes they decode to."""
 
-    def finish(keys: list, places: list, ids: list, binary: list) -> list[pa.Array]:
-        texts = [" ".join(map(str, x)) for x in ids]
-        size = np.array([len(x) for x in ids], np.int64)
+    def finish(keys: list, places: list, n: np.ndarray, texts: list, binary: list) -> list[pa.Array]:
         sizes, of_ids, of_bytes = [], [], []
         for at in places:
-            sizes.append(int(size[at].sum()))
+            sizes.append(int(n[at].sum()))
             at = at.tolist()
-            of_ids.append(hashlib.sha256(" ".join(map(texts.__getitem__, at)).encode()).hexdigest())
+            of_ids.append(hashlib.sha256(b" ".join(map(texts.__getitem__, at))).hexdigest())
             of_bytes.append(hashlib.sha256(b"".join(map(binary.__getitem__, at))).hexdigest())
         return [pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
 

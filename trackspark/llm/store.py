@@ -11,15 +11,27 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the session names; one of our own only in local mode, where every task sees it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="trackspark-"))
     return _OWN[0]
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``staged`` in buckets of ``key``, so that what groups by it later doesn't shuffle these rows again; an external table of the session's catalog."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", f"{shared_dir(spark)}/{table}")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+    return spark.table(table)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
