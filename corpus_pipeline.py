@@ -13,6 +13,13 @@ from trackspark.llm import bpe, jaccard, mixing, phrases, quality
 from trackspark.llm.store import staged
 
 
+def free(name: str, docs: DataFrame) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    while name.lower() in (x.lower() for x in docs.columns):
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
     return quality.keep(docs)
@@ -25,15 +32,16 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that smaller documents have; ``n_chars`` follows, and texts of which nothing is left go."""
-    cut = phrases.cut(docs)
+    before = free("words_before", docs)
+    cut = phrases.cut(docs, before=before)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.where("words_before = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+    return cut.where((F.col(before) == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or dropped to give all sources the same weight, in a random order."""
-    return mixing.replicated(docs).select(*docs.columns)
+    return mixing.replicated(docs, rate=free("rate", docs), copy=free("copy", docs)).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

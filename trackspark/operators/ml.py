@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MLConfig
+from ..functions.ordering import sums_before
 
 
 def features_of(df: DataFrame) -> list[str]:
@@ -145,17 +146,20 @@ def pca(df: DataFrame, explained: float = 0.95) -> dict[str, DataFrame]:
     }
 
 
+def _numbered(df: DataFrame, seed: int) -> DataFrame:
+    """``__before`` and ``__all``: rows of the category that come earlier by a hash of the object, and all of them."""
+    code = F.md5(F.concat_ws(":", F.lit(seed), F.col("object_id")))
+    return sums_before(df.withColumn("__code", code), ["category"], F.substring("__code", 1, 2), ["__code"], F.lit(1), "__before", "__all").drop("__code")
+
+
 def split(df: DataFrame, test_share: float = 0.4, seed: int = 42) -> DataFrame:
     """``test`` per category by the order of a hash of the object."""
-    code = F.md5(F.concat_ws(":", F.lit(seed), F.col("object_id")))
-    w = Window.partitionBy("category")
-    return df.withColumn("test", F.row_number().over(w.orderBy(code)) > F.count("*").over(w) * F.lit(1 - test_share))
+    return _numbered(df, seed).withColumn("test", F.col("__before") + 1 > F.col("__all") * F.lit(1 - test_share)).drop("__before", "__all")
 
 
 def folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """``fold`` 0 .. k - 1 per category by the order of a hash."""
-    code = F.md5(F.concat_ws(":", F.lit(seed), F.col("object_id")))
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy("category").orderBy(code)) - 1) % k)
+    return _numbered(df, seed).withColumn("fold", F.col("__before") % k).drop("__before", "__all")
 
 
 def fold_count(df: DataFrame, least: int = 10) -> int:

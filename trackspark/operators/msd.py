@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import sums_before
 from .kinematics import lagged
 
 
@@ -55,8 +56,9 @@ def prefix_fit(curve: DataFrame, *keys: str, r2: float = 0.995, least: int = 4)
 
 def draws(objects: DataFrame, samples: int, seed: int) -> DataFrame:
     """For each category and sample, as many draws of its objects with replacement as it has objects; the draws are hashes of their number."""
-    ranked = objects.select("category", "object_id", F.row_number().over(Window.partitionBy("category").orderBy("object_id")).alias("place"))
-    sizes = ranked.groupBy("category").agg(F.count("*").alias("n"))
+    ranked = sums_before(objects, ["category"], F.shiftright(F.col("object_id"), 16), ["object_id"], F.lit(1), "before", "n")
+    sizes = ranked.groupBy("category").agg(F.max("n").alias("n"))
+    ranked = ranked.select("category", "object_id", (F.col("before") + 1).cast("int").alias("place"))
     each = sizes.select("category", "n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("boot")).select("category", "n", "boot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("draw"))
     code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "category", "boot", "draw")), 1, 8), 16, 10).cast("long")
     # Repeated draws become weights before any curve is joined.
@@ -67,7 +69,10 @@ def draws(objects: DataFrame, samples: int, seed: int) -> DataFrame:
 def bootstrap_slopes(points: DataFrame, samples: int = 1000, seed: int = 42, r2: float = 0.995) -> DataFrame:
     """The fitted slope of each sample of objects."""
     chosen = draws(points.select("category", "object_id").distinct(), samples, seed)
-    curve = chosen.join(points, ["category", "object_id"]).groupBy("category", "boot", "tau", "log_tau").agg((F.sum(F.col("log_msd") * F.col("weight")) / F.sum("weight")).alias("log_msd"))
+    # An object's points are one row when they meet its draws; they are summed up before they are shuffled.
+    curves = points.groupBy("category", "object_id").agg(F.collect_list(F.struct("tau", "log_tau", "log_msd")).alias("points"))
+    each = chosen.join(curves, ["category", "object_id"]).select("category", "boot", "weight", F.explode("points").alias("p")).select("category", "boot", "weight", "p.*")
+    curve = each.groupBy("category", "boot", "tau", "log_tau").agg((F.sum(F.col("log_msd") * F.col("weight")) / F.sum("weight")).alias("log_msd"))
     return prefix_fit(curve, "category", "boot", r2=r2).where("points >= 4")
 
 

@@ -6,22 +6,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import sums_before
 from ..functions.tails import chi2_sf, normal_two_sided
 
 
-def ranked(long: DataFrame) -> DataFrame:
-    """Average ranks within each feature, and the size of each tie."""
-    tie = Window.partitionBy("feature", "value")
-    order = Window.partitionBy("feature").orderBy("value")
-    size = F.count("*").over(tie)
-    return long.where("value is not null").select("feature", "category", "value", size.alias("tie"), (F.rank().over(order) + (size - 1) / 2.0).alias("rank"))
+def ranked(long: DataFrame, buckets: int = 64) -> DataFrame:
+    """Each distinct value of a feature, its rows (``tie``) and their average rank.
+
+    Values are counted first; of each feature they are dealt into ranges of about equal size, which are added up and
+    ordered by themselves.
+    """
+    rows = long.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("tie"))
+    edges = rows.groupBy("feature").agg(F.percentile_approx("value", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 1000).alias("edges"))
+    dealt = rows.join(edges, "feature").withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    found = sums_before(dealt, ["feature"], F.col("range"), ["value"], F.col("tie"), "before", "total")
+    return found.select("feature", "value", "tie", (F.col("before") + (F.col("tie") + 1) / 2.0).alias("rank"))
 
 
 def _groups(long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = ranked(long)
-    per = rows.groupBy("feature", "category").agg(F.count("*").alias("n"), F.sum("rank").alias("r"))
-    # Each row of a tie of size t adds t**2 - 1, so a tie adds t**3 - t.
-    whole = rows.groupBy("feature").agg(F.count("*").alias("total"), F.sum((F.col("tie") * F.col("tie") - 1).cast("double")).alias("ties"))
+    ranks = ranked(long)
+    counts = long.where("value is not null").groupBy("feature", "category", "value").agg(F.count("*").alias("n"))
+    per = counts.join(ranks, ["feature", "value"]).groupBy("feature", "category").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
+    ties = F.col("tie").cast("double")
+    whole = ranks.groupBy("feature").agg(F.sum("tie").alias("total"), F.sum(ties * ties * ties - ties).alias("ties"))
     return per, whole
 
 
