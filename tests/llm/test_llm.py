@@ -180,6 +180,39 @@ def test_phrases(docs, plain):
     assert all(same[i] == (t or None) or found[i].n_removed or t == "" for i, t in plain)
 
 
+@pytest.mark.parametrize("shard_words", [500_000, 12])
+def test_automata_find_all_repeats(shard_words):
+    """On few words, so that windows recur in all ways, in one automaton and in many."""
+    rng, how = random.Random(3), phrases.Repeats(window=5, gram=2, shard_words=shard_words)
+    for _ in range(150):
+        lines = [rng.choices("ab", k=rng.randint(5, 14)) for _ in range(rng.randint(1, 8))]
+        docs = np.array([rng.randint(1, 5) for _ in lines])
+        low = {}
+        for d, w in sorted(zip(docs.tolist(), lines)):
+            for k in range(len(w) - 4):
+                low.setdefault(tuple(w[k : k + 5]), d)
+        want = {(i, k) for i, w in enumerate(lines) for k in range(len(w) - 4) if docs[i] > low[tuple(w[k : k + 5])]}
+        piece, at = how.repeated([" ".join(w).encode() + b" " for w in lines], docs, np.zeros(len(lines), np.int64))
+        assert set(zip(piece.tolist(), at.tolist())) == want
+
+
+def test_automata_decide(monkeypatch):
+    """Without their hits nothing is removed, whatever the hashes say."""
+    how, pieces, docs = phrases.Repeats(window=5, gram=2), [b"a b c d e f g ", b"x a b c d e f y ", b"c d e f g h i "], np.array([1, 2, 3])
+    piece, at = how.repeated(pieces, docs, np.zeros(3, np.int64))
+    assert set(zip(piece.tolist(), at.tolist())) == {(1, 1), (1, 2), (2, 0)}
+
+    class Blind:
+        def __init__(self, *_): ...
+        def add_word(self, *_): ...
+        def make_automaton(self): ...
+        def iter(self, line):
+            return iter(())
+
+    monkeypatch.setattr(phrases.ahocorasick, "Automaton", Blind)
+    assert not len(how.repeated(pieces, docs, np.zeros(3, np.int64))[0])
+
+
 def shingles(text, k=5):
     w = WORD.findall(lower(text))
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
