@@ -284,13 +284,17 @@ def _(spark, d):
 PARTS["bent"] = "select category, tau, log10(tau) as log_tau, (1 + k / 10.0::double) * log10(least(tau, 4 + k)) + case when tau > 4 + k then 0.3 * (tau % 2) else 0 end as log_msd from (select distinct category, substr(category, 2)::int as k from user_categories ), (select unnest(range(1, 13)) as tau)"
 
 
-@_query("loglog_prefix_fit_bent", f"select category, {r('slope', 'r2', digits=4)}, max_tau, points from ({_fit('bent', 'category', 0.995)})", digits=4)
-def _(spark, d):
+def _bent(spark: SparkSession, d: str) -> DataFrame:
     """Curves that are straight up to another lag in each category, and zigzag after it."""
     k, tau = F.substring("category", 2, 9).cast("int"), F.col("tau")
     rows = src.user_categories(spark, d).select("category").distinct().withColumn("tau", F.explode(F.sequence(F.lit(1), F.lit(12))))
     bent = (1 + k / 10) * F.log10(F.least(tau, 4 + k)) + F.when(tau > 4 + k, 0.3 * (tau % 2)).otherwise(0.0)
-    return msd.prefix_fit(rows.select("category", "tau", F.log10("tau").alias("log_tau"), bent.alias("log_msd")))
+    return rows.select("category", "tau", F.log10("tau").alias("log_tau"), bent.alias("log_msd"))
+
+
+@_query("loglog_prefix_fit_bent", f"select category, {r('slope', 'r2', digits=4)}, max_tau, points from ({_fit('bent', 'category', 0.995)})", digits=4)
+def _(spark, d):
+    return msd.prefix_fit(_bent(spark, d))
 
 
 PARTS["draws"] = """select c.category, boot, r.object_id, count(*) as weight from (
@@ -657,6 +661,29 @@ def _(spark, d):
     return helicity.helicity(src.step_tracks(spark, d), 4, smoothing=False)
 
 
+_TWIST = ("mean_helicity", "median_helicity", "mean_curvature", "median_curvature")
+PARTS["twist"] = "select object_id, avg(h) as mean_helicity, median(h) as median_helicity, avg(k) as mean_curvature, median(k) as median_curvature from h5 group by object_id"
+
+
+@_query("summary_with_helicity", f"select object_id, category, {r('duration', 'max_euclidean', 'straightness', *_TWIST, digits=3)} from summary left join twist using (object_id)", digits=3)
+def _(spark, d):
+    rows = src.step_tracks(spark, d)
+    whole = features.summarize(rows, src.user_categories(spark, d), CFG, helicity=helicity.helicity(rows, 4, smoothing=False))
+    return whole.select("object_id", "category", "duration", "max_euclidean", "straightness", *_TWIST)
+
+
+@_query("moving_filter", f"select object_id, category, {r('mean_velocity', 'median_velocity', digits=3)} from summary where mean_velocity <> 0 or median_velocity <> 0", digits=3)
+def _(spark, d):
+    """Objects that the velocity filter leaves no velocity go."""
+    return ml.moving_only(_summary(spark, d), True).select("object_id", "category", "mean_velocity", "median_velocity")
+
+
+@_query("slope_bars", f"select category, {r('slope', '1.5 * slope - slope:above', 'slope - 0.75 * slope:below', digits=4)} from ({_fit('bent', 'category', 0.995)})", digits=4)
+def _(spark, d):
+    """Bars of given intervals around the slopes of the bent curves."""
+    return figures.slope_bars(msd.prefix_fit(_bent(spark, d)).withColumns({"ci_low": F.col("slope") * 0.75, "ci_high": F.col("slope") * 1.5}))
+
+
 @_query("helicity_smoothed")
 def _(spark, d):
     return helicity.helicity(src.step_tracks(spark, d), 4)
