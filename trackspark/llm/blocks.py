@@ -54,7 +54,7 @@ class Block:
         values = self.column(name)
         return pc.fill_null(values.cast(pa.int64()), 0).to_numpy(zero_copy_only=False), pc.is_valid(values).to_numpy(zero_copy_only=False)
 
-    def parts(self, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def parts(self, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """First text, the one after the last, their bytes and offsets, of about ``limit`` bytes each; a longer text stands alone."""
         cut = self.offsets[1:] // limit
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(cut)]
