@@ -84,7 +84,9 @@ def replicated(docs: DataFrame, how: Mixture = Mixture(), rate: str = "rate", co
     names = [x for x in docs.columns if x not in (rate, copy)]
     joined = docs.select(*names).join(found, F.col("source").eqNullSafe(F.col("__source")), "inner")
     content = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, j: acc + poisson(F.col("__reached"), uniform(F.lit(how.seed), F.col("doc_id"), content, j)))
+    # The uniform values come first: a lambda evaluates what it names again for each element, hashes of the text included.
+    values = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: uniform(F.lit(how.seed), F.col("doc_id"), content, j))
+    drawn = F.aggregate(values, F.lit(0), lambda acc, u: acc + poisson(F.col("__reached"), u))
     drawn = joined.withColumn("__drawn", drawn).where("__drawn > 0")
     copies = drawn.select(*names, F.col("__rate").alias(rate), F.explode(F.sequence(F.lit(1), F.col("__drawn"))).alias(copy))
     # Dealt and sorted by a hash: a random order over all partitions, in one pass over the text.
