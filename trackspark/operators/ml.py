@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
@@ -250,10 +251,13 @@ def boosted_trees(df: DataFrame, cfg: MLConfig, pairwise: bool = False) -> dict[
 def pairwise_trees(df: DataFrame, cfg: MLConfig) -> dict[str, DataFrame]:
     """The same for each two categories, where there are more than two."""
     names = sorted(r["category"] for r in df.select("category").distinct().collect())
+    pairs = list(combinations(names, 2)) if len(names) > 2 else []
+    # Trees are many small jobs, so some pairs are trained side by side.
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda pair: boosted_trees(df.where(F.col("category").isin(*pair)), cfg, pairwise=True), pairs))
     out: dict[str, DataFrame] = {}
-    for a, b in combinations(names, 2) if len(names) > 2 else []:
-        for key, table in boosted_trees(df.where(F.col("category").isin(a, b)), cfg, pairwise=True).items():
+    for (a, b), tables in zip(pairs, found):
+        for key, table in tables.items():
             table = table.select(F.lit(a).alias("cat_a"), F.lit(b).alias("cat_b"), "*")
             out[key] = out[key].unionByName(table) if key in out else table
     return out
-

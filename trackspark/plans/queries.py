@@ -631,7 +631,8 @@ def _(spark, d):
 
 @_query("pairwise_trees")
 def _(spark, d):
-    return _said(ml.pairwise_trees(_scaled(spark, d), MLConfig()), "cat_a", "cat_b")
+    found = ml.pairwise_trees(_scaled(spark, d), MLConfig())
+    return _said(found, "cat_a", "cat_b") if found else spark.createDataFrame([], "cat_a string, cat_b string, table string, name string, measure string, value double")
 
 
 # Shape and figures ----------------------------------------------------------------------------------------------------
