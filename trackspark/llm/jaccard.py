@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import staged
-from .tokens import Words, mix, slices
+from .tokens import Words, changes, mix, slices, summed
 
 
 @dataclass(frozen=True)
@@ -71,15 +71,20 @@ def sketch(docs: DataFrame, how: NearDuplicates) -> np.ndarray:
     shift, size, k = np.uint64(64 - how.sketch_bits), 1 << how.sketch_bits, how.words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
+        slots, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
         for piece in slices(batches):
-            text, code = sets(piece.column("text"), k)
-            slot, n = np.unique((code >> shift).astype(np.int64), return_counts=True)
-            total[slot] += n.astype(np.uint32)
-        for at in range(0, size, CHUNK):
-            part = total[at : at + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([int(part.sum()) % 32]), pa.array([zlib.compress(part.tobytes(), 1)])], ["at", "salt", "counts"])
+            slot, n = np.unique((sets(piece.column("text"), k)[1] >> shift).astype(np.int32), return_counts=True)
+            slots.append(slot)
+            counts.append(n.astype(np.uint32))
+            # What a task has seen, not all slots, is what it holds.
+            if sum(map(len, slots)) > 1_000_000 + 2 * len(slots[0]):
+                slots, counts = ([x] for x in summed(slots, counts))
+        slot, n = summed(slots, counts)
+        edges = np.append(np.flatnonzero(changes(slot // CHUNK)), len(slot)) if len(slot) else np.zeros(1, np.int64)
+        for a, b in zip(edges, edges[1:]):
+            part = np.zeros(CHUNK, np.uint32)
+            part[slot[a:b] % CHUNK] = n[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array([int(slot[a]) // CHUNK * CHUNK]), pa.array([int(part.sum(dtype=np.int64)) % 32]), pa.array([zlib.compress(part.tobytes(), 1)])], ["at", "salt", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.uint32)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, packed
 from .store import staged
-from .tokens import Words, changes, pack, unpack
+from .tokens import Words, changes, pack, summed, unpack
 
 
 @dataclass(frozen=True)
@@ -143,15 +143,6 @@ def _buckets(windows: np.ndarray) -> np.ndarray:
     return ((window >> 8 & 0xFFFF) * 40503 & 0xFFFF) // 1024 * SALTS + ((window >> 24 & 0xFF) * 167 & 0xFF) // 16
 
 
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(changes(key)) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(first) else n
-
-
 def _texts(block: Block, depth: int) -> Iterator[tuple[slice, Words, np.ndarray, np.ndarray]]:
     """Parts of a block: which texts, their words, their windows and where each text's begin."""
     for a, b, data, offsets in block.parts():
