@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ from ..config import MLConfig
 from ..functions.ordering import sums_before
 
 
+#: Of the tables of pairs, whose size is that of the features squared and so independent of the rows.
+CORRELATIONS = "feature_a string, feature_b string, correlation double"
+
+
 def features_of(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("object_id", "category")]
 
@@ -44,33 +49,50 @@ def moving_only(df: DataFrame, on: bool) -> DataFrame:
     return df.where("mean_velocity <> 0 or median_velocity <> 0") if on else df
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """The rows without a null, their features as one array, so that the plan is as large for many features as for few."""
+    rows = df.select("object_id", "category", F.array(*(F.col(f"`{c}`").cast("double") for c in features_of(df))).alias("features"))
+    return rows.where(~F.exists("features", F.isnull))
+
+
 def signed_log(df: DataFrame) -> DataFrame:
     """sign(x) ln(1 + |x|) of every feature; rows with a null go."""
-    return df.select("object_id", "category", *((F.signum(c) * F.log1p(F.abs(c))).alias(c) for c in features_of(df))).dropna(subset=features_of(df))
+    logs = _whole(df).select("object_id", "category", F.transform("features", lambda x: F.signum(x) * F.log1p(F.abs(x))).alias("features"))
+    return logs.select("object_id", "category", *(F.col("features")[i].alias(c) for i, c in enumerate(features_of(df))))
+
+
+def moments(df: DataFrame) -> tuple[list[float], list[float]]:
+    """Mean and population variance of each feature over the rows without a null, in one aggregate; empty without rows."""
+    found = _whole(df).select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("features")).alias("s")).select("s.*").first()
+    n = found["count"] if found["count"] else 0
+    return (found["mean"].tolist(), [v * (n - 1) / n for v in found["variance"]]) if n else ([], [])
 
 
 def standardized(df: DataFrame) -> DataFrame:
     """z-scores with the population deviation; 0 for a constant feature."""
-    names = features_of(df)
-    one = df.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in names)).first()
-    if one[names[0]]["m"] is None:
+    means, variances = moments(df)
+    if not means:
         return df
-    z = lambda c: (F.col(c) - F.lit(float(one[c]["m"]))) / F.lit(float(one[c]["s"]) if one[c]["s"] > 1e-12 else 1.0)
-    return df.select("object_id", "category", *(z(c).alias(c) for c in names))
+    z = lambda c, m, v: (F.col(f"`{c}`") - F.lit(m)) / F.lit(math.sqrt(v) if v > 1e-24 else 1.0)
+    return df.select("object_id", "category", *(z(*x).alias(x[0]) for x in zip(features_of(df), means, variances)))
 
 
 def varying(df: DataFrame, least: float) -> DataFrame:
     """Features whose population variance exceeds ``least``."""
-    names = features_of(df)
-    found = df.agg(*(F.var_pop(c).alias(c) for c in names)).first()
-    return df.select("object_id", "category", *(c for c in names if (found[c] or 0) > least))
+    return df.select("object_id", "category", *(F.col(f"`{c}`") for c, v in zip(features_of(df), moments(df)[1]) if v > least))
 
 
 def correlations(df: DataFrame) -> DataFrame:
-    """feature_a < feature_b and their Pearson correlation, all pairs in one aggregation."""
-    names = sorted(features_of(df))
-    stacked = F.explode(F.array(*(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}|{b}`").alias("correlation")) for a, b in combinations(names, 2))))
-    return df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(names, 2))).select(stacked.alias("e")).select("e.*")
+    """feature_a < feature_b and their Pearson correlation, null for a constant feature; rows with a null are left out.
+
+    A row is one vector, and tasks sum up matrices of its products, so the plan is as large for many features as for few.
+    """
+    spark, names = df.sparkSession, sorted(features_of(df))
+    rows = _whole(df.select("object_id", "category", *(F.col(f"`{c}`") for c in names))).select(array_to_vector("features").alias("features"))
+    if len(names) < 2 or not rows.limit(2).count():
+        return spark.createDataFrame([], CORRELATIONS)
+    found = Correlation.corr(rows, "features").first()[0].toArray()
+    return spark.createDataFrame([(names[i], names[j], None if math.isnan(found[i, j]) else float(found[i, j])) for i, j in combinations(range(len(names)), 2)], CORRELATIONS)
 
 
 def correlated_groups(names: list[str], pairs: list[tuple[str, str, float]], threshold: float) -> list[list[str]]:

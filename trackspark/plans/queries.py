@@ -30,15 +30,19 @@ def _sql(body: str) -> str:
     """``body`` after the parts that it needs."""
     needed: list[str] = []
 
-    def need(text: str) -> None:
+    def tokens(text: str) -> list[str]:
+        return text.replace("(", " ").replace(")", " ").replace(",", " ").split()
+
+    def need(text: str, own: str = "") -> None:
         for name in PARTS:
-            if name in text.replace("(", " ").replace(")", " ").replace(",", " ").split() and name not in needed:
-                need(PARTS[name])
+            if name != own and name in tokens(text) and name not in needed:
+                need(PARTS[name], name)
                 if name not in needed:
                     needed.append(name)
 
     need(body)
-    return ("with " + ", ".join(f"{n} as ({PARTS[n]})" for n in needed) + " " if needed else "") + body
+    recursive = any(n in tokens(PARTS[n]) for n in needed)
+    return ("with " + "recursive " * recursive + ", ".join(f"{n} as ({PARTS[n]})" for n in needed) + " " if needed else "") + body
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -559,9 +563,38 @@ def _(spark, d):
     return ml.correlations(_scaled(spark, d))
 
 
-@_query("corr_groups")
+#: Features that follow others closely: two groups, and two more that are near each other but are never merged.
+_NEAR = {"e00": "2 * d00 + 0.1 * d40", "e01": "0.15 * d41 - d01", "e02": "3 * d00 - 0.2 * d45", "f02": "d02 + 0.04 * d42", "g02": "d02 + 0.3 * d43", "h02": "d02 + 0.3 * d43 + 0.04 * d44"}
+_ALL = [*_DIMS, *_NEAR]
+PARTS["near_matrix"] = "select *, " + ", ".join(f"{e} as {n}" for n, e in _NEAR.items()) + " from matrix"
+PARTS["near_logged"] = "select object_id, category, " + ", ".join(f"sign({c}) * ln(1 + abs({c})) as {c}" for c in _ALL) + " from near_matrix where " + " and ".join(f"{c} is not null" for c in _DIMS)
+PARTS["near_scaled"] = "select object_id, category, " + ", ".join(f"({c} - avg({c}) over ()) / stddev_pop({c}) over () as {c}" for c in _ALL) + " from near_logged"
+PARTS["near_long"] = f"select * from (unpivot (select object_id, {', '.join(_ALL)} from near_scaled ) on {', '.join(_ALL)} into name feature value value)"
+PARTS["near_pairs"] = "select a.feature as feature_a, b.feature as feature_b, corr(a.value, b.value) as correlation from near_long a join near_long b on a.object_id = b.object_id and a.feature < b.feature group by all"
+PARTS["near_ranked"] = "select *, row_number() over (order by abs(correlation) desc, feature_a, feature_b) as k from near_pairs where abs(correlation) >= 0.95"
+PARTS["near_groups"] = """select 0::bigint as k, map([]::varchar[], []::bigint[]) as m, 0::bigint as n union all
+    select r.k, case when m[feature_a] is not null and m[feature_b] is null then map_concat(m, map([feature_b], [m[feature_a]])) when m[feature_b] is not null and m[feature_a] is null then map_concat(m, map([feature_a], [m[feature_b]]))
+    when m[feature_a] is null then map_concat(m, map([feature_a, feature_b], [n, n])) else m end, n + (m[feature_a] is null and m[feature_b] is null)::bigint from near_groups g join near_ranked r on r.k = g.k + 1"""
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    rows = src.embedding_features(spark, d)
+    return ml.prepared(rows.select("*", *(F.expr(e).alias(n) for n, e in _NEAR.items())), MLConfig(), 5)
+
+
+@_query("corr_groups", "select feature_a, feature_b, round(correlation, 6) + 0.0 as correlation, abs(correlation) >= 0.95 as meets, coalesce(m[feature_a] = m[feature_b], false) as grouped, coalesce(m[feature_a], -1) as group_a, coalesce(m[feature_b], -1) as group_b from near_pairs, (select m from near_groups order by k desc limit 1)")
+def _(spark, d):
+    """Features that stand alone have the group -1 here."""
+    return _near(spark, d)[1]["feature_correlations"].fillna(-1, ["group_a", "group_b"])
+
+
+_TOGETHER = [["d00", "e00", "e02"], ["d01", "e01"], ["d02", "f02"], ["g02", "h02"]]
+
+
+@_query("aggregated_features", "select object_id, category, " + ", ".join(f'round(({" + ".join(g)}) / {len(g)}, 6) + 0.0 as "{", ".join(g)}"' for g in [*_TOGETHER, *([c] for c in _ALL if not any(c in g for g in _TOGETHER))]) + " from near_scaled")
 def _(spark, d):
-    return ml.prepared(src.embedding_features(spark, d), MLConfig(), 5)[1]["feature_correlations"]
+    """The means of the groups that these features make, beside all others."""
+    return _near(spark, d)[0]
 
 
 _rank_parts("dim", "long_matrix")

@@ -50,7 +50,9 @@ def user_categories(spark: SparkSession, folder: str) -> DataFrame:
 
 def embedding_features(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
     """The dimensions of the embeddings as features, labels as categories."""
-    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("object_id"), F.col("label").cast("string").alias("category"), *(F.col("embedding")[i].cast("double").alias(f"d{i:02d}") for i in range(width)))
+    values = F.struct(*(F.col("embedding")[i].cast("double").alias(f"d{i:02d}") for i in range(width)))
+    # Taken out of a list of one: columns of a generator, unlike 64 aliases of items, are no burden for the optimizer.
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("object_id"), F.col("label").cast("string").alias("category"), F.inline(F.array(values)))
 
 
 SQL = {
