@@ -246,13 +246,13 @@ def manifest(docs: DataFrame, how: Tree = Tree()) -> DataFrame:
     return blocks.select("total", "nodes", "path", "subroot").mapInArrow(run, schema)
 
 
-def _sql_crc(text: str) -> str:
+def sql_crc(text: str) -> str:
     """The unsigned CRC-32 of an ASCII text in DuckDB's SQL, beside the table crc_table."""
-    return f"xor(4294967295, list_reduce(list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295))"
+    return f"xor(4294967295, list_reduce(list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::bigint), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295))"
 
 
-#: A table that ``_sql_crc`` needs: the remainders of all bytes, by their rule.
-CRC_TABLE = "crc_table as (select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n::bigint)) as t)"
+#: A table that ``sql_crc`` needs: the remainders of all bytes, by their rule.
+CRC_TABLE = "crc_table as (select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n::bigint)) as crc)"
 
 
 def _sql_field(c: str) -> str:
@@ -269,7 +269,7 @@ _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstu
 SQL = f"""
 with recursive {CRC_TABLE},
 leaves as (select *, row_number() over (order by s, doc_id nulls first, leaf) as id, row_number() over (partition by s order by doc_id nulls first, leaf) - 1 as pos from (
-    select doc_id, coalesce('.' || source, '') as s, {_sql_leaf("text")} as leaf, case when coalesce({_sql_crc("doc_id::varchar")} % 5 = 0, false) then {_sql_leaf(_LOWERED)} else {_sql_leaf("text")} end as changed from documents, crc_table)),
+    select doc_id, coalesce('.' || source, '') as s, {_sql_leaf("text")} as leaf, case when coalesce({sql_crc("doc_id::varchar")} % 5 = 0, false) then {_sql_leaf(_LOWERED)} else {_sql_leaf("text")} end as changed from documents, crc_table)),
 up as (
     select 0 as lvl, s, pos, leaf as h, count(*) over (partition by s) as n from leaves
     union all

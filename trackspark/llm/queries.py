@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, lm, media, merkle, mixing, phrases, quality, suffixes, urls
+from . import bpe, chat, jaccard, lm, media, merkle, mixing, phrases, quality, suffixes, trie, urls, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"))
 
 
+def op11_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.described(_table(spark, folder, "pages"))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.sequences(_table(spark, folder, "conversations"))))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(_table(spark, folder, "documents"))
 
@@ -68,9 +76,9 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_scoring, op2_byte_level_bpe, op3_substring_dedup, op4_ngram_jaccard_join, op5_suffix_array_dedup, op6_media_columns, op7_url_filters, op8_chat_formatting, op9_mixing_to_target_weights, op10_quality_rules, op13_merkle_manifest)
+    found = (op1_lm_scoring, op2_byte_level_bpe, op3_substring_dedup, op4_ngram_jaccard_join, op5_suffix_array_dedup, op6_media_columns, op7_url_filters, op8_chat_formatting, op9_mixing_to_target_weights, op10_quality_rules, op11_warc_archives, op12_conversation_trie, op13_merkle_manifest)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": urls.SQL, "op8_chat_formatting": chat.SQL, "op9_mixing_to_target_weights": mixing.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op7_url_filters": urls.SQL, "op8_chat_formatting": chat.SQL, "op9_mixing_to_target_weights": mixing.SQL, "op11_warc_archives": warc.SQL, "op12_conversation_trie": trie.SQL, "op13_merkle_manifest": merkle.SQL}
