@@ -37,7 +37,7 @@ def test_oracle(spark, duck, name):
 
 def test_without_sql():
     """Queries that SQL can't express are tested elsewhere; this list changes with them."""
-    assert set(q.QUERIES) - set(q.ORACLES) == {"boosted_trees", "convex_hull", "generated_tracks", "helicity_smoothed", "pairwise_trees", "pca_scores"}
+    assert set(q.QUERIES) - set(q.ORACLES) == {"boosted_trees", "convex_hull", "generated_tracks", "helicity_smoothed", "pairwise_trees", "pca_scores", "searched_trees"}
 
 
 def test_rows_of_queries_without_sql(spark):

@@ -8,11 +8,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.ml.classification import GBTClassifier
 
 from trackspark.config import AttractorConfig, MLConfig, RunConfig, words
 from trackspark.functions.tails import chi2_sf, normal_two_sided
-from trackspark.operators import attractors, contacts, figures, formatting, helicity, kinematics, ml, msd, shape
+from trackspark.operators import attractors, boosting, contacts, figures, formatting, helicity, kinematics, ml, msd, shape
 from trackspark.operators import summary as features
 from trackspark.plans import run as plan
 from trackspark.sources import generator, tables
@@ -346,24 +345,24 @@ def test_report_and_trees(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "ab"[i % 2], float(i % 2 + rng.normal(0, 0.1)), *map(float, rng.normal(size=3))) for i in range(40)]
     df = spark.createDataFrame(rows, "object_id long, category string, f double, g double, h double, i double")
-    found = ml.boosted_trees(df, MLConfig())
+    found = ml.boosted_trees(df, MLConfig(search=False))
     assert found["tree_features"].first().feature == "f"
     assert found["tree_report"].first().accuracy > 0.9
-    grid = {"maxDepth": [1, 2], "maxIter": [1, 2], "stepSize": [0.1, 0.3]}
-    found = ml.boosted_trees(df, MLConfig(search=True, draws=2, grid=grid))
+    grid = {"max_depth": [1, 2], "n_estimators": [1, 2], "learning_rate": [0.1, 0.3]}
+    found = ml.boosted_trees(df, MLConfig(draws=2, grid=grid))
     assert found["tree_report"].first().accuracy > 0.9
     params = ast.literal_eval(found["tree_hyperparams"].first().params)
     assert all(params[k] in v for k, v in grid.items())
 
 
-def test_grids(spark):
-    """Draws are points of the fixed grids, all different, and the same for a seed."""
-    gbt = GBTClassifier()
+def test_grids():
+    """Draws are points of the fixed grids, all different, and the same for a seed; all nine axes are there."""
     for kind, grid in ml.GRIDS.items():
-        points = ml.drawn_grid(gbt, grid, ml.DRAWS[kind], 42)
+        points = ml.drawn_grid(grid, ml.DRAWS[kind], 42)
         assert len(points) == ml.DRAWS[kind] == len({tuple(p.values()) for p in points})
-        assert all(v in grid[k.name] for p in points for k, v in p.items())
-        assert points == ml.drawn_grid(gbt, grid, ml.DRAWS[kind], 42)
+        assert all(v in grid[k] for p in points for k, v in p.items())
+        assert points == ml.drawn_grid(grid, ml.DRAWS[kind], 42)
+        assert set(grid) == set(boosting.Params.__dataclass_fields__)
 
 
 def test_tree_queries_see_all(spark, tmp_path):
@@ -383,7 +382,7 @@ def test_pairwise_trees(spark):
     rng = np.random.default_rng(7)
     rows = [(i, "abc"[i % 3], float((i % 3 == 2) + rng.normal(0, 0.1)), *map(float, rng.normal(size=2))) for i in range(45)]
     df = spark.createDataFrame(rows, "object_id long, category string, f double, g double, h double").coalesce(1)
-    found = ml.pairwise_trees(df, MLConfig(trees=2))
+    found = ml.pairwise_trees(df, MLConfig(trees=2, search=False))
     best = {(r.cat_a, r.cat_b): r.feature for r in found["tree_features"].orderBy("importance").collect()}
     assert set(best) == {("a", "b"), ("a", "c"), ("b", "c")} and best["a", "c"] == best["b", "c"] == "f"
     assert all(r.accuracy > 0.9 for r in found["tree_report"].where("cat_b = 'c'").collect())
@@ -402,7 +401,7 @@ def test_stream(spark, tmp_path):
 
 def test_learn(spark):
     segments, kinds = generator.generated(spark, generator.Generator(tracks=12, steps=25))
-    cfg = RunConfig(tau=4, arrest_limit=0.5, ml=MLConfig(categories=("MostlyStraight", "Dead")))
+    cfg = RunConfig(tau=4, arrest_limit=0.5, ml=MLConfig(categories=("MostlyStraight", "Dead"), trees=3, draws=2, grid={"n_estimators": [1, 3], "max_depth": [1, 2]}))
     table = plan.run(segments, kinds, cfg)["features"]
     out = plan.learn(table, cfg)
     assert out["pc_scores"].count() == 24

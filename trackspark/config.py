@@ -25,7 +25,7 @@ class AttractorConfig:
 
 @dataclass(frozen=True)
 class MLConfig:
-    """``search``: hyper-parameters are searched, in ``grid`` and by ``draws`` points of it if given, else in the fixed grids; without it they are ``depth`` and ``trees``."""
+    """``search``: hyper-parameters are searched, in ``grid`` and by ``draws`` points of it if given, else in the fixed grids; without it they are ``depth``, ``trees`` and ``learning_rate``."""
 
     categories: tuple[str, ...] = ()
     min_samples: int = 5
@@ -38,7 +38,8 @@ class MLConfig:
     drop_non_moving: bool = False
     depth: int = 3
     trees: int = 10
-    search: bool = False
+    learning_rate: float = 0.3
+    search: bool = True
     draws: int = 0
     grid: dict[str, list] = field(default_factory=dict)
 

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MLConfig
 from ..functions.ordering import sums_before
+from .boosting import Engine, Job, Model, Params, blocks, cuts, predictions, train
 
 
 #: Of the tables of pairs, whose size is that of the features squared and so independent of the rows.
@@ -185,101 +184,128 @@ def folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return _numbered(df, seed).withColumn("fold", F.col("__before") % k).drop("__before", "__all")
 
 
-def fold_count(df: DataFrame, least: int = 10) -> int:
-    """Folds for cross-validation where a category has fewer than ``least`` objects, else 0 for a split."""
-    smallest = df.groupBy("category").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
-    return min(5, max(2, smallest)) if smallest < least else 0
-
-
-def report(predicted: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per category, and accuracy, from (category, prediction)."""
-    counts = predicted.groupBy("category", "prediction").agg(F.count("*").alias("n"))
-    hits = counts.where("category = prediction").select("category", F.col("n").alias("hit"))
-    support = counts.groupBy("category").agg(F.sum("n").alias("support"))
-    called = counts.groupBy(F.col("prediction").alias("category")).agg(F.sum("n").alias("called"))
-    rows = support.join(called, "category", "left").join(hits, "category", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+def report(predicted: DataFrame, *keys: str, rows: str | None = None) -> DataFrame:
+    """Precision, recall, F1 and support per category, and accuracy, from (category, prediction), each standing for as many as column ``rows`` says; for each of ``keys`` by itself."""
+    counts = predicted.groupBy(*keys, "category", "prediction").agg((F.sum(rows) if rows else F.count("*")).alias("n"))
+    hits = counts.where("category = prediction").select(*keys, "category", F.col("n").alias("hit"))
+    support = counts.groupBy(*keys, "category").agg(F.sum("n").alias("support"))
+    called = counts.groupBy(*keys, F.col("prediction").alias("category")).agg(F.sum("n").alias("called"))
+    joined = support.join(called, [*keys, "category"], "left").join(hits, [*keys, "category"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     zero = F.lit(0.0)
-    rows = rows.select("category", F.coalesce(F.try_divide("hit", "called"), zero).alias("precision"), F.coalesce(F.try_divide("hit", "support"), zero).alias("recall"), "support", "hit")
-    rows = rows.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), zero))
-    whole = Window.partitionBy(F.lit(1))
-    return rows.select("category", "precision", "recall", "f1", "support", (F.sum("hit").over(whole) / F.sum("support").over(whole)).alias("accuracy"))
+    shares = joined.select(*keys, "category", F.coalesce(F.try_divide("hit", "called"), zero).alias("precision"), F.coalesce(F.try_divide("hit", "support"), zero).alias("recall"), "support", "hit")
+    shares = shares.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), zero))
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))
+    return shares.select(*keys, "category", "precision", "recall", "f1", "support", (F.sum("hit").over(whole) / F.sum("support").over(whole)).alias("accuracy"))
 
 
 #: The hyper-parameters searched, by whether two categories are compared and whether there are at least 50 objects, and how many points are drawn.
 GRIDS = {
-    (True, False): {"maxIter": [50, 100], "stepSize": [0.1, 0.2], "maxDepth": [3, 4], "minInfoGain": [0.0, 0.1], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"], "minInstancesPerNode": [1, 3]},
-    (True, True): {"maxIter": [100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 5, 7], "minInfoGain": [0.0, 0.1], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"], "minInstancesPerNode": [1, 3]},
-    (False, False): {"maxIter": [50, 100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [2, 3, 4], "minInfoGain": [0.0, 0.1], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"], "minInstancesPerNode": [1, 3]},
-    (False, True): {"maxIter": [100, 200, 300, 500], "stepSize": [0.01, 0.05, 0.1, 0.2, 0.3], "maxDepth": [3, 5, 7, 9], "minInfoGain": [0.0, 0.05, 0.1, 0.2], "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.6", "0.8", "1.0"], "minInstancesPerNode": [1, 3, 5]},
+    (True, False): {"n_estimators": [50, 100], "learning_rate": [0.1, 0.2], "max_depth": [3, 4], "gamma": [0.0, 0.1], "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0], "min_child_weight": [1, 3], "reg_alpha": [0.0, 0.1], "reg_lambda": [0.0, 0.1]},
+    (True, True): {"n_estimators": [100, 200], "learning_rate": [0.05, 0.1, 0.2], "max_depth": [3, 5, 7], "gamma": [0.0, 0.1], "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0], "min_child_weight": [1, 3], "reg_alpha": [0.0, 0.1], "reg_lambda": [0.0, 0.1]},
+    (False, False): {"n_estimators": [50, 100, 200], "learning_rate": [0.05, 0.1, 0.2], "max_depth": [2, 3, 4], "gamma": [0.0, 0.1], "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0], "min_child_weight": [1, 3], "reg_alpha": [0.0, 0.1], "reg_lambda": [0.0, 0.1]},
+    (False, True): {"n_estimators": [100, 200, 300, 500], "learning_rate": [0.01, 0.05, 0.1, 0.2, 0.3], "max_depth": [3, 5, 7, 9], "gamma": [0.0, 0.05, 0.1, 0.2], "subsample": [0.6, 0.8, 1.0], "colsample_bytree": [0.6, 0.8, 1.0], "min_child_weight": [1, 3, 5], "reg_alpha": [0.0, 0.1, 0.5], "reg_lambda": [0.0, 0.1, 0.5]},
 }
 DRAWS = {(True, False): 25, (True, True): 50, (False, False): 50, (False, True): 100}
 
 
-def drawn_grid(gbt: GBTClassifier, grid: dict[str, list], draws: int, seed: int) -> list[dict]:
+def drawn_grid(grid: dict[str, list], draws: int, seed: int) -> list[dict]:
     """``draws`` different points of the grid, at most all of them, by a seeded draw."""
     values, sizes = list(grid.values()), [len(v) for v in grid.values()]
     total = math.prod(sizes)
     chosen = np.random.default_rng(seed).choice(total, min(draws, total), replace=False)
-    return [{gbt.getParam(n): v[i] for n, v, i in zip(grid, values, np.unravel_index(c, sizes))} for c in chosen.tolist()]
+    return [{n: v[i] for n, v, i in zip(grid, values, np.unravel_index(c, sizes))} for c in chosen.tolist()]
+
+
+@dataclass
+class Comparison:
+    """Categories to tell apart: folds ``k`` where one of them is small, else 0 for a split; how many rows of each are for training."""
+
+    labels: tuple[int, ...]
+    k: int
+    limits: tuple[int, ...]
+    params: Params
 
+    @property
+    def method(self) -> str:
+        return f"{self.k}-fold" if self.k else "split"
 
-def searched(rows: DataFrame, model, gbt: GBTClassifier, cfg: MLConfig, pairwise: bool, k: int) -> dict:
-    """The most accurate of the drawn points in cross-validation by stratified folds; of equals the first."""
-    kind = pairwise, rows.count() >= 50
-    points = drawn_grid(gbt, cfg.grid or GRIDS[kind], cfg.draws or DRAWS[kind], cfg.seed)
-    cross = CrossValidator(estimator=model, estimatorParamMaps=points, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k or 3, foldCol="fold", seed=cfg.seed, parallelism=4)
-    found = cross.fit(folds(rows, k or 3, cfg.seed).withColumn("fold", F.col("fold").cast("int")))
-    return {p.name: v for p, v in points[int(np.argmax(found.avgMetrics))].items()}
 
+def _accuracies(packed: DataFrame, models: list[Model], features: int) -> dict[int, float]:
+    """The share of right predictions of each model."""
+    found = predictions(packed, models, features).groupBy("job").agg((F.sum(F.when(F.col("label") == F.col("said"), F.col("n"))) / F.sum("n")).alias("share"))
+    return {r["job"]: r["share"] or 0.0 for r in found.collect()}
 
-def boosted_trees(df: DataFrame, cfg: MLConfig, pairwise: bool = False) -> dict[str, DataFrame]:
-    """Importances, report and parameters of boosted trees: one against the rest where there are more than two categories.
 
-    With ``cfg.search`` hyper-parameters are searched, else they are those of ``cfg``.
+def searched(packed: DataFrame, comparisons: list[Comparison], features: int, cfg: MLConfig, pairwise: bool) -> None:
+    """Gives each comparison the most accurate of the drawn points in cross-validation over its training rows; of equals the first.
+
+    The candidates and folds of all comparisons are trained in the same passes.
     """
+    jobs, points = [], []
+    for i, x in enumerate(comparisons):
+        kind = pairwise, sum(x.limits) >= 50
+        for j, point in enumerate(drawn_grid(cfg.grid or GRIDS[kind], cfg.draws or DRAWS[kind], cfg.seed)):
+            params = replace(x.params, **point)
+            for fold in range(x.k or 3):
+                jobs.append(Job(x.labels, params, x.limits, x.k or 3, fold, cfg.seed))
+                points.append((i, j, params))
+    shares = _accuracies(packed, train(packed, jobs, features), features)
+    scores: dict[int, dict[int, list]] = {}
+    for n, (i, j, params) in enumerate(points):
+        scores.setdefault(i, {}).setdefault(j, [0.0, params])[0] += shares.get(n, 0.0) / (comparisons[i].k or 3)
+    for i, found in scores.items():
+        comparisons[i].params = max(found.items(), key=lambda x: (round(x[1][0], 12), -x[0]))[1][1]
+
+
+def _compared(df: DataFrame, cfg: MLConfig, sets: Callable[[int], list[tuple[int, ...]]], pairwise: bool) -> dict[str, DataFrame]:
+    """Importances, report and parameters of boosted trees for each set of categories, with the categories' names of pairs."""
     spark, names = df.sparkSession, features_of(df)
-    index = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(df)
-    rows = index.transform(assembled(df)).persist()
-    labels = index.labels
-    params = {"maxDepth": cfg.depth, "maxIter": cfg.trees}
-    k = fold_count(df, cfg.min_samples_trees)
-    made = lambda params: GBTClassifier(seed=cfg.seed, **params)
-    whole = lambda gbt: gbt if len(labels) == 2 else OneVsRest(classifier=gbt)
+    counts = {r["category"]: r["n"] for r in df.groupBy("category").agg(F.count("*").alias("n")).collect()}
+    labels = sorted(counts)
+    comparisons = []
+    for chosen in sets(len(labels)):
+        n = [counts[labels[i]] for i in chosen]
+        k = min(5, max(2, min(n))) if min(n) < cfg.min_samples_trees else 0
+        comparisons.append(Comparison(chosen, k, tuple(n if k else (int(x * (1 - cfg.test_share)) for x in n)), Params(n_estimators=cfg.trees, max_depth=cfg.depth, learning_rate=cfg.learning_rate)))
+    if not comparisons:
+        return {}
+    # A category's name, number and place of rows in it are all that training needs beside the features.
+    numbered = _numbered(_whole(df), cfg.seed)
+    rows = numbered.select("object_id", (F.array_position(F.array(*map(F.lit, labels)), F.col("category")) - 1).cast("int").alias("label"), F.col("__before").alias("place"), "features").persist()
+    how = Engine()
+    packed = blocks(rows, cuts(rows, len(names), how), how).persist()
     if cfg.search:
-        gbt = made(params)
-        params |= searched(rows, whole(gbt), gbt, cfg, pairwise, k)
-    model = whole(made(params))
-    if k:
-        parts = [(d.where(F.col("fold") != i), d.where(F.col("fold") == i)) for d in [folds(rows, k, cfg.seed).persist()] for i in range(k)]
-    else:
-        d = split(rows, cfg.test_share, cfg.seed).persist()
-        parts = [(d.where("not test"), d.where("test"))]
-    said, importances = None, np.zeros(len(names))
-    for train, test in parts:
-        fitted = model.fit(train)
-        trees = getattr(fitted, "models", [fitted])
-        importances += np.mean([t.featureImportances.toArray() for t in trees], axis=0) / len(parts)
-        out = fitted.transform(test).select("category", F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1).alias("prediction"))
-        said = out if said is None else said.union(out)
-    ranked = sorted(zip(names, map(float, importances)), key=lambda x: -x[1])
-    method = f"{k}-fold" if k else "split"
+        searched(packed, comparisons, len(names), cfg, pairwise)
+    jobs = [(i, Job(x.labels, x.params, x.limits, x.k, fold, cfg.seed)) for i, x in enumerate(comparisons) for fold in (range(x.k) if x.k else (None,))]
+    models = train(packed, [j for _, j in jobs], len(names), how)
+    said = spark.createDataFrame(predictions(packed, models, len(names)).collect(), "job long, label long, said long, n long")
+    packed.unpersist()
+    rows.unpersist()
+    cats = lambda x: [labels[i] for i in x.labels] if pairwise else []
+    keys, kinds = (["cat_a", "cat_b"], "cat_a string, cat_b string, ") if pairwise else ([], "")
+    ranked = []
+    for i, x in enumerate(comparisons):
+        gains = np.mean([m.gains(len(names)) for (c, _), m in zip(jobs, models) if c == i], axis=0)
+        ranked += [(*cats(x), c, float(g)) for c, g in sorted(zip(names, gains), key=lambda e: -e[1])]
+    of = spark.createDataFrame([(j, *cats(comparisons[i]), comparisons[i].method) for j, (i, _) in enumerate(jobs)], f"job long, {kinds}method string")
+    name = lambda c: F.element_at(F.array(*map(F.lit, labels)), F.col(c).cast("int") + 1)
+    told = said.join(of, "job").select(*keys, "method", name("label").alias("category"), name("said").alias("prediction"), "n")
     return {
-        "tree_features": spark.createDataFrame(ranked, "feature string, importance double"),
-        "tree_report": report(said).withColumn("method", F.lit(method)),
-        "tree_hyperparams": spark.createDataFrame([("full", method, str(params))], "run string, method string, params string"),
+        "tree_features": spark.createDataFrame(ranked, f"{kinds}feature string, importance double"),
+        "tree_report": report(told, *keys, "method", rows="n").select(*keys, "category", "precision", "recall", "f1", "support", "accuracy", "method"),
+        "tree_hyperparams": spark.createDataFrame([(*cats(x), "pair" if pairwise else "full", x.method, str(asdict(x.params))) for x in comparisons], f"{kinds}run string, method string, params string"),
     }
 
 
+def boosted_trees(df: DataFrame, cfg: MLConfig) -> dict[str, DataFrame]:
+    """Importances, report and parameters of boosted trees that tell all categories apart in one model.
+
+    Unless ``cfg.search`` is off, hyper-parameters are searched, else they are those of ``cfg``. Where a category has
+    few rows, models are trained on folds and the report is of the rows held out of each; rows with a null are left out.
+    """
+    return _compared(df, cfg, lambda n: [tuple(range(n))], False)
+
+
 def pairwise_trees(df: DataFrame, cfg: MLConfig) -> dict[str, DataFrame]:
-    """The same for each two categories, where there are more than two."""
-    names = sorted(r["category"] for r in df.select("category").distinct().collect())
-    pairs = list(combinations(names, 2)) if len(names) > 2 else []
-    # Trees are many small jobs, so some pairs are trained side by side.
-    with ThreadPoolExecutor(4) as pool:
-        found = list(pool.map(lambda pair: boosted_trees(df.where(F.col("category").isin(*pair)), cfg, pairwise=True), pairs))
-    out: dict[str, DataFrame] = {}
-    for (a, b), tables in zip(pairs, found):
-        for key, table in tables.items():
-            table = table.select(F.lit(a).alias("cat_a"), F.lit(b).alias("cat_b"), "*")
-            out[key] = out[key].unionByName(table) if key in out else table
-    return out
+    """The same for each two categories, where there are more than two; all pairs are trained in the same passes."""
+    return _compared(df, cfg, lambda n: list(combinations(range(n), 2)) if n > 2 else [], True)

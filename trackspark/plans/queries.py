@@ -659,15 +659,23 @@ def _said(found: dict[str, DataFrame], *keys: str) -> DataFrame:
 
 @_query("boosted_trees")
 def _(spark, d):
-    return _said(ml.boosted_trees(_scaled(spark, d), MLConfig()))
+    return _said(ml.boosted_trees(_scaled(spark, d), MLConfig(search=False)))
 
 
 @_query("pairwise_trees")
 def _(spark, d):
-    found = ml.pairwise_trees(_scaled(spark, d), MLConfig())
+    found = ml.pairwise_trees(_scaled(spark, d), MLConfig(search=False, trees=5))
     return _said(found, "cat_a", "cat_b") if found else spark.createDataFrame([], "cat_a string, cat_b string, table string, name string, measure string, value double")
 
 
+@_query("searched_trees")
+def _(spark, d):
+    """The parameters that win of eight points of a grid of all axes, and how well their trees tell categories apart."""
+    grid = {"n_estimators": [2, 4], "learning_rate": [0.1, 0.3], "max_depth": [2, 3], "gamma": [0.0, 0.1], "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0], "min_child_weight": [1, 3], "reg_alpha": [0.0, 0.1], "reg_lambda": [0.1, 1.0]}
+    found = ml.boosted_trees(_scaled(spark, d), MLConfig(draws=8, grid=grid))
+    return found["tree_report"].join(found["tree_hyperparams"], "method")
+
+
 # Shape and figures ----------------------------------------------------------------------------------------------------
 
 
