@@ -1,6 +1,8 @@
 """Hand-made tracks and independent references."""
 
 import ast
+import collections
+import hashlib
 import math
 from itertools import combinations
 
@@ -150,6 +152,34 @@ def test_hull(spark):
     assert shape.hull_volume(points @ m) == pytest.approx(abs(np.linalg.det(m)) * shape.hull_volume(points), rel=1e-6)
 
 
+def test_bootstrap_is_a_loop(spark):
+    """Samples of objects in several blocks: the same draws one by one, and each object as often as the others."""
+    rng = np.random.default_rng(5)
+    points = [(i, "ab"[i > 20], t, math.log10(t), float(rng.normal())) for i in range(29) for t in range(1, 6) if (i + t) % 7]
+    df = spark.createDataFrame([(*p[:3], 0.0, *p[3:]) for p in points], "object_id long, category string, tau int, msd double, log_tau double, log_msd double").repartition(4)
+    found = {(r.category, r.boot, r.tau): r.log_msd for r in msd.bootstrap_curves(df, 20, 7, block=8).collect()}
+    code = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:8], 16)
+
+    def mixed(x):
+        x = (x ^ x >> 16) * 0x85EBCA6B % 2**32
+        x = (x ^ x >> 13) * 0xC2B2AE35 % 2**32
+        return x ^ x >> 16
+
+    want, seen = {}, collections.Counter()
+    for c, ids in (("a", range(21)), ("b", range(21, 29))):
+        for boot in range(1, 21):
+            blocks = collections.Counter(code(7, c, boot, d) % len(ids) // 8 if len(ids) > 8 else 0 for d in range(1, len(ids) + 1))
+            chosen = [ids[8 * k + mixed((code(7, c, boot, k) + j * 0x9E3779B9) % 2**32) % len(ids[8 * k : 8 * k + 8])] for k, n in blocks.items() for j in range(n)]
+            assert len(chosen) == len(ids)
+            seen.update(chosen)
+            for t in range(1, 6):
+                values = [v for i in chosen for o, _, tau, _, v in points if o == i and tau == t]
+                if values:
+                    want[c, boot, t] = sum(values) / len(values)
+    assert found == pytest.approx(want)
+    assert max(seen.values()) < 3 * min(seen.values())
+
+
 def test_hull_of_tracks_is_all_facets(spark):
     """Every three points of which all others lie on one side are a facet; each makes a tetrahedron with the centre."""
     rng = np.random.default_rng(5)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import sums_before
@@ -54,26 +59,71 @@ def prefix_fit(curve: DataFrame, *keys: str, r2: float = 0.995, least: int = 4)
     return end.groupBy(*keys).agg(F.regr_slope("log_msd", "log_tau").alias("slope"), F.when(level, 0.0).otherwise(F.regr_r2("log_msd", "log_tau")).alias("r2"), F.max("tau").alias("max_tau"), F.count("*").alias("points"))
 
 
-def draws(objects: DataFrame, samples: int, seed: int) -> DataFrame:
-    """For each category and sample, as many draws of its objects with replacement as it has objects; the draws are hashes of their number."""
-    ranked = sums_before(objects, ["category"], F.shiftright(F.col("object_id"), 16), ["object_id"], F.lit(1), "before", "n")
-    sizes = ranked.groupBy("category").agg(F.max("n").alias("n"))
-    ranked = ranked.select("category", "object_id", (F.col("before") + 1).cast("int").alias("place"))
-    each = sizes.select("category", "n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("boot")).select("category", "n", "boot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("draw"))
-    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "category", "boot", "draw")), 1, 8), 16, 10).cast("long")
-    # Repeated draws become weights before any curve is joined.
-    chosen = each.select("category", "boot", (code % F.col("n") + 1).cast("int").alias("place")).groupBy("category", "boot", "place").agg(F.count("*").alias("weight"))
-    return chosen.join(ranked, ["category", "place"]).select("category", "boot", "object_id", "weight")
+#: Objects whose curves are one matrix.
+BLOCK = 4096
+
+
+def _code(*parts: Column) -> Column:
+    """A number from the first eight digits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def _block_draws(sizes: DataFrame, samples: int, seed: int, block: int) -> DataFrame:
+    """For each block of a category's objects, how many of the draws of each sample fall into it: ``drawn``, an array of (boot, n).
+
+    A sample of n objects is n draws of a place below n; a category of one block gets them all. Others draw in chunks,
+    which are counted where they are drawn, so what is shuffled grows with samples and blocks.
+    """
+    boots = sizes.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    whole = boots.where(F.col("n") <= block).select("category", "boot", F.lit(0).cast("long").alias("block"), F.col("n").alias("count"))
+    chunks = boots.where(F.col("n") > block).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 4096)))).repartition("boot", "chunk")
+    each = chunks.withColumn("draw", F.explode(F.sequence(F.col("chunk") * 4096 + 1, F.least(F.col("n"), F.col("chunk") * 4096 + 4096))))
+    dealt = each.select("category", "boot", F.floor((_code(F.lit(seed), F.col("category"), F.col("boot"), F.col("draw")) % F.col("n")) / block).alias("block"))
+    counts = whole.unionByName(dealt.groupBy("category", "boot", "block").agg(F.count("*").alias("count")))
+    return counts.groupBy("category", "block").agg(F.collect_list(F.struct("boot", F.col("count").alias("n"))).alias("drawn"))
+
+
+def weights(base: int, n: int, size: int) -> np.ndarray:
+    """How often each of ``size`` objects is drawn in ``n`` draws, hashes of their number by the finalizer of MurmurHash3."""
+    x = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B9) + np.uint64(base)).astype(np.uint32)
+    x = (x ^ (x >> 16)) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> 13)) * np.uint32(0xC2B2AE35)
+    return np.bincount((x ^ (x >> 16)) % np.uint32(size), minlength=size)
+
+
+def bootstrap_curves(points: DataFrame, samples: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """The mean curve of each sample of objects: a block's weights times the matrix of its objects' points, added up over blocks."""
+    curves = points.groupBy("category", "object_id").agg(F.collect_list(F.struct("tau", "log_tau", "log_msd")).alias("points"))
+    ranked = sums_before(curves, ["category"], F.shiftright(F.col("object_id"), 12), ["object_id"], F.lit(1), "place", "n")
+    packed = ranked.groupBy("category", F.floor(F.col("place") / block).alias("block")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "points"))).alias("objects"))
+    drawn = _block_draws(curves.groupBy("category").agg(F.count("*").alias("n")), samples, seed, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                taus = sorted({(p["tau"], p["log_tau"]) for o in row["objects"] for p in o["points"]})
+                column = {t: i for i, (t, _) in enumerate(taus)}
+                values, there = np.zeros((2, len(row["objects"]), len(taus)))
+                for i, o in enumerate(row["objects"]):
+                    for p in o["points"]:
+                        values[i, column[p["tau"]]], there[i, column[p["tau"]]] = p["log_msd"], 1
+                boots = [d["boot"] for d in row["drawn"]]
+                base = lambda boot: int(hashlib.md5(f"{seed}:{row['category']}:{boot}:{row['block']}".encode()).hexdigest()[:8], 16)
+                often = np.array([weights(base(d["boot"]), d["n"], len(row["objects"])) for d in row["drawn"]], float)
+                sums, counts = often @ values, often @ there
+                k = len(taus)
+                columns = [[row["category"]] * len(boots) * k, np.repeat(boots, k), np.tile([t for t, _ in taus], len(boots)), np.tile([x for _, x in taus], len(boots)), sums.ravel(), counts.ravel()]
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["category", "boot", "tau", "log_tau", "sum", "count"])
+
+    each = packed.join(drawn, ["category", "block"]).mapInArrow(run, "category string, boot int, tau int, log_tau double, sum double, count double")
+    total = each.groupBy("category", "boot", "tau", "log_tau").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
+    return total.where("count > 0").select("category", "boot", "tau", "log_tau", (F.col("sum") / F.col("count")).alias("log_msd"))
 
 
 def bootstrap_slopes(points: DataFrame, samples: int = 1000, seed: int = 42, r2: float = 0.995) -> DataFrame:
     """The fitted slope of each sample of objects."""
-    chosen = draws(points.select("category", "object_id").distinct(), samples, seed)
-    # An object's points are one row when they meet its draws; they are summed up before they are shuffled.
-    curves = points.groupBy("category", "object_id").agg(F.collect_list(F.struct("tau", "log_tau", "log_msd")).alias("points"))
-    each = chosen.join(curves, ["category", "object_id"]).select("category", "boot", "weight", F.explode("points").alias("p")).select("category", "boot", "weight", "p.*")
-    curve = each.groupBy("category", "boot", "tau", "log_tau").agg((F.sum(F.col("log_msd") * F.col("weight")) / F.sum("weight")).alias("log_msd"))
-    return prefix_fit(curve, "category", "boot", r2=r2).where("points >= 4")
+    return prefix_fit(bootstrap_curves(points, samples, seed), "category", "boot", r2=r2).where("points >= 4")
 
 
 def loglog_fits(points: DataFrame, samples: int = 1000, seed: int = 42, r2: float = 0.995, low: float = 0.05, high: float = 0.95) -> DataFrame:

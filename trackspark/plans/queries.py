@@ -301,10 +301,12 @@ def _(spark, d):
     return msd.prefix_fit(_bent(spark, d))
 
 
-PARTS["draws"] = """select c.category, boot, r.object_id, count(*) as weight from (
-    select category, n, boot, (('0x' || substr(md5('42:' || category || ':' || boot || ':' || draw), 1, 8))::bigint % n) + 1 as place from (
-    select category, n, boot, unnest(range(1, n + 1)) as draw from (select category, count(*) as n, unnest(range(1, 1001)) as boot from (select distinct category, object_id from points ) group by category))) c
-    join (select category, object_id, row_number() over (partition by category order by object_id) as place from (select distinct category, object_id from points )) r on c.category = r.category and c.place = r.place group by all"""
+PARTS["boot_objects"] = "select category, object_id, place // 4096 as block, place % 4096 as item, least(4096, n - place // 4096 * 4096) as size, n from (select category, object_id, row_number() over (partition by category order by object_id) - 1 as place, count(*) over (partition by category) as n from (select distinct category, object_id from points ))"
+PARTS["boot_blocks"] = "select category, boot, (('0x' || substr(md5('42:' || category || ':' || boot || ':' || draw), 1, 8))::bigint % n) // 4096 as block, count(*) as hits from (select category, n, boot, unnest(range(1, n + 1)) as draw from (select category, count(*) as n, unnest(range(1, 1001)) as boot from boot_objects group by category)) group by all"
+PARTS["boot_seeds"] = "select category, boot, block, (('0x' || substr(md5('42:' || category || ':' || boot || ':' || block), 1, 8))::bigint + 2654435769 * unnest(range(0, hits))) % 4294967296 as x from boot_blocks"
+PARTS["boot_mix1"] = "select category, boot, block, (xor(x, x >> 16)::hugeint * 2246822507 % 4294967296)::bigint as x from boot_seeds"
+PARTS["boot_mix2"] = "select category, boot, block, (xor(x, x >> 13)::hugeint * 3266489909 % 4294967296)::bigint as x from boot_mix1"
+PARTS["draws"] = "select m.category as category, boot, object_id, count(*) as weight from (select category, boot, block, xor(x, x >> 16) as x from boot_mix2 ) m join (select distinct category, block, size from boot_objects ) s on s.category = m.category and s.block = m.block join boot_objects o on o.category = m.category and o.block = m.block and o.item = m.x % s.size group by all"
 PARTS["boot_curve"] = "select category, boot, tau, log_tau, sum(log_msd * weight) / sum(weight) as log_msd from draws join points using (category, object_id) group by all"
 
 
