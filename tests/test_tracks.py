@@ -180,6 +180,29 @@ def test_bootstrap_is_a_loop(spark):
     assert max(seen.values()) < 3 * min(seen.values())
 
 
+def test_hull_of_parts(spark):
+    """A long track over many tasks, parts of it in a plane or a line, and points that are given again."""
+    rng = np.random.default_rng(9)
+    ball = rng.normal(size=(6000, 3))
+    assert shape.convex_hull(ball)[1] == pytest.approx(shape.convex_hull(shape.convex_hull(ball)[0])[1])
+    cube = np.array([(x, y, z) for z in range(4) for x in range(4) for y in range(4)], float)
+    rows = [(1, t, *map(float, r)) for t, r in enumerate(ball)] + [(2, t, *map(float, r)) for t, r in enumerate(cube)] + [(3, t, float(t), 2.0 * t, 0.0) for t in range(20)] + [(4, t, 1.0, 1.0, 1.0) for t in range(5)]
+    df = spark.createDataFrame([(i, float(t), x, y, z) for i, t, x, y, z in rows], SCHEMA)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        found = {r.object_id: r.convex_hull_volume for r in shape.hull(df.repartition(3), 4).collect()}
+        planes = shape.hull(df.where("object_id = 2").coalesce(1).sortWithinPartitions("z"), 4).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[1] == pytest.approx(shape.hull_volume(ball) / 6000**0.5)
+    assert found[2] == planes.convex_hull_volume == pytest.approx(27 / 8) and found[3] == found[4] == 0
+    corners, volume = shape.convex_hull(cube)
+    assert volume == pytest.approx(27) and {tuple(c) for c in corners} >= {(x, y, z) for x in (0, 3) for y in (0, 3) for z in (0, 3)}
+    for points in (cube[:16], cube[:4]):
+        kept, volume = shape.convex_hull(points)
+        assert volume == 0 and len(kept) == (4 if len(points) == 16 else 2)
+
+
 def test_hull_of_tracks_is_all_facets(spark):
     """Every three points of which all others lie on one side are a facet; each makes a tetrahedron with the centre."""
     rng = np.random.default_rng(5)
