@@ -4,6 +4,7 @@ import ast
 import collections
 import hashlib
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -233,6 +234,50 @@ def test_smoothing_meets_its_target(spark):
     assert np.allclose(helicity.smoothed(cubic, 1e-6), cubic, atol=1e-3)
 
 
+def test_spline_is_the_dense_one():
+    """The banded splines, their penalty and its solution against full matrices, over uneven knots."""
+    rng = np.random.default_rng(4)
+    u, points = np.linspace(0, 1, 40), rng.normal(size=(40, 3)).cumsum(axis=0)
+    inner = u[[3, 5, 6, 14, 22, 30, 31]]
+    spline = helicity.Spline(u, points, inner)
+    t, n = spline.knots, spline.size
+
+    def base(i, k, x):
+        if k == 0:
+            return float(t[i] <= x < t[i + 1] or (x == 1 and t[i] < 1 == t[i + 1]))
+        left = (x - t[i]) / (t[i + k] - t[i]) * base(i, k - 1, x) if t[i + k] > t[i] else 0.0
+        return left + ((t[i + k + 1] - x) / (t[i + k + 1] - t[i + 1]) * base(i + 1, k - 1, x) if t[i + k + 1] > t[i + 1] else 0.0)
+
+    full = np.array([[base(i, 3, x) for i in range(n)] for x in u])
+    assert np.allclose(spline.fit(), full @ np.linalg.lstsq(full, points, rcond=None)[0])
+    # Third derivatives are constant between knots: four values in a span tell them.
+    edges = [0.0, *inner, 1.0]
+    third = np.array([[np.polyfit(x - a, [base(i, 3, v) for v in x], 3)[0] for i in range(n)] for a, b in zip(edges, edges[1:]) for x in [np.linspace(a, b, 6)[1:-1]]])
+    jumps = np.diff(third, axis=0) / (len(inner) + 1) ** 3
+    whole, bands = jumps.T @ jumps, spline.jumps()
+    dense = sum(np.diag(b[: n - k], k) + (np.diag(b[: n - k], -k) if k else 0) for k, b in enumerate(bands))
+    assert np.allclose(dense, whole, rtol=1e-4, atol=1e-6 * np.abs(whole).max())
+    for weight in (1e-3, 10.0):
+        want = full @ np.linalg.solve(full.T @ full + weight * dense, full.T @ points)
+        assert np.allclose(spline.fit(weight, bands), want, atol=1e-7)
+    line = helicity.spline_of(points, (1e9,))
+    cubic = np.stack([np.polyval(np.polyfit(u, x, 3), u) for x in points.T], axis=1)
+    assert np.allclose(line, cubic)
+    assert np.isnan(helicity.spline_of(np.full((9, 3), np.nan))).all()
+
+
+def test_long_track_is_smoothed_in_linear_time():
+    rng = np.random.default_rng(4)
+    took = []
+    for n in (2000, 16000):
+        points = np.column_stack([np.sin(np.linspace(0, n / 100, n)) * k for k in (1, 2, 3)]) + 0.1 * rng.normal(size=(n, 3))
+        began = time.process_time()
+        fit = helicity.smoothed(points, 0.03 * n)
+        took.append(time.process_time() - began)
+        assert ((fit - points) ** 2).sum() == pytest.approx(0.03 * n, rel=2e-3)
+    assert took[1] < 30 * took[0]
+
+
 def test_helix_curvature(spark):
     t, c = np.linspace(0, 20, 2001), 0.5
     df = track(spark, [(x, (math.cos(x), math.sin(x), c * x)) for x in t])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,59 +12,162 @@ from pyspark.sql import functions as F
 from ..functions.columns import AXES, track
 
 
-def _bases(u: np.ndarray, knots: np.ndarray) -> np.ndarray:
-    """Cubic B-splines at ``u``, by the recurrence."""
-    n = len(knots) - 1
-    base = np.zeros((len(u), n))
-    inside = (knots[:-1] <= u[:, None]) & (u[:, None] < knots[1:])
-    inside[u >= knots[-1], np.flatnonzero(knots[:-1] < knots[1:])[-1]] = True
-    base[inside] = 1
-    for k in range(1, 4):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = (u[:, None] - knots[: n - k]) / (knots[k:n] - knots[: n - k])
-            right = (knots[k + 1 :] - u[:, None]) / (knots[k + 1 :] - knots[1 : n - k + 1])
-        base = np.nan_to_num(left, posinf=0, neginf=0) * base[:, : n - k] + np.nan_to_num(right, posinf=0, neginf=0) * base[:, 1 : n - k + 1]
-    return base
-
-
-def smoothed(points: np.ndarray, target: float) -> np.ndarray:
-    """A cubic spline through ``points`` at even parameters whose squared residual is ``target``: knots are added until the least-squares fit is close enough, then the jumps of the third derivative are penalised up to the target."""
+#: The shares of the points' spread that the residual may reach, tried in this order, and the last resort.
+FACTORS, LAST = (0.1, 0.5, 1.0, 2.0, 5.0), 10.0
+
+
+class Spline:
+    """Cubic B-splines over ``inner`` knots at parameters ``u`` (ascending, from 0 to 1): everything in bands, as each parameter meets four of them."""
+
+    def __init__(self, u: np.ndarray, points: np.ndarray, inner: np.ndarray):
+        self.points, self.knots = points, np.concatenate([np.zeros(4), inner, np.ones(4)])
+        self.size = len(inner) + 4
+        self.span = np.minimum(np.searchsorted(self.knots, u, "right") - 1, self.size - 1)
+        values = [np.ones(len(u))]
+        for k in range(1, 4):
+            saved, grown = np.zeros(len(u)), []
+            for r in range(k):
+                right, left = self.knots[self.span + r + 1] - u, u - self.knots[self.span + 1 - k + r]
+                part = values[r] / (right + left)
+                grown.append(saved + right * part)
+                saved = left * part
+            values = [*grown, saved]
+        self.values = np.array(values)
+        self.first = self.span - 3
+        at = lambda k, w: np.bincount(self.first + k, w, self.size)
+        self.normal = np.array([sum(at(i, self.values[i] * self.values[i + k]) for i in range(4 - k)) if k < 4 else np.zeros(self.size) for k in range(5)])
+        self.right = np.stack([sum(at(k, self.values[k] * x) for k in range(4)) for x in points.T], axis=1)
+
+    def jumps(self) -> np.ndarray:
+        """Upper bands of the penalty: for each inner knot the squared jump of the third derivative, which five splines share, by uneven spacing."""
+        t, n = self.knots, self.size - 4
+        bands = np.zeros((5, self.size))
+        if not n:
+            return bands
+        i = np.arange(4, 4 + n)
+        rows = []
+        for j in range(5):
+            low = i - 4 + j
+            gaps = np.prod([t[i] - t[low + m] for m in range(5) if m != 4 - j], axis=0)
+            rows.append((t[low + 4] - t[low]) / gaps)
+        # Scaled by the mean spacing, so that penalties of fine and coarse knots are numbers of one size.
+        rows = np.array(rows) / (n + 1) ** 3
+        for k in range(5):
+            for j in range(5 - k):
+                bands[k] += np.bincount(i - 4 + j, rows[j] * rows[j + k], self.size)
+        return bands
+
+    def fit(self, weight: float = 0.0, penalty: np.ndarray | None = None) -> np.ndarray:
+        """The spline's points: least squares, and ``weight`` times the penalty."""
+        bands = self.normal + weight * penalty if penalty is not None else self.normal
+        coefficients = solved(bands, self.right)
+        return sum(self.values[k][:, None] * coefficients[self.first + k] for k in range(4))
+
+    def errors(self, fit: np.ndarray) -> np.ndarray:
+        return ((self.points - fit) ** 2).sum(axis=1)
+
+
+def solved(bands: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x of A x = ``right`` for a symmetric positive matrix, given by its diagonal and those above: eliminated band by band, in time and memory of its rows."""
+    n, width = bands.shape[1], len(bands) - 1
+    a, b = bands.T.tolist(), right.tolist()
+    floor = 1e-14 * max(row[0] for row in a)
+    for j in range(n):
+        row = a[j]
+        pivot = row[0] = max(row[0], floor)
+        for k in range(1, min(width, n - 1 - j) + 1):
+            if row[k]:
+                share, below = row[k] / pivot, a[j + k]
+                for m in range(k, width + 1):
+                    below[m - k] -= share * row[m]
+                b[j + k] = [x - share * y for x, y in zip(b[j + k], b[j])]
+    for j in reversed(range(n)):
+        row, x = a[j], b[j]
+        for k in range(1, min(width, n - 1 - j) + 1):
+            x = [v - row[k] * w for v, w in zip(x, b[j + k])]
+        b[j] = [v / row[0] for v in x]
+    return np.array(b)
+
+
+def _more_knots(u: np.ndarray, inner: np.ndarray, error: np.ndarray, count: int) -> np.ndarray:
+    """``count`` knots more, one by one at the middle point of the span with the largest residual, whose halves share it by their points."""
+    edges = np.concatenate([[0.0], inner, [1.0]])
+    # A span's own points are those strictly inside it.
+    starts, ends = np.searchsorted(u, edges[:-1], "right"), np.searchsorted(u, edges[1:], "left")
+    sums = np.concatenate([[0.0], np.cumsum(error)])
+    heap = [(-(sums[e] - sums[s]), int(s), int(e)) for s, e in zip(starts, ends) if e > s]
+    heapq.heapify(heap)
+    added = []
+    while heap and len(added) < count:
+        worth, s, e = heapq.heappop(heap)
+        middle = (s + e) // 2
+        added.append(u[middle])
+        for x, y in ((s, middle), (middle + 1, e)):
+            if y > x:
+                heapq.heappush(heap, (worth * (y - x) / (e - s), x, y))
+    return np.sort(np.concatenate([inner, added]))
+
+
+def smoothed(points: np.ndarray, target: float, tolerance: float = 1e-3) -> np.ndarray:
+    """A cubic spline through ``points`` at even parameters whose squared residual is ``target``.
+
+    If one polynomial is close enough, it is that. Else knots are added, as many at a time as the last ones' gain
+    suggests, until the least-squares spline is close enough; then jumps of its third derivative are penalised up to
+    the target. Time and memory grow with points and knots.
+    """
     n = len(points)
     u = np.linspace(0, 1, n)
-    inner = np.zeros(0)
+    inner, step, before = np.zeros(0), 1, None
     while True:
-        knots = np.concatenate([np.zeros(4), inner, np.ones(4)])
-        base = _bases(u, knots)
-        fit = base @ np.linalg.lstsq(base, points, rcond=None)[0]
-        error = ((points - fit) ** 2).sum(axis=1)
-        if error.sum() <= target or len(inner) >= n - 4:
+        spline = Spline(u, points, inner)
+        fit = spline.fit()
+        error = spline.errors(fit)
+        total = float(error.sum())
+        if total <= target * (1 + tolerance) or len(inner) >= n - 4:
             break
-        edges = np.concatenate([[0], inner, [1]])
-        spans = np.searchsorted(edges, u, "right").clip(1, len(edges) - 1) - 1
-        worst = np.bincount(spans, weights=error, minlength=len(edges) - 1).argmax()
-        members = np.flatnonzero(spans == worst)
-        inner = np.sort(np.append(inner, u[members[len(members) // 2]]))
-        if len(np.unique(inner)) < len(inner):
+        if before is not None:
+            gain = before - total
+            step = min(2 * step, max(int(step * (total - target) / gain) if gain > 0 else 2 * step, step // 2, 1))
+        before = total
+        more = _more_knots(u, inner, error, min(step, n - 4 - len(inner)))
+        if len(more) == len(inner):
             break
-    if not len(inner) or error.sum() > target:
+        inner = more
+    if not len(inner) or total >= target * (1 - tolerance):
         return fit
-    jumps = np.diff(np.eye(base.shape[1]), n=4, axis=0)
-    low, high = -12.0, 12.0
+    # The residual rises with the weight of the penalty, from that of least squares to that of one polynomial.
+    penalty = spline.jumps()
+    low, high = -20.0, 20.0
     for _ in range(60):
         middle = (low + high) / 2
-        fit = base @ np.linalg.solve(base.T @ base + 10**middle * jumps.T @ jumps + 1e-12 * np.eye(base.shape[1]), base.T @ points)
-        low, high = (middle, high) if ((points - fit) ** 2).sum() < target else (low, middle)
+        fit = spline.fit(10**middle * np.max(spline.normal[0]) / np.max(penalty[0]), penalty)
+        total = float(spline.errors(fit).sum())
+        if abs(total - target) <= tolerance * target:
+            break
+        low, high = (middle, high) if total < target else (low, middle)
+    return fit
+
+
+def spline_of(points: np.ndarray, factors: tuple[float, ...] = FACTORS) -> np.ndarray:
+    """The smoothed points: the residual is rows times a factor times one more than the mean variance of the axes, for the first factor whose spline is finite."""
+    n = len(points)
+    spread = 1 + points.var(axis=0).mean()
+    for target in (*(n * f * spread for f in factors), n * LAST):
+        with np.errstate(all="ignore"):
+            fit = smoothed(points, target)
+        if np.isfinite(fit).all():
+            break
     return fit
 
 
-def smooth(segments: DataFrame, factor: float = 0.1) -> DataFrame:
-    """Tracks on their spline; the residual grows with rows and the mean variance of the axes."""
+def smooth(segments: DataFrame, factors: tuple[float, ...] = FACTORS) -> DataFrame:
+    """Tracks on their spline; those of fewer than four rows stay."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("time")
         points = rows[list(AXES)].to_numpy(float)
         if len(points) >= 4:
-            rows[list(AXES)] = smoothed(points, len(points) * factor * (1 + points.var(axis=0).mean()))
+            rows[list(AXES)] = spline_of(points, factors)
         return rows
 
     return segments.select("object_id", "time", *AXES).groupBy("object_id").applyInPandas(one, "object_id long, time double, x double, y double, z double")
