@@ -516,7 +516,7 @@ def test_pipeline(spark, tmp_path):
     """Columns named like the operators' own go through all stages unchanged."""
     import corpus_pipeline
 
-    given = spark.createDataFrame(rows(), SCHEMA).withColumns({"copy": F.lit("keep"), "rate": F.lit(7), "words_before": F.lit("w"), "bucket": F.col("doc_id") + 1})
+    given = spark.createDataFrame(rows(), SCHEMA).withColumns({"copy": F.lit("keep"), "rate": F.lit(7), "words_before": F.lit("w"), "bucket": F.col("doc_id") + 1, "__rate": F.lit(1.5), "__order": F.lit("o"), "__drawn": F.lit(3), "__content": F.lit("c")})
     given.write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = docs
@@ -540,6 +540,27 @@ def test_one_of_each_keeps_one_row(spark):
     assert collections.Counter(map(tuple, found)) == collections.Counter(want)
 
 
+def test_one_of_each_goes_by_text(spark):
+    """An id with two texts, one of them near a smaller id's; columns named like helpers stay."""
+    x, y = (" ".join(f"{c}{i}" for i in range(80)) for c in "xy")
+    given = spark.createDataFrame([(1, x), (1, x), (2, x), (5, y), (5, x), (6, y)], "doc_id long, text string").withColumns({"__content": F.lit("c"), "__null": F.lit(3)})
+    found = jaccard.one_of_each(given)
+    assert sorted(map(tuple, found.collect())) == [(1, x, "c", 3), (5, y, "c", 3)] and found.columns == given.columns
+
+
+def test_columns_named_like_helpers(spark):
+    """They keep their values through mixing and URL filters."""
+    more = {"__rate": F.lit(7.5), "__order": F.lit("o"), "__drawn": F.lit(9), "__source": F.lit("z"), "___rate": F.lit(1)}
+    given = spark.createDataFrame([(i, f"text {i}", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string").withColumns(more)
+    plain = mixing.replicated(given.select("doc_id", "text", "source"))
+    found = mixing.replicated(given)
+    assert collections.Counter(r.doc_id for r in found.collect()) == collections.Counter(r.doc_id for r in plain.collect())
+    assert {tuple(r[c] for c in more) for r in found.collect()} == {(7.5, "o", 9, "z", 1)} and set(more) <= set(found.columns)
+    pages = spark.createDataFrame([(1, "http://a.example.org/es/1"), (2, None)], "page_id long, url string").withColumns({"__best": F.lit(1), "__url": F.lit("u"), "__Rule": F.lit(2)})
+    rows = {r.page_id: r for r in urls.filtered(pages).collect()}
+    assert rows[1].rule == "example.org/es/" and rows[1].verdict == "block" and (rows[2]["__best"], rows[2]["__url"], rows[2]["__Rule"]) == (1, "u", 2)
+
+
 def plain_pipeline(docs):
     """(doc_id, text) before mixing, in plain Python: the kept rows, one of each near-duplicate group, without repeated runs of 50 words."""
     sets = {i: shingles(t) for i, t in docs}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import staged
+from .store import helpers, staged
 from .tokens import Words, changes, mix, slices, summed
 
 
@@ -104,8 +104,8 @@ def sketch(docs: DataFrame, how: NearDuplicates) -> np.ndarray:
     return out[:size]
 
 
-def prefixes(docs: DataFrame, how: NearDuplicates) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's signature, a hash of size and prefix, and the prefix in order of rarity."""
+def prefixes(docs: DataFrame, how: NearDuplicates, *more: str) -> DataFrame:
+    """doc_id, columns ``more``, n_shingles, two halves of the set's signature, a hash of size and prefix, and the prefix in order of rarity."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, how))
     shift, k, percent = np.uint64(64 - how.sketch_bits), how.words, how.percent
 
@@ -124,9 +124,10 @@ def prefixes(docs: DataFrame, how: NearDuplicates) -> DataFrame:
             tail = np.cumsum(length)
             alike = mix((total[tail] - total[tail - length]) ^ mix(n.astype(np.uint64))).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(code[chosen].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signs[0]), pa.array(signs[1]), pa.array(alike), lists], ["doc_id", "n_shingles", "sign_a", "sign_b", "alike", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", *more)), pa.array(n.astype(np.int64)), pa.array(signs[0]), pa.array(signs[1]), pa.array(alike), lists], ["doc_id", *more, "n_shingles", "sign_a", "sign_b", "alike", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sign_a long, sign_b long, alike long, prefix array<long>")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text").mapInArrow(run, f"doc_id long{kinds}, n_shingles long, sign_a long, sign_b long, alike long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -160,9 +161,9 @@ def verified(pairs: DataFrame, every: DataFrame, how: NearDuplicates) -> DataFra
     return joined.join(every.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> tuple[DataFrame, DataFrame]:
-    """Each row's doc_id, n_shingles and class, and the links between classes that connect each component."""
-    rows = staged(prefixes(docs, how), "prefixes")
+def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates(), *more: str) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, columns ``more``, n_shingles and class, and the links between classes that connect each component."""
+    rows = staged(prefixes(docs, how, *more), "prefixes")
     keys = ["n_shingles", "sign_a", "sign_b"]
     # A class stands under its least doc_id.
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class"), F.min("alike").alias("alike"))
@@ -232,10 +233,17 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
 
 
 def one_of_each(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """The rows of ``docs`` that stand for their component; of rows with the same doc_id and text, one stays. Null ids stay."""
-    found = near_duplicates(docs, how).where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(found, "doc_id", "left_anti")
+    """The rows of ``docs`` that stand for their component; of rows with the same doc_id and text, one stays. Null ids stay.
+
+    A row goes by its id and text, so of an id with several texts only those go that are near a smaller id's.
+    """
+    content = f"{helpers(docs)}content"
+    # With the id, 64 bits tell its texts apart; null is no text.
+    kept = docs.withColumn(content, F.xxhash64("text", F.col("text").isNull()))
+    rows, links = linked(kept, how, content)
+    labels = components(links, "a", "b").select(F.col("node").alias("class"), "component")
+    found = rows.join(labels, "class", "left").where(F.coalesce("component", "class") < F.col("doc_id")).select("doc_id", content).distinct()
+    left = kept.join(found, ["doc_id", content], "left_anti")
     # Grouped by content too, so that rows of one id with many texts are dealt out.
-    once = left.where("doc_id is not null").withColumn("__content", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("__null", F.col("text").isNull())
-    once = once.dropDuplicates(["doc_id", "__content", "__null"]).select(*docs.columns)
-    return once.unionByName(left.where("doc_id is null"))
+    once = left.where("doc_id is not null").dropDuplicates(["doc_id", content])
+    return once.unionByName(left.where("doc_id is null")).select(*docs.columns)

@@ -6,7 +6,7 @@ on neither partitions nor order. Copies are then ordered by a hash, which shuffl
 
 Null source: a source of its own. Null doc_id or text: hashed as empty. Rows that are alike are repeated alike.
 Without target weights all sources weigh the same; a source without a weight gets none. An empty table gives an
-empty result. Columns whose names begin with two underscores must not clash with the helper columns.
+empty result. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import helpers, staged
 
 
 @dataclass(frozen=True)
@@ -78,20 +78,22 @@ def replicated(docs: DataFrame, how: Mixture = Mixture(), rate: str = "rate", co
 
     Columns of ``docs`` named like these two are replaced; other names can be given.
     """
+    own = helpers(docs)
     found = staged(rates(docs, how), "rates")
+    found = found.select(*(F.col(c).alias(own + c[2:]) for c in found.columns))
     if found.limit(how.broadcast_sources + 1).count() <= how.broadcast_sources:
         found = F.broadcast(found)
     names = [x for x in docs.columns if x not in (rate, copy)]
-    joined = docs.select(*names).join(found, F.col("source").eqNullSafe(F.col("__source")), "inner")
+    joined = docs.select(*names).join(found, F.col("source").eqNullSafe(F.col(f"{own}source")), "inner")
     content = F.md5(F.coalesce(F.col("text"), F.lit("")))
     # The uniform values come first: a lambda evaluates what it names again for each element, hashes of the text included.
-    values = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: uniform(F.lit(how.seed), F.col("doc_id"), content, j))
-    drawn = F.aggregate(values, F.lit(0), lambda acc, u: acc + poisson(F.col("__reached"), u))
-    drawn = joined.withColumn("__drawn", drawn).where("__drawn > 0")
-    copies = drawn.select(*names, F.col("__rate").alias(rate), F.explode(F.sequence(F.lit(1), F.col("__drawn"))).alias(copy))
+    values = F.transform(F.sequence(F.lit(1), F.col(f"{own}parts")), lambda j: uniform(F.lit(how.seed), F.col("doc_id"), content, j))
+    drawn = F.aggregate(values, F.lit(0), lambda acc, u: acc + poisson(F.col(f"{own}reached"), u))
+    drawn = joined.withColumn(f"{own}drawn", drawn).where(F.col(f"{own}drawn") > 0)
+    copies = drawn.select(*names, F.col(f"{own}rate").alias(rate), F.explode(F.sequence(F.lit(1), F.col(f"{own}drawn"))).alias(copy))
     # Dealt and sorted by a hash: a random order over all partitions, in one pass over the text.
     order = F.md5(F.concat_ws(":", F.lit(-how.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), copy, F.xxhash64("text")))
-    return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    return copies.withColumn(f"{own}order", order).repartition(f"{own}order").sortWithinPartitions(f"{own}order").drop(f"{own}order")
 
 
 #: The same rows in DuckDB's SQL, for the default mixture.

@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def helpers(df: DataFrame) -> str:
+    """A beginning of names that no column of ``df`` has, for columns that an operator adds for a while."""
+    start = "__"
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    return start
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """``staged`` in buckets of ``key``, so that what groups by it later doesn't shuffle these rows again; an external table of the session's catalog."""
     spark = df.sparkSession

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import helpers
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The site rules of the registered query.
@@ -86,8 +88,10 @@ def filtered(df: DataFrame, site: dict[str, str] = SITE_RULES, patterns: dict[st
     fits = tokens.join(index, "__token").where(F.expr("__target rlike __regex"))
     best = fits.groupBy("__url").agg(F.max(F.struct("__rank", "__verdict", "__rule", "__site")).alias("__best"))
     names = [x for x in df.columns if x not in ("host", "path", "rule", "verdict")]
-    judged = parts(df.select(*names), url).withColumn("__url", found).join(best, "__url", "left")
-    return judged.select(*names, "host", "path", F.when(F.col("__best.__site"), F.col("__best.__rule")).alias("rule"), F.coalesce("__best.__verdict", F.lit(default)).alias("verdict"))
+    own = helpers(df)
+    best = best.select(F.col("__url").alias(f"{own}url"), F.col("__best").alias(f"{own}best"))
+    judged = parts(df.select(*names), url).withColumn(f"{own}url", found).join(best, f"{own}url", "left")
+    return judged.select(*names, "host", "path", F.when(F.col(f"{own}best.__site"), F.col(f"{own}best.__rule")).alias("rule"), F.coalesce(f"{own}best.__verdict", F.lit(default)).alias("verdict"))
 
 
 #: The registered query in DuckDB's SQL, on the rules above.
