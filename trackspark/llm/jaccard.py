@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import helpers, staged
-from .tokens import Words, changes, mix, slices, summed
+from .tokens import Words, changes, mix, released, slices, summed
 
 
 @dataclass(frozen=True)
@@ -156,6 +156,7 @@ def verified(pairs: DataFrame, every: DataFrame, how: NearDuplicates) -> DataFra
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        released()
 
     joined = pairs.join(every.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     return joined.join(every.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()

@@ -5,6 +5,7 @@ A word is a run of bytes other than space and 0x09-0x0D. Null texts count as emp
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,14 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def released() -> None:
+    """Gives freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``limit`` bytes of ``column``."""
     for batch in batches:
@@ -62,6 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    released()
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, is_separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
