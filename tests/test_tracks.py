@@ -11,8 +11,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trackspark.config import AttractorConfig, MLConfig, RunConfig, words
+from trackspark.functions.selection import quantiles
 from trackspark.functions.tails import chi2_sf, normal_two_sided
 from trackspark.operators import attractors, boosting, contacts, figures, formatting, helicity, kinematics, ml, msd, shape
 from trackspark.operators import summary as features
@@ -93,6 +95,43 @@ def test_contacts(spark):
     assert pairs(contacts.minus_dividing(box)) == {(9, 12), (10, 12)}
 
 
+@pytest.mark.parametrize("flat", [True, False])
+@pytest.mark.parametrize("euclidean", [True, False])
+def test_contacts_of_a_cluster(spark, flat, euclidean):
+    """A crowd at one place and time: all pairs once, on cell edges and below 0 too, and the crowd is dealt into parts."""
+    rng = np.random.default_rng(4)
+    points = np.round(np.concatenate([rng.normal(0, 2, (400, 3)), rng.uniform(-40, 40, (200, 3))]) * 2) / 2
+    points[:, 2] *= not flat
+    rows = [(i, float(i % 3 == 0), *map(float, p)) for i, p in enumerate(points)] + [(900, 0.0, None, 1.0, 1.0), (901, 0.0, float("nan"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "object_id long, time double, x double, y double, z double")
+    far = lambda p, q: math.dist(p, q) if euclidean else max(map(abs, np.subtract(p, q)))
+    want = sorted((a[0], b[0], a[1]) for a, b in combinations(rows[:600], 2) if a[1] == b[1] and far(a[2:], b[2:]) <= 2.5)
+    for crowd in (50, 4096):
+        assert sorted(map(tuple, contacts.contacts(df, 2.5, euclidean, crowd=crowd).collect())) == want
+    other = df.withColumnRenamed("object_id", "object_compare")
+    a, b = contacts.dealt(df, other, ["time"], 50)
+    # 400 rows at the busier time in 8 parts; each part meets all rows of the other side.
+    assert a.groupBy("time", "part").count().agg(F.max("count")).first()[0] < 100
+    assert a.count() == df.count() and {r["count"] for r in b.where("time = 0").groupBy("part").count().collect()} == {402}
+
+
+def test_quantiles_are_percentiles(spark):
+    """Ties, a value of a third of the rows, null values, null keys, and groups without values."""
+    rng = np.random.default_rng(6)
+    rows = [("big", 1, float(v)) for v in np.concatenate([np.full(700, 0.25), rng.normal(0, 1, 1500)])]
+    rows += [(None, 1, float(v)) for v in rng.integers(0, 5, 300)] + [("big", None, 3.0), ("none", 2, None), ("two", 2, 1.0), ("two", 2, 2.0), ("two", 2, None)]
+    df = spark.createDataFrame(rows, "a string, b int, value double").repartition(5)
+    steps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = {(r.a, r.b): (r.n, r.q) for r in df.groupBy("a", "b").agg(F.count("value").alias("n"), F.percentile("value", F.array(*map(F.lit, steps))).alias("q")).collect()}
+    for buckets in (2, 64):
+        found = {(r.a, r.b): (r.n, r.q) for r in quantiles(df, ["a", "b"], "value", steps, buckets).collect()}
+        assert found.keys() == want.keys()
+        for k, (n, q) in want.items():
+            assert found[k][0] == n and (q is None) == (found[k][1] is None)
+            assert q is None or found[k][1] == pytest.approx(q, abs=1e-12)
+    assert quantiles(df.limit(0), ["a"], "value", [0.5]).count() == 0
+
+
 def fold(rows, cfg):
     """Attraction chains of one pair, row by row."""
     out, chain, gaps, last = [], [], 0, None
