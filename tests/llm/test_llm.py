@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackspark.llm import bpe, chat, jaccard, lm, media, mixing, phrases, quality, suffixes, urls
+from trackspark.llm import bpe, chat, jaccard, lm, media, mixing, phrases, quality, recurring, suffixes, urls
 from trackspark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -316,6 +316,59 @@ def test_suffixes_hot_anchor(spark, most):
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in found.items()} == want
 
 
+def repeats_of_words(docs):
+    """doc_id: (n_words, n_removed, kept_sha256) by plain Python."""
+    split, source = {i: WORD.findall(t) for i, t in docs}, {}
+    for i, w in split.items():
+        for k in range(len(w) - 49):
+            source[tuple(w[k : k + 50])] = min(source.get(tuple(w[k : k + 50]), i), i)
+    out = {}
+    for i, w in split.items():
+        gone = {j for k in range(len(w) - 49) if source[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+        out[i] = len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()
+    return out
+
+
+def headed(n: int) -> list[str]:
+    """One line before texts that differ, some of which recur."""
+    rng = random.Random(5)
+    line = " ".join(f"head{k}" for k in range(40))
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+    texts = [f"{line} {' '.join(rng.choices(words, k=30))}" for _ in range(n)]
+    for k in range(0, n // 2, 9):
+        texts[n - 1 - k] = texts[k] if k % 2 else "x " + texts[k][20:]
+    return texts
+
+
+@pytest.mark.parametrize("how", [phrases.Repeats, suffixes.RepeatedBytes], ids=["words", "bytes"])
+def test_anchor_of_many_blocks(spark, how):
+    """Few pieces of one anchor in each of very many blocks: no more than ``together`` of them are merged in one task."""
+    texts = headed(600)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    how = how(block_bytes=4000, together=100)
+    if isinstance(how, phrases.Repeats):
+        found = {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in by_id(phrases.digests(df, how)).items()}
+        want = repeats_of_words(list(enumerate(texts)))
+    else:
+        found = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffixes.digests(df, how)).items()}
+        want = repeats_of_bytes(list(enumerate(texts)))
+    assert sum(x[1] > 0 for x in want.values()) >= 30
+    assert found == want
+
+
+@pytest.mark.parametrize("marked", [False, True])
+def test_answer_counts_all_blocks(marked):
+    """An anchor is hot by the pieces of all blocks; later copies stay copies, but for a marked piece."""
+    how = phrases.Repeats(together=3)
+    pack = recurring.pack
+    u, i = (lambda *x: pack(np.array(x, np.uint64))), (lambda *x: pack(np.array(x, np.int64)))
+    ask = [(0, b, 2, u(7, 9), u(b, 1), u(0, 0), i(b, b), i(0, 0), pack(np.array([marked and b == 4, False]))) for b in range(4)]
+    ask.append((0, 4, 1, u(7), u(0), u(0), i(4), i(0), pack(np.array([marked]))))
+    said = {r["block"]: list(recurring.unpack(r["verdicts"], np.uint8)) for r in recurring._answer(recurring._table(ask, recurring.ASK), how).to_pylist()}
+    w, c, alone = recurring.WINDOWS, recurring.COPY, recurring.ALONE
+    assert said == {0: [w, alone], 1: [w, c], 2: [w, c], 3: [w, c], 4: [w if marked else c]}
+
+
 def test_suffixes_spans(spark):
     """Rows of one doc_id don't remove each other at equal places; spans and kept bytes are given back."""
     text = "".join(random.Random(4).choices("abcdefghij ", k=260))

@@ -4,16 +4,19 @@ Texts are sequences of units (bytes, or words). A window is ``window`` units in
 
 1. Documents are packed into blocks. Each window's anchor is its first run of ``gram`` units of least hash; equal
    windows have equal anchors. A piece is the text under consecutive windows with one anchor. Equal pieces (of one
-   anchor, by a 64-bit digest of their bytes) are copies: all but the first are repeated in full, so a block asks
+   anchor, by a 128-bit digest of their bytes) are copies: all but the first are repeated in full, so a block asks
    about one of them only, however many it has.
 2. A bucket of anchors finds the first of all blocks' copies, and the anchors under which distinct pieces meet.
 3. Of these, each block sends its first pieces to the bucket, which finds the repeated windows among them: that is
    ``Recurring.repeated``, the operator's own method.
 4. An anchor under which a block alone has more than ``most`` distinct pieces (a template line before varied text)
-   is not gathered: its windows are dealt one by one, by 128-bit digests, and copies are counted as above.
+   is not gathered: its windows are dealt one by one, by 128-bit digests, and copies are counted as above. So is one
+   under which all blocks together have more than ``together``, however few in each: only the first of each piece's
+   copies deals its windows then.
 
-A task holds a block, or what all blocks send to one bucket. A bucket gets about ``bucket_bytes`` of text, and at most
-``most`` pieces of one anchor from each block. Digests decide whether pieces, and windows in 4, are equal.
+A task holds a block, or what all blocks send to one bucket. A bucket gets about ``bucket_bytes`` of text, and the text
+of at most ``together`` pieces of one anchor; of further ones it gets digests only, at most ``most`` from each block.
+Digests decide whether pieces, and windows in 4, are equal.
 
 A place is (doc_id, start) if ``inside`` a document earlier windows count, else doc_id alone. Null doc_ids have none:
 such rows are never a source, and nothing of them is removed.
@@ -58,6 +61,7 @@ class Recurring(ABC):
     gram: int
     inside: bool = True
     most: int = 32
+    together: int = 4096
     block_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
     chunk_bytes: int = 2 << 20
@@ -93,13 +97,13 @@ class Pieces:
         count = np.flatnonzero(stop) + 1 - start
         raw = units.raw
         begin, end = units.edges[start], units.edges[start + count + how.window - 1]
-        prints = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist())])
-        prints, anchor, text = np.frombuffer(prints, np.uint64), least[start], text[start]
+        prints = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
+        (prints, others), anchor, text = np.frombuffer(prints, np.uint64).reshape(-1, 2).T, least[start], text[start]
         doc, place = known_doc[text], start - units.offsets[text]
-        order = np.lexsort((place, doc, prints, anchor))
+        order = np.lexsort((place, doc, others, prints, anchor))
         self.units = units
-        self.anchor, self.prints, self.text, self.doc, self.start, self.at, self.count = (x[order] for x in (anchor, prints, text, doc, place, start, count))
-        self.first = of_first(self.doc, self.start if how.inside else None, changes(self.anchor, self.prints))
+        self.anchor, self.prints, self.others, self.text, self.doc, self.start, self.at, self.count = (x[order] for x in (anchor, prints, others, text, doc, place, start, count))
+        self.first = of_first(self.doc, self.start if how.inside else None, changes(self.anchor, self.prints, self.others))
 
 
 def of_first(doc: np.ndarray, start: np.ndarray | None, fresh: np.ndarray) -> np.ndarray:
@@ -110,7 +114,7 @@ def of_first(doc: np.ndarray, start: np.ndarray | None, fresh: np.ndarray) -> np
     return (doc == doc[head]) & ((start == start[head]) if start is not None else True)
 
 
-ASK = "bucket long, block long, n long, anchors binary, prints binary, docs binary, starts binary, hot binary"
+ASK = "bucket long, block long, n long, anchors binary, prints binary, others binary, docs binary, starts binary, hot binary"
 
 
 class Questions:
@@ -139,7 +143,7 @@ def _asked(blocks: DataFrame, buckets: int, how: Recurring) -> DataFrame:
                 out = []
                 for a, b in zip(asked.edges, asked.edges[1:]):
                     at = asked.rows[a:b]
-                    out.append((int(asked.bucket[a]), block.number, int(b - a), *(pack(x[at]) for x in (pieces.anchor, pieces.prints, pieces.doc, pieces.start)), pack(asked.hot[a:b])))
+                    out.append((int(asked.bucket[a]), block.number, int(b - a), *(pack(x[at]) for x in (pieces.anchor, pieces.prints, pieces.others, pieces.doc, pieces.start)), pack(asked.hot[a:b])))
                 if out:
                     yield _table(out, ASK).to_batches()[0]
 
@@ -165,14 +169,15 @@ ANSWER = "bucket long, block long, n long, verdicts binary"
 
 def _answer(rows: pa.Table, how: Recurring) -> pa.Table:
     rows = rows.sort_by("block").to_pylist()
-    (anchor, prints, doc, start, hot), _ = _joined(rows, {"anchors": np.uint64, "prints": np.uint64, "docs": np.int64, "starts": np.int64, "hot": np.bool_})
-    order = np.lexsort((start, doc, prints, anchor))
-    anchor, prints, doc, start, hot = (x[order] for x in (anchor, prints, doc, start, hot))
-    group, kind = changes(anchor), changes(anchor, prints)
-    at = np.flatnonzero(group)
-    several = np.add.reduceat(kind.astype(np.int64), at)[np.cumsum(group) - 1] > 1
-    hot = np.maximum.reduceat(hot, at)[np.cumsum(group) - 1]
-    said = np.where(hot, WINDOWS, np.where(of_first(doc, start if how.inside else None, kind), np.where(several, MEETS, ALONE), COPY)).astype(np.uint8)
+    (anchor, prints, others, doc, start, marked), _ = _joined(rows, {"anchors": np.uint64, "prints": np.uint64, "others": np.uint64, "docs": np.int64, "starts": np.int64, "hot": np.bool_})
+    order = np.lexsort((start, doc, others, prints, anchor))
+    anchor, prints, others, doc, start, marked = (x[order] for x in (anchor, prints, others, doc, start, marked))
+    group, kind = changes(anchor), changes(anchor, prints, others)
+    at, member = np.flatnonzero(group), np.cumsum(group) - 1
+    kinds = np.add.reduceat(kind.astype(np.int64), at)[member]
+    hot = np.maximum.reduceat(marked, at)[member] | (kinds > how.together)
+    # A marked piece speaks for others of its block, so it is no mere copy.
+    said = np.where(of_first(doc, start if how.inside else None, kind) | marked, np.where(hot, WINDOWS, np.where(kinds > 1, MEETS, ALONE)), COPY).astype(np.uint8)
     verdicts = np.empty_like(said)
     verdicts[order] = said
     ends = np.cumsum([r["n"] for r in rows])
@@ -194,7 +199,7 @@ def _acts(home: pa.Table, answers: pa.Table, buckets: int, how: Recurring) -> pa
     verdict = np.full(len(pieces.first), COPY, np.uint8)
     verdict[asked.rows] = said
     # The marked piece of a hot anchor speaks for all of that anchor.
-    hot = np.unique(pieces.anchor[asked.rows[said == WINDOWS]])
+    hot = np.unique(pieces.anchor[asked.rows[asked.hot]])
     verdict[pieces.first & np.isin(pieces.anchor, hot)] = WINDOWS
     gone = verdict == COPY
     none = (b"", b"", b"")
