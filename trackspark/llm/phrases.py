@@ -16,9 +16,7 @@ one another's words. An empty table gives an empty result. Other columns don't m
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -26,6 +24,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .blocks import Block
 from .recurring import Codes, Recurring, Units, covered, marked
@@ -192,13 +191,7 @@ def cut(docs: DataFrame, how: Repeats = Repeats(), before: str = "words_before")
 
 def digests(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space, read from ``cut``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [(x or "").encode().split() for x in batch.column("text").to_pylist()]
-            before = batch.column("words_before").to_numpy(zero_copy_only=False)
-            gone = before - np.array([len(x) for x in kept], np.int64)
-            sums = [hashlib.sha256(b" ".join(x)).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(before), pa.array(gone.astype(np.int64)), pa.array(sums, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return cut(docs.select("doc_id", "text"), how).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    n_kept = F.when(F.col("kept") == "", 0).otherwise(F.length("kept") - F.length(F.replace("kept", F.lit(" "))) + 1)
+    rows = cut(docs.select("doc_id", "text"), how).select("doc_id", F.col("words_before").alias("n_words"), kept.alias("kept"))
+    return rows.select("doc_id", "n_words", (F.col("n_words") - n_kept).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
