@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .functions.pieces import Pieces
+
 
 @dataclass(frozen=True)
 class AttractorConfig:
@@ -46,7 +48,10 @@ class MLConfig:
 
 @dataclass(frozen=True)
 class RunConfig:
-    """``arrest_limit`` 0 turns the moving filter off; the flags after ``helicity`` choose documented variants of an operator."""
+    """``arrest_limit`` 0 turns the moving filter off; the flags after ``helicity`` choose documented variants of an operator.
+
+    ``piece_rows`` 0: a window holds a whole track; else tracks are cut into pieces of so many rows, with the same results.
+    """
 
     dt: float = 1.0
     tau: int = 10
@@ -68,6 +73,7 @@ class RunConfig:
     euclidean_contacts: bool = False
     both_sides_dead: bool = False
     both_sides_contacts: bool = False
+    piece_rows: int = 0
     attractor: AttractorConfig = field(default_factory=AttractorConfig)
     ml: MLConfig = field(default_factory=MLConfig)
 
@@ -75,6 +81,10 @@ class RunConfig:
         if self.dt <= 0 or self.tau < 1 or self.moving < 1:
             raise ValueError("dt must be positive; tau and moving at least 1")
 
+    @property
+    def pieces(self) -> Pieces | None:
+        return Pieces(self.piece_rows, self.piece_rows * self.dt) if self.piece_rows else None
+
 
 def words(text: str | None) -> tuple[str, ...]:
     """A list of category names as typed: split at white space, blank gives none."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, track
+from ..functions.pieces import Pieces, dealt, numbered, piece
 
 
 #: The shares of the points' spread that the residual may reach, tried in this order, and the last resort.
@@ -186,11 +187,18 @@ def _dot(u: list[Column], v: list[Column]) -> Column:
     return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
 
 
-def helicity(segments: DataFrame, moving: int, smoothing: bool = True) -> DataFrame:
-    """Mean and median helicity and curvature per object; null below ``moving`` rows."""
+def helicity(segments: DataFrame, moving: int, smoothing: bool = True, pieces: Pieces | None = None) -> DataFrame:
+    """Mean and median helicity and curvature per object; null below ``moving`` rows.
+
+    With ``pieces`` the gradients' windows hold a piece of a track, and the three rows on either side that they reach for.
+    """
     rows = smooth(segments) if smoothing else segments
-    w, whole = track(), Window.partitionBy("object_id")
-    rows = rows.select("object_id", "time", *AXES, F.row_number().over(w).alias("seq"), F.count("*").over(whole).alias("n"), ((F.max("time").over(whole) - F.min("time").over(whole)) / F.nullif(F.count("*").over(whole) - 1, F.lit(0))).alias("step")).where((F.col("n") >= max(moving, 4)) & (F.col("step") > 0))
+    if pieces is None:
+        w, whole = track(), Window.partitionBy("object_id")
+        rows = rows.select("object_id", "time", *AXES, F.row_number().over(w).alias("seq"), F.count("*").over(whole).alias("n"), F.min("time").over(whole).alias("begin"), F.max("time").over(whole).alias("end"), F.lit(True).alias("own"))
+    else:
+        rows, w = dealt(numbered(rows.select("object_id", "time", *AXES), pieces), pieces, before=3, after=3), piece()
+    rows = rows.withColumn("step", (F.col("end") - F.col("begin")) / F.nullif(F.col("n") - 1, F.lit(0))).where((F.col("n") >= max(moving, 4)) & (F.col("step") > 0))
     seq, n, step = F.col("seq"), F.col("n"), F.col("step")
     rows = rows.withColumns({f"v{c}": _gradient(F.col(c), seq, n, step, w) for c in AXES})
     rows = rows.withColumns({f"a{c}": _gradient(F.col(f"v{c}"), seq, n, step, w) for c in AXES})
@@ -203,5 +211,5 @@ def helicity(segments: DataFrame, moving: int, smoothing: bool = True) -> DataFr
     twist = F.when(seq >= 2, _dot(v, g) / (_dot(v, v) + 1e-8))
     bend = _cross(v, a)
     curve = F.when(seq <= n - 2, F.sqrt(_dot(bend, bend)) / (F.pow(F.sqrt(_dot(v, v)), 3) + 1e-8))
-    found = rows.select("object_id", twist.alias("h"), curve.alias("k")).groupBy("object_id").agg(F.avg("h").alias("mean_helicity"), F.median("h").alias("median_helicity"), F.avg("k").alias("mean_curvature"), F.median("k").alias("median_curvature"))
+    found = rows.select("object_id", "own", twist.alias("h"), curve.alias("k")).where("own").groupBy("object_id").agg(F.avg("h").alias("mean_helicity"), F.median("h").alias("median_helicity"), F.avg("k").alias("mean_curvature"), F.median("k").alias("median_curvature"))
     return segments.select("object_id").distinct().join(found, "object_id", "left")

@@ -2,59 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, angle, distance, non_zero, squared, track
+from ..functions.pieces import Pieces, carried, dealt, numbered, piece, running
 
 
-def kinematics(segments: DataFrame, dt: float, arrest_limit: float) -> DataFrame:
-    """Displacement, path, velocity and acceleration of each row, plain and filtered; one sort per object serves all."""
-    w = track()
+def kinematics(segments: DataFrame, dt: float, arrest_limit: float, pieces: Pieces | None = None) -> DataFrame:
+    """Displacement, path, velocity and acceleration of each row, plain and filtered; one sort per object serves all.
+
+    With ``pieces`` no window holds a whole track: a piece sees the two rows before it, and path and first point are
+    carried over from the pieces before.
+    """
     here = [F.col(c) for c in AXES]
-    step = F.coalesce(distance(here, [F.lag(c).over(w) for c in AXES]), F.lit(0.0))
-    rows = segments.select("object_id", "time", *AXES, F.row_number().over(w).alias("seq"), step.alias("inst_displacement"), distance(here, [F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in AXES]).alias("total_displacement"))
-    rows = rows.withColumns({"path_length": F.sum("inst_displacement").over(w.rowsBetween(Window.unboundedPreceding, 0)), "velocity": F.col("inst_displacement") / F.lit(float(dt)), "moving": F.col("inst_displacement") > F.lit(float(arrest_limit))})
+    if pieces is None:
+        w = track()
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        rows = segments.select("object_id", "time", *AXES, F.row_number().over(w).alias("seq"), _step(w), distance(here, [F.first(c).over(upto) for c in AXES]).alias("total_displacement"))
+        rows = _speeds(rows.withColumn("path_length", F.sum("inst_displacement").over(upto)), w, dt, arrest_limit)
+    else:
+        w = piece()
+        rows = dealt(numbered(segments, pieces), pieces, before=2)
+        rows = _speeds(rows.withColumns({"inst_displacement": _step(w)}), w, dt, arrest_limit).where("own")
+        rows = carried(rows, "inst_displacement", list(AXES))
+        rows = rows.withColumns({"total_displacement": distance(here, [F.col("origin")[c] for c in AXES]), "path_length": F.col("sum_before") + running(F.col("inst_displacement"))})
+    return rows.select("object_id", "time", *AXES, "seq", "inst_displacement", "total_displacement", "path_length", "velocity", "moving", "acceleration", "velocity_filtered", "acceleration_filtered")
+
+
+def _step(w: WindowSpec) -> Column:
+    return F.coalesce(distance([F.col(c) for c in AXES], [F.lag(c).over(w) for c in AXES]), F.lit(0.0)).alias("inst_displacement")
+
+
+def _speeds(rows: DataFrame, w: WindowSpec, dt: float, arrest_limit: float) -> DataFrame:
+    rows = rows.withColumns({"velocity": F.col("inst_displacement") / F.lit(float(dt)), "moving": F.col("inst_displacement") > F.lit(float(arrest_limit))})
     before = F.lag("velocity").over(w)
-    rows = rows.withColumns({"acceleration": F.when(F.col("seq") >= 3, (F.col("velocity") - before) / F.lit(float(dt))).otherwise(0.0), "velocity_filtered": F.when(F.col("moving"), F.col("velocity")).otherwise(0.0), "acceleration_filtered": F.when(F.col("moving"), (F.col("velocity") - F.coalesce(before, F.col("velocity"))) / F.lit(float(dt))).otherwise(0.0)})
-    return rows
+    return rows.withColumns({"acceleration": F.when(F.col("seq") >= 3, (F.col("velocity") - before) / F.lit(float(dt))).otherwise(0.0), "velocity_filtered": F.when(F.col("moving"), F.col("velocity")).otherwise(0.0), "acceleration_filtered": F.when(F.col("moving"), (F.col("velocity") - F.coalesce(before, F.col("velocity"))) / F.lit(float(dt))).otherwise(0.0)})
+
+
+def in_order(segments: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+    """object_id, seq and position of each row."""
+    if pieces is None:
+        return segments.select("object_id", F.row_number().over(track()).alias("seq"), *AXES)
+    return numbered(segments, pieces).select("object_id", "seq", "n", *AXES)
 
 
-def numbered(segments: DataFrame) -> DataFrame:
-    return segments.select("object_id", F.row_number().over(track()).alias("seq"), *AXES)
+def _windows(rows: DataFrame, pieces: Pieces | None, before: int = 0, after: int = 0) -> tuple[DataFrame, WindowSpec]:
+    """``rows`` for windows that reach so many rows back and ahead, and the window; rows that are not ``own`` only serve others."""
+    if pieces is None:
+        return rows.withColumn("own", F.lit(True)), Window.partitionBy("object_id").orderBy("seq")
+    return dealt(rows, pieces, before, after), piece()
 
 
-def lagged(segments: DataFrame, tau: int) -> DataFrame:
+def lagged(segments: DataFrame, tau: int, pieces: Pieces | None = None) -> DataFrame:
     """object_id, seq, tau and the squared displacement since ``tau`` rows before, for 1 .. tau.
 
-    Few lags are columns of one window. Many are a join on (object_id, row number), which spreads one long track
-    over all tasks.
+    Few lags are columns of one window, over a track or over one of its ``pieces``. Many are a join on (object_id,
+    row number), which spreads one long track over all tasks.
     """
-    rows = numbered(segments)
+    rows = in_order(segments, pieces)
     if tau <= 20:
-        w = Window.partitionBy("object_id").orderBy("seq")
+        rows, w = _windows(rows, pieces, before=tau)
         each = [F.struct(F.lit(k).alias("tau"), squared([F.col(c) for c in AXES], [F.lag(c, k).over(w) for c in AXES]).alias("sq")) for k in range(1, tau + 1)]
-        return rows.select("object_id", "seq", F.array(*each).alias("all")).select("object_id", "seq", F.explode("all").alias("e")).select("object_id", "seq", "e.tau", "e.sq").where("sq is not null")
+        return rows.select("object_id", "seq", "own", F.array(*each).alias("all")).where("own").select("object_id", "seq", F.explode("all").alias("e")).select("object_id", "seq", "e.tau", "e.sq").where("sq is not null")
     back = rows.select("object_id", F.col("seq").alias("from"), *(F.col(c).alias(f"p{c}") for c in AXES), F.explode(F.sequence(F.lit(1), F.lit(tau))).alias("tau")).withColumn("seq", F.col("from") + F.col("tau"))
     return back.join(rows, ["object_id", "seq"]).select("object_id", "seq", "tau", squared([F.col(c) for c in AXES], [F.col(f"p{c}") for c in AXES]).alias("sq"))
 
 
-def euclid_lags(segments: DataFrame, tau: int) -> DataFrame:
+def euclid_lags(segments: DataFrame, tau: int, pieces: Pieces | None = None) -> DataFrame:
     """Distance to the row ``tau`` before."""
-    return lagged(segments, tau).select("object_id", "seq", "tau", F.sqrt("sq").alias("euclid"))
+    return lagged(segments, tau, pieces).select("object_id", "seq", "tau", F.sqrt("sq").alias("euclid"))
 
 
-def turning_angles(segments: DataFrame, tau: int) -> DataFrame:
+def turning_angles(segments: DataFrame, tau: int, pieces: Pieces | None = None) -> DataFrame:
     """Angle between the displacement over ``tau`` rows and the next one, at the row where the first begins."""
-    rows = numbered(segments)
+    rows = in_order(segments, pieces)
     if tau <= 20:
-        w = Window.partitionBy("object_id").orderBy("seq")
+        rows, w = _windows(rows, pieces, after=2 * tau)
         each = []
         for k in range(1, tau + 1):
             u = [F.lead(c, k).over(w) - F.col(c) for c in AXES]
             v = [F.lead(c, 2 * k).over(w) - F.lead(c, k).over(w) for c in AXES]
             each.append(F.struct(F.lit(k).alias("tau"), *(a.alias(f"u{c}") for a, c in zip(u, AXES)), *(a.alias(f"v{c}") for a, c in zip(v, AXES))))
-        moved = rows.select("object_id", "seq", F.array(*each).alias("all")).select("object_id", "seq", F.explode("all").alias("e")).select("object_id", "seq", "e.*")
+        moved = rows.select("object_id", "seq", "own", F.array(*each).alias("all")).where("own").select("object_id", "seq", F.explode("all").alias("e")).select("object_id", "seq", "e.*")
     else:
         start = rows.select("object_id", "seq", *(F.col(c).alias(f"a{c}") for c in AXES), F.explode(F.sequence(F.lit(1), F.lit(tau))).alias("tau"))
         middle = rows.select("object_id", F.col("seq").alias("mid"), *(F.col(c).alias(f"b{c}") for c in AXES))

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import sums_before
+from ..functions.pieces import Pieces
 from .kinematics import lagged
 
 
-def msd(segments: DataFrame, tau: int) -> DataFrame:
+def msd(segments: DataFrame, tau: int, pieces: Pieces | None = None) -> DataFrame:
     """Mean of the squared displacements over 0 per object and lag."""
-    return lagged(segments, tau).where("sq > 0").groupBy("object_id", "tau").agg(F.avg("sq").alias("msd"))
+    return lagged(segments, tau, pieces).where("sq > 0").groupBy("object_id", "tau").agg(F.avg("sq").alias("msd"))
 
 
 def msd_summary(long: DataFrame) -> DataFrame:

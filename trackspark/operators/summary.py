@@ -62,11 +62,12 @@ def presented(summary: DataFrame) -> DataFrame:
 
 def summarize(segments: DataFrame, categories: DataFrame, cfg: RunConfig, hull: DataFrame | None = None, helicity: DataFrame | None = None, curves: DataFrame | None = None) -> DataFrame:
     """All features; objects without a category are 'Unknown'."""
-    rows = kin.kinematics(segments, cfg.dt, cfg.arrest_limit)
-    curves = m.msd(segments, cfg.tau) if curves is None else curves
+    pieces = cfg.pieces
+    rows = kin.kinematics(segments, cfg.dt, cfg.arrest_limit, pieces)
+    curves = m.msd(segments, cfg.tau, pieces) if curves is None else curves
     out = geometry(rows, cfg.arrest_limit).join(statistics(rows, cfg.arrest_limit, cfg.moving), "object_id")
-    out = out.join(kin.overall_euclid_median(kin.euclid_medians(kin.euclid_lags(segments, cfg.tau))), "object_id", "left")
-    out = out.join(kin.max_angle(kin.angle_medians(kin.turning_angles(segments, cfg.tau)), cfg.median_of_angles), "object_id", "left")
+    out = out.join(kin.overall_euclid_median(kin.euclid_medians(kin.euclid_lags(segments, cfg.tau, pieces))), "object_id", "left")
+    out = out.join(kin.max_angle(kin.angle_medians(kin.turning_angles(segments, cfg.tau, pieces)), cfg.median_of_angles), "object_id", "left")
     out = out.join(m.max_msd(curves), "object_id", "left")
     extra = []
     for table in (hull, helicity):

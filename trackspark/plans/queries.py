@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AttractorConfig, MLConfig, RunConfig
+from ..functions.pieces import Pieces
 from ..operators import attractors, contacts, figures, formatting, helicity, kinematics, ml, msd, replicates, shape, stats
 from ..operators import summary as features
 from ..sources import adapters as src
@@ -177,6 +178,24 @@ def _(spark, d):
     return kinematics.turning_angles(src.step_tracks(spark, d), TAU)
 
 
+PIECES = Pieces(16, 12.0)
+
+
+@_query("kinematics_pieces", f"select object_id, {r('time', 'inst_displacement', 'total_displacement', 'path_length', 'velocity', 'acceleration', 'velocity_filtered', 'acceleration_filtered')}, moving from kin")
+def _(spark, d):
+    return kinematics.kinematics(src.step_tracks(spark, d), 1.0, 60.0, PIECES).drop("seq", "x", "y", "z")
+
+
+@_query("euclid_lags_pieces", f"select object_id, seq, tau, {r('sqrt(sq):euclid')} from lag_rows")
+def _(spark, d):
+    return kinematics.euclid_lags(src.step_tracks(spark, d), TAU, PIECES)
+
+
+@_query("turning_angles_pieces", f"select object_id, seq, tau, {r('angle', digits=3)} from angles", digits=3)
+def _(spark, d):
+    return kinematics.turning_angles(src.step_tracks(spark, d), TAU, PIECES)
+
+
 PARTS["angle_medians"] = "select object_id, tau, median(angle) as median_angle from angles group by object_id, tau"
 
 
@@ -705,6 +724,11 @@ def _(spark, d):
     return helicity.helicity(src.step_tracks(spark, d), 4, smoothing=False)
 
 
+@_query("helicity_pieces", f"select object_id, {r('avg(h):mean_helicity', 'median(h):median_helicity', 'avg(k):mean_curvature', 'median(k):median_curvature', digits=4)} from h5 group by object_id", digits=4)
+def _(spark, d):
+    return helicity.helicity(src.step_tracks(spark, d), 4, smoothing=False, pieces=PIECES)
+
+
 _TWIST = ("mean_helicity", "median_helicity", "mean_curvature", "median_curvature")
 PARTS["twist"] = "select object_id, avg(h) as mean_helicity, median(h) as median_helicity, avg(k) as mean_curvature, median(k) as median_curvature from h5 group by object_id"
 

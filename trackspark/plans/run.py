@@ -49,9 +49,9 @@ def run(segments: DataFrame, categories: DataFrame | None = None, cfg: RunConfig
     log.note("dimensions", "two: no hull, no helicity" if flat else "three")
     has_categories = categories is not None
     kinds = formatting.surviving_categories(categories, tracks) if has_categories else formatting.default_category(tracks)
-    curves = msd.msd(tracks, cfg.tau)
+    curves = msd.msd(tracks, cfg.tau, cfg.pieces)
     hull = None if flat else shape.hull(tracks, cfg.moving, cfg.hull_times_duration)
-    twist = helicity.helicity(tracks, cfg.moving) if cfg.helicity and not flat else None
+    twist = helicity.helicity(tracks, cfg.moving, pieces=cfg.pieces) if cfg.helicity and not flat else None
     whole = features.summarize(tracks, kinds, cfg, hull, twist, curves)
     table = features.far_enough(whole, cfg.min_max_euclid).persist()
     removed = removed.unionByName(formatting.removed_objects(whole, table, "Min. Max. Euclidean"))
@@ -60,8 +60,8 @@ def run(segments: DataFrame, categories: DataFrame | None = None, cfg: RunConfig
     fits = msd.loglog_fits(points)
     out = {
         "settings": settings(segments, cfg), "removed_objects": removed, "features": table, "summary_features": features.presented(table),
-        "euclidean_medians": features.restricted(kinematics.euclid_medians(kinematics.euclid_lags(tracks, cfg.tau)), table),
-        "turning_angles": features.restricted(kinematics.angle_medians(kinematics.turning_angles(tracks, cfg.tau)), table),
+        "euclidean_medians": features.restricted(kinematics.euclid_medians(kinematics.euclid_lags(tracks, cfg.tau, cfg.pieces)), table),
+        "turning_angles": features.restricted(kinematics.angle_medians(kinematics.turning_angles(tracks, cfg.tau, cfg.pieces)), table),
         "mean_squared_displacements": curves, "msd_summary": msd.msd_summary(curves), "msd_loglog_fits": fits,
         "figure_tracks": figures.tracks(tracks, table), "figure_violins": figures.violins(table), "figure_slopes": figures.slope_bars(fits), "figure_msd": figures.msd_lines(msd.category_curve(points), fits), "figure_colors": figures.category_colors(kinds),
     }
@@ -74,7 +74,7 @@ def run(segments: DataFrame, categories: DataFrame | None = None, cfg: RunConfig
     if has_categories:
         out["msd_category"] = msd.msd_by_category(curves, kinds)
     if cfg.verbose:
-        out["calculations"] = kinematics.kinematics(tracks, cfg.dt, cfg.arrest_limit)
+        out["calculations"] = kinematics.kinematics(tracks, cfg.dt, cfg.arrest_limit, cfg.pieces)
     if cfg.contacts:
         found = contacts.contacts(tracks, cfg.contact_length, cfg.euclidean_contacts)
         out["contacts_all"] = found
@@ -87,7 +87,7 @@ def run(segments: DataFrame, categories: DataFrame | None = None, cfg: RunConfig
     if cfg.attractors:
         met = attractors.pairs(tracks, kinds, cfg.attractor)
         log.note("attractors", "chains of objects that come nearer")
-        out["attractors"] = attractors.enriched(attractors.events(met, cfg.attractor), kinematics.kinematics(tracks, cfg.dt, cfg.arrest_limit))
+        out["attractors"] = attractors.enriched(attractors.events(met, cfg.attractor), kinematics.kinematics(tracks, cfg.dt, cfg.arrest_limit, cfg.pieces))
     log.note("plan", f"{len(out)} tables planned")
     out["runtime_log"] = log.table(segments.sparkSession)
     return out
