@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackspark.config import RunConfig
-from trackspark.functions import pieces
+from trackspark.functions import columns, pieces
 from trackspark.functions.pieces import Pieces
-from trackspark.operators import helicity, kinematics, msd
+from trackspark.operators import formatting, helicity, kinematics, msd
 from trackspark.operators import summary as features
 
 TRACKS = {1: 700, 2: 1, 3: 2, 4: 33, 5: 64, -6: 65}
@@ -47,6 +47,15 @@ def test_pieces_are_whole_tracks(tracks, how):
     same(helicity.helicity(tracks, 4, False, how), helicity.helicity(tracks, 4, False), ["object_id"])
 
 
+@pytest.mark.parametrize("how", CUTS, ids=str)
+def test_formatting_in_pieces(tracks, how):
+    even = tracks.where("object_id in (2, 4)").unionByName(tracks.where("object_id = 5").withColumn("time", F.col("time") * 0 + F.row_number().over(columns.track())))
+    same(formatting.drop_gapped(even, 1.0, how), formatting.drop_gapped(even, 1.0), ["object_id", "time"])
+    assert {r.object_id for r in formatting.drop_gapped(even, 1.0, how).select("object_id").distinct().collect()} == {2, 5}
+    same(formatting.intervals(tracks, how), formatting.intervals(tracks), ["object_id", "dt"])
+    same(formatting.interpolate(tracks, 0.7, how), formatting.interpolate(tracks, 0.7), ["object_id", "time"])
+
+
 def test_many_lags_in_pieces(tracks):
     short = tracks.where("object_id != 1")
     same(msd.msd(short, 25, CUTS[1]), msd.msd(short, 25), ["object_id", "tau"])

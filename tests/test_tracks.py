@@ -460,9 +460,10 @@ def test_guards(spark):
     assert ml.without_unused(summary.withColumn("convex_hull_volume", summary.object_id * 1.0), 3.0).columns == summary.columns
 
 
-def test_whole_run(spark, tmp_path):
+@pytest.mark.parametrize("piece_rows", [0, 7])
+def test_whole_run(spark, tmp_path, piece_rows):
     segments, kinds = generator.generated(spark, generator.Generator(tracks=3, steps=30))
-    cfg = RunConfig(contacts=True, contact_div_filter=True, attractors=True, helicity=True, verbose=True, tau=5)
+    cfg = RunConfig(piece_rows=piece_rows, contacts=True, contact_div_filter=True, attractors=True, helicity=True, verbose=True, tau=5)
     out = plan.run(segments, kinds, cfg)
     assert out["summary_features"].count() == 21
     keep = ("settings", "summary_features", "contacts_summary", "attractors", "msd_category", "figure_violins")

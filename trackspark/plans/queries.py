@@ -181,6 +181,16 @@ def _(spark, d):
 PIECES = Pieces(16, 12.0)
 
 
+@_query("drop_gapped_pieces", f"select object_id, {r('time', 'x', 'y', 'z')} from day_tracks where object_id in (select object_id from gapless )")
+def _(spark, d):
+    return formatting.drop_gapped(src.day_tracks(spark, d), 1.0, PIECES)
+
+
+@_query("interpolate_pieces", f"select object_id, {r('time', 'x', 'y', 'z')} from filled")
+def _(spark, d):
+    return formatting.interpolate(src.day_tracks(spark, d), 1.0, PIECES)
+
+
 @_query("kinematics_pieces", f"select object_id, {r('time', 'inst_displacement', 'total_displacement', 'path_length', 'velocity', 'acceleration', 'velocity_filtered', 'acceleration_filtered')}, moving from kin")
 def _(spark, d):
     return kinematics.kinematics(src.step_tracks(spark, d), 1.0, 60.0, PIECES).drop("seq", "x", "y", "z")

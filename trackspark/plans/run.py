@@ -22,7 +22,7 @@ def settings(segments: DataFrame, cfg: RunConfig) -> DataFrame:
 def formatted(segments: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
     """Cleaned tracks, and the objects removed for gaps."""
     tracks = formatting.average_duplicates(segments) if cfg.multitrack else segments
-    kept = formatting.interpolate(tracks, cfg.dt) if cfg.interpolate else formatting.drop_gapped(tracks, cfg.dt)
+    kept = formatting.interpolate(tracks, cfg.dt, cfg.pieces) if cfg.interpolate else formatting.drop_gapped(tracks, cfg.dt, cfg.pieces)
     return kept, formatting.removed_objects(tracks, kept)
 
 
