@@ -101,3 +101,15 @@ def test_empty_and_null(spark):
     assert [(r.seq, r.inst_displacement, r.total_displacement) for r in found] == [(1, 0, 0), (2, 0, None), (3, 0, 5)]
     with pytest.raises(ValueError):
         Pieces(0, 1.0)
+
+
+def test_many_lags_shuffle_rows_once(tracks):
+    """Rows are not copied for each lag before they are shuffled: there is no join."""
+    for df in (kinematics.lagged(tracks, 40), kinematics.turning_angles(tracks, 40)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.object_id, r.seq, r.tau): r.sq for r in kinematics.lagged(tracks, 40).collect()}
+    few = {(r.object_id, r.seq, r.tau): r.sq for r in kinematics.lagged(tracks, 20).collect()}
+    assert {k: v for k, v in found.items() if k[2] <= 20} == few
+    assert len(found) == sum(max(n - k, 0) for n in TRACKS.values() for k in range(1, 41))
+    turned = {(r.object_id, r.seq, r.tau): r.angle for r in kinematics.turning_angles(tracks, 40).collect()}
+    assert {k: v for k, v in turned.items() if k[2] <= 20} == {(r.object_id, r.seq, r.tau): r.angle for r in kinematics.turning_angles(tracks, 20).collect()}

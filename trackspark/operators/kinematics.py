@@ -57,16 +57,16 @@ def _windows(rows: DataFrame, pieces: Pieces | None, before: int = 0, after: int
 def lagged(segments: DataFrame, tau: int, pieces: Pieces | None = None) -> DataFrame:
     """object_id, seq, tau and the squared displacement since ``tau`` rows before, for 1 .. tau.
 
-    Few lags are columns of one window, over a track or over one of its ``pieces``. Many are a join on (object_id,
-    row number), which spreads one long track over all tasks.
+    Lags are taken from one window, over a track or over one of its ``pieces``: few are columns of it, many the list of
+    the last ``tau`` positions, so that only the rows themselves are shuffled.
     """
-    rows = in_order(segments, pieces)
+    rows, w = _windows(in_order(segments, pieces), pieces, before=tau)
     if tau <= 20:
-        rows, w = _windows(rows, pieces, before=tau)
         each = [F.struct(F.lit(k).alias("tau"), squared([F.col(c) for c in AXES], [F.lag(c, k).over(w) for c in AXES]).alias("sq")) for k in range(1, tau + 1)]
         return rows.select("object_id", "seq", "own", F.array(*each).alias("all")).where("own").select("object_id", "seq", F.explode("all").alias("e")).select("object_id", "seq", "e.tau", "e.sq").where("sq is not null")
-    back = rows.select("object_id", F.col("seq").alias("from"), *(F.col(c).alias(f"p{c}") for c in AXES), F.explode(F.sequence(F.lit(1), F.lit(tau))).alias("tau")).withColumn("seq", F.col("from") + F.col("tau"))
-    return back.join(rows, ["object_id", "seq"]).select("object_id", "seq", "tau", squared([F.col(c) for c in AXES], [F.col(f"p{c}") for c in AXES]).alias("sq"))
+    last = rows.select("object_id", "seq", "own", *AXES, F.collect_list(F.struct(*AXES)).over(w.rowsBetween(-tau, -1)).alias("last")).where("own")
+    back = last.select("object_id", "seq", *AXES, F.size("last").alias("n"), F.posexplode("last").alias("place", "p"))
+    return back.select("object_id", "seq", (F.col("n") - F.col("place")).alias("tau"), squared([F.col(c) for c in AXES], [F.col("p")[c] for c in AXES]).alias("sq")).where("sq is not null")
 
 
 def euclid_lags(segments: DataFrame, tau: int, pieces: Pieces | None = None) -> DataFrame:
@@ -76,9 +76,8 @@ def euclid_lags(segments: DataFrame, tau: int, pieces: Pieces | None = None) ->
 
 def turning_angles(segments: DataFrame, tau: int, pieces: Pieces | None = None) -> DataFrame:
     """Angle between the displacement over ``tau`` rows and the next one, at the row where the first begins."""
-    rows = in_order(segments, pieces)
+    rows, w = _windows(in_order(segments, pieces), pieces, after=2 * tau)
     if tau <= 20:
-        rows, w = _windows(rows, pieces, after=2 * tau)
         each = []
         for k in range(1, tau + 1):
             u = [F.lead(c, k).over(w) - F.col(c) for c in AXES]
@@ -86,11 +85,11 @@ def turning_angles(segments: DataFrame, tau: int, pieces: Pieces | None = None)
             each.append(F.struct(F.lit(k).alias("tau"), *(a.alias(f"u{c}") for a, c in zip(u, AXES)), *(a.alias(f"v{c}") for a, c in zip(v, AXES))))
         moved = rows.select("object_id", "seq", "own", F.array(*each).alias("all")).where("own").select("object_id", "seq", F.explode("all").alias("e")).select("object_id", "seq", "e.*")
     else:
-        start = rows.select("object_id", "seq", *(F.col(c).alias(f"a{c}") for c in AXES), F.explode(F.sequence(F.lit(1), F.lit(tau))).alias("tau"))
-        middle = rows.select("object_id", F.col("seq").alias("mid"), *(F.col(c).alias(f"b{c}") for c in AXES))
-        end = rows.select("object_id", F.col("seq").alias("end"), *(F.col(c).alias(f"c{c}") for c in AXES))
-        moved = start.withColumns({"mid": F.col("seq") + F.col("tau"), "end": F.col("seq") + 2 * F.col("tau")}).join(middle, ["object_id", "mid"]).join(end, ["object_id", "end"])
-        moved = moved.select("object_id", "seq", "tau", *((F.col(f"b{c}") - F.col(f"a{c}")).alias(f"u{c}") for c in AXES), *((F.col(f"c{c}") - F.col(f"b{c}")).alias(f"v{c}") for c in AXES))
+        ahead = rows.select("object_id", "seq", "own", *AXES, F.collect_list(F.struct(*AXES)).over(w.rowsBetween(1, 2 * tau)).alias("next")).where("own")
+        lag = F.explode(F.sequence(F.lit(1), F.floor(F.size("next") / 2).cast("int"))).alias("tau")
+        moved = ahead.where(F.size("next") > 1).select("object_id", "seq", *AXES, "next", lag)
+        middle, end = F.get("next", F.col("tau") - 1), F.get("next", 2 * F.col("tau") - 1)
+        moved = moved.select("object_id", "seq", "tau", *((middle[c] - F.col(c)).alias(f"u{c}") for c in AXES), *((end[c] - middle[c]).alias(f"v{c}") for c in AXES))
     turned = angle([F.col(f"u{c}") for c in AXES], [F.col(f"v{c}") for c in AXES])
     return moved.select("object_id", "seq", "tau", turned.alias("angle")).where("angle is not null")
 
