@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import time
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -167,6 +168,24 @@ def test_chains_are_the_folds(spark, distances, gaps):
     assert found == sorted(fold([(float(t), float(d)) for t, d in enumerate(distances)], cfg))
 
 
+def test_attraction_in_blocks(spark):
+    """Tracks compared by blocks give the chains of pairs joined row by row, and no pair's rows are shuffled."""
+    rng = np.random.default_rng(11)
+    rows = [(i, float(t), *map(float, p)) for i in range(24) for t, p in enumerate(np.cumsum(rng.normal(0, 6, (20, 3)), axis=0) + (100 * (i % 3), 0, 0)) if rng.random() < 0.9]
+    rows += [(99, 1.0, None, 0.0, 0.0), (98, 2.0, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kinds = df.select("object_id", F.when(F.col("object_id") % 2 == 0, "a").otherwise("b").alias("category")).distinct()
+    base = AttractorConfig(distance_threshold=30, approach_ratio=0.8, min_proximity=20, time_persistence=3, max_gaps=1)
+    for cfg in (base, replace(base, broken_chains=True), replace(base, attractor_types=("a",), attracted_types=("b",))):
+        want = sorted(map(tuple, attractors.events(attractors.pairs(df, kinds, cfg), cfg).collect()))
+        assert want
+        for objects, cells in ((512, 2_000_000), (2, 100)):
+            found = attractors.found(df, kinds, cfg, objects, cells)
+            assert found.columns == ["attractor_id", "attractor_type", "attracted_id", "attracted_type", "time", "distance"]
+            assert sorted(map(tuple, found.collect())) == want
+            assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_prefix_fit_is_a_loop(spark):
     rng = np.random.default_rng(1)
     x = np.log10(np.arange(1, 21))
