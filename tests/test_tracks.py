@@ -239,6 +239,14 @@ def test_bootstrap_is_a_loop(spark):
     assert max(seen.values()) < 3 * min(seen.values())
 
 
+def test_draws_are_spread(spark):
+    """Chunks of draws are few bytes but much work, so their tasks are not merged for their size."""
+    sizes = spark.createDataFrame([("a", 20_000)], "category string, n long")
+    draws = msd._block_draws(sizes, 4, 42, 4096)
+    assert any("RepartitionByExpression" in line and f", {msd.DRAW_TASKS}" in line for line in draws._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert sum(d.n for r in draws.collect() for d in r.drawn) == 4 * 20_000
+
+
 def test_hull_of_parts(spark):
     """A long track over many tasks, parts of it in a plane or a line, and points that are given again."""
     rng = np.random.default_rng(9)
