@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trackspark.config import AttractorConfig, MLConfig, RunConfig, words
 from trackspark.functions.selection import quantiles
 from trackspark.functions.tails import chi2_sf, normal_two_sided
-from trackspark.operators import attractors, boosting, contacts, figures, formatting, helicity, kinematics, ml, msd, shape
+from trackspark.operators import attractors, boosting, contacts, figures, formatting, helicity, kinematics, ml, msd, shape, stats
 from trackspark.operators import summary as features
 from trackspark.plans import run as plan
 from trackspark.sources import generator, tables
@@ -133,6 +133,14 @@ def test_quantiles_are_percentiles(spark):
     assert quantiles(df.limit(0), ["a"], "value", [0.5]).count() == 0
 
 
+def test_ranges_are_evaluated_once(spark):
+    """Approximate edges are made before, so that sums and rows of ranges can't see different ones."""
+    df = spark.range(3000).select(F.lit("f").alias("feature"), (F.col("id") % 3).cast("string").alias("category"), (F.col("id") % 1100).cast("double").alias("value"))
+    for found in (quantiles(df, ["feature"], "value", [0.5]), stats.ranked(df)):
+        assert "percentile_approx" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert found.count()
+
+
 def fold(rows, cfg):
     """Attraction chains of one pair, row by row."""
     out, chain, gaps, last = [], [], 0, None

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import sums_before
+from ..functions.staging import staged
 from ..functions.tails import chi2_sf, normal_two_sided
 
 
@@ -14,11 +15,13 @@ def ranked(long: DataFrame, buckets: int = 64) -> DataFrame:
     """Each distinct value of a feature, its rows (``tie``) and their average rank.
 
     Values are counted first; of each feature they are dealt into ranges of about equal size, which are added up and
-    ordered by themselves.
+    ordered by themselves. They are written once, by a job of its own, with their ranges, whose approximate edges may
+    differ from one evaluation to the next.
     """
     rows = long.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("tie"))
     edges = rows.groupBy("feature").agg(F.percentile_approx("value", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 1000).alias("edges"))
     dealt = rows.join(edges, "feature").withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    dealt = staged(dealt, "ranks")
     found = sums_before(dealt, ["feature"], F.col("range"), ["value"], F.col("tie"), "before", "total")
     return found.select("feature", "value", "tie", (F.col("before") + (F.col("tie") + 1) / 2.0).alias("rank"))
 
