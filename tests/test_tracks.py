@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trackspark.config import AttractorConfig, MLConfig, RunConfig, words
 from trackspark.functions.selection import quantiles
 from trackspark.functions.tails import chi2_sf, normal_two_sided
-from trackspark.operators import attractors, boosting, contacts, figures, formatting, helicity, kinematics, ml, msd, shape, stats
+from trackspark.operators import attractors, boosting, contacts, figures, formatting, helicity, kinematics, ml, msd, replicates, shape, stats
 from trackspark.operators import summary as features
 from trackspark.plans import run as plan
 from trackspark.sources import generator, tables
@@ -141,6 +141,12 @@ def test_ranges_are_evaluated_once(spark):
         assert found.count()
 
 
+def test_replicate_medians_are_evaluated_once(spark):
+    """What the medians come from isn't evaluated again by each test over them."""
+    medians = spark.range(12).select(F.lit("f").alias("feature"), (F.col("id") % 3).cast("string").alias("category"), F.col("id").cast("double").alias("median"))
+    assert "Range (" not in replicates.replicate_stats(medians)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def fold(rows, cfg):
     """Attraction chains of one pair, row by row."""
     out, chain, gaps, last = [], [], 0, None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from . import stats
 
 
@@ -23,8 +24,11 @@ def category_medians(medians: DataFrame) -> DataFrame:
 
 
 def replicate_stats(medians: DataFrame) -> DataFrame:
-    """Rank tests between categories over replicate medians; features with one value only are marked as skipped."""
-    rows = medians.select("feature", "category", F.col("median").alias("value"))
+    """Rank tests between categories over replicate medians; features with one value only are marked as skipped.
+
+    The medians are few and read by several tests, so they are written once and what they come from is evaluated once.
+    """
+    rows = staged(medians.select("feature", "category", F.col("median").alias("value")), "medians")
     spread = rows.groupBy("feature").agg(F.count_distinct("value").alias("values"), F.count("*").alias("n"))
     varied = rows.join(spread.where("values > 1"), "feature", "left_semi")
     none = F.lit(None).cast("double")
