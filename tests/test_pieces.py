@@ -113,3 +113,23 @@ def test_many_lags_shuffle_rows_once(tracks):
     assert len(found) == sum(max(n - k, 0) for n in TRACKS.values() for k in range(1, 41))
     turned = {(r.object_id, r.seq, r.tau): r.angle for r in kinematics.turning_angles(tracks, 40).collect()}
     assert {k: v for k, v in turned.items() if k[2] <= 20} == {(r.object_id, r.seq, r.tau): r.angle for r in kinematics.turning_angles(tracks, 20).collect()}
+
+
+def test_summary_of_whole_tracks_without_rows_of_lags(spark, capsys):
+    """One pass gives what the operators on rows give, short, still and incomplete tracks included, and no row for a point and lag."""
+    rng = np.random.default_rng(5)
+    rows = [(o, float(t), *map(float, rng.integers(0, 6, 3))) for o, n in enumerate((1, 2, 3, 4, 5, 9, 23, 60)) for t in range(n)]
+    rows += [(90, float(t), 1.0, 1.0, 1.0) for t in range(12)] + [(91, float(t), None if t == 4 else t * 1.5, 2.0, t % 3 * 1.0) for t in range(15)]
+    segments = spark.createDataFrame(rows, "object_id long, time double, x double, y double, z double")
+    kinds = segments.select("object_id", F.lit("a").alias("category")).distinct()
+    for limit, middle in ((2.0, False), (0.0, True)):
+        cfg = RunConfig(dt=1.0, tau=10, arrest_limit=limit, moving=4, median_of_angles=middle)
+        whole = features.summarize(segments, kinds, cfg)
+        capsys.readouterr()
+        whole.explain()
+        assert "Generate" not in capsys.readouterr().out
+        pieces = features.summarize(segments, kinds, replace(cfg, piece_rows=8))
+        a, b = ({r["object_id"]: r.asDict() for r in x.collect()} for x in (whole, pieces))
+        assert a.keys() == b.keys() and len(a) == 10
+        for k in a:
+            assert a[k] == pytest.approx(b[k], abs=1e-9), k
