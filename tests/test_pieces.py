@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackspark.config import RunConfig
 from trackspark.functions import columns, pieces
 from trackspark.functions.pieces import Pieces
-from trackspark.operators import formatting, helicity, kinematics, msd
+from trackspark.operators import contacts, formatting, helicity, kinematics, msd
 from trackspark.operators import summary as features
 
 TRACKS = {1: 700, 2: 1, 3: 2, 4: 33, 5: 64, -6: 65}
@@ -133,3 +133,19 @@ def test_summary_of_whole_tracks_without_rows_of_lags(spark, capsys):
         assert a.keys() == b.keys() and len(a) == 10
         for k in a:
             assert a[k] == pytest.approx(b[k], abs=1e-9), k
+
+
+@pytest.mark.parametrize("euclidean", [False, True])
+def test_partners_are_counts_of_contacts(spark, euclidean, capsys):
+    """Blocks count the pairs' distinct partners and contacts, copies of tracks, negative places and points just in reach included, without rows of pairs."""
+    rng = np.random.default_rng(3)
+    rows = [(int(o), float(t), *map(float, rng.integers(-9, 9, 3))) for o in range(-20, 40) for t in range(6) if rng.random() < 0.8]
+    rows += [(o + 100, *r) for o, *r in rows] + [(300, 1.0, float("nan"), 0.0, 0.0), (301, 1.0, None, 0.0, 0.0)]
+    segments = spark.createDataFrame(rows, "object_id long, time double, x double, y double, z double")
+    wanted = contacts.contacts(segments, 3.0, euclidean).groupBy("object_id").agg(F.count_distinct("object_compare").alias("n_contacts"), F.count("*").alias("n"))
+    for cut in ({}, {"blocks": 1, "pairs": 50}, {"blocks": 2, "block_rows": 100, "pairs": 300}):
+        found = contacts.partners(segments, 3.0, euclidean, **cut)
+        same(found, wanted, ["object_id"])
+    capsys.readouterr()
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
