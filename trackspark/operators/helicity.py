@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Generator, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,12 @@ from ..functions.pieces import Pieces, dealt, numbered, piece
 FACTORS, LAST = (0.1, 0.5, 1.0, 2.0, 5.0), 10.0
 
 
+#: Work that hands out systems (bands, right side), is sent their solutions and returns points.
+Solving = Generator[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]
+#: Systems of fewer are eliminated one by one; tracks that are smoothed side by side, and their rows together.
+TOGETHER, SIDE_BY_SIDE, ROWS = 12, 512, 1 << 17
+
+
 class Spline:
     """Cubic B-splines over ``inner`` knots at parameters ``u`` (ascending, from 0 to 1): everything in bands, as each parameter meets four of them."""
 
@@ -59,9 +66,12 @@ class Spline:
         return bands
 
     def fit(self, weight: float = 0.0, penalty: np.ndarray | None = None) -> np.ndarray:
+        return side_by_side([self.fitting(weight, penalty)])[0]
+
+    def fitting(self, weight: float = 0.0, penalty: np.ndarray | None = None) -> Solving:
         """The spline's points: least squares, and ``weight`` times the penalty."""
         bands = self.normal + weight * penalty if penalty is not None else self.normal
-        coefficients = solved(bands, self.right)
+        coefficients = yield bands, self.right
         return sum(self.values[k][:, None] * coefficients[self.first + k] for k in range(4))
 
     def errors(self, fit: np.ndarray) -> np.ndarray:
@@ -90,6 +100,60 @@ def solved(bands: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.array(b)
 
 
+def all_solved(systems: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """``solved`` of each, the same steps for all at once; shorter ones end in rows of their own that meet no others."""
+    if len(systems) < TOGETHER:
+        return [solved(*x) for x in systems]
+    sizes = [bands.shape[1] for bands, _ in systems]
+    n, width, axes = max(sizes), len(systems[0][0]) - 1, systems[0][1].shape[1]
+    a, b = np.zeros((n + width, width + 1, len(systems))), np.zeros((n + width, axes, len(systems)))
+    a[:, 0] = 1
+    for i, (bands, right) in enumerate(systems):
+        a[: sizes[i], :, i], b[: sizes[i], :, i] = bands.T, right
+    floor = np.array([1e-14 * bands[0].max() for bands, _ in systems])
+    # Of a system that has ended only its own rows of 1 are left.
+    inside = np.arange(n)[:, None] < np.array(sizes)
+    for j in range(n):
+        row = a[j]
+        row[0] = np.where(inside[j], np.maximum(row[0], floor), 1.0)
+        for k in range(1, width + 1):
+            share = row[k] / row[0]
+            a[j + k, : width + 1 - k] -= share * row[k:]
+            b[j + k] -= share * b[j]
+    for j in reversed(range(n)):
+        x = b[j]
+        for k in range(1, width + 1):
+            x = x - a[j, k] * b[j + k]
+        b[j] = x / a[j, 0]
+    return [b[:size, :, i] for i, size in enumerate(sizes)]
+
+
+def side_by_side(works: list[Solving]) -> list[np.ndarray]:
+    """What each returns; in each round the systems that they wait for are solved together, those of similar sizes."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(works)
+    waiting: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
+
+    def go(i: int, found: np.ndarray | None) -> None:
+        try:
+            waiting.append((i, works[i].send(found)))
+        except StopIteration as end:
+            out[i] = end.value
+
+    with np.errstate(all="ignore"):
+        for i in range(len(works)):
+            go(i, None)
+        while waiting:
+            now = sorted(waiting, key=lambda x: x[1][0].shape[1])
+            waiting = []
+            while now:
+                last = now[-1][1][0].shape[1]
+                first = next(k for k, x in enumerate(now) if 2 * x[1][0].shape[1] >= last)
+                for (i, _), found in zip(now[first:], all_solved([x for _, x in now[first:]])):
+                    go(i, found)
+                now = now[:first]
+    return out
+
+
 def _more_knots(u: np.ndarray, inner: np.ndarray, error: np.ndarray, count: int) -> np.ndarray:
     """``count`` knots more, one by one at the middle point of the span with the largest residual, whose halves share it by their points."""
     edges = np.concatenate([[0.0], inner, [1.0]])
@@ -109,7 +173,7 @@ def _more_knots(u: np.ndarray, inner: np.ndarray, error: np.ndarray, count: int)
     return np.sort(np.concatenate([inner, added]))
 
 
-def smoothed(points: np.ndarray, target: float, tolerance: float = 1e-3) -> np.ndarray:
+def smoothing(points: np.ndarray, target: float, tolerance: float = 1e-3) -> Solving:
     """A cubic spline through ``points`` at even parameters whose squared residual is ``target``.
 
     If one polynomial is close enough, it is that. Else knots are added, as many at a time as the last ones' gain
@@ -121,7 +185,7 @@ def smoothed(points: np.ndarray, target: float, tolerance: float = 1e-3) -> np.n
     inner, step, before = np.zeros(0), 1, None
     while True:
         spline = Spline(u, points, inner)
-        fit = spline.fit()
+        fit = yield from spline.fitting()
         error = spline.errors(fit)
         total = float(error.sum())
         if total <= target * (1 + tolerance) or len(inner) >= n - 4:
@@ -141,7 +205,7 @@ def smoothed(points: np.ndarray, target: float, tolerance: float = 1e-3) -> np.n
     low, high = -20.0, 20.0
     for _ in range(60):
         middle = (low + high) / 2
-        fit = spline.fit(10**middle * np.max(spline.normal[0]) / np.max(penalty[0]), penalty)
+        fit = yield from spline.fitting(10**middle * np.max(spline.normal[0]) / np.max(penalty[0]), penalty)
         total = float(spline.errors(fit).sum())
         if abs(total - target) <= tolerance * target:
             break
@@ -149,29 +213,71 @@ def smoothed(points: np.ndarray, target: float, tolerance: float = 1e-3) -> np.n
     return fit
 
 
-def spline_of(points: np.ndarray, factors: tuple[float, ...] = FACTORS) -> np.ndarray:
-    """The smoothed points: the residual is rows times a factor times one more than the mean variance of the axes, for the first factor whose spline is finite."""
+def smoothed(points: np.ndarray, target: float, tolerance: float = 1e-3) -> np.ndarray:
+    return side_by_side([smoothing(points, target, tolerance)])[0]
+
+
+def _spline_of(points: np.ndarray, factors: tuple[float, ...]) -> Solving:
     n = len(points)
     spread = 1 + points.var(axis=0).mean()
     for target in (*(n * f * spread for f in factors), n * LAST):
-        with np.errstate(all="ignore"):
-            fit = smoothed(points, target)
+        fit = yield from smoothing(points, target)
         if np.isfinite(fit).all():
             break
     return fit
 
 
-def smooth(segments: DataFrame, factors: tuple[float, ...] = FACTORS) -> DataFrame:
-    """Tracks on their spline; those of fewer than four rows stay."""
+def spline_of(points: np.ndarray, factors: tuple[float, ...] = FACTORS) -> np.ndarray:
+    """The smoothed points: the residual is rows times a factor times one more than the mean variance of the axes, for the first factor whose spline is finite."""
+    return side_by_side([_spline_of(points, factors)])[0]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("time")
-        points = rows[list(AXES)].to_numpy(float)
-        if len(points) >= 4:
-            rows[list(AXES)] = spline_of(points, factors)
-        return rows
 
-    return segments.select("object_id", "time", *AXES).groupBy("object_id").applyInPandas(one, "object_id long, time double, x double, y double, z double")
+def smooth(segments: DataFrame, factors: tuple[float, ...] = FACTORS) -> DataFrame:
+    """Tracks on their spline; those of fewer than four rows stay. Rows come sorted by track, and many tracks are smoothed side by side."""
+    names = ("object_id", "time", *AXES)
+
+    def on_splines(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        points = np.stack([table[c].to_numpy().astype(float) for c in AXES], axis=1)
+        begin = _begins(table)
+        tracks = [(s, e) for s, e in zip(begin, [*begin[1:], len(points)]) if e - s >= 4]
+        for (s, e), fit in zip(tracks, side_by_side([_spline_of(points[s:e], factors) for s, e in tracks])):
+            points[s:e] = fit
+        columns = [table[c].combine_chunks() for c in names[:2]]
+        # Of short tracks blanks stay blank.
+        blank = np.ones(len(points), bool)
+        for s, e in tracks:
+            blank[s:e] = False
+        columns += [pa.array(points[:, k], mask=blank & table[c].is_null().to_numpy()) for k, c in enumerate(AXES)]
+        yield from pa.table(dict(zip(names, columns))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, due = 0, ROWS // 8
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < due:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            begin = _begins(table)
+            # The last track may go on in the next batch.
+            if len(begin) > 1 and (len(begin) > SIDE_BY_SIDE or rows >= ROWS):
+                yield from on_splines(table.slice(0, begin[-1]))
+                held = table.slice(begin[-1]).to_batches()
+                rows = table.num_rows - begin[-1]
+            due = max(ROWS // 8, 2 * rows)
+        if rows:
+            yield from on_splines(pa.Table.from_batches(held).combine_chunks())
+
+    kind = "object_id long, time double, x double, y double, z double"
+    rows = segments.select(F.col("object_id").cast("long").alias("object_id"), *(F.col(c).cast("double").alias(c) for c in names[1:]))
+    return rows.repartition("object_id").sortWithinPartitions("object_id", "time").mapInArrow(run, kind)
+
+
+def _begins(table: pa.Table) -> list[int]:
+    """Where tracks begin in rows that are sorted by them; those without an object are one."""
+    ids, none = table["object_id"].fill_null(0).to_numpy(), table["object_id"].is_null().to_numpy()
+    return [0, *(np.flatnonzero((np.diff(ids) != 0) | (np.diff(none.astype(int)) != 0)) + 1).tolist()] if len(ids) else []
 
 
 def _gradient(c: Column, seq: Column, n: Column, step: Column, w: Window) -> Column:
