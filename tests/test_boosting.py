@@ -5,6 +5,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackspark.config import MLConfig
 from trackspark.operators import boosting, ml
@@ -119,3 +120,12 @@ def test_best_draw_wins(spark):
     rows = found["tree_report"].collect()
     assert {r.category for r in rows} == {"c0", "c1", "c2"} and rows[0].accuracy > 0.6
     assert sum(r.support for r in rows) == sum(len(m) - int(len(m) * 0.6) for m in ([i for i in y if i == c] for c in range(3)))
+
+
+def test_parts_of_a_pass_do_not_grow_with_the_rows(spark):
+    """Each part of the blocks sends its histograms in each pass, so there are no more of them than tasks at once; no row is lost."""
+    rows = spark.range(5000).select(F.col("id").alias("object_id"), (F.col("id") % 3).cast("int").alias("label"), F.floor(F.col("id") / 3).alias("place"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features")).repartition(97)
+    how = boosting.Engine(block_rows=16)
+    packed = boosting.blocks(rows, boosting.cuts(rows, 2, how), how)
+    assert packed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert packed.agg(F.sum("n")).first()[0] == 5000
