@@ -398,6 +398,15 @@ def test_prepared_groups_features(spark):
     assert set(told[told.grouped][["feature_a", "feature_b"]].itertuples(index=False, name=None)) == {("b", "c"), ("b", "d"), ("c", "d")}
 
 
+def test_logarithms_are_taken_once(spark):
+    """Neither filters of later steps nor the number of features multiply the logarithms in a plan; the steps read them written."""
+    df = spark.createDataFrame([(i, "xy"[i % 2], *(float(i * k % 11) for k in range(1, 9))) for i in range(20)], "object_id long, category string, " + ", ".join(f"f{k} double" for k in range(8)))
+    taken = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower().count("log1p")
+    assert taken(ml._whole(ml.standardized(ml.signed_log(df)))) == 1
+    matrix, steps = ml.prepared(df, MLConfig(), 5)
+    assert taken(matrix) == taken(steps["standardized"]) == 0
+
+
 def test_pca_is_numpys(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
