@@ -164,6 +164,17 @@ def test_bpe(docs, plain, spark):
     assert base64.b64encode(b"a")
 
 
+def test_bpe_plans_are_small(docs, spark):
+    """The driver keeps a description of each plan that ran; none holds the vocabulary."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(60_000)
+    before = store.executionsCount()
+    bpe.digests(docs).count()
+    bus.waitUntilEmpty(60_000)
+    ran = store.executionsList(before, 100)
+    assert ran.size() and max(len(ran.apply(i).physicalPlanDescription()) for i in range(ran.size())) < 100_000
+
+
 def test_phrases(docs, plain):
     found = by_id(phrases.digests(docs))
     first = {}

@@ -4,8 +4,10 @@
    list of distinct words. A word that is a token is known at once, as the tokenizer's rule has it.
 2. A block asks about each of its other words once, in one row for each bucket of words that it has words of.
    Spark's higher-order functions fold the ranked merges over the byte array of each distinct word of the corpus,
-   once, with the ranks in a literal map, and concatenate the binary pieces that its ids decode to. A result that is
-   the word again, as it is for every complete vocabulary, is told by its absence.
+   once, with the ranks in a map, and concatenate the binary pieces that its ids decode to. A result that is the word
+   again, as it is for every complete vocabulary, is told by its absence. Tasks read the map and the pieces from the
+   vocabulary and add them to each row of words: as literals they would stand in every description of the plan, which
+   the driver keeps.
 3. The answers meet the block's documents. However frequent a word is, a bucket hears of it once from each block.
 
 What a task holds is bounded by ``block_bytes`` (or, if longer, one document) and by what all blocks ask one of the
@@ -76,8 +78,8 @@ def pieces(path: str) -> list[bytes]:
 
 
 @functools.cache
-def _rank_map(path: str) -> str:
-    """The rank of each two tokens that join to a token, as JSON: at one of a pair's two places, the lower half of its product plus one, and the rank; 0 is a free place."""
+def _rank_map(path: str) -> np.ndarray:
+    """The rank of each two tokens that join to a token: at one of a pair's two places, the lower half of its product plus one, and the rank; 0 is a free place."""
     known = ranks(path)
     table, half_size = [0] * (2 << 17), 1 << 17
     for piece, rank in known.items():
@@ -92,15 +94,23 @@ def _rank_map(path: str) -> str:
                 entry, table[place], half, moves = table[place], entry, 1 - half, moves + 1
                 if moves > 1000:
                     raise ValueError("the rank map's halves are too small for this vocabulary")
-    written = [((entry[0] * FACTORS[at >> 17] % half_size) + 1 << 17 | entry[1]) if entry else 0 for at, entry in enumerate(table)]
-    return json.dumps(written, separators=(",", ":"))
+    return np.fromiter(((entry[0] * FACTORS[at >> 17] % half_size) + 1 << 17 | entry[1] if entry else 0 for at, entry in enumerate(table)), np.int64, len(table))
 
 
-def folded(word: Column, path: str) -> Column:
+#: Some of the distinct words of a task, and what folds and decodes them: the ids of single bytes, the ranks of pairs, and all pieces in hex.
+LISTS = "words array<struct<bucket:bigint,place:int,word:binary>>, single array<int>, ranks array<bigint>, pieces array<string>"
+
+
+@functools.cache
+def _tables(path: str) -> list[pa.Array]:
+    """The last three of ``LISTS``."""
+    single = pa.array([ranks(path)[bytes([b])] for b in range(256)], pa.int32())
+    columns = single, pa.array(_rank_map(path)), pa.array([x.hex() for x in pieces(path)], pa.string())
+    return [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns]
+
+
+def folded(word: Column, single: Column, ranks: Column) -> Column:
     """Ids of the byte values ``word`` (array<int>): the pair of least rank merges, the first of equals, until none has a rank."""
-    single = F.from_json(F.lit(json.dumps([ranks(path)[bytes([b])] for b in range(256)])), "array<int>")
-    # The literal stands once in the plan; lambdas refer to it.
-    table = F.array(F.from_json(F.lit(_rank_map(path)), "array<bigint>"))
 
     def fold(ranked: Column) -> Column:
         def ranked_pair(key: Column) -> Column:
@@ -133,7 +143,8 @@ def folded(word: Column, path: str) -> Column:
         ends = lambda pairs: F.transform(F.slice(pairs, F.lit(2), F.size(pairs) - 1), left)
         return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word), F.lit(1))), F.transform(keys, ranked_pair), step, ends)
 
-    return F.transform(table, fold)[0].cast("array<int>")
+    # Taken out of its row once; lambdas refer to it.
+    return F.transform(F.array(ranks), fold)[0].cast("array<int>")
 
 
 def heap_fold(word: bytes, known: dict[bytes, int]) -> list[int]:
@@ -276,17 +287,16 @@ ODD = pa.list_(pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))
 
 
 def _packed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of words with their ids and bytes, one for each bucket in a batch."""
-    for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
+    """Rows of words with their ids and bytes, one for each bucket in a list."""
+    for found in (x.values for batch in batches for x in batch.column("found")):
+        bucket, place, n = (found.field(x).to_numpy() for x in ("bucket", "place", "n"))
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         rows = []
         for a, b in zip(edges, edges[1:]):
             if b > a:
-                part = batch.slice(a, b - a)
-                place, texts = part.column("place").to_numpy(), [x.encode() for x in part.column("ids").to_pylist()]
-                others = [(int(i), x) for i, x in zip(place, part.column("bytes").to_pylist()) if x is not None]
-                rows.append((int(bucket[a]), pack(place), pack(part.column("n").to_numpy().astype(np.int32)), pack(np.array(list(map(len, texts)), np.int32)), squeezed(b"".join(texts)), others))
+                texts = [x.encode() for x in found.field("ids").slice(a, b - a).to_pylist()]
+                others = [(int(i), x) for i, x in zip(place[a:b], found.field("bytes").slice(a, b - a).to_pylist()) if x is not None]
+                rows.append((int(bucket[a]), pack(place[a:b]), pack(n[a:b].astype(np.int32)), pack(np.array(list(map(len, texts)), np.int32)), squeezed(b"".join(texts)), others))
         yield from _table(rows, IDS).to_batches()
 
 
@@ -295,9 +305,21 @@ def _words(known: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     words = known.where("word is not null").select("bucket", "place", "word")
     tasks = max(1, -(-words.count() // vocabulary.words_a_task))
     dealt = words.repartitionByRange(tasks, "bucket", "place").sortWithinPartitions("bucket", "place")
-    ids = dealt.select("bucket", "place", "word", folded(byte_values(F.col("word")), vocabulary.path).alias("ids"))
-    ids = ids.withColumn("bytes", decoded(F.col("ids"), vocabulary))
-    rows = ids.select("bucket", "place", F.size("ids").alias("n"), F.array_join("ids", " ").alias("ids"), F.when(~F.col("bytes").eqNullSafe(F.col("word")), F.col("bytes")).alias("bytes"))
+    path = vocabulary.path
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.to_struct_array())
+            yield pa.RecordBatch.from_arrays([some, *_tables(path)], _names(LISTS))
+
+    def one(word: Column) -> Column:
+        def told(ids: Column) -> Column:
+            data = joined(ids, F.col("pieces"))
+            return F.struct(word["bucket"].alias("bucket"), word["place"].alias("place"), F.size(ids).alias("n"), F.array_join(ids, " ").alias("ids"), F.when(~data.eqNullSafe(word["word"]), data).alias("bytes"))
+
+        return F.transform(F.array(folded(byte_values(word["word"]), F.col("single"), F.col("ranks"))), told)[0]
+
+    rows = dealt.mapInArrow(listed, LISTS).select(F.transform("words", one).alias("found"))
     return staged(rows.mapInArrow(_packed_ids, IDS), "bpe-ids")
 
 
@@ -365,10 +387,14 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "
     return _encoded(docs, vocabulary, key, finish, f"{key} string, ids array<int>")
 
 
+def joined(ids: Column, table: Column) -> Column:
+    """The bytes of ``ids``: pieces of ``table``, in hex, concatenated."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+
+
 def decoded(ids: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
     """The bytes of ``ids``: binary pieces from a literal list, concatenated."""
-    table = F.from_json(F.lit(json.dumps([x.hex() for x in pieces(vocabulary.path)])), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+    return joined(ids, F.from_json(F.lit(json.dumps([x.hex() for x in pieces(vocabulary.path)])), "array<string>"))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "doc_id") -> DataFrame:
