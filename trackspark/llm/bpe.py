@@ -5,9 +5,9 @@
 2. A block asks about each of its other words once, in one row for each bucket of words that it has words of.
    Spark's higher-order functions fold the ranked merges over the byte array of each distinct word of the corpus,
    once, with the ranks in a map, and concatenate the binary pieces that its ids decode to. A result that is the word
-   again, as it is for every complete vocabulary, is told by its absence. Tasks read the map and the pieces from the
-   vocabulary and add them to each row of words: as literals they would stand in every description of the plan, which
-   the driver keeps.
+   again, as it is for every complete vocabulary, is told by its absence. The map and the pieces are a table of one
+   row, joined to each list of words: as literals they would stand in every description of the plan, which the driver
+   keeps.
 3. The answers meet the block's documents. However frequent a word is, a bucket hears of it once from each block.
 
 What a task holds is bounded by ``block_bytes`` (or, if longer, one document) and by what all blocks ask one of the
@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import bucketed, staged
@@ -46,7 +46,7 @@ from .tokens import cut, pack, slices, spread, squeezed, unpack
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``words_a_task``: distinct words that a task folds, some seconds' work."""
+    """``words_a_task``: distinct words that a task folds, some seconds' work; ``words_a_list``: those of one row."""
 
     path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern: str = public_tokenizers.PATTERN
@@ -54,6 +54,7 @@ class Vocabulary:
     block_bytes: int = 16 << 20
     bucket_bytes: int = 16 << 20
     words_a_task: int = 40_000
+    words_a_list: int = 4096
 
 
 #: A pair of tokens (a, b) has the key a * 2**17 + b of 34 bits. Times one of these odd numbers modulo 2**34, its upper half is a place in one of the rank map's halves.
@@ -77,7 +78,6 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-@functools.cache
 def _rank_map(path: str) -> np.ndarray:
     """The rank of each two tokens that join to a token: at one of a pair's two places, the lower half of its product plus one, and the rank; 0 is a free place."""
     known = ranks(path)
@@ -97,16 +97,19 @@ def _rank_map(path: str) -> np.ndarray:
     return np.fromiter(((entry[0] * FACTORS[at >> 17] % half_size) + 1 << 17 | entry[1] if entry else 0 for at, entry in enumerate(table)), np.int64, len(table))
 
 
-#: Some of the distinct words of a task, and what folds and decodes them: the ids of single bytes, the ranks of pairs, and all pieces in hex.
-LISTS = "words array<struct<bucket:bigint,place:int,word:binary>>, single array<int>, ranks array<bigint>, pieces array<string>"
+TABLES = "single array<int>, ranks array<bigint>, pieces array<string>"
 
 
-@functools.cache
-def _tables(path: str) -> list[pa.Array]:
-    """The last three of ``LISTS``."""
-    single = pa.array([ranks(path)[bytes([b])] for b in range(256)], pa.int32())
-    columns = single, pa.array(_rank_map(path)), pa.array([x.hex() for x in pieces(path)], pa.string())
-    return [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns]
+def _tables(spark: SparkSession, path: str) -> DataFrame:
+    """What folds and decodes words, in one row: the ids of single bytes, the ranks of pairs, and all pieces in hex."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in (row for batch in batches for row in range(batch.num_rows)):
+            single = pa.array([ranks(path)[bytes([b])] for b in range(256)], pa.int32())
+            columns = single, pa.array(_rank_map(path)), pa.array([x.hex() for x in pieces(path)], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], _names(TABLES))
+
+    return staged(spark.range(0, 1, 1, 1).mapInArrow(run, TABLES), "bpe-tables")
 
 
 def folded(word: Column, single: Column, ranks: Column) -> Column:
@@ -238,7 +241,7 @@ def _names(schema: str) -> list[str]:
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), OTHERS: ODD}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), OTHERS: ODD}
     fields = [x.split() for x in schema.split(", ")]
     return pa.Table.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[f for f, _ in fields])
 
@@ -265,19 +268,19 @@ def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.select("block", "lengths", "sizes", "words").mapInArrow(run, ASK)
 
 
-KNOWN = "bucket long, place int, word binary, block long, at binary, places binary"
+KNOWN = "bucket long, place int, words array<binary>, block long, at binary, places binary"
 
 
-def _distinct(rows: pa.Table) -> pa.Table:
-    """A bucket's distinct words, each with its place among them; and the places of each block's words."""
+def _distinct(rows: pa.Table, words_a_list: int) -> pa.Table:
+    """A bucket's distinct words in lists, with the place of each list's first among them; and the places of each block's words."""
     place: dict[bytes, int] = defaultdict()
     place.default_factory = place.__len__
     asked = []
     for r in rows.to_pylist():
         words = cut(spread(r["words"]), unpack(r["sizes"], np.int32))
         asked.append((r["bucket"], None, None, r["block"], r["at"], pack(np.fromiter(map(place.__getitem__, words), np.int32))))
-    bucket = rows.column("bucket")[0].as_py()
-    return _table([*((bucket, i, w, None, None, None) for w, i in place.items()), *asked], KNOWN)
+    bucket, words = rows.column("bucket")[0].as_py(), list(place)
+    return _table([*((bucket, i, words[i : i + words_a_list], None, None, None) for i in range(0, len(words), words_a_list)), *asked], KNOWN)
 
 
 OTHERS = "array<struct<at:int,bytes:binary>>"
@@ -287,40 +290,32 @@ ODD = pa.list_(pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))
 
 
 def _packed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of words with their ids and bytes, one for each bucket in a list."""
-    for found in (x.values for batch in batches for x in batch.column("found")):
-        bucket, place, n = (found.field(x).to_numpy() for x in ("bucket", "place", "n"))
-        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    """Lists of words' ids and bytes, packed."""
+    for batch in batches:
         rows = []
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                texts = [x.encode() for x in found.field("ids").slice(a, b - a).to_pylist()]
-                others = [(int(i), x) for i, x in zip(place[a:b], found.field("bytes").slice(a, b - a).to_pylist()) if x is not None]
-                rows.append((int(bucket[a]), pack(place[a:b]), pack(n[a:b].astype(np.int32)), pack(np.array(list(map(len, texts)), np.int32)), squeezed(b"".join(texts)), others))
+        for bucket, first, found in zip(*(batch.column(x) for x in ("bucket", "place", "found"))):
+            place = np.arange(len(found), dtype=np.int32) + np.int32(first.as_py())
+            n, texts, data = (found.values.field(x) for x in ("n", "ids", "bytes"))
+            texts = [x.encode() for x in texts.to_pylist()]
+            others = [(int(i), x) for i, x in zip(place, data.to_pylist()) if x is not None]
+            rows.append((bucket.as_py(), pack(place), pack(n.to_numpy().astype(np.int32)), pack(np.array(list(map(len, texts)), np.int32)), squeezed(b"".join(texts)), others))
         yield from _table(rows, IDS).to_batches()
 
 
 def _words(known: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Of each distinct word: the number of its ids, the ids in one text, and what they decode to if that is not the word; packed by bucket."""
-    words = known.where("word is not null").select("bucket", "place", "word")
-    tasks = max(1, -(-words.count() // vocabulary.words_a_task))
-    dealt = words.repartitionByRange(tasks, "bucket", "place").sortWithinPartitions("bucket", "place")
-    path = vocabulary.path
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.to_struct_array())
-            yield pa.RecordBatch.from_arrays([some, *_tables(path)], _names(LISTS))
+    """Of each distinct word: the number of its ids, the ids in one text, and what they decode to if that is not the word; packed by list."""
 
     def one(word: Column) -> Column:
         def told(ids: Column) -> Column:
             data = joined(ids, F.col("pieces"))
-            return F.struct(word["bucket"].alias("bucket"), word["place"].alias("place"), F.size(ids).alias("n"), F.array_join(ids, " ").alias("ids"), F.when(~data.eqNullSafe(word["word"]), data).alias("bytes"))
+            return F.struct(F.size(ids).alias("n"), F.array_join(ids, " ").alias("ids"), F.when(~data.eqNullSafe(word), data).alias("bytes"))
 
-        return F.transform(F.array(folded(byte_values(word["word"]), F.col("single"), F.col("ranks"))), told)[0]
+        return F.transform(F.array(folded(byte_values(word), F.col("single"), F.col("ranks"))), told)[0]
 
-    rows = dealt.mapInArrow(listed, LISTS).select(F.transform("words", one).alias("found"))
-    return staged(rows.mapInArrow(_packed_ids, IDS), "bpe-ids")
+    words = known.where("words is not null").select("bucket", "place", "words")
+    tasks = max(1, -(-(words.agg(F.sum(F.size("words"))).first()[0] or 0) // vocabulary.words_a_task))
+    rows = words.repartitionByRange(tasks, "bucket", "place").crossJoin(F.broadcast(_tables(known.sparkSession, vocabulary.path)))
+    return staged(rows.select("bucket", "place", F.transform("words", one).alias("found")).mapInArrow(_packed_ids, IDS), "bpe-ids")
 
 
 def _answered(asked: pa.Table, words: pa.Table) -> pa.Table:
@@ -343,11 +338,11 @@ def _answered(asked: pa.Table, words: pa.Table) -> pa.Table:
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable[[list, list, np.ndarray, list, list], list[pa.Array]], schema: str) -> DataFrame:
     """``finish`` on each block's document keys, their words' places, and the words' numbers of ids, ids as text, and bytes."""
-    path = vocabulary.path
+    path, size = vocabulary.path, vocabulary.words_a_list
     blocks = _blocks(docs, vocabulary, key)
     buckets = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // vocabulary.bucket_bytes))
-    known = staged(_asked(blocks, buckets).groupBy("bucket").applyInArrow(_distinct, KNOWN), "bpe-words")
-    asked = known.where("word is null").select("bucket", "block", "at", "places")
+    known = staged(_asked(blocks, buckets).groupBy("bucket").applyInArrow(lambda rows: _distinct(rows, size), KNOWN), "bpe-words")
+    asked = known.where("words is null").select("bucket", "block", "at", "places")
     answers = asked.groupBy("bucket").cogroup(_words(known, vocabulary).groupBy("bucket")).applyInArrow(_answered, ANSWER)
 
     def meet(rows: pa.Table, said: pa.Table) -> pa.Table:
