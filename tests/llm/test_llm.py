@@ -6,13 +6,16 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trackspark.llm import bpe, chat, jaccard, lm, media, mixing, phrases, quality, recurring, suffixes, urls
+from trackspark.llm import bpe, chat, jaccard, lm, media, mixing, phrases, quality, recurring, suffixes, tokens, urls
 from trackspark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -175,6 +178,48 @@ def test_bpe_plans_are_small(docs, spark):
     assert ran.size() and max(len(ran.apply(i).physicalPlanDescription()) for i in range(ran.size())) < 100_000
 
 
+def test_bpe_gives_memory_back(monkeypatch):
+    """When a task's memory goes back to the system, the words of its last block are no longer held."""
+    monkeypatch.setattr(bpe, "bucketed", lambda run, *_: run)
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    held: list[int] = []
+    monkeypatch.setattr(tokens, "released", lambda: held.append(tracemalloc.get_traced_memory()[0]))
+    docs = SimpleNamespace(select=lambda *_: docs, mapInArrow=lambda run, _: run)
+    run = bpe._blocks(docs, bpe.Vocabulary(), "doc_id")
+    batch = pa.RecordBatch.from_pydict({"doc_id": ["a"], "text": [" ".join(f"w{i}x" for i in range(100_000))]})
+    bpe.ranks(bpe.Vocabulary().path)
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in run(iter([batch]))) == 1
+    finally:
+        tracemalloc.stop()
+    assert held and max(held) < 2 << 20
+
+
+def test_memory_goes_back_after_a_step(monkeypatch):
+    held: list[int] = []
+    monkeypatch.setattr(tokens, "released", lambda: held.append(tracemalloc.get_traced_memory()[0]))
+
+    def run(batches):
+        for piece in tokens.slices(batches):
+            much = np.zeros(8 << 20, np.uint8)
+            yield piece
+            del piece
+        assert len(much)
+
+    def group(n):
+        much = np.zeros(8 << 20, np.uint8)
+        return len(much) + n
+
+    tracemalloc.start()
+    try:
+        assert len(list(tokens.swept(run)(iter([pa.RecordBatch.from_pydict({"text": ["a"]})])))) == 1
+        assert tokens.alone(group(1)) == (8 << 20) + 1
+    finally:
+        tracemalloc.stop()
+    assert len(held) == 2 and max(held) < 1 << 20
+
+
 def test_phrases(docs, plain):
     found = by_id(phrases.digests(docs))
     first = {}

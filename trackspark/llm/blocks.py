@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .store import staged
-from .tokens import flat, pack, slices, spread, squeezed, unpack
+from .tokens import flat, pack, slices, spread, squeezed, swept, unpack
 
 
 def packed(docs: DataFrame, block_bytes: int, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def packed(docs: DataFrame, block_bytes: int, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["block", *(f.name for f in others), "sizes", "data", "n_bytes"])
             block += 1
 
-    return staged(docs.mapInArrow(run, schema), name)
+    return staged(docs.mapInArrow(swept(run), schema), name)
 
 
 class Block:

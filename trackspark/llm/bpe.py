@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import bucketed, staged
-from .tokens import cut, pack, slices, spread, squeezed, unpack
+from .tokens import alone, cut, pack, slices, spread, squeezed, swept, unpack
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def _tables(spark: SparkSession, path: str) -> DataFrame:
             columns = single, pa.array(_rank_map(path)), pa.array([x.hex() for x in pieces(path)], pa.string())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], _names(TABLES))
 
-    return staged(spark.range(0, 1, 1, 1).mapInArrow(run, TABLES), "bpe-tables")
+    return staged(spark.range(0, 1, 1, 1).mapInArrow(swept(run), TABLES), "bpe-tables")
 
 
 def folded(word: Column, single: Column, ranks: Column) -> Column:
@@ -204,36 +204,35 @@ def _blocks(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
     """A row for each block: its documents' keys and numbers of words, the place of each word in the block's list, the ids of words that are known at once (length 0: not known), and the other words."""
     path, pattern, long_word = vocabulary.path, vocabulary.pattern, vocabulary.long_word
 
+    def made(piece: pa.RecordBatch, block: int, find: Callable[[str], list[str]], known: dict[bytes, int]) -> pa.RecordBatch:
+        places: dict[str, int] = defaultdict()
+        places.default_factory = places.__len__
+        lists = [np.fromiter(map(places.__getitem__, find(x.as_py() or "")), np.int32) for x in piece.column("text")]
+        figures = [pack(np.array([len(x) for x in lists], np.int32)), coded(np.concatenate(lists))]
+        del lists  # each step's are given up before the next one's are made
+        words = [w.encode() for w in places]
+        places.clear()
+        lengths, ids, left = np.zeros(len(words), np.int32), [], []
+        for i, word in enumerate(words):
+            rank = known.get(word)
+            some = heap_fold(word, known) if rank is None and len(word) > long_word else [] if rank is None else [rank]
+            lengths[i] = len(some)
+            ids += some
+            if not some:
+                left.append(word)
+        figures += [pack(lengths), pack(np.array(ids, np.int32)), pack(np.array([len(x) for x in left], np.int32)), squeezed(b"".join(left))]
+        keys = pa.array([piece.column(key).cast(pa.string()).to_pylist()], pa.list_(pa.string()))
+        size = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+        return pa.RecordBatch.from_arrays([pa.array([block]), keys, *(pa.array([x], pa.binary()) for x in figures), pa.array([size], pa.int64())], _names(BLOCKS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = regex.compile(pattern).findall, ranks(path)
         block = TaskContext.get().partitionId() << 32
-
-        def ids_of(word: bytes) -> list[int]:
-            if word in known:
-                return [known[word]]
-            return heap_fold(word, known) if len(word) > long_word else []
-
         for piece in slices(batches, limit=vocabulary.block_bytes):
-            places: dict[str, int] = defaultdict()
-            places.default_factory = places.__len__
-            lists = [np.fromiter(map(places.__getitem__, find(x.as_py() or "")), np.int32) for x in piece.column("text")]
-            words = [w.encode() for w in places]
-            ready = list(map(ids_of, words))
-            left = [w for w, x in zip(words, ready) if not x]
-            figures = (
-                pack(np.array([len(x) for x in lists], np.int32)),
-                coded(np.concatenate(lists)),
-                pack(np.array([len(x) for x in ready], np.int32)),
-                pack(np.fromiter(chain.from_iterable(ready), np.int32)),
-                pack(np.array([len(x) for x in left], np.int32)),
-                squeezed(b"".join(left)),
-            )
-            keys = pa.array([piece.column(key).cast(pa.string()).to_pylist()], pa.list_(pa.string()))
-            size = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
-            yield pa.RecordBatch.from_arrays([pa.array([block]), keys, *(pa.array([x], pa.binary()) for x in figures), pa.array([size], pa.int64())], _names(BLOCKS))
+            yield alone(made(piece, block, find, known))
             block += 1
 
-    return bucketed(docs.select(key, "text").mapInArrow(run, BLOCKS), "bpe-blocks", "block")
+    return bucketed(docs.select(key, "text").mapInArrow(swept(run), BLOCKS), "bpe-blocks", "block")
 
 
 def _names(schema: str) -> list[str]:
@@ -265,7 +264,7 @@ def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
                     rows.append((b, block, pack(np.diff([i for _, i in some], prepend=0).astype(np.int32)), pack(np.array([len(w) for w, _ in some], np.int32)), squeezed(b"".join([w for w, _ in some]))))
                 yield from _table(rows, ASK).to_batches()
 
-    return blocks.select("block", "lengths", "sizes", "words").mapInArrow(run, ASK)
+    return blocks.select("block", "lengths", "sizes", "words").mapInArrow(swept(run), ASK)
 
 
 KNOWN = "bucket long, place int, words array<binary>, block long, at binary, places binary"
@@ -315,7 +314,7 @@ def _words(known: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     words = known.where("words is not null").select("bucket", "place", "words")
     tasks = max(1, -(-(words.agg(F.sum(F.size("words"))).first()[0] or 0) // vocabulary.words_a_task))
     rows = words.repartitionByRange(tasks, "bucket", "place").crossJoin(F.broadcast(_tables(known.sparkSession, vocabulary.path)))
-    return staged(rows.select("bucket", "place", F.transform("words", one).alias("found")).mapInArrow(_packed_ids, IDS), "bpe-ids")
+    return staged(rows.select("bucket", "place", F.transform("words", one).alias("found")).mapInArrow(swept(_packed_ids), IDS), "bpe-ids")
 
 
 def _answered(asked: pa.Table, words: pa.Table) -> pa.Table:
@@ -341,9 +340,9 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable
     path, size = vocabulary.path, vocabulary.words_a_list
     blocks = _blocks(docs, vocabulary, key)
     buckets = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // vocabulary.bucket_bytes))
-    known = staged(_asked(blocks, buckets).groupBy("bucket").applyInArrow(lambda rows: _distinct(rows, size), KNOWN), "bpe-words")
+    known = staged(_asked(blocks, buckets).groupBy("bucket").applyInArrow(lambda rows: alone(_distinct(rows, size)), KNOWN), "bpe-words")
     asked = known.where("words is null").select("bucket", "block", "at", "places")
-    answers = asked.groupBy("bucket").cogroup(_words(known, vocabulary).groupBy("bucket")).applyInArrow(_answered, ANSWER)
+    answers = asked.groupBy("bucket").cogroup(_words(known, vocabulary).groupBy("bucket")).applyInArrow(lambda asked, words: alone(_answered(asked, words)), ANSWER)
 
     def meet(rows: pa.Table, said: pa.Table) -> pa.Table:
         known, out = pieces(path), []
@@ -370,7 +369,7 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, key: str, finish: Callable
         return pa.concat_tables(out)
 
     heads = blocks.select("block", "keys", "counts", "places", "lengths", "ids", "sizes", "words")
-    return heads.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
+    return heads.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda rows, said: alone(meet(rows, said)), schema)
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), key: str = "doc_id") -> DataFrame:

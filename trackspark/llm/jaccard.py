@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import helpers, staged
-from .tokens import Words, changes, mix, released, slices, summed
+from .tokens import Words, changes, mix, slices, summed, swept
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, how: NearDuplicates) -> np.ndarray:
         return pd.DataFrame({"at": [rows["at"].iloc[0]], "salt": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "at long, salt long, counts binary"
-    counted = docs.select("text").mapInArrow(count, schema)
+    counted = docs.select("text").mapInArrow(swept(count), schema)
     added = counted.groupBy("at", "salt").applyInPandas(add, schema).groupBy("at").applyInPandas(add, schema)
     out = np.zeros(max(size, CHUNK), np.uint16)
     for r in added.collect():
@@ -127,7 +127,7 @@ def prefixes(docs: DataFrame, how: NearDuplicates, *more: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", *more)), pa.array(n.astype(np.int64)), pa.array(signs[0]), pa.array(signs[1]), pa.array(alike), lists], ["doc_id", *more, "n_shingles", "sign_a", "sign_b", "alike", "prefix"])
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text").mapInArrow(run, f"doc_id long{kinds}, n_shingles long, sign_a long, sign_b long, alike long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text").mapInArrow(swept(run), f"doc_id long{kinds}, n_shingles long, sign_a long, sign_b long, alike long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -141,7 +141,7 @@ def whole_sets(docs: DataFrame, how: NearDuplicates) -> DataFrame:
             data = [code[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(swept(run), "doc_id long, set binary")
 
 
 def verified(pairs: DataFrame, every: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -156,10 +156,9 @@ def verified(pairs: DataFrame, every: DataFrame, how: NearDuplicates) -> DataFra
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-        released()
 
     joined = pairs.join(every.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    return joined.join(every.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    return joined.join(every.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(swept(run), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, how: NearDuplicates = NearDuplicates(), *more: str) -> tuple[DataFrame, DataFrame]:

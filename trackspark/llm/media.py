@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import shared_dir, staged
-from .tokens import slices
+from .tokens import slices, swept
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def stored(docs: DataFrame, how: Shards = Shards(), key: str = "doc_id") -> Data
         if rows:
             yield written()
 
-    index = docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, {INDEX}")
+    index = docs.select(key, "text").mapInArrow(swept(run), f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, {INDEX}")
     return staged(index, "media-index").withColumn("shard", F.concat(F.lit(folder + "/"), "shard"))
 
 

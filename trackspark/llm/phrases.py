@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block
 from .recurring import Codes, Recurring, Units, covered, marked
-from .tokens import Words, changes, mix, run_hashes
+from .tokens import Words, alone, changes, mix, run_hashes
 
 
 class _WordCodes(Codes):
@@ -186,7 +186,7 @@ def cut(docs: DataFrame, how: Repeats = Repeats(), before: str = "words_before")
         columns = [pa.array(texts, pa.string()) if x == "text" else block.column(inner[x]) for x in names]
         return pa.Table.from_arrays([*columns, pa.array(counts.astype(np.int64))], names=[*names, before])
 
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda home, found: alone(run(home, found)), schema)
 
 
 def digests(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:

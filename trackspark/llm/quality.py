@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import IS_SEPARATOR, Words, hashes, per_text, segments, slices
+from .tokens import IS_SEPARATOR, Words, hashes, per_text, segments, slices, swept
 
 #: Frequent words of each language, the bins of the common-word histograms.
 COMMON_WORDS = {
@@ -152,7 +152,7 @@ def references(docs: DataFrame, rules: QualityRules) -> dict[str, dict[str, list
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "kind", "bin", "n"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    counted = docs.select(F.col("text"), lang.alias("lang")).mapInArrow(count, "lang string, kind string, bin int, n long")
+    counted = docs.select(F.col("text"), lang.alias("lang")).mapInArrow(swept(count), "lang string, kind string, bin int, n long")
     out: dict[str, dict[str, list[float]]] = {}
     for r in counted.groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).collect():
         sizes = {"chars": N_CLASSES, "common": len(BINS) + 1}
@@ -191,7 +191,7 @@ def score(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(found[x]) for x in names)], ["doc_id", *names])
 
     wanted = [F.col(x) for x in ("doc_id", "text", "lang") if x in docs.columns]
-    return docs.select(*wanted).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    return docs.select(*wanted).mapInArrow(swept(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
 def keep(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -203,4 +203,4 @@ def keep(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
         for piece in slices(batches):
             yield piece.filter(pa.array(judge(piece, known, rules)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(swept(run), docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, packed
 from .store import staged
-from .tokens import changes, pack, run_hashes, sliding_min, spread, squeezed, unpack
+from .tokens import alone, changes, pack, run_hashes, sliding_min, spread, squeezed, swept, unpack
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,7 @@ def _asked(blocks: DataFrame, buckets: int, how: Recurring) -> DataFrame:
                 if out:
                     yield _table(out, ASK).to_batches()[0]
 
-    return blocks.mapInArrow(run, ASK)
+    return blocks.mapInArrow(swept(run), ASK)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -279,15 +279,15 @@ def marked(docs: DataFrame, how: Recurring, name: str) -> tuple[DataFrame, DataF
     blocks = packed(docs, how.block_bytes, f"{name}-blocks")
     buckets = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // how.bucket_bytes))
     slim = blocks.select("block", "doc_id", "sizes", "data")
-    answers = staged(_asked(slim, buckets, how).groupBy("bucket").applyInArrow(lambda rows: _answer(rows, how), ANSWER), f"{name}-answers")
+    answers = staged(_asked(slim, buckets, how).groupBy("bucket").applyInArrow(lambda rows: alone(_answer(rows, how)), ANSWER), f"{name}-answers")
 
     def act(home: pa.Table, said: pa.Table) -> pa.Table:
-        return _acts(home, said, buckets, how) if home.num_rows else _table([], ACT)
+        return alone(_acts(home, said, buckets, how)) if home.num_rows else _table([], ACT)
 
     acts = staged(slim.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(act, ACT), f"{name}-acts")
     # A task for each bucket, as this takes longer than the size of the shards tells.
-    shards = acts.where(F.col("kind") == SHARD).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: _merge(rows, how), FOUND)
-    windows = acts.where(F.col("kind") == ASKED_WINDOWS).groupBy("bucket").applyInArrow(lambda rows: _answer_windows(rows, how), FOUND)
+    shards = acts.where(F.col("kind") == SHARD).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: alone(_merge(rows, how)), FOUND)
+    windows = acts.where(F.col("kind") == ASKED_WINDOWS).groupBy("bucket").applyInArrow(lambda rows: alone(_answer_windows(rows, how)), FOUND)
     runs = acts.where(F.col("kind") == RUNS).select("block", "n", "texts", "starts", "counts").union(shards).union(windows)
     return blocks, staged(runs, f"{name}-runs")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block
 from .recurring import Codes, Recurring, Units, covered, marked, of_first
-from .tokens import BYTE_CODE, changes
+from .tokens import BYTE_CODE, alone, changes
 
 
 class _Bytes(Codes):
@@ -162,7 +162,7 @@ def removed(docs: DataFrame, how: RepeatedBytes = RepeatedBytes()) -> DataFrame:
         kept = pa.array([kept[a:b] for a, b in zip(left.tolist(), left[1:].tolist())], pa.binary())
         return pa.Table.from_arrays([ids, pa.array(np.diff(block.offsets)), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(cut, schema)
+    return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(lambda home, found: alone(cut(home, found)), schema)
 
 
 def digests(docs: DataFrame, how: RepeatedBytes = RepeatedBytes()) -> DataFrame:

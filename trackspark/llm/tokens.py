@@ -6,7 +6,8 @@ A word is a run of bytes other than space and 0x09-0x0D. Null texts count as emp
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,26 @@ def released() -> None:
         trim(0)
 
 
+Steps = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+Made = TypeVar("Made")
+
+
+def swept(run: Steps) -> Steps:
+    """``run``, after whose end memory goes back to the system: that of its own variables too, which are still held when its batches end."""
+
+    def swept_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return swept_run
+
+
+def alone(made: Made) -> Made:
+    """``made``, of which only the result is still held: memory that making it took goes back to the system."""
+    released()
+    return made
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``limit`` bytes of ``column``."""
     for batch in batches:
@@ -71,7 +92,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
-    released()
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, is_separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import shared_dir, staged
-from .tokens import slices
+from .tokens import slices, swept
 
 
 @dataclass(frozen=True)
@@ -211,7 +211,7 @@ def written(pages: DataFrame, how: Archives = Archives()) -> DataFrame:
         if records:
             yield stored()
 
-    return staged(typed.mapInArrow(run, "archive string, n_bytes long, n_records long"), "warc-archives")
+    return staged(typed.mapInArrow(swept(run), "archive string, n_bytes long, n_records long"), "warc-archives")
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
