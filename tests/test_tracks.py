@@ -4,6 +4,7 @@ import ast
 import collections
 import hashlib
 import math
+import struct
 import time
 from dataclasses import replace
 from itertools import combinations
@@ -19,6 +20,7 @@ from trackspark.functions.selection import quantiles
 from trackspark.functions.tails import chi2_sf, normal_two_sided
 from trackspark.operators import attractors, boosting, contacts, figures, formatting, helicity, kinematics, ml, msd, replicates, shape, stats
 from trackspark.operators import summary as features
+from trackspark.plans import queries
 from trackspark.plans import run as plan
 from trackspark.sources import generator, tables
 
@@ -200,6 +202,47 @@ def test_attraction_in_blocks(spark):
             assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("times,offset", [(20, 1e7), (64, 0.0), (90, 0.0)])
+def test_attraction_of_long_and_distant_tracks(spark, times, offset):
+    """More times than a number has bits, and places that short numbers can't tell apart, lose no chain."""
+    rng = np.random.default_rng(12)
+    rows = [(i, float(t), *map(float, p)) for i in range(12) for t, p in enumerate(np.round(np.cumsum(rng.normal(0, 6, (times, 3)), axis=0)) + offset) if rng.random() < 0.9]
+    rows += [(50, float(t), float("inf"), 0.0, 0.0) for t in range(times)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kinds = df.select("object_id", F.lit("a").alias("category")).distinct()
+    for cfg in (AttractorConfig(distance_threshold=30, approach_ratio=0.8, min_proximity=20, time_persistence=3, max_gaps=1, broken_chains=b) for b in (False, True)):
+        want = sorted(map(tuple, attractors.events(attractors.pairs(df.where("object_id < 50"), kinds, cfg), cfg).collect()))
+        assert want and sorted(map(tuple, attractors.found(df, kinds, cfg, cells=2000).collect())) == want
+
+
+def test_pairs_that_make_no_chain_are_left_out_before_distances():
+    """Of 300 x 300 pairs only those that meet keep times at which a distance is taken, and these are all that tell."""
+    rng = np.random.default_rng(13)
+    cfg = AttractorConfig(distance_threshold=40, approach_ratio=0.5, min_proximity=10, time_persistence=4, max_gaps=2)
+    points, there = rng.uniform(0, 400, (2, 30, 300, 3)), rng.random((2, 30, 300)) < 0.8
+    points[1, :, :5] = points[0, :, :5] + np.linspace(19, 1, 30)[:, None, None] / np.sqrt(3)
+    p, q = (attractors._Tile(*np.nonzero(h)[::-1], x[h].T, 30, 300) for x, h in zip(points, there))
+    i, j, bits = attractors._candidates(p, q, cfg)
+    assert {(k, k) for k in range(5)} <= set(zip(i.tolist(), j.tolist())) and len(i) < 1000
+    near = np.linalg.norm(points[0, :, :5] - points[1, :, :5], axis=-1) < 40
+    at = np.unpackbits(np.ascontiguousarray(bits), axis=1, bitorder="little").view(bool)
+    for k in range(5):
+        assert not (near[:, k] & there[0, :, k] & there[1, :, k] & ~at[(i == k) & (j == k)][0][:30]).any()
+
+
+@pytest.mark.parametrize("digits", [4, 6])
+def test_rounded_is_rounded_by_decimals(spark, digits):
+    """Ties, either side of them, large, small and negative numbers and those that are none: the same bits as Spark's round, mostly without it."""
+    rng = np.random.default_rng(15)
+    ties = (rng.integers(-(10**8), 10**8, 4000) * 2 + 1) / (2 * 10**digits)
+    values = np.concatenate([ties, np.nextafter(ties, np.inf), np.nextafter(ties, -np.inf), rng.normal(0, 50, 4000), rng.normal(0, 1, 2000) * 10.0 ** rng.integers(-9, 16, 2000), [0.0, -0.0, -1e-9, np.nan, np.inf, -np.inf, 1e6, -1e6]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    found = queries.rounded(df, digits).collect()
+    wanted = df.select((F.round("v", digits) + 0.0).alias("v")).collect()
+    assert [struct.pack("d", math.nan if r.v is None else r.v) for r in found] == [struct.pack("d", math.nan if r.v is None else r.v) for r in wanted]
+    assert found[-1].v is None and "CASE WHEN" in queries.rounded(df, digits)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_prefix_fit_is_a_loop(spark):
     rng = np.random.default_rng(1)
     x = np.log10(np.arange(1, 21))
