@@ -230,6 +230,24 @@ def test_pairs_that_make_no_chain_are_left_out_before_distances():
         assert not (near[:, k] & there[0, :, k] & there[1, :, k] & ~at[(i == k) & (j == k)][0][:30]).any()
 
 
+def test_velocities_of_events_come_with_the_tracks(spark):
+    """No rows of events are joined: a comparison's rows have both velocities, null where a track has none."""
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(i, float(t), *map(float, p)) for i in range(10) for t, p in enumerate(np.cumsum(rng.normal(0, 6, (12, 3)), axis=0))], SCHEMA)
+    kinds = df.select("object_id", F.lit("a").alias("category")).distinct()
+    cfg = AttractorConfig(distance_threshold=30, approach_ratio=0.8, min_proximity=20, time_persistence=3, max_gaps=1)
+    speeds = kinematics.kinematics(df, 1.0, 3.0).where("time <> 3")
+    found = attractors.enriched(df, kinds, speeds, cfg)
+    of = {(r.object_id, r.time): r.velocity for r in speeds.collect()}
+    rows = found.collect()
+    assert len(rows) == attractors.found(df, kinds, cfg).count() and any(r.time == 3 for r in rows)
+    for r in rows:
+        a, b = of.get((r.attractor_id, r.time)), of.get((r.attracted_id, r.time))
+        assert (r.attractor_velocity, r.attracted_velocity, r.velocity_difference) == (a, b, None if a is None else b - a)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("Join")
+
+
 @pytest.mark.parametrize("digits", [4, 6])
 def test_rounded_is_rounded_by_decimals(spark, digits):
     """Ties, either side of them, large, small and negative numbers and those that are none: the same bits as Spark's round, mostly without it."""
