@@ -2,6 +2,7 @@
 
 import ast
 import collections
+import datetime
 import hashlib
 import math
 import struct
@@ -22,7 +23,7 @@ from trackspark.operators import attractors, boosting, contacts, figures, format
 from trackspark.operators import summary as features
 from trackspark.plans import queries
 from trackspark.plans import run as plan
-from trackspark.sources import generator, tables
+from trackspark.sources import adapters, generator, tables
 
 SCHEMA = "object_id long, time double, x double, y double, z double"
 
@@ -98,6 +99,22 @@ def test_contacts(spark):
     assert pairs(contacts.minus_dividing(box)) == {(9, 12), (10, 12)}
 
 
+def test_daily_means_do_not_depend_on_files(spark, tmp_path):
+    """Points are added in order of event, however they lie in files: who is just in reach is in reach in all of them."""
+    day = datetime.datetime(2024, 1, 2, 3)
+    values = {1: [0.1, 0.2, 0.3, 0.4, 0.7], 2: [5.0 + np.mean([0.1, 0.2, 0.3, 0.4, 0.7])], 3: [1e16, 1.0, -1e16, 1.0]}
+    events = [(100 * (10 * u + k), day, u, float(v)) for u, row in values.items() for k, v in enumerate(row)]
+    added = {u: float(np.cumsum(row)[-1]) / len(row) for u, row in values.items()}
+    near = []
+    for k, order in enumerate((events, events[::-1], events[1::2] + events[::2], events[2:] + events[:2])):
+        folder = tmp_path / str(k)
+        for i in range(0, len(order), 3):
+            spark.createDataFrame(order[i : i + 3], "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+        assert {r.object_id: (r.time, r.x, r.y, r.z) for r in adapters.day_tracks(spark, str(folder)).collect()} == {u: (1.0, x, 3.0, 0.0) for u, x in added.items()}
+        near.append(sorted(map(tuple, queries.QUERIES["contacts_all"](spark, str(folder)).collect())))
+    assert near == [near[0]] * 4 and near[0] == [(u, v, 1.0) for u, v in combinations(values, 2) if abs(added[u] - added[v]) <= 5.0]
+
+
 @pytest.mark.parametrize("flat", [True, False])
 @pytest.mark.parametrize("euclidean", [True, False])
 def test_contacts_of_a_cluster(spark, flat, euclidean):
