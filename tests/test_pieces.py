@@ -151,6 +151,24 @@ def test_partners_are_counts_of_contacts(spark, euclidean, capsys):
     assert "Join" not in capsys.readouterr().out
 
 
+@pytest.mark.parametrize("euclidean", [False, True])
+def test_durations_are_those_of_contacts(spark, euclidean):
+    """Events of both sides counted by blocks, with gaps, uneven times, a time twice and objects without contacts, give the summary of joined contacts; no contact's row is shuffled."""
+    rng = np.random.default_rng(8)
+    near = {o: rng.integers(0, 3, 3) * (3.5, 4, 4) for o in range(-12, 24)}
+    rows = [(o, float(t if t < 16 else 2 * t), *map(float, p + rng.integers(0, 2, 3) * 0.5)) for o, p in near.items() for t in range(18) if rng.random() < 0.95]
+    rows += [(300, 1.0, float("nan"), 0.0, 0.0), (301, 1.0, None, 0.0, 0.0), (302, 1.0, 900.0, 0.0, 0.0), rows[0]]
+    segments = spark.createDataFrame(rows, "object_id long, time double, x double, y double, z double")
+    kinds = segments.select("object_id", F.lit("a").alias("category")).distinct()
+    wanted = contacts.contacts_summary(contacts.contacts(segments, 3.0, euclidean), kinds, 1.0, both_sides=True)
+    assert wanted.where("n_contacts > 0 and median_duration > 1").count() > 3
+    for cut in ({}, {"blocks": 1, "candidates": 1, "counts": 1}, {"blocks": 2, "block_rows": 100, "candidates": 500}):
+        found = contacts.summary_of_durations(contacts.durations(segments, 3.0, 1.0, euclidean, **cut), kinds, 1.0)
+        same(found.drop("category"), wanted.drop("category"), ["object_id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "MapGroupsInArrow" in plan
+
+
 def test_splines_side_by_side(spark, monkeypatch):
     """Tracks of all lengths smoothed together are those smoothed alone to the last bit, in far fewer eliminations; short and blank ones stay."""
     rng = np.random.default_rng(4)
